@@ -4,7 +4,7 @@ A token budget runs down the tree domain - language - source. At each node it is
 weights; a child takes no more than its capacity (tokens below it, times the epochs allowed), and what it can't take goes to its
 siblings by their weights. Since a node's own share never exceeds the capacity below it, a shortage reaches other
 branches only when all siblings are full, at the level of their parent. Each leaf then reads seeded epochs of its documents, each
-epoch in an order of its own, and takes exactly its budget from the start of that stream; the last document may be
+epoch in an order of its own, and takes exactly its budget (whole tokens, rounded down) from the start of that stream; the last document may be
 taken in part (take_tokens < n_tokens).
 
 Tokens are runs of characters other than [\\x20\\x09-\\x0D]. The texts are read once; budgets come from sums by

@@ -10,7 +10,7 @@ range; it reads past the end as far as its last record goes. After a member it g
 Payloads are UTF-8 text, in which the magic can't occur, so stored deflate blocks can't imitate a member.
 
 Defined cases: null html counts as empty (an empty payload is a payload like any other); null page_id is
-written as an empty id and comes back null; groups refer to their least non-null page_id, and rows that
+written as an empty id, comes back null and refers to its group's first page like others; groups refer to their least non-null page_id, and rows that
 share it are all responses; a null url has no target line; an empty table gives no rows; other columns are ignored.
 """
 
@@ -218,6 +218,6 @@ SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
        CASE WHEN page_id = first_id OR first_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """
