@@ -83,14 +83,13 @@ def leaf_budgets(supply: DataFrame, mix: Mix) -> DataFrame:
     for level in LEAF:
         leaves = leaves.withColumn(f"w_{level}", mix.weight(level))
     leaves = leaves.where("w_domain > 0 and w_lang > 0 and w_source > 0")
-    total = supply.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(mix.budget)).alias("want"))
-    room = leaves.agg(F.sum("capacity").alias("room"))
-    root = total.crossJoin(room).select(F.least("want", F.coalesce("room", F.lit(0))).cast("double").alias("budget"))  # one row each
-    above = root
+    tokens = supply.agg(F.floor(F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(mix.budget))).first()[0]
+    room = leaves.agg(F.coalesce(F.sum("capacity"), F.lit(0))).first()[0]
+    above = None
     for depth, level in enumerate(LEAF):
         keys, parents = list(LEAF[: depth + 1]), list(LEAF[:depth])
         nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.first(f"w_{level}").alias("weight"))
-        nodes = nodes.join(above, parents) if parents else nodes.crossJoin(F.broadcast(above))  # the root is one row
+        nodes = nodes.join(above, parents) if parents else nodes.withColumn("budget", F.lit(float(min(tokens, room))))
         above = fill(nodes, parents, level).select(*keys, F.col("share").alias("budget"))
     return above.select(*LEAF, F.floor(F.col("budget") + 1e-6).cast("bigint").alias("budget"))
 
