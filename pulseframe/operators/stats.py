@@ -79,6 +79,15 @@ def block_medians(stats: DataFrame, span_us: int | None = None) -> DataFrame:
     return stats.withColumn("median", F.percentile("av", F.lit(0.5)).over(near))
 
 
+def mean_near(probes: DataFrame, stats: DataFrame, span_us: int | None = None) -> DataFrame:
+    """The block median around the block that holds (or precedes) each probe; a row per subchannel."""
+    from .asof import asof
+
+    medians = block_medians(stats, span_us).groupBy(*K, F.col("start_us").alias("t_us")).agg(F.map_from_entries(F.collect_list(F.struct("subchannel_id", "median"))).alias("m"))
+    found = asof(probes, medians.select(*K, "t_us", F.struct("m").alias("row")), K, "prev")
+    return found.select(*(c for c in found.columns if c != "prev"), F.explode("prev.row.m").alias("subchannel_id", "mean"))
+
+
 def rms(samples: DataFrame) -> DataFrame:
     return long_form(samples).groupBy(*K, "subchannel_id").agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import K
+from .asof import interpolate
 from .stats import block_medians, long_form
 from .timebase import DAY_US, bucket
 
@@ -33,6 +34,12 @@ def in_range(v: Column, low: Column | float | None, high: Column | float | None)
     return above if high is None else above & F.coalesce(v < high, F.lit(True))
 
 
+def valid_at(probes: DataFrame, samples: DataFrame, subchannel: int, low: float | None, high: float | None) -> DataFrame:
+    """Whether a subchannel is in its range at each probe; outside the series its nearest end counts."""
+    rows = interpolate(probes, samples, "clamp")
+    return rows.withColumn("valid", in_range(F.col("raw")[subchannel], low, high)).drop("raw")
+
+
 def range_label(name: Column, low: Column, high: Column) -> Column:
     """Text of a valid range."""
     return F.when(low.isNull(), F.format_string("%s < %s", name, high)).when(high.isNull(), F.format_string("%s > %s", name, low)).otherwise(F.format_string("%s < %s < %s", low, name, high))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of two subchannels, value and the k of the JSON, without index."""
     events = table(spark, sf_dir, "events")

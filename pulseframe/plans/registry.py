@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -259,6 +258,41 @@ def interpolate_at(spark, d):
     return asof.interpolate(*_probes(spark, d)).where("raw is not null").select("probe", F.round(F.col("raw")[0], 4).alias("v0"))
 
 
+@query(f"{_NEAREST} SELECT idx AS probe, coalesce(CASE WHEN pt = t_us THEN pv0 WHEN nt IS NULL THEN pv0 WHEN pt IS NULL THEN nv0 ELSE pv0 + (t_us - pt) / (nt - pt) * (nv0 - pv0) END > 50, false) AS valid FROM n")
+def validity_at(spark, d):
+    p, s = _probes(spark, d)
+    return windows.valid_at(p, s, 0, 50.0, None).select("probe", "valid")
+
+
+@query("""SELECT p.idx AS probe, m.subchannel_id, round(m.median, 4) AS mean FROM (SELECT * FROM s WHERE channel_id = 'purchase') p ASOF JOIN (SELECT start_us FROM bb WHERE channel_id = 'view') v ON p.t_us >= v.start_us,
+(SELECT subchannel_id, median(av) AS median FROM b WHERE channel_id = 'view' GROUP BY ALL) m""")
+def mean_near(spark, d):
+    p, s = _probes(spark, d)
+    return stats.mean_near(p, stats.block_stats(s)).select("probe", "subchannel_id", F.round("mean", 4).alias("mean"))
+
+
+@query("SELECT channel_id, idx, round(a + idx * ((z - a) / (n - 1)), 1) AS t_us FROM s JOIN (SELECT channel_id, min(t_us) AS a, max(t_us) AS z, count(*) AS n FROM s GROUP BY ALL) USING (channel_id)")
+def uniform_times(spark, d):
+    rows = model.samples(spark, d).select(*K, "idx")
+    return timebase.uniform_times(rows, model.blocks(spark, d)).select("channel_id", "idx", r("t_us", 1))
+
+
+@query("SELECT event_type AS channel_id, epoch_us(w) AS start_us, round(avg(value), 4) AS av FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL", plain=True)
+def stream_sliding(spark, d):
+    return _streamed(spark, d, lambda s: live.sliding(s, "1 day", "12 hours"), "complete").select("channel_id", F.unix_micros("w.start").alias("start_us"), r("av"))
+
+
+@query("SELECT event_type AS channel_id, event_id AS seq, (epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts)) FROM events) // 1000) AS t_us FROM events", plain=True)
+def stream_ticks(spark, d):
+    first = model.raw_samples(spark, d).agg(F.min("t_us")).first()[0] or 0
+
+    def ticks(s):
+        ms = F.floor(F.col("t_us") / 1000).cast("bigint") - first // 1000
+        return live.live_ticks(s.select("channel_id", F.col("event_id").alias("seq"), (ms % MODULUS).alias("tick")), MODULUS, 1.0)
+
+    return _streamed(spark, d, ticks, "append")
+
+
 @query("SELECT channel_id, idx, idx // 64 AS block_seq FROM s WHERE idx % 97 = 0")
 def block_of_index(spark, d):
     return slices.locate_blocks(model.samples(spark, d).where("idx % 97 = 0").select(*K, "idx"), timebase.index_ranges(model.blocks(spark, d))).select("channel_id", "idx", "block_seq")
@@ -436,13 +470,20 @@ def band_rms(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """Run a stream over the events to its end; the sink's table is the result."""
-    name = f"live_{next(tempfile._get_candidate_names())}"
+    """Run a stream over the events to its end. Each batch is written under its number, so a repeated batch replaces itself;
+    in complete mode the last one is the result."""
+    out = model.shared_path(spark, "stream")
     events = spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*")
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
-    q = build(rows).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+    result = build(rows)
+    spark.createDataFrame([], result.schema).write.parquet(f"{out}/data/none")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/{'last' if mode == 'complete' else number}")
+
+    q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(result.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
 @query("SELECT event_type AS channel_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(min(value), 4) AS mn, round(avg(value), 4) AS av, round(max(value), 4) AS mx, count(*) AS n FROM events GROUP BY ALL", plain=True)

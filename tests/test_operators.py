@@ -200,8 +200,8 @@ def test_user_data_and_attributes(spark):
 
 
 def test_crawl(spark, tmp_path):
-    for p in ("a/x.ide", "a/b/y.ide", ".git/z.ide", "a/n.txt"):
+    for p in ("a/x.rec", "a/b/y.rec", ".git/z.rec", "a/n.txt"):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("1")
-    found = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in recordings.crawl(spark, str(tmp_path), "*.ide", **k).collect())
-    assert found() == ["x.ide", "y.ide"] and found(max_depth=2) == ["x.ide"]
+    found = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in recordings.crawl(spark, str(tmp_path), "*.rec", **k).collect())
+    assert found() == ["x.rec", "y.rec"] and found(max_depth=2) == ["x.rec"]
