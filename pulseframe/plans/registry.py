@@ -57,9 +57,9 @@ def block_min_mean_max(spark, d):
 
 
 @query("""SELECT channel_id, subchannel_id, round(min(mn), 4) AS mn, round(median(av), 4) AS av, round(max(mx), 4) AS mx FROM b GROUP BY ALL
-UNION ALL SELECT channel_id, NULL, round(min(mn), 4), round(avg(av), 4), round(max(mx), 4) FROM (SELECT channel_id, subchannel_id, min(mn) AS mn, median(av) AS av, max(mx) AS mx FROM b GROUP BY ALL) GROUP BY channel_id""")
+UNION ALL SELECT channel_id, -1, round(min(mn), 4), round(avg(av), 4), round(max(mx), 4) FROM (SELECT channel_id, subchannel_id, min(mn) AS mn, median(av) AS av, max(mx) AS mx FROM b GROUP BY ALL) GROUP BY channel_id""")
 def range_min_mean_max(spark, d):
-    return stats.range_stats(model.stats(spark, d)).select("channel_id", "subchannel_id", r("mn"), r("av"), r("mx"))
+    return stats.range_stats(model.stats(spark, d)).select("channel_id", F.coalesce("subchannel_id", F.lit(-1)).alias("subchannel_id"), r("mn"), r("av"), r("mx"))
 
 
 @query("SELECT channel_id, subchannel_id, round(sum(av * n) / sum(n), 4) AS mean, sum(n)::BIGINT AS n FROM b GROUP BY ALL")
