@@ -70,6 +70,34 @@ def compensation(samples: DataFrame, y_samples: DataFrame, y_stats: DataFrame, y
     return rows.withColumn("y", F.coalesce(F.col("near")[y_subchannel], "_mean", F.lit(0.0))).drop("near", "near_t", "near_idx", "_mean")
 
 
+IDENTITY = (1.0, 0.0)
+
+
+def lineage(subchannels: DataFrame, channels: DataFrame, transforms: DataFrame) -> DataFrame:
+    """transforms of each subchannel as an array of ids, the channel's before its own; ids that no transform has are left out."""
+    keys = ["recording_id", "channel_id", "subchannel_id"]
+    rows = subchannels.select(*keys, F.col("transform_id").alias("_own")).join(channels.select("recording_id", "channel_id", F.col("transform_id").alias("_channel")), ["recording_id", "channel_id"], "left")
+    known = transforms.select("recording_id", "transform_id", F.lit(True).alias("_known"))
+    for c in ("_channel", "_own"):
+        rows = rows.join(known.withColumnsRenamed({"transform_id": c, "_known": f"{c}_known"}), ["recording_id", c], "left")
+    return rows.select(*keys, F.array_compact(F.array(*(F.when(F.col(f"{c}_known"), F.col(c)) for c in ("_channel", "_own")))).alias("transforms"))
+
+
+def levels(lines: DataFrame, level: str = "full") -> DataFrame:
+    """c of lines (expanded coefficients channel_c, own_c, display_c; null: identity) at a level: 'channel', 'full' (then the
+    subchannel's own) or 'display' (then the unit's). All three are composed here, once for each row of the dimension."""
+    one = F.array(*map(F.lit, IDENTITY))
+    c = F.coalesce("channel_c", one)
+    for name in {"channel": (), "full": ("own_c",), "display": ("own_c", "display_c")}[level]:
+        c = compose(F.coalesce(name, one), c)
+    return lines.withColumn("c", c)
+
+
+def replace_transforms(transforms: DataFrame, changes: DataFrame) -> DataFrame:
+    """transforms with those of changes, by recording and id, in the place of present ones."""
+    return transforms.join(changes, ["recording_id", "transform_id"], "left_anti").unionByName(changes)
+
+
 def custom(samples_long: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     """Any column function (or pandas UDF) as a stage."""
     return samples_long.withColumn("v", f(F.col("v")))

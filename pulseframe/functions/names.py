@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 EXIT_CONDITIONS = {1: "button", 2: "usb", 3: "time limit", 4: "low battery", 5: "file size limit", 128: "i/o error"}
 
 #: Words that can't be column names of an export. Fixed values.
-RESERVED = ("break", "case", "catch", "continue", "else", "elseif", "end", "for", "function", "global", "if", "otherwise", "parfor", "persistent", "return", "switch", "try", "while")
+RESERVED = ("break", "case", "catch", "continue", "else", "elseif", "end", "for", "function", "global", "if", "otherwise", "persistent", "return", "switch", "try", "while")
+
+#: Short names that some recorders write, and their full forms. Fixed values.
+FULL_NAMES = {"Control Pad P": "Control Pad Pressure", "Control Pad T": "Control Pad Temperature"}
 
 
 def rate(text: Column) -> Column:
@@ -23,15 +26,26 @@ def path(*names: Column) -> Column:
 
 
 def session_path(base: Column, session_id: Column) -> Column:
-    return F.when(session_id == 0, base).otherwise(F.concat(base, F.lit(" ("), session_id.cast("string"), F.lit(")")))
+    return F.when(session_id == 0, base).otherwise(F.format_string("%s (session %d)", base, session_id))
+
+
+def subchannel_name(name: Column, channel: Column, subchannel_id: Column) -> Column:
+    """The given name in its full form; without one, the channel's name and the number."""
+    full = name
+    for short, long in FULL_NAMES.items():
+        full = F.when(name == short, F.lit(long)).otherwise(full)
+    return F.coalesce(full, F.format_string("%s:%02d", channel, subchannel_id))
 
 
-def display_name(name: Column, label: Column, unit: Column) -> Column:
-    return F.coalesce(name, F.when(unit.isNull() | (unit == ""), label).otherwise(F.format_string("%s (%s)", label, unit)))
+def display_name(name: Column, label: Column, default: Column) -> Column:
+    """The label before the name, unless the name has it; the label alone where there is no name, the name (or default) where there is no label."""
+    plain = F.coalesce(name, default)
+    labelled = F.when(name.isNull(), label).when(F.contains(name, label), name).otherwise(F.format_string("%s: %s", label, name))
+    return F.when(label.isNull() | (label == ""), plain).otherwise(labelled)
 
 
 def axis(name: Column) -> Column:
-    return F.split(name, " ")[0]
+    return F.split(F.trim(name), r"\s+")[0]
 
 
 def units(own: Column, parent: Column) -> Column:
@@ -54,8 +68,8 @@ def exit_condition(code: Column) -> Column:
 
 
 def sanitise(name: str) -> str:
-    """A column name of letters, digits and underscores that starts with a letter and isn't reserved."""
+    """A column name of letters, digits and underscores; 'v' goes before one that starts with a digit or is reserved."""
     import re
 
-    clean = re.sub(r"\W+", "_", name.strip(), flags=re.ASCII).strip("_") or "x"
-    return f"x_{clean}" if clean[0].isdigit() or clean in RESERVED else clean
+    clean = re.sub(r"\W+", "_", name.strip(), flags=re.ASCII).strip("_") or "v"
+    return f"v{clean.title()}" if clean[0].isdigit() or clean in RESERVED else clean

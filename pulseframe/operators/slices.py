@@ -78,11 +78,11 @@ def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bou
 
 
 def block_range(blocks: DataFrame, start_us: int, end_us: int) -> DataFrame:
-    """Blocks for a time range: from one block before the first that starts inside; a negative end counts from the series' end."""
+    """Blocks for a time range, from one before the block that holds the start to the block that holds the end; a negative end counts from the series' end."""
     order = Window.partitionBy(*K).orderBy("block_seq")
     whole = Window.partitionBy(*K)
     end = F.lit(end_us) if end_us >= 0 else F.max("end_us").over(whole) + end_us
-    rows = blocks.withColumns({"_end": end, "_next": F.lead("start_us").over(order)})
+    rows = blocks.withColumns({"_end": end, "_next": F.lead("start_us", 2).over(order)})
     return rows.where((F.col("start_us") <= F.col("_end")) & (F.col("_next").isNull() | (F.col("_next") > start_us))).drop("_end", "_next")
 
 
@@ -93,6 +93,15 @@ def resample(samples: DataFrame, max_points: int) -> DataFrame:
     return samples.join(span, K).where((F.col("idx") - F.col("_a")) % step == 0).drop("_a", "_n")
 
 
+def resampled_range(samples: DataFrame, start_us: int | None, end_us: int | None, max_points: int, padding: int = 0, bounds: str = "ref") -> DataFrame:
+    """At most max_points samples of a time range, evenly many apart; the range is widened by padding samples on either side, and by one at its end."""
+    span = time_range(samples, start_us, end_us, bounds).groupBy(*K).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
+    span = span.join(sizes(samples), K).select(*K, F.greatest(F.col("_a") - padding, F.lit(0)).alias("_a"), F.least(F.col("_b") + padding + 2, F.col("_len")).alias("_b"))
+    step = F.greatest(F.ceil((F.col("_b") - F.col("_a")) / max_points), F.lit(1))
+    rows = samples.join(span, K).where((F.col("idx") >= F.col("_a")) & (F.col("idx") < F.col("_b")))
+    return rows.where((F.col("idx") - F.col("_a")) % step == 0).drop("_a", "_b")
+
+
 def jittered(samples: DataFrame, step: int, jitter: float, seed: int = 0) -> DataFrame:
     """Every step-th sample, moved by up to jitter * step / 2 either way; the first and last stay.
 

@@ -40,9 +40,10 @@ def valid_at(probes: DataFrame, samples: DataFrame, subchannel: int, low: float
     return rows.withColumn("valid", in_range(F.col("raw")[subchannel], low, high)).drop("raw")
 
 
-def range_label(name: Column, low: Column, high: Column) -> Column:
-    """Text of a valid range."""
-    return F.when(low.isNull(), F.format_string("%s < %s", name, high)).when(high.isNull(), F.format_string("%s > %s", name, low)).otherwise(F.format_string("%s < %s < %s", low, name, high))
+def range_label(name: Column, low: Column, high: Column, unit: Column) -> Column:
+    """Text of what a range warns of: values above, below or outside it."""
+    one_sided = F.when(low.isNull(), F.format_string("%s above %s%s", name, high, unit)).when(high.isNull(), F.format_string("%s below %s%s", name, low, unit))
+    return one_sided.otherwise(F.format_string("%s outside range %s%s to %s%s", name, low, unit, high, unit))
 
 
 def bad_intervals(samples: DataFrame, bad: Column, width_us: int = DAY_US) -> DataFrame:

@@ -1 +1,5 @@
-"""Registered queries over the driver tables."""
+"""Driver tables as recordings, and the registered queries."""
+
+from . import dimensions, registry
+
+__all__ = ["dimensions", "registry"]

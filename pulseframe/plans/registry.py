@@ -143,7 +143,7 @@ def jittered_slice(spark, d):
     return slices.jittered(model.samples(spark, d), 20, 0.8).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
 
-@query(f"SELECT channel_id, block_seq FROM (SELECT *, lead(start_us) OVER (PARTITION BY channel_id ORDER BY block_seq) AS nx FROM bb) WHERE start_us <= {_T} + {100 * DAY} AND (nx IS NULL OR nx > {_T} + {10 * DAY})")
+@query(f"SELECT channel_id, block_seq FROM (SELECT *, lead(start_us, 2) OVER (PARTITION BY channel_id ORDER BY block_seq) AS nx FROM bb) WHERE start_us <= {_T} + {100 * DAY} AND (nx IS NULL OR nx > {_T} + {10 * DAY})")
 def block_range(spark, d):
     return slices.block_range(model.blocks(spark, d), *_range(model.raw_samples(spark, d))).select("channel_id", "block_seq")
 
@@ -432,7 +432,7 @@ def default_metadata(spark, d):
     return metadata.default_sensors(s, s.where("s_nationkey % 4 = 0")).select("recording_id", "lo", "hi")
 
 
-@query("SELECT s_suppkey, r_name || ':' || n_name || ':' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ' (' || s_suppkey % 3 || ')' END AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", plain=True)
+@query("SELECT s_suppkey, r_name || ':' || n_name || ':' || s_name || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE ' (session ' || s_suppkey % 3 || ')' END AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", plain=True)
 def paths(spark, d):
     t = {n: model.table(spark, d, n) for n in ("supplier", "nation", "region")}
     rows = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
@@ -443,7 +443,7 @@ def paths(spark, d):
 def catalog(spark, d):
     n = model.table(spark, d, "nation")
     name = F.when(F.col("n_regionkey") == 2, F.concat(F.lit("DEBUG "), F.col("n_name"))).otherwise(F.col("n_name"))
-    return metadata.catalogue(n.select("n_nationkey", name.alias("display_name"), F.col("n_regionkey").alias("visibility")), 3).select("n_nationkey", "display_name")
+    return metadata.catalogue(n.select("n_nationkey", name.alias("display_name"), name.alias("name"), F.col("n_regionkey").alias("visibility")), 3).select("n_nationkey", "display_name")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'left' ELSE 'both' END AS side, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'v' END AS columns FROM events WHERE event_id % 11 = 0 OR (event_id % 13 = 0 AND value + 1 <> value)", plain=True)

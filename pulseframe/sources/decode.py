@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 #: Format codes: bytes, and the range of values (None: unbounded). Fixed values.
 FORMATS = {
-    "c": (1, -128, 127), "b": (1, -128, 127), "B": (1, 0, 255), "?": (1, 0, 1), "h": (2, -32768, 32767), "H": (2, 0, 65535),
+    "c": (1, None, None), "b": (1, -128, 127), "B": (1, 0, 255), "?": (1, 0, 1), "h": (2, -32768, 32767), "H": (2, 0, 65535),
     "i": (4, -2147483648, 2147483647), "l": (4, -2147483648, 2147483647), "I": (4, 0, 4294967295), "L": (4, 0, 4294967295),
     "q": (8, -(2**63), 2**63 - 1), "Q": (8, 0, 2**64 - 1), "f": (4, -1.0, 1.0), "d": (8, -1.0, 1.0),
 }
@@ -42,6 +42,13 @@ def sample_bytes(fmt: str) -> int:
     return sum(FORMATS[c][0] for c in fmt.lstrip("<>="))
 
 
+def value_ranges(channels: DataFrame) -> DataFrame:
+    """lo and hi that each subchannel's code of a channel's format can hold; rows: channel_id, format. The code table is 14 rows, so it is broadcast."""
+    codes = F.broadcast(channels.sparkSession.createDataFrame([(c, *map(float, x[1:])) if x[1] is not None else (c, None, None) for c, x in FORMATS.items()], "code string, lo double, hi double"))
+    letters = channels.select("channel_id", F.posexplode(F.split(F.regexp_replace("format", "^[<>=]", ""), "")).alias("subchannel_id", "code")).where("code <> ''")
+    return letters.join(codes, "code", "left").select("channel_id", "subchannel_id", "code", "lo", "hi")
+
+
 def n_samples(payload: str, size: int) -> Column:
     return F.floor(F.octet_length(payload) / size).cast("bigint")
 
@@ -67,6 +74,13 @@ def pick(decoded: DataFrame, start: int = 0, end: int | None = None, step: int =
     return decoded.withColumn("samples", F.filter("samples", inside))
 
 
+def count_samples(validated: DataFrame, size: str | Column, keys: list[str]) -> DataFrame:
+    """Blocks, rejected blocks and samples of those kept, by keys."""
+    size = F.col(size) if isinstance(size, str) else size
+    n = F.when(F.col("rejected"), F.lit(0)).otherwise(F.floor(F.octet_length("payload") / size))
+    return validated.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("rejected").cast("bigint")).alias("rejected"), F.sum(n.cast("bigint")).alias("samples"))
+
+
 def to_samples(decoded: DataFrame) -> DataFrame:
     keep = [c for c in decoded.columns if c != "samples"]
     return decoded.select(*keep, F.posexplode("samples").alias("pos", "raw"))

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import exit_condition
+from ..functions.names import exit_condition, subchannel_name
 
-#: Accelerometer range in g by the number of the recorder's type, and of others. Fixed values.
+#: Accelerometer range in g by the number of the recorder's type, of other small numbers, and of larger ones. Fixed values.
 ACCEL_RANGE = {16: 25.0, 18: 100.0, 19: 200.0, 20: 500.0, 21: 2000.0, 22: 6000.0}
-OTHER_RANGE = 25.0
+OTHER_RANGE, UNKNOWN_RANGE = 25.0, 100.0
+
+#: Subchannels of recordings that describe none: channel, subchannel, name, label, unit, lo, hi, sensor. Fixed values.
+DEFAULT_SUBCHANNELS = (
+    ("0", 0, "Accelerometer Z", "Acceleration", "g", None, None, 0),
+    ("0", 1, "Accelerometer Y", "Acceleration", "g", None, None, 0),
+    ("0", 2, "Accelerometer X", "Acceleration", "g", None, None, 0),
+    ("1", 0, "Pressure", "Pressure", "Pa", 0.0, 120000.0, 1),
+    ("1", 1, "Temperature", "Temperature", "°C", -40.0, 80.0, 1),
+)
 
 
 def rollup(attributes: DataFrame, multiple: bool = True) -> DataFrame:
@@ -55,24 +64,38 @@ def replace_user_data(user_data: DataFrame, changes: DataFrame) -> DataFrame:
     return user_data.unionByName(fresh.select(*user_data.columns))
 
 
-def default_sensors(recordings: DataFrame, sensors: DataFrame) -> DataFrame:
-    """A sensor and display range for recordings that describe none; recordings: recording_id, recorder_type (a number)."""
-    bare = recordings.join(sensors, "recording_id", "left_anti")
+def accelerometer_range(recorder_type: Column) -> Column:
+    """Reach in g, either way of zero. Types above 255 and recordings without a type have the widest default."""
     reach = F.lit(OTHER_RANGE)
     for kind, g in ACCEL_RANGE.items():
-        reach = F.when(F.col("recorder_type") == kind, F.lit(g)).otherwise(reach)
+        reach = F.when(recorder_type == kind, F.lit(g)).otherwise(reach)
+    return F.when(F.coalesce(recorder_type > 255, F.lit(True)), F.lit(UNKNOWN_RANGE)).otherwise(reach)
+
+
+def default_subchannels(recordings: DataFrame, described: DataFrame) -> DataFrame:
+    """The default channels of recordings that describe none, an acceleration's display range by the recorder's type."""
+    rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, c, k in zip(x, ("channel_id", "subchannel_id", "name", "label", "unit", "lo", "hi", "sensor_id"), ("string", "int", "string", "string", "string", "double", "double", "int")))) for x in DEFAULT_SUBCHANNELS))
+    bare = recordings.join(described, "recording_id", "left_anti").withColumn("_g", accelerometer_range(F.col("recorder_type")))
+    out = bare.select("recording_id", "_g", F.inline(rows))
+    return out.withColumns({"lo": F.coalesce("lo", -F.col("_g")), "hi": F.coalesce("hi", F.col("_g"))}).drop("_g")
+
+
+def default_sensors(recordings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """A sensor and display range for recordings that describe none; recordings: recording_id, recorder_type (a number)."""
+    bare, reach = recordings.join(sensors, "recording_id", "left_anti"), accelerometer_range(F.col("recorder_type"))
     return bare.select("recording_id", F.lit(0).alias("sensor_id"), F.lit("Accelerometer").alias("name"), (-reach).alias("lo"), reach.alias("hi"))
 
 
 def subchannel_dimension(described: DataFrame, channels: DataFrame) -> DataFrame:
-    """One row per subchannel: the first description wins, undescribed ones get a number for a name, a display range needs
+    """One row per subchannel: the first description wins, undescribed ones get their channel and number for a name, a display range needs
     both ends, a missing label is the unit."""
     order = Window.partitionBy("recording_id", "channel_id", "subchannel_id").orderBy("ord")
     first = described.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "ord")
-    every = channels.select("recording_id", "channel_id", F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("subchannel_id"))
+    every = channels.select("recording_id", "channel_id", *(c for c in channels.columns if c == "channel_name"), F.explode(F.sequence(F.lit(0), F.col("n_sub") - 1)).alias("subchannel_id"))
     rows = every.join(first, ["recording_id", "channel_id", "subchannel_id"], "left")
     both = F.col("lo").isNotNull() & F.col("hi").isNotNull()
-    name = F.coalesce("name", F.format_string("Subchannel %d", F.col("subchannel_id")))
+    channel = F.coalesce("channel_name", F.col("channel_id").cast("string")) if "channel_name" in rows.columns else F.col("channel_id").cast("string")
+    name = subchannel_name(F.col("name"), channel, F.col("subchannel_id"))
     return rows.withColumns({"name": name, "label": F.coalesce("label", "unit"), "lo": F.when(both, F.col("lo")), "hi": F.when(both, F.col("hi"))})
 
 
@@ -107,10 +130,10 @@ def bandwidth(sensors: DataFrame, limits: DataFrame) -> DataFrame:
     return sensors.join(limits, ["recording_id", "bw_limit_id"], "left")
 
 
-def catalogue(subchannels: DataFrame, visibility: int = 10, debug: bool = False) -> DataFrame:
-    """Plottable sources by display name."""
-    rows = subchannels.where(F.col("visibility") <= visibility)
-    return (rows if debug else rows.where(~F.col("display_name").startswith("DEBUG"))).orderBy("display_name")
+def catalogue(subchannels: DataFrame, visibility: int = 0, debug: bool = False) -> DataFrame:
+    """Plottable sources by display name: all of them for debugging, else those visible on this level whose name doesn't start with DEBUG."""
+    rows = subchannels if debug else subchannels.where((F.col("visibility") <= visibility) & ~F.col("name").startswith("DEBUG"))
+    return rows.orderBy("display_name")
 
 
 def used_channels(channels: DataFrame, subchannels: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def test_decoding(spark):
 def test_rate_and_names(spark):
     got = spark.createDataFrame([("1/4",), ("2.5",), ("x",), ("1/0",)], "s string").select(names.rate(F.col("s"))).collect()
     assert [r[0] for r in got] == [0.25, 2.5, None, None]
-    assert [names.sanitise(x) for x in ("K 1", "2nd", "end", "Accel (g)")] == ["K_1", "x_2nd", "x_end", "Accel_g"]
+    assert [names.sanitise(x) for x in ("K 1", "2nd", "end", "Accel (g)")] == ["K_1", "v2Nd", "vEnd", "Accel_g"]
 
 
 def test_band_rms_of_a_sine(spark):
@@ -179,7 +179,7 @@ def test_single_samples_and_rates(spark):
 def test_open_tail_and_labels(spark, series):
     rows = windows.bad_intervals(series, F.col("raw")[0] >= 995).collect()
     assert [(r["start_us"], r["end_us"]) for r in rows] == [(995_000.0, -1.0)]
-    assert spark.range(1).select(windows.range_label(F.lit("T"), F.lit(None).cast("double"), F.lit(5.0))).first()[0] == "T < 5.0"
+    assert spark.range(1).select(windows.range_label(F.lit("T"), F.lit(None).cast("double"), F.lit(5.0), F.lit("°C"))).first()[0] == "T above 5.0°C"
 
 
 def test_exports(spark, series, tmp_path):
@@ -205,3 +205,31 @@ def test_crawl(spark, tmp_path):
         (tmp_path / p).write_text("1")
     found = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in recordings.crawl(spark, str(tmp_path), "*.rec", **k).collect())
     assert found() == ["x.rec", "y.rec"] and found(max_depth=2) == ["x.rec"]
+
+
+def test_block_range_starts_one_block_early(spark):
+    blocks = spark.range(10).select(*key(), F.col("id").alias("block_seq"), (F.col("id") * 100).alias("start_us"), (F.col("id") * 100 + 99).alias("end_us"))
+    kept = lambda *x: sorted(r["block_seq"] for r in slices.block_range(blocks, *x).collect())
+    assert kept(450, 620) == [3, 4, 5, 6] and kept(0, 10) == [0] and kept(800, -100) == [7, 8]
+
+
+def test_padded_resampling(series):
+    assert idx(slices.resampled_range(series, 0, 100_000, 10, 20)) == list(range(0, 122, 13))
+
+
+def test_display_names(spark):
+    rows = spark.createDataFrame([(None, "Pressure"), ("Air Pressure", "Pressure"), ("X (100g)", "Acceleration"), ("Control Pad T", None), (None, None)], "name string, label string")
+    full = names.subchannel_name(F.col("name"), F.lit("Main"), F.lit(3))
+    assert [r[0] for r in rows.select(names.display_name(F.col("name"), F.col("label"), full)).collect()] == ["Pressure", "Air Pressure", "Acceleration: X (100g)", "Control Pad T", "Main:03"]
+    assert [r[0] for r in rows.select(full).collect()][3:] == ["Control Pad Temperature", "Main:03"]
+
+
+def test_accelerometer_ranges(spark):
+    kinds = spark.createDataFrame([(18,), (7,), (300,), (None,)], "k int")
+    assert [r[0] for r in kinds.select(metadata.accelerometer_range(F.col("k"))).collect()] == [100.0, 25.0, 100.0, 100.0]
+
+
+def test_catalogue_shows_all_for_debugging(spark):
+    rows = spark.createDataFrame([("b", "b", 0), ("DEBUG a", "a", 0), ("c", "c", 10)], "name string, display_name string, visibility int")
+    shown = lambda **k: [r["display_name"] for r in metadata.catalogue(rows, **k).collect()]
+    assert shown() == ["b"] and shown(visibility=10) == ["b", "c"] and shown(debug=True) == ["a", "b", "c"]
