@@ -17,6 +17,7 @@ rows are scanned each (and counted each in the frequencies); an empty table give
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -122,7 +123,7 @@ def licence_words(docs: DataFrame) -> DataFrame:
 def match(places: list[tuple[str, int]], phrases: dict[str, list[int]], idf: dict[str, float]) -> dict[str, float]:
     """Verified templates of one file and their agreement.
 
-    places: (word, place) of its licence words; phrases: places of each phrase.
+    places: (word, place) of its licence words; phrases: places of each phrase, ascending.
     """
     top = set(sorted({w for w, _ in places}, key=lambda w: (-idf[w], w))[:LOOKED_UP])
     votes: dict[tuple[int, int], float] = Counter()
@@ -134,9 +135,11 @@ def match(places: list[tuple[str, int]], phrases: dict[str, list[int]], idf: dic
     for (t, offset), weight in votes.items():
         label, phrase, text = TEMPLATES[t]
         agree = min(1.0, weight / sum(idf[w] for w in text.split() if w in idf))
-        reach = range(offset - 1, offset + len(text.split()) + 1)
-        if agree >= AGREE and agree > best.get(label, 0) and any(at in reach for at in phrases.get(phrase, ())):
-            best[label] = agree
+        if agree >= AGREE and agree > best.get(label, 0):
+            found = phrases.get(phrase, [])
+            i = bisect_left(found, offset - 1)
+            if i < len(found) and found[i] <= offset + len(text.split()):
+                best[label] = agree
     return best
 
 

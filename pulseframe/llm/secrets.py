@@ -8,7 +8,7 @@ from; what is found in a layer is reported at that span, under kind@layer names
 
 Defined cases: null text counts as empty; no spans give zero counts, the SHA-256 of the empty string and an empty
 list; repeated rows are scanned each; an empty table gives no rows; other columns are ignored. Texts are
-scanned whole; a layer's memory is a few times its decoded size, which deflate bounds by 1,032 times the text.
+scanned whole; a layer's memory is a few times its decoded size, which deflate bounds by 1,032 times what it unpacks.
 """
 
 from __future__ import annotations
@@ -150,10 +150,11 @@ def _base64(layer: Layer, raw: bytes | None = None) -> Iterator[Layer]:
         except binascii.Error:
             continue
         whole, name = (m.start(), m.start() + len(body)), "base64"
-        more = unzip(data)
-        if more is not None:  # any of its characters depends on all of the token
-            name, data, spans = "base64.zip", more, None
-        else:
+        spans, seen = [], set()
+        while (more := unzip(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
+            seen.add(key)  # data that unpacks to itself is unpacked once
+            name, data, spans = f"{name}.zip", more, None  # any of its characters depends on all of the token
+        if spans is not None:
             if not data.isascii() and len(data) > 64 and data[:64].decode("utf-8", "replace").count("�") > 8:
                 continue
             spans = [(m.start() + i // 3 * 4 + i % 3, min(m.start() + i // 3 * 4 + i % 3 + 2, whole[1])) for i in range(len(data))]

@@ -225,7 +225,8 @@ def test_secret_layers():
     b64 = base64.b64encode(inner.encode()).decode()
     zipped = base64.b64encode(gzip.compress(inner.encode())).decode()
     twice = base64.b64encode(f"see {b64} end".encode()).decode()
-    for text, layer in ((f"x {b64} y", "base64"), (f"x {zipped} y", "base64.zip"), (f"x {twice} y", "base64.base64"), ("x password%3Dhunter2222 y", "url"), ("x \\u0070assword=hunter2222 y", "unicode")):
+    deep = base64.b64encode(gzip.compress(gzip.compress(inner.encode()))).decode()
+    for text, layer in ((f"x {deep} y", "base64.zip.zip"), (f"x {b64} y", "base64"), (f"x {zipped} y", "base64.zip"), (f"x {twice} y", "base64.base64"), ("x password%3Dhunter2222 y", "url"), ("x \\u0070assword=hunter2222 y", "unicode")):
         base, more = secrets.scan(text)
         assert [k for k, *_ in more] == [f"assign@{layer}"], text
         assert all(2 <= s < e <= len(text) - 2 for _, s, e in more)
