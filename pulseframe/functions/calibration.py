@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import nearest
 from ..operators.stats import weighted_mean
+from ..schema import K
 
 
 def accelerometer(v: Column, amax: float) -> Column:
@@ -93,6 +94,42 @@ def levels(lines: DataFrame, level: str = "full") -> DataFrame:
     return lines.withColumn("c", c)
 
 
+def composed_lines(channels: DataFrame, subchannels: DataFrame, transforms: DataFrame) -> DataFrame:
+    """A line per subchannel: its channel's transform, then its own; c has two terms, or four where the other channel counts.
+
+    channels and subchannels name their transform_id (null or unknown: none); a line whose other channel has no effect has two terms.
+    """
+    ref = lambda c: F.coalesce(c, F.lit(0.0))
+    both = F.when(F.size("c") == 4, expand(F.col("c"), ref("x_ref"), ref("y_ref"))).otherwise(expand(F.col("c"), ref("x_ref")))
+    known = transforms.select("recording_id", "transform_id", both.alias("_c"), "y_channel_id", "y_subchannel_id")
+    rows = subchannels.select("recording_id", "channel_id", "subchannel_id", "transform_id").join(known.withColumnRenamed("_c", "own_c"), ["recording_id", "transform_id"], "left").drop("transform_id")
+    first = channels.select("recording_id", "channel_id", "transform_id").join(known.where(F.size("_c") == 2).select("recording_id", "transform_id", F.col("_c").alias("channel_c")), ["recording_id", "transform_id"])
+    rows = levels(rows.join(first.drop("transform_id"), ["recording_id", "channel_id"], "left"))
+    c = F.when((F.size("c") == 4) & ~needs_y(F.col("c")), F.array(F.element_at("c", 2), F.element_at("c", 4))).otherwise(F.col("c"))
+    return rows.select("recording_id", "channel_id", "subchannel_id", c.alias("c"), *(F.when(F.size(c) == 4, F.col(x)).alias(x) for x in ("y_channel_id", "y_subchannel_id")))
+
+
+def calibrate(samples_long: DataFrame, lines: DataFrame, mode: str = "mean") -> DataFrame:
+    """v calibrated by composed lines; y of a line with four terms is zero ('off') or the calibrated mean of its channel in that session.
+
+    With y fixed a line has a gain and an offset, so samples meet one row of a dimension; means are one aggregate over
+    samples. A mean is calibrated by its own line, which must have two terms. Subchannels without a line stay.
+    """
+    series = [*K, "subchannel_id"]
+    means = samples_long.groupBy(*series).agg(F.avg("v").alias("_mean"))
+    own = means.join(lines, ["recording_id", "channel_id", "subchannel_id"], "left").withColumn("c", F.coalesce("c", F.array(*map(F.lit, IDENTITY))))
+    two = F.size("c") == 2
+    flat = F.when(two, F.element_at("c", 1) * F.col("_mean") + F.element_at("c", 2)).otherwise(F.raise_error(F.lit("a compensating channel is compensated itself")).cast("double"))
+    ys = own.select("recording_id", "session_id", F.col("channel_id").alias("y_channel_id"), F.col("subchannel_id").alias("y_subchannel_id"), flat.alias("_y"))
+    used = own.where("y_channel_id is not null").select("recording_id", "session_id", "y_channel_id", "y_subchannel_id").distinct()
+    ys = ys.join(used, ["recording_id", "session_id", "y_channel_id", "y_subchannel_id"], "left_semi")
+    rows = own.join(ys, ["recording_id", "session_id", "y_channel_id", "y_subchannel_id"], "left") if mode == "mean" else own.withColumn("_y", F.lit(0.0))
+    y, at = F.coalesce("_y", F.lit(0.0)), lambda i: F.element_at("c", i)
+    gain, offset = F.when(two, at(1)).otherwise(F.try_element_at("c", F.lit(1)) * y + F.try_element_at("c", F.lit(2))), F.when(two, at(2)).otherwise(F.try_element_at("c", F.lit(3)) * y + F.try_element_at("c", F.lit(4)))
+    effect = rows.select(*series, gain.alias("_gain"), offset.alias("_offset"))
+    return samples_long.join(effect, series).withColumn("v", F.col("v") * F.col("_gain") + F.col("_offset")).drop("_gain", "_offset")
+
+
 def replace_transforms(transforms: DataFrame, changes: DataFrame) -> DataFrame:
     """transforms with those of changes, by recording and id, in the place of present ones."""
     return transforms.join(changes, ["recording_id", "transform_id"], "left_anti").unionByName(changes)

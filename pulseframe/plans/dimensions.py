@@ -180,6 +180,22 @@ def calibration_levels(spark, d):
     return rows.select("channel_id", "idx", "channel", "whole", "display")
 
 
+@query("""SELECT channel_id, idx, subchannel_id, round(CASE WHEN channel_id = 'purchase' AND subchannel_id = 0 THEN 0.001::DOUBLE * (3 * (v - 5) + 1 - 10) * (y - 3) + 1.5::DOUBLE * (3 * (v - 5) + 1 - 10) - 0.25::DOUBLE * (y - 3) + 4
+WHEN channel_id = 'purchase' THEN 3 * (v - 5) + 1 WHEN channel_id = 'view' AND subchannel_id = 1 THEN 2 * (v - 4) - 1 WHEN channel_id = 'click' AND subchannel_id = 0 THEN 0.5::DOUBLE * (v - 2) + 9 ELSE v END + 1e-7, 3) AS v
+FROM l, (SELECT 2 * (avg(v1) - 4) - 1 AS y FROM s WHERE channel_id = 'view')""")
+def calibrated_recording(spark, d):
+    """Purchases by their channel's line, then compensated by views' calibrated k; clicks by a line whose other channel has no effect."""
+    rows = stats.long_form(model.samples(spark, d))
+    subs = rows.select("recording_id", "channel_id", "subchannel_id").distinct()
+    on = lambda c, i, n: F.when((F.col("channel_id") == c) & (F.col("subchannel_id") == i), F.lit(n))
+    subs = subs.withColumn("transform_id", F.coalesce(on("purchase", 0, 2), on("view", 1, 3), on("click", 0, 4)))
+    channels = subs.select("recording_id", "channel_id").distinct().withColumn("transform_id", F.when(F.col("channel_id") == "purchase", 1))
+    table = [("demo", 1, [3.0, 1.0], 5.0, None, None, None), ("demo", 2, [0.001, 1.5, -0.25, 4.0], 10.0, 3.0, "view", 1), ("demo", 3, [2.0, -1.0], 4.0, None, None, None), ("demo", 4, [0.0, 0.5, 0.0, 9.0], 2.0, 7.0, "view", 0)]
+    transforms = spark.createDataFrame(table, "recording_id string, transform_id int, c array<double>, x_ref double, y_ref double, y_channel_id string, y_subchannel_id int")
+    out = calibration.calibrate(rows, calibration.composed_lines(channels, subs, transforms))
+    return out.select("channel_id", "idx", "subchannel_id", F.round(F.col("v") + 1e-7, 3).alias("v"))
+
+
 @query("SELECT s_suppkey AS transform_id, CASE WHEN s_suppkey % 5 = 0 THEN 'replaced' WHEN s_suppkey % 3 = 0 THEN 'bivariate' ELSE 'univariate' END AS kind FROM supplier", plain=True)
 def replaced_transforms(spark, d):
     lines = _lines(spark, d)
