@@ -17,6 +17,26 @@ def ingest(blocks: DataFrame, path: str, checkpoint: str, late: str = "1 hour")
     return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("channel_id").outputMode("append").trigger(availableNow=True).start()
 
 
+def route_late(samples: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+    """Write rows to path/data, and those that come later than allowed behind the latest time of the batches before to path/late.
+
+    Each batch writes folders of its own number, so a repeated batch replaces itself; path/marks has the latest time of
+    each batch, one row a batch. Read data and late with partition column batch.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark, once = batch.sparkSession, batch.persist()
+        once.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        limit = spark.read.parquet(f"{path}/marks").where(F.col("batch") < number).agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("_limit"))
+        rows = once.join(F.broadcast(limit))  # one row
+        is_late = F.coalesce(F.col("ts") < F.col("_limit"), F.lit(False))
+        rows.where(~is_late).drop("_limit").write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        rows.where(is_late).drop("_limit").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        once.unpersist()
+
+    return samples.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def tumbling(samples: DataFrame, length: str, late: str = "1 hour") -> DataFrame:
     """Minimum, mean and maximum by channel and window. Rows later than the watermark are dropped by Spark."""
     return samples.withWatermark("ts", late).groupBy("channel_id", F.window("ts", length).alias("w")).agg(F.min("v").alias("mn"), F.avg("v").alias("av"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("n"))

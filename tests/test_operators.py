@@ -11,6 +11,7 @@ from pulseframe.functions import calibration, names, units
 from pulseframe.operators import asof, slices, spectrum, stats, timebase, windows
 from pulseframe.schema import K
 from pulseframe.sources import decode, metadata, recordings, sinks
+from pulseframe.streaming import live
 
 def key():
     return [F.lit("r").alias("recording_id"), F.lit(0).alias("session_id"), F.lit("8").alias("channel_id")]
@@ -233,3 +234,13 @@ def test_catalogue_shows_all_for_debugging(spark):
     rows = spark.createDataFrame([("b", "b", 0), ("DEBUG a", "a", 0), ("c", "c", 10)], "name string, display_name string, visibility int")
     shown = lambda **k: [r["display_name"] for r in metadata.catalogue(rows, **k).collect()]
     assert shown() == ["b"] and shown(visibility=10) == ["b", "c"] and shown(debug=True) == ["a", "b", "c"]
+
+
+def test_late_rows_are_routed(spark, tmp_path):
+    rows = lambda *hours: spark.createDataFrame([(h,) for h in hours], "h int").select("h", F.timestamp_seconds(F.col("h") * 3600).alias("ts")).coalesce(1)
+    for i, hours in enumerate([(100, 1), (99, 98, 40, 101)]):
+        rows(*hours).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("h int, ts timestamp").parquet(str(tmp_path / "in"))
+        live.route_late(stream, str(tmp_path / "out"), str(tmp_path / "state"), "2 hours").awaitTermination()
+    got = lambda name: {(r["h"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()}
+    assert got("data") == {(100, 0), (1, 0), (99, 1), (98, 1), (101, 1)} and got("late") == {(40, 1)}
