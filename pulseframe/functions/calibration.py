@@ -119,12 +119,11 @@ def calibrate(samples_long: DataFrame, lines: DataFrame, mode: str = "mean") ->
     means = samples_long.groupBy(*series).agg(F.avg("v").alias("_mean"))
     own = means.join(lines, ["recording_id", "channel_id", "subchannel_id"], "left").withColumn("c", F.coalesce("c", F.array(*map(F.lit, IDENTITY))))
     two = F.size("c") == 2
-    flat = F.when(two, F.element_at("c", 1) * F.col("_mean") + F.element_at("c", 2)).otherwise(F.raise_error(F.lit("a compensating channel is compensated itself")).cast("double"))
-    ys = own.select("recording_id", "session_id", F.col("channel_id").alias("y_channel_id"), F.col("subchannel_id").alias("y_subchannel_id"), flat.alias("_y"))
-    used = own.where("y_channel_id is not null").select("recording_id", "session_id", "y_channel_id", "y_subchannel_id").distinct()
-    ys = ys.join(used, ["recording_id", "session_id", "y_channel_id", "y_subchannel_id"], "left_semi")
-    rows = own.join(ys, ["recording_id", "session_id", "y_channel_id", "y_subchannel_id"], "left") if mode == "mean" else own.withColumn("_y", F.lit(0.0))
-    y, at = F.coalesce("_y", F.lit(0.0)), lambda i: F.element_at("c", i)
+    flat = F.element_at("c", 1) * F.col("_mean") + F.element_at("c", 2)
+    ys = own.select("recording_id", "session_id", F.col("channel_id").alias("y_channel_id"), F.col("subchannel_id").alias("y_subchannel_id"), F.when(two, flat).alias("_y"), two.alias("_y_plain"))
+    rows = own.join(ys, ["recording_id", "session_id", "y_channel_id", "y_subchannel_id"], "left") if mode == "mean" else own.withColumns({"_y": F.lit(0.0), "_y_plain": F.lit(True)})
+    at = lambda i: F.element_at("c", i)
+    y = F.when(F.coalesce("_y_plain", F.lit(True)), F.coalesce("_y", F.lit(0.0))).otherwise(F.raise_error(F.lit("a compensating channel is compensated itself")).cast("double"))
     gain, offset = F.when(two, at(1)).otherwise(F.try_element_at("c", F.lit(1)) * y + F.try_element_at("c", F.lit(2))), F.when(two, at(2)).otherwise(F.try_element_at("c", F.lit(3)) * y + F.try_element_at("c", F.lit(4)))
     effect = rows.select(*series, gain.alias("_gain"), offset.alias("_offset"))
     return samples_long.join(effect, series).withColumn("v", F.col("v") * F.col("_gain") + F.col("_offset")).drop("_gain", "_offset")

@@ -186,10 +186,11 @@ FROM l, (SELECT 2 * (avg(v1) - 4) - 1 AS y FROM s WHERE channel_id = 'view')""")
 def calibrated_recording(spark, d):
     """Purchases by their channel's line, then compensated by views' calibrated k; clicks by a line whose other channel has no effect."""
     rows = stats.long_form(model.samples(spark, d))
-    subs = rows.select("recording_id", "channel_id", "subchannel_id").distinct()
+    channels = model.table(spark, d, "events").select(F.lit("demo").alias("recording_id"), F.col("event_type").alias("channel_id")).distinct()
+    subs = channels.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("subchannel_id"))
     on = lambda c, i, n: F.when((F.col("channel_id") == c) & (F.col("subchannel_id") == i), F.lit(n))
     subs = subs.withColumn("transform_id", F.coalesce(on("purchase", 0, 2), on("view", 1, 3), on("click", 0, 4)))
-    channels = subs.select("recording_id", "channel_id").distinct().withColumn("transform_id", F.when(F.col("channel_id") == "purchase", 1))
+    channels = channels.withColumn("transform_id", F.when(F.col("channel_id") == "purchase", 1))
     table = [("demo", 1, [3.0, 1.0], 5.0, None, None, None), ("demo", 2, [0.001, 1.5, -0.25, 4.0], 10.0, 3.0, "view", 1), ("demo", 3, [2.0, -1.0], 4.0, None, None, None), ("demo", 4, [0.0, 0.5, 0.0, 9.0], 2.0, 7.0, "view", 0)]
     transforms = spark.createDataFrame(table, "recording_id string, transform_id int, c array<double>, x_ref double, y_ref double, y_channel_id string, y_subchannel_id int")
     out = calibration.calibrate(rows, calibration.composed_lines(channels, subs, transforms))

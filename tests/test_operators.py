@@ -244,3 +244,14 @@ def test_late_rows_are_routed(spark, tmp_path):
         live.route_late(stream, str(tmp_path / "out"), str(tmp_path / "state"), "2 hours").awaitTermination()
     got = lambda name: {(r["h"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out" / name)).collect()}
     assert got("data") == {(100, 0), (1, 0), (99, 1), (98, 1), (101, 1)} and got("late") == {(40, 1)}
+
+
+def test_calibrate_by_another_channel(spark):
+    rows = spark.createDataFrame([("r", s, c, 0, v) for s, c, v in ((0, "x", 1.0), (0, "x", 2.0), (0, "y", 4.0), (0, "y", 6.0), (1, "x", 1.0))], "recording_id string, session_id int, channel_id string, subchannel_id int, v double")
+    shape = "recording_id string, channel_id string, subchannel_id int, c array<double>, y_channel_id string, y_subchannel_id int"
+    got = lambda lines, *mode: sorted((r["session_id"], r["channel_id"], r["v"]) for r in calibration.calibrate(rows, spark.createDataFrame(lines, shape), *mode).collect())
+    x, y = ("r", "x", 0, [1.0, 2.0, 10.0, 5.0], "y", 0), ("r", "y", 0, [2.0, 1.0], None, None)  # the mean of y is 11
+    assert got([x, y]) == [(0, "x", 128.0), (0, "x", 141.0), (0, "y", 9.0), (0, "y", 13.0), (1, "x", 7.0)]
+    assert got([x, y], "off") == [(0, "x", 7.0), (0, "x", 9.0), (0, "y", 9.0), (0, "y", 13.0), (1, "x", 7.0)]
+    with pytest.raises(Exception, match="compensated itself"):
+        got([x, ("r", "y", 0, [1.0, 2.0, 10.0, 5.0], "x", 0)])
