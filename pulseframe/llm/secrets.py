@@ -1,10 +1,11 @@
 """Secret scans with a worklist of decoded layers.
 
-A text is scanned, then every token of it that is URL-coded, holds Unicode escapes, is base64 or (once
-decoded to bytes) is compressed becomes a layer of its own, which is scanned and unwrapped in turn until no
-layer yields another. Layers that were seen before are not entered again, so cycles (as in archives that
-hold themselves) end. Each layer knows, for each of its characters, which span of the original text it came
-from; what is found in a layer is reported at that span, under kind@layer names such as assign@base64.
+A text is scanned, then unwrapped: a copy of it with all URL escapes decoded in place, a copy with all Unicode escapes
+decoded in place, and each of its base64 tokens (decoded to bytes and, while they are compressed, unpacked) become layers,
+which are scanned and unwrapped in turn until no layer yields another. Layers that were seen before are not entered again,
+so cycles (as in archives that hold themselves) end. A text and its copies are a family: what has been found at some place of the family's
+text, or taken from it as a token, is not reported or decoded again for a copy. Each layer knows which span of the original text
+its characters came from; what is found in a layer is reported at that span, under kind@layer names such as assign@base64.
 
 Defined cases: null text counts as empty; no spans give zero counts, the SHA-256 of the empty string and an empty
 list; repeated rows are scanned each; an empty table gives no rows; other columns are ignored. Texts are
@@ -18,7 +19,10 @@ import binascii
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +40,9 @@ ASSIGN_WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(49 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _B64_MAP = bytes(49 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_" else 32 for b in range(256))
 
-URL_TOKEN = re.compile(r"[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-UNICODE_TOKEN = re.compile(r"[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
+URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+SPACE = re.compile(r"\s")
 BASE64_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _COMPRESSED = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda")
 
@@ -59,71 +63,115 @@ def base_spans(text: str, raw: bytes | None = None) -> list[Span]:
 
 
 class Layer:
-    """A decoded text; starts[i] and ends[i] bound the original characters that character i came from."""
-
-    def __init__(self, text: str, starts: list[int] | range, ends: list[int] | range, name: str = ""):
-        self.text, self.starts, self.ends, self.name = text, starts, ends, name
+    """A text of a family; up maps a span of the family's own text to one of the original text.
+
+    Decoded character at[i] came from [starts[i], ends[i]) of the family's text; the others were copied.
+    """
+
+    def __init__(self, text: str, name: str = "", up: Callable[[int, int], tuple[int, int]] = lambda s, e: (s, e)):
+        self.text, self.name, self.up = text, name, up
+        self.at: list[int] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.spans: set[Span] = set()
+        self.tokens: set[tuple[str, int, int]] = set()
+
+    def _from(self, i: int) -> tuple[int, int]:
+        k = bisect_right(self.at, i) - 1
+        if k < 0:
+            return i, i + 1
+        if self.at[k] == i:
+            return self.starts[k], self.ends[k]
+        start = self.ends[k] + i - self.at[k] - 1
+        return start, start + 1
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        """The span of the family's text."""
+        return self._from(start)[0], self._from(end - 1)[1]
 
     def outer(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        """The span of the original text."""
+        return self.up(*self.place(start, end))
+
+    def windows(self) -> Iterator[tuple[int, int]]:
+        """Stretches between copied white space that hold decoded characters."""
+        decoded, last, k = set(self.at), 0, 0
+        for end in (*(m.start() for m in SPACE.finditer(self.text) if m.start() not in decoded), len(self.text)):
+            if k < len(self.at) and self.at[k] < end:
+                yield last, end
+                k = bisect_right(self.at, end - 1)
+            last = end + 1
+
+    def found(self, raw: bytes | None = None) -> list[Span]:
+        """Base spans; those of windows, too, which a match that starts before the window would hide."""
+        spans = base_spans(self.text, raw)
+        if self.at:
+            for a, e in self.windows():
+                spans += [(kind, a + s, a + t) for kind, s, t in base_spans(self.text[a:e])]
+        return spans
+
+    def named(self, name: str) -> str:
+        return f"{self.name}.{name}" if self.name else name
+
+    def copy(self, name: str, decoded: Iterator[tuple[int, int, str]]) -> Layer | None:
+        """This text with characters for some of its spans, in ascending order; None if there are none."""
+        parts, size, last, k = [], 0, 0, 0
+        out = Layer("", self.named(name), self.up)
+        out.spans, out.tokens = self.spans, self.tokens
+        for start, end, ch in decoded:
+            while k < len(self.at) and self.at[k] < start:
+                if self.at[k] >= last:
+                    out.at.append(size + self.at[k] - last)
+                    out.starts.append(self.starts[k])
+                    out.ends.append(self.ends[k])
+                k += 1
+            parts += self.text[last:start], ch
+            size += start - last + 1
+            a, e = self.place(start, end)
+            out.at.append(size - 1)
+            out.starts.append(a)
+            out.ends.append(e)
+            last = end
+        if not parts:
+            return None
+        for i in range(k, len(self.at)):
+            if self.at[i] >= last:
+                out.at.append(size + self.at[i] - last)
+                out.starts.append(self.starts[i])
+                out.ends.append(self.ends[i])
+        out.text = "".join(parts) + self.text[last:]
+        return out
 
-    def child(self, text: str, spans: list[tuple[int, int]], name: str) -> Layer:
-        """spans: where in this layer each character of text comes from."""
-        return Layer(text, [self.starts[s] for s, _ in spans], [self.ends[e - 1] for _, e in spans], f"{self.name}.{name}" if self.name else name)
 
+def _printable(text: str) -> bool:
+    return bool(text) and all(c.isprintable() or c in "\t\r\n" for c in text)
 
-def _characters(data: bytes, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]] | None:
-    """Bytes with a span each, as characters with a span each; None if they aren't UTF-8."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for ch in text:
-        n = len(ch.encode())
-        out.append((spans[at][0], spans[at + n - 1][1]))
-        at += n
-    return text, out
 
+def _url(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, character) of the URL escapes; runs that aren't UTF-8 stay."""
+    for m in URL_RUN.finditer(text):
+        try:
+            run = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        at = m.start()
+        for ch in run:
+            n = 3 * len(ch.encode())
+            yield at, at + n, ch
+            at += n
 
-def _printable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\r\n" for c in text)
 
+def _unicode(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, character) of the Unicode escapes."""
+    for m in ESCAPE.finditer(text):
+        yield *m.span(), chr(int(m[1] or m[2], 16))
 
-def _url(layer: Layer) -> Iterator[Layer]:
-    if "%" not in layer.text:
-        return
-    for m in URL_TOKEN.finditer(layer.text):
-        token, at, data, spans = m[0], m.start(), bytearray(), []
-        i = 0
-        while i < len(token):
-            if token[i] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", token[i + 1 : i + 3]):
-                data.append(int(token[i + 1 : i + 3], 16))
-                spans.append((at + i, at + i + 3))
-                i += 3
-            else:
-                raw = token[i].encode("utf-8", "replace")
-                data += raw
-                spans += [(at + i, at + i + 1)] * len(raw)
-                i += 1
-        if (got := _characters(bytes(data), spans)) and got[0] != token:
-            yield layer.child(*got, "url")
-
-
-def _unicode(layer: Layer) -> Iterator[Layer]:
-    if "\\u" not in layer.text and "\\x" not in layer.text:
-        return
-    for m in UNICODE_TOKEN.finditer(layer.text):
-        out, spans, last = [], [], 0
-        for e in ESCAPE.finditer(m[0]):
-            out += m[0][last : e.start()]
-            spans += [(m.start() + i, m.start() + i + 1) for i in range(last, e.start())]
-            out.append(chr(int(e[1] or e[2], 16)))
-            spans.append((m.start() + e.start(), m.start() + e.end()))
-            last = e.end()
-        out += m[0][last:]
-        spans += [(m.start() + i, m.start() + i + 1) for i in range(last, len(m[0]))]
-        yield layer.child("".join(out), spans, "unicode")
+
+def _copies(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer.text and (out := layer.copy("url", _url(layer.text))):
+        yield out
+    if ("\\u" in layer.text or "\\x" in layer.text) and (out := layer.copy("unicode", _unicode(layer.text))):
+        yield out
 
 
 def unzip(data: bytes) -> bytes | None:
@@ -137,53 +185,66 @@ def unzip(data: bytes) -> bytes | None:
         return None
 
 
+def _base64_place(layer: Layer, at: int, end: int, text: str) -> Callable[[int, int], tuple[int, int]]:
+    """Maps spans of the text that the token at [at, end) holds."""
+    offsets: list[int] = []
+
+    def up(s: int, e: int) -> tuple[int, int]:
+        if not text.isascii():
+            offsets[:] = offsets or accumulate((len(c.encode()) for c in text), initial=0)
+            s, e = offsets[s], offsets[e]
+        return layer.outer(at + s // 3 * 4 + s % 3, min(at + (e - 1) // 3 * 4 + (e - 1) % 3 + 2, end))
+
+    return up
+
+
 def _base64(layer: Layer, raw: bytes | None = None) -> Iterator[Layer]:
     raw = layer.text.encode("utf-8", "surrogatepass") if raw is None else raw
     if b"1" * 16 not in raw.translate(_B64_MAP):
         return
     for m in BASE64_TOKEN.finditer(layer.text):
         body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
+        if len(body) % 4 == 1 or (token := (body, *layer.place(*m.span()))) in layer.tokens:
             continue
+        layer.tokens.add(token)
         try:
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        whole, name = (m.start(), m.start() + len(body)), "base64"
-        spans, seen = [], set()
+        at, end, name = m.start(), m.start() + len(body), "base64"
+        seen = set()
         while (more := unzip(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
             seen.add(key)  # data that unpacks to itself is unpacked once
-            name, data, spans = f"{name}.zip", more, None  # any of its characters depends on all of the token
-        if spans is not None:
-            if not data.isascii() and len(data) > 64 and data[:64].decode("utf-8", "replace").count("�") > 8:
-                continue
-            spans = [(m.start() + i // 3 * 4 + i % 3, min(m.start() + i // 3 * 4 + i % 3 + 2, whole[1])) for i in range(len(data))]
-        if spans is None:
-            try:
-                text = data.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            got = (text, [whole] * len(text))
-        else:
-            got = _characters(data, spans)
-        if got and _printable(got[0]):
-            yield layer.child(*got, name)
+            name, data = f"{name}.zip", more
+        if not seen and not data.isascii() and len(data) > 64 and data[:64].decode("utf-8", "replace").count("�") > 8:
+            continue
+        try:
+            text = data.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if _printable(text):
+            whole = layer.outer(at, end)  # any character of unpacked data depends on all of the token
+            yield Layer(text, layer.named(name), (lambda s, e, whole=whole: whole) if seen else _base64_place(layer, at, end, text))
 
 
 def layered_spans(text: str, raw: bytes | None = None) -> list[Span]:
     """Spans found in decoded layers, at their place in the text."""
     found: set[Span] = set()
-    todo, seen = [Layer(text, range(len(text)), range(1, len(text) + 1))], set()
+    todo, seen = deque([Layer(text)]), set()
     while todo:
-        layer = todo.pop()
+        layer = todo.popleft()  # of copies, those with fewer decodings go first
         own = raw if not layer.name else None
         if layer.name:
-            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), *layer.outer(0, len(layer.text)))
+            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), *layer.outer(0, len(layer.text)), tuple(layer.at), tuple(layer.starts))
             if key in seen:
                 continue
             seen.add(key)
-            found.update((f"{kind}@{layer.name}", *layer.outer(s, e)) for kind, s, e in base_spans(layer.text))
-        todo += [x for x in (*_url(layer), *_unicode(layer), *_base64(layer, own)) if x.text]
+        for kind, s, e in layer.found(own):
+            if (place := (kind, *layer.place(s, e))) not in layer.spans:
+                layer.spans.add(place)
+                if layer.name:
+                    found.add((f"{kind}@{layer.name}", *layer.outer(s, e)))
+        todo += [x for x in (*_copies(layer), *_base64(layer, own)) if x.text]
     return list(found)
 
 

@@ -234,6 +234,16 @@ def test_secret_layers():
     assert secrets.scan("%41%41%41 %25%32%35 \\u005cu0041")[1] == []
 
 
+def test_secret_layers_keep_the_text_around_tokens():
+    for text, layer in (("x password: %68unter2222 y", "url"), ("x pass%77ord = hunter2222 y", "url"), ('x "password": "\\u0068unter2222" y', "unicode"), ("x pass%77ord = \\u0068unter2222 y", "url.unicode"), ("x %2570assword : hunter2222 y", "url.url")):
+        start, end = text.index(" ") + 1, text.rindex(" ")
+        quoted = text[start] == '"'
+        assert secrets.scan(text)[1] == [(f"assign@{layer}", start + quoted, end - quoted)], text
+    inner = base64.b64encode(b"pass%77ord = hunter2222").decode()
+    assert [k for k, *_ in secrets.scan(f"%41 {inner} y")[1]] == ["assign@base64.url"]
+    assert secrets.scan("%41 password = hunter2222")[1] == []
+
+
 def test_secrets_equal_brute_force(spark, awkward, empty):
     docs = {r["doc_id"]: r["text"] for r in table(spark, DATA, "documents").collect()}
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
