@@ -1,9 +1,9 @@
 """License scans by a positional index of rare words.
 
 Short texts of the known licences are the templates. A template's postings give, for each of its words that
-isn't a function word, the places where it stands. A file's licence words are ranked by inverse document frequency over the whole
-corpus; for its highest ones the postings are looked up, and every (file place - template place) is a vote for the
-template at that offset. A template holds at an offset if enough of its rare-word weight agrees in relative
+isn't a function word, the places where it stands. The postings of all of a file's licence words are looked up, and every
+(file place - template place) is a vote for the template at that offset, weighted by the word's inverse document frequency over
+the whole corpus. A template holds at an offset if enough of its rare-word weight agrees in relative
 position and its mandatory phrase stands in the file.
 
 The texts are read once: that pass counts words, finds phrases and keeps the places of licence words, and the
@@ -53,8 +53,6 @@ TEMPLATES = (
 # Fixed function words, which have no postings.
 FUNCTION_WORDS = frozenset("a all and any are as by free in into is of or that the this to with without under use for on be from not no 0 1 2 3 4 v".split())
 
-#: Licence words of a file that are looked up, highest inverse document frequency first.
-LOOKED_UP = 16
 #: Share of a template's rare-word weight that must agree in position.
 AGREE = 0.6
 BASE_SCORE = 0.5
@@ -125,16 +123,15 @@ def match(places: list[tuple[str, int]], phrases: dict[str, list[int]], idf: dic
 
     places: (word, place) of its licence words; phrases: places of each phrase, ascending.
     """
-    top = set(sorted({w for w, _ in places}, key=lambda w: (-idf[w], w))[:LOOKED_UP])
     votes: dict[tuple[int, int], float] = Counter()
     for w, at in places:
-        if w in top:
-            for t, p in POSTINGS[w]:
-                votes[t, at - p] += idf[w]
+        for t, p in POSTINGS[w]:
+            votes[t, at - p] += idf[w]
+    weights = [sum(idf[w] for w in text.split() if w in idf) for _, _, text in TEMPLATES]
     best: dict[str, float] = {}
     for (t, offset), weight in votes.items():
         label, phrase, text = TEMPLATES[t]
-        agree = min(1.0, weight / sum(idf[w] for w in text.split() if w in idf))
+        agree = min(1.0, weight / weights[t])
         if agree >= AGREE and agree > best.get(label, 0):
             found = phrases.get(phrase, [])
             i = bisect_left(found, offset - 1)

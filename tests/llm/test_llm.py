@@ -208,6 +208,16 @@ def test_licenses(spark, awkward, empty):
     assert licenses.scan_licenses(awkward).count() == len(AWKWARD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_a_file_with_many(spark):
+    every = " and ".join(t for _, _, t in licenses.TEMPLATES)
+    some = ". ".join(licenses.TEMPLATES[i][2] for i in (2, 3, 0, 1))
+    rows = licenses.scan_licenses(spark.createDataFrame([(0, every), (1, some), (2, every * 3), *((i, licenses.TEMPLATES[0][2]) for i in range(3, 40))], "doc_id bigint, text string"))
+    rows = {r["doc_id"]: r for r in rows.collect()}
+    labels = ",".join(sorted({t[0] for t in licenses.TEMPLATES}))
+    assert rows[0]["labels"] == rows[2]["labels"] == labels and rows[1]["labels"] == "apache-2.0,bsd,mit"
+    assert rows[0]["score"] == 1
+
+
 def test_license_base_equals_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, DATA, "documents").collect()}
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
