@@ -1,12 +1,15 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned, then unwrapped: a copy of it with all URL escapes decoded in place, a copy with all Unicode escapes
-decoded in place, and each of its base64 tokens (decoded to bytes and, while they are compressed, unpacked) become layers,
+decoded in place, each of its base64 tokens, and what compressed bytes among tokens or escapes unpack to become layers,
 which are scanned and unwrapped in turn until no layer yields another. Layers that were seen before are not entered again,
 so cycles (as in archives that hold themselves) end. A text and its copies are a family: what has been found at some place of the family's
 text, or taken from it as a token, is not reported or decoded again for a copy. Each layer knows which span of the original text
 its characters came from; what is found in a layer is reported at that span, under kind@layer names such as assign@base64.
 
+Bytes that aren't UTF-8 become a character each (a lone surrogate), so they hide nothing around them; broken compressed data is
+unpacked up to the break, and all members of gzip data are unpacked.
+
 Defined cases: null text counts as empty; no spans give zero counts, the SHA-256 of the empty string and an empty
 list; repeated rows are scanned each; an empty table gives no rows; other columns are ignored. Texts are
 scanned whole; a layer's memory is a few times its decoded size, which deflate bounds by 1,032 times what it unpacks.
@@ -19,7 +22,7 @@ import binascii
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -44,7 +47,10 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 SPACE = re.compile(r"\s")
 BASE64_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_COMPRESSED = (b"\x1f\x8b\x08", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda")
+MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+LONE = re.compile("[\ud800-\udc7f\udd00-\udfff]")
+#: Packed bytes that are unpacked at once.
+CHUNK = 1 << 16
 
 Span = tuple[str, int, int]
 
@@ -143,20 +149,22 @@ class Layer:
         return out
 
 
-def _printable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\r\n" for c in text)
+def _text(data: bytes) -> str:
+    """UTF-8; each byte that isn't is a character of its own."""
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _width(ch: str) -> int:
+    """Bytes that _text made the character of."""
+    return 1 if ch < "\x80" or "\udc80" <= ch <= "\udcff" else len(ch.encode("utf-8", "surrogatepass"))
 
 
 def _url(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, character) of the URL escapes; runs that aren't UTF-8 stay."""
+    """(start, end, character) of the URL escapes."""
     for m in URL_RUN.finditer(text):
-        try:
-            run = bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-        except UnicodeDecodeError:
-            continue
         at = m.start()
-        for ch in run:
-            n = 3 * len(ch.encode())
+        for ch in _text(bytes.fromhex(m[0].replace("%", ""))):
+            n = 3 * _width(ch)
             yield at, at + n, ch
             at += n
 
@@ -174,15 +182,70 @@ def _copies(layer: Layer) -> Iterator[Layer]:
         yield out
 
 
-def unzip(data: bytes) -> bytes | None:
-    """Of gzip or zlib data; None if it is neither."""
-    if not data.startswith(_COMPRESSED):
-        return None
+def _unpacked(data: bytes | memoryview) -> tuple[bytes, int, bool]:
+    """What the gzip or zlib stream at the start of data holds, up to where it breaks, how many bytes it took, and whether it is whole."""
+    squeeze, out = zlib.decompressobj(47), bytearray()
     try:
-        squeeze = zlib.decompressobj(47)
-        return squeeze.decompress(data) + squeeze.flush()
+        for at in range(0, len(data), CHUNK):
+            whole = squeeze.copy()
+            out += squeeze.decompress(data[at : at + CHUNK])
+            if squeeze.eof:
+                return bytes(out), min(at + CHUNK, len(data)) - len(squeeze.unused_data), True
     except zlib.error:
-        return None
+        try:
+            for i in range(at, len(data)):
+                out += whole.decompress(data[i : i + 1])
+        except zlib.error:
+            return bytes(out), i, False
+    return bytes(out), len(data), False
+
+
+def unpack(data: bytes | memoryview) -> tuple[bytes, int, int] | None:
+    """All members of gzip or zlib data at the start of data, how many bytes they took and those of whole ones (1 at least); None if it is neither."""
+    data = memoryview(data)
+    out, at, end, sure = [], 0, 0, 1
+    while MAGIC.match(data[at : at + 3]):
+        more, size, whole = _unpacked(data[at:])
+        out.append(more)
+        end = at = at + size
+        if not whole:
+            break
+        sure = end
+        while data[at : at + 1] == b"\0":
+            at += 1  # padding between members
+    return (b"".join(out), end, sure) if any(out) else None
+
+
+def _zips(data: bytes, whole: tuple[int, int], name: str) -> Iterator[Layer]:
+    """A layer for what was unpacked and each further level of packing; any of its characters depends on all of the packed bytes."""
+    seen = set()
+    while data not in seen:
+        seen.add(data)  # data that unpacks to itself is unpacked once
+        yield Layer(_text(data), name, lambda s, e: whole)
+        if (more := unpack(data)) is None:
+            return
+        data, name = more[0], f"{name}.zip"
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """Compressed bytes among decoded escapes: those of UTF-8, or characters below 256 as bytes."""
+    if not layer.at:
+        return
+    text = LONE.sub("?", layer.text)
+    for data, width in ((text.encode("utf-8", "surrogateescape"), _width), (text.encode("latin-1", "replace"), lambda c: 1)):
+        pos, view, offsets = 0, memoryview(data), []
+        while m := MAGIC.search(data, pos):
+            pos = m.start() + 1
+            if (got := unpack(view[m.start() :])) is None:
+                continue
+            pos += got[2] - 1
+            offsets = offsets or list(accumulate(map(width, text), initial=0))
+            start, end = bisect_right(offsets, m.start()) - 1, bisect_left(offsets, m.start() + got[1])
+            token = ("zip", *layer.place(start, end))
+            if token in layer.tokens or bisect_left(layer.at, start) == bisect_left(layer.at, end):
+                continue
+            layer.tokens.add(token)
+            yield from _zips(got[0], layer.outer(start, end), layer.named("zip"))
 
 
 def _base64_place(layer: Layer, at: int, end: int, text: str) -> Callable[[int, int], tuple[int, int]]:
@@ -191,7 +254,7 @@ def _base64_place(layer: Layer, at: int, end: int, text: str) -> Callable[[int,
 
     def up(s: int, e: int) -> tuple[int, int]:
         if not text.isascii():
-            offsets[:] = offsets or accumulate((len(c.encode()) for c in text), initial=0)
+            offsets[:] = offsets or accumulate(map(_width, text), initial=0)
             s, e = offsets[s], offsets[e]
         return layer.outer(at + s // 3 * 4 + s % 3, min(at + (e - 1) // 3 * 4 + (e - 1) % 3 + 2, end))
 
@@ -211,20 +274,11 @@ def _base64(layer: Layer, raw: bytes | None = None) -> Iterator[Layer]:
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except binascii.Error:
             continue
-        at, end, name = m.start(), m.start() + len(body), "base64"
-        seen = set()
-        while (more := unzip(data)) is not None and (key := hashlib.sha256(data).digest()) not in seen:
-            seen.add(key)  # data that unpacks to itself is unpacked once
-            name, data = f"{name}.zip", more
-        if not seen and not data.isascii() and len(data) > 64 and data[:64].decode("utf-8", "replace").count("�") > 8:
-            continue
-        try:
-            text = data.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if _printable(text):
-            whole = layer.outer(at, end)  # any character of unpacked data depends on all of the token
-            yield Layer(text, layer.named(name), (lambda s, e, whole=whole: whole) if seen else _base64_place(layer, at, end, text))
+        at, end, text = m.start(), m.start() + len(body), _text(data)
+        out = Layer(text, layer.named("base64"), _base64_place(layer, at, end, text))
+        yield out
+        if got := unpack(data):
+            yield from _zips(got[0], layer.outer(at, end), out.named("zip"))
 
 
 def layered_spans(text: str, raw: bytes | None = None) -> list[Span]:
@@ -244,7 +298,7 @@ def layered_spans(text: str, raw: bytes | None = None) -> list[Span]:
                 layer.spans.add(place)
                 if layer.name:
                     found.add((f"{kind}@{layer.name}", *layer.outer(s, e)))
-        todo += [x for x in (*_copies(layer), *_base64(layer, own)) if x.text]
+        todo += [x for x in (*_copies(layer), *_base64(layer, own), *_packed(layer)) if x.text]
     return list(found)
 
 

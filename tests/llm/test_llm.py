@@ -9,6 +9,7 @@ import json
 import random
 import re
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -254,6 +255,35 @@ def test_secret_layers_keep_the_text_around_tokens():
     assert secrets.scan("%41 password = hunter2222")[1] == []
 
 
+def test_blemishes_hide_no_secret():
+    secret = b"password=hunter2222"
+    wrapped = lambda data: f"x {base64.b64encode(data).decode()} y"
+    for blemish in ("\u00a0", "\ufeff", "\u200b", "\0", "\x1b"):
+        assert [k for k, *_ in secrets.scan(wrapped(blemish.encode() + secret))[1]] == ["assign@base64"], blemish
+        assert [k for k, *_ in secrets.scan(wrapped(gzip.compress(blemish.encode() + secret)))[1]] == ["assign@base64.zip"], blemish
+    for binary in (b"\xe9 ", bytes(range(128, 256)), b"caf\xe9 \xff\xfe"):
+        assert [k for k, *_ in secrets.scan(wrapped(binary + b" " + secret))[1]] == ["assign@base64"]
+        assert "assign@base64.zip" in [k for k, *_ in secrets.scan(wrapped(zlib.compress(binary + secret * 2)))[1]]
+    data = b"\xe9\xc3\xa9" + secret
+    assert secrets.scan(base64.b64encode(data).decode())[1] == [("assign@base64", 4, 30)]
+    assert secrets.scan("q=%E9&password%3Dhunter2222")[1] == [("assign@url", 6, 27)]
+    assert secrets.scan("%C3%A9%E9%F0%9F password%3Dhunter2222")[1] == [("assign@url", 16, 37)]
+
+
+def test_all_compressed_bytes_are_unpacked():
+    secret = b"password=hunter2222"
+    members = gzip.compress(b"first") + gzip.compress(b"second") + b"\0\0" + gzip.compress(secret)
+    assert [k for k, *_ in secrets.scan(base64.b64encode(members).decode())[1]] == ["assign@base64.zip"]
+    mixed = gzip.compress(gzip.compress(b"inner")) + gzip.compress(b" " + secret)
+    assert [k for k, *_ in secrets.scan(base64.b64encode(mixed).decode())[1]] == ["assign@base64.zip"]
+    for data in (gzip.compress(secret), zlib.compress(secret), gzip.compress(secret)[:-8] + b"\0" * 8, gzip.compress(b"a") + gzip.compress(secret)):
+        url, hexed = quote(data, safe=""), "".join(f"\\x{b:02x}" for b in data)
+        whole = data[-8:] != b"\0" * 8  # the trailer of a broken one isn't taken
+        for text, name in ((f"q {url} y", "url"), (f"q {hexed} y", "unicode")):
+            found = [(s, e) for k, s, e in secrets.scan(text)[1] if k == f"assign@{name}.zip"]
+            assert found == [(2, len(text) - 2)] if whole else len(found) == 1, text
+
+
 def test_secrets_equal_brute_force(spark, awkward, empty):
     docs = {r["doc_id"]: r["text"] for r in table(spark, DATA, "documents").collect()}
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
