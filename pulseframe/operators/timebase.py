@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..schema import K
 
 DAY_US = 86_400_000_000
+#: Numbers of blocks or rows whose ticks are ordered in one task.
+TICK_BUCKET = 4096
 
 
 def bucket(t: str | Column, width_us: int = DAY_US) -> Column:
@@ -39,23 +41,54 @@ def index_ranges(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("idx1", F.sum("n").over(order)).withColumn("idx0", F.col("idx1") - F.col("n"))
 
 
+def unroll(rows: DataFrame, keys: list[str], number: str, order: list[str], modulus: int, carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with _full, the unwrapped tick of _t, and the carry after them: keys, last, base, as given for what came before.
+
+    Ticks are unwrapped inside buckets of the number, which goes first in the order; each bucket gets the base it starts with from one
+    row per bucket.
+    """
+    same = lambda *cs: [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in cs]
+    rows = rows.withColumn("_b", F.coalesce(F.floor(F.col(number) / TICK_BUCKET).cast("bigint"), F.lit(-(1 << 62))))
+    rows = rows.withColumn("_abs", F.coalesce(F.col("_t") > modulus, F.lit(False)))
+    rows = rows.withColumn("_m", F.when(F.col("_abs"), F.col("_t") % modulus).otherwise(F.col("_t")))
+    turned = lambda of, before: F.coalesce((F.col(of) < before).cast("int"), F.lit(0))
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    rows = rows.withColumn("_rolled", F.when(F.col("_abs"), 0).otherwise(turned("_m", F.lag("_m").over(inside))))
+    rows = rows.withColumn("_grp", F.sum(F.col("_abs").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    group = Window.partitionBy(*keys, "_b", "_grp").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_base", F.max(F.when(F.col("_abs"), F.col("_t") - F.col("_m"))).over(group)).withColumn("_rolls", F.sum("_rolled").over(group))
+
+    at = F.struct(*order)
+    sums = rows.groupBy(*keys, "_b").agg(F.min_by(F.struct("_m", "_abs"), at).alias("_first"), F.max_by(F.struct("_m", "_grp", "_base", "_rolls"), at).alias("_last"))
+    sums = sums.select(*keys, "_b", F.col("_first._m").alias("_m0"), F.col("_first._abs").alias("_abs0"), "_last.*")
+    if carry is None:
+        sums = sums.withColumns({"_last0": F.lit(None).cast("bigint"), "_base0": F.lit(0).cast("bigint")})
+    else:
+        sums = sums.alias("_l").join(carry.alias("_r"), same(*keys), "left").select("_l.*", F.col("_r.last").alias("_last0"), F.coalesce("_r.base", F.lit(0)).alias("_base0"))
+    line = Window.partitionBy(*keys).orderBy("_b")
+    first = F.row_number().over(line) == 1
+    sums = sums.withColumn("_turn", F.when(F.col("_abs0"), 0).otherwise(turned("_m0", F.when(first, F.col("_last0")).otherwise(F.lag("_m").over(line)))))
+    sums = sums.withColumn("_g", F.sum((F.col("_grp") > 0).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    more = F.col("_rolls") + F.when(F.col("_grp") > 0, 0).otherwise(F.col("_turn"))
+    sums = sums.withColumn("_out", F.coalesce(F.max("_base").over(since), F.col("_base0")) + F.lit(modulus) * F.sum(more).over(since))
+    sums = sums.withColumn("_into", F.when(first, F.col("_base0")).otherwise(F.lag("_out").over(line)) + F.lit(modulus) * F.col("_turn"))
+
+    rows = rows.alias("_l").join(sums.alias("_r"), same(*keys, "_b")).select("_l.*", "_r._into")
+    full = F.col("_m") + F.when(F.col("_grp") > 0, F.col("_base")).otherwise(F.col("_into")) + F.lit(modulus) * F.col("_rolls")
+    rows = rows.withColumn("_full", full).drop("_b", "_abs", "_m", "_rolled", "_grp", "_base", "_rolls", "_into")
+    return rows, sums.groupBy(*keys).agg(F.max_by("_m", "_b").alias("last"), F.max_by("_out", "_b").alias("base"))
+
+
 def unroll_ticks(blocks: DataFrame, modulus: int, scale: float, offset_us: int = 0) -> DataFrame:
-    """start_us and end_us from wrapping ticks.
+    """start_us and end_us from wrapping ticks, without ordering a series in one task.
 
     In file order, a block's start before its end: a tick above the modulus is absolute and sets a new base; another that
     is below its predecessor has wrapped once more. A tick equal to the modulus isn't absolute.
     """
     ends = F.array(F.struct(F.lit(0).alias("_end"), F.col("start_tick").alias("_t")), F.struct(F.lit(1).alias("_end"), F.coalesce("end_tick", "start_tick").alias("_t")))
     rows = blocks.select("*", F.explode(ends).alias("_e")).select("*", "_e._end", "_e._t").drop("_e")
-    order = Window.partitionBy(*K).orderBy("block_seq", "_end")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    absolute = F.col("_t") > modulus
-    rows = rows.withColumn("_m", F.when(absolute, F.col("_t") % modulus).otherwise(F.col("_t")))
-    rows = rows.withColumn("_rolled", F.when(absolute, 0).otherwise(F.coalesce((F.col("_m") < F.lag("_m").over(order)).cast("int"), F.lit(0))))
-    rows = rows.withColumn("_grp", F.sum(absolute.cast("int")).over(upto))
-    group = Window.partitionBy(*K, "_grp").orderBy("block_seq", "_end").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.max(F.when(absolute, F.col("_t") - F.col("_m")).otherwise(F.lit(0))).over(group)
-    rows = rows.withColumn("_full", F.col("_m") + base + F.lit(modulus) * F.sum("_rolled").over(group))
+    rows, _ = unroll(rows, list(K), "block_seq", ["block_seq", "_end"], modulus)
     rows = rows.withColumn("_us", (F.col("_full") * scale).cast("bigint") + offset_us)
     keep = [c for c in blocks.columns if c not in (*K, "block_seq", "start_us", "end_us")]
     return rows.groupBy(*K, "block_seq").agg(

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import calibration, names, units
 from ..operators import asof, slices, spectrum, stats, timebase, windows
@@ -288,9 +289,9 @@ def stream_ticks(spark, d):
 
     def ticks(s):
         ms = F.floor(F.col("t_us") / 1000).cast("bigint") - first // 1000
-        return live.live_ticks(s.select("channel_id", F.col("event_id").alias("seq"), (ms % MODULUS).alias("tick")), MODULUS, 1.0)
+        return s.select("channel_id", F.col("event_id").alias("seq"), (ms % MODULUS).alias("tick"))
 
-    return _streamed(spark, d, ticks, "append")
+    return _written(spark, lambda *to: live.live_ticks(ticks(_stream(spark, d)), MODULUS, 1.0, *to), "channel_id string, seq bigint, t_us bigint")
 
 
 @query("SELECT channel_id, idx, idx // 64 AS block_seq FROM s WHERE idx % 97 = 0")
@@ -469,13 +470,25 @@ def band_rms(spark, d):
     return spectrum.band_rms(s, 1e6, 0.01, 0.2, 1024).select("channel_id", "subchannel_id", "segment", "n", r("rms"))
 
 
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream."""
+    events = spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*")
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+
+
+def _written(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: str) -> DataFrame:
+    """What a stream writes by itself until its end."""
+    out = model.shared_path(spark, "stream")
+    spark.createDataFrame([], schema).write.parquet(f"{out}/data/none")
+    start(out, f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
+
+
 def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run a stream over the events to its end. Each batch is written under its number, so a repeated batch replaces itself;
     in complete mode the last one is the result."""
     out = model.shared_path(spark, "stream")
-    events = spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*")
-    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
-    result = build(rows)
+    result = build(_stream(spark, d))
     spark.createDataFrame([], result.schema).write.parquet(f"{out}/data/none")
 
     def put(batch: DataFrame, number: int) -> None:
@@ -498,4 +511,5 @@ def stream_sessions(spark, d):
 
 @query(ORACLES["warning_intervals"], plain=True)
 def stream_warnings(spark, d):
-    return _streamed(spark, d, lambda s: live.live_intervals(s, 20.0, 200.0), "append")
+    rows = _written(spark, lambda *to: live.live_intervals(_stream(spark, d), 20.0, 200.0, *to), "channel_id string, start_us bigint, end_us bigint")
+    return rows.groupBy("channel_id", "start_us").agg(F.max("end_us").alias("end_us"))  # closed in a later batch

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.timebase import unroll
+from ..operators.windows import bad_intervals
 
 
 def ingest(blocks: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
@@ -52,45 +53,51 @@ def gap_sessions(samples: DataFrame, gap: str, late: str = "1 hour") -> DataFram
     return samples.withWatermark("ts", late).groupBy("channel_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
 
 
-def live_intervals(samples: DataFrame, low: float, high: float) -> DataFrame:
-    """Out-of-range intervals as they close, and the open one as (start, -1) after each batch that leaves it open.
+def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
+    """Write the first result of step(batch, state) to path/data and keep the second as the state of the next batch, in path/state.
 
-    State per channel: the start of the open interval (-1: none). Samples must come in order of time; t_us is their time.
+    Each batch writes folders of its own number, so a repeated batch replaces itself. Read data with partition column batch.
     """
 
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened = state.get[0] if state.exists else -1
-        out = []
-        rows = pd.concat(list(parts)).sort_values("t_us")
-        for t, v in zip(rows["t_us"], rows["v"]):
-            bad = not (low < v < high)
-            if bad and opened < 0:
-                opened = int(t)
-            elif not bad and opened >= 0:
-                out.append((key[0], opened, int(t)))
-                opened = -1
-        if opened >= 0:
-            out.append((key[0], opened, -1))
-        state.update((opened,))
-        yield pd.DataFrame(out, columns=["channel_id", "start_us", "end_us"])
-
-    return samples.groupBy("channel_id").applyInPandasWithState(run, "channel_id string, start_us bigint, end_us bigint", "opened bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def live_ticks(ticks: DataFrame, modulus: int, scale: float) -> DataFrame:
-    """Times of wrapping ticks across micro-batches; state per channel: the last tick and the base. Rows: channel_id, seq, tick."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, base = state.get if state.exists else (-1, 0)
-        out = []
-        for seq, tick in pd.concat(list(parts)).sort_values("seq")[["seq", "tick"]].itertuples(index=False):
-            if tick > modulus:
-                base, last = int(tick - tick % modulus), int(tick % modulus)
-            else:
-                base += modulus if tick < last else 0
-                last = int(tick)
-            out.append((key[0], int(seq), int((base + last) * scale)))
-        state.update((last, base))
-        yield pd.DataFrame(out, columns=["channel_id", "seq", "t_us"])
-
-    return ticks.groupBy("channel_id").applyInPandasWithState(run, "channel_id string, seq bigint, t_us bigint", "last bigint, base bigint", "append", GroupStateTimeout.NoTimeout)
+    def put(batch: DataFrame, number: int) -> None:
+        spark, once = batch.sparkSession, batch.persist()
+        before = spark.read.schema(state).parquet(f"{path}/state/batch={number - 1}") if number else spark.createDataFrame([], state)
+        out, after = step(once, before)
+        out.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        once.unpersist()
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_intervals(samples: DataFrame, low: float, high: float, path: str, checkpoint: str) -> StreamingQuery:
+    """Write out-of-range intervals as they close, and the open one as (start, -1) after each batch that leaves it open.
+
+    State: the start of each channel's open interval, which goes before the batch as a sample of its own; change points are found
+    inside time buckets. Batches must come in order of time; t_us is the samples' time.
+    """
+
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        fine = F.coalesce((F.col("v") > low) & (F.col("v") < high), F.lit(False))
+        rows = batch.select("channel_id", F.col("t_us").cast("bigint"), F.lit(1).alias("_new"), (~fine).alias("_wrong"))
+        rows = rows.unionByName(state.select("channel_id", F.col("opened").alias("t_us"), F.lit(0).alias("_new"), F.lit(True).alias("_wrong")))
+        # the key columns are never null: a null channel is one, too
+        key = [F.when(F.col("channel_id").isNull(), "none").otherwise("named").alias("recording_id"), F.lit(0).alias("session_id"), F.coalesce("channel_id", F.lit("")).alias("channel_id")]
+        rows = rows.select(*key, "t_us", F.struct("t_us", "_new").alias("idx"), "_wrong")
+        name = F.when(F.col("recording_id") == "named", F.col("channel_id")).alias("channel_id")
+        out = bad_intervals(rows, F.col("_wrong")).select(name, "start_us", "end_us")
+        return out, out.where("end_us = -1").select("channel_id", F.col("start_us").alias("opened"))
+
+    return _carried(samples, path, checkpoint, "channel_id string, opened bigint", step)
+
+
+def live_ticks(ticks: DataFrame, modulus: int, scale: float, path: str, checkpoint: str) -> StreamingQuery:
+    """Write times of wrapping ticks across micro-batches; state: each channel's last tick and base. Rows: channel_id, seq, tick."""
+
+    def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = batch.select("channel_id", "seq", F.col("tick").alias("_t"))
+        rows, carry = unroll(rows, ["channel_id"], "seq", ["seq"], modulus, state)
+        kept = state.alias("_l").join(carry.alias("_r"), F.col("_l.channel_id").eqNullSafe(F.col("_r.channel_id")), "left_anti")
+        return rows.select("channel_id", "seq", (F.col("_full") * scale).cast("bigint").alias("t_us")), carry.unionByName(kept)
+
+    return _carried(ticks, path, checkpoint, "channel_id string, last bigint, base bigint", step)

@@ -246,6 +246,69 @@ def test_late_rows_are_routed(spark, tmp_path):
     assert got("data") == {(100, 0), (1, 0), (99, 1), (98, 1), (101, 1)} and got("late") == {(40, 1)}
 
 
+def ticks_by_loop(ticks, modulus):
+    base, last = 0, None
+    for tick in ticks:
+        if tick > modulus:
+            base, last = tick - tick % modulus, tick % modulus
+        else:
+            base += modulus if last is not None and tick < last else 0
+            last = tick
+        yield base + last
+
+
+def random_ticks(rng, n, modulus):
+    t = 0
+    for _ in range(n):
+        t += rng.randint(1, modulus // 2)
+        yield t if rng.random() < 0.02 and t > modulus else t % modulus
+
+
+def test_ticks_are_unrolled_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(timebase, "TICK_BUCKET", 7)
+    rng, modulus, want, blocks = random.Random(8), 1 << 16, {}, []
+    for c in ("a", "b", None):
+        ticks = list(random_ticks(rng, 120, modulus))
+        want |= {(c, i): t for i, t in enumerate(ticks_by_loop(ticks, modulus))}
+        blocks += [("r", 0, c, i, t, None) for i, t in enumerate(ticks)]
+    rows = spark.createDataFrame(blocks, "recording_id string, session_id int, channel_id string, block_seq bigint, start_tick bigint, end_tick bigint")
+    got = timebase.unroll_ticks(rows, modulus, 1.0)
+    assert {(r["channel_id"], r["block_seq"]): r["start_us"] for r in got.collect()} == want
+    # windows see bucket rows when they are by series alone
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "[recording_id" in plan and not any("_end" in line and "_b" not in line for line in plan.splitlines() if line.strip(" :+-").startswith("Window"))
+
+
+def test_live_ticks_and_intervals_carry_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timebase, "TICK_BUCKET", 7)
+    rng, modulus, day = random.Random(9), 1 << 16, timebase.DAY_US
+    ticks = {c: list(random_ticks(rng, 90, modulus)) for c in ("a", "b")}
+    values = {c: [rng.choice([0.0, 1.0]) for _ in range(90)] for c in ("a", "b")}
+    shape = "channel_id string, seq bigint, tick bigint, t_us bigint, v double"
+    for n in range(3):
+        rows = [(c, i, ticks[c][i], i * day // 4, values[c][i]) for c in ticks for i in range(30 * n, 30 * n + 30) if (c, n) != ("b", 1)]
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        live.live_ticks(stream, modulus, 1.0, str(tmp_path / "t"), str(tmp_path / "ct")).awaitTermination()
+        live.live_intervals(stream, 0.5, 1.5, str(tmp_path / "i"), str(tmp_path / "ci")).awaitTermination()
+    got_t = {(r["channel_id"], r["seq"]): r["t_us"] for r in spark.read.parquet(str(tmp_path / "t" / "data")).collect()}
+    got_i = {}
+    for r in spark.read.parquet(str(tmp_path / "i" / "data")).collect():
+        got_i[r["channel_id"], r["start_us"]] = max(r["end_us"], got_i.get((r["channel_id"], r["start_us"]), -1))
+    want_t, want_i = {}, {}
+    for c in ticks:
+        at = [i for i in range(90) if c == "a" or not 30 <= i < 60]
+        want_t |= {(c, i): t for i, t in zip(at, ticks_by_loop([ticks[c][i] for i in at], modulus))}
+        opened = None
+        for i in at:
+            if values[c][i] == 0 and opened is None:
+                opened = i * day // 4
+                want_i[c, opened] = -1
+            elif values[c][i] == 1 and opened is not None:
+                want_i[c, opened], opened = i * day // 4, None
+    assert got_t == want_t and got_i == want_i
+
+
 def test_calibrate_by_another_channel(spark):
     rows = spark.createDataFrame([("r", s, c, 0, v) for s, c, v in ((0, "x", 1.0), (0, "x", 2.0), (0, "y", 4.0), (0, "y", 6.0), (1, "x", 1.0))], "recording_id string, session_id int, channel_id string, subchannel_id int, v double")
     shape = "recording_id string, channel_id string, subchannel_id int, c array<double>, y_channel_id string, y_subchannel_id int"
