@@ -6,7 +6,7 @@ inner products. Codebooks are fitted on a bounded sample; every vector is coded.
 two codes to a look-up, for a block of queries against a block of codes; the best of each query go on to exact
 cosines of the original vectors in double precision.
 
-Copies: of equal vectors the k + 1 with the smallest ids are candidates, since others can't be among the k
+Copies: of equal vectors the k + 1 smallest distinct ids are candidates, each with at most k of its rows (and coded once), since others can't be among the k
 nearest of any query (equal score, larger id). That is a partial top-k before the shuffle, so a vector that
 a third of the rows share is harmless, and copies can't crowd other vectors out of a shortlist.
 
@@ -135,8 +135,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST
     if not len(picked):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     quantiser = fit(_unit(picked))
+    # k + 1 distinct ids of equal vectors, each with at most k of its repeated rows (more can't be among the k nearest)
+    again = Window.partitionBy("v", "vec_id").orderBy("vec_id")
     same = Window.partitionBy("v").orderBy("vec_id")
-    candidates = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
+    candidates = rows.withColumn("time", F.row_number().over(again)).where(F.col("time") <= k).withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1).drop("place")
 
     def encode(batches):
         for pdf in batches:
@@ -146,7 +148,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST
                 packed = codes[:, 0::2] << 4 | codes[:, 1::2]
                 yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [r.tobytes() for r in packed]})
 
-    codes = materialise(candidates.select("vec_id", "v").mapInPandas(encode, "vec_id bigint, code binary"), "codes")
+    codes = materialise(candidates.where("time = 1").select("vec_id", "v").mapInPandas(encode, "vec_id bigint, code binary"), "codes")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "norm")
     # hashed blocks: as many as give each the size named above
     q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))

@@ -387,6 +387,12 @@ def test_nearest_of_awkward_vectors(spark):
 # 10
 
 
+def test_nearest_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0])] * 9 + [(i, [1.0, 0.0]) for i in range(1, 8)] + [(i, [0.0, float(i)]) for i in range(20, 30)]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), F.col("vec_id") == 0).distinct().orderBy("rank").collect()
+    assert {r["vec_id"] for r in got} <= {1, 2, 3, 4, 5} and got[0]["vec_id"] == 1 and all(r["score"] == 1 for r in got)
+
+
 def test_records_at_every_cut():
     pages = [(i, f"http://h/{i} x\r\n%é", ("<p>%d</p>" % i * (i % 40)).encode()) for i in range(120)]
     data = b"".join(warc.member(p, u, b, None, False) for p, u, b in pages)
