@@ -101,7 +101,7 @@ def fit(found: list[list[int]] | list[np.ndarray], labels: list[int], seed: int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, most: int) -> DataFrame:
-    """(text, label) of at most so many labelled rows that aren't held out; their ids are few enough to broadcast."""
+    """(text, label) of at most so many labelled ids that aren't held out, few enough to broadcast; of an id's rows one is taken by the hash of its text."""
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus, held_out))
         .groupBy("doc_id")
@@ -109,7 +109,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return texts(docs, "doc_id").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", F.col("_y").cast("int").alias("y"))
+    rows = texts(docs, "doc_id").join(F.broadcast(chosen.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_y").cast("int").alias("y")).select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:

@@ -93,6 +93,14 @@ def test_toxicity_learns(spark, awkward, empty):
     assert toxicity.fit([], []).score(b"x") == pytest.approx(0.5, abs=1e-3)
 
 
+def test_one_training_row_of_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 3}") for i in range(50)] + [(i, "other") for i in range(2, 12)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id bigint, toxic int")
+    rows = toxicity.labelled(docs, labels, "toxic", 1, 1, 100).collect()
+    assert len(rows) == 11 and sum(bytes(r["text"]).startswith(b"text") for r in rows) == 1
+    assert len(toxicity.labelled(docs, labels, "toxic", 1, 1, 4).collect()) == 4
+
+
 def test_quality_learns(spark, awkward, empty):
     assert held_out(spark, "op5_quality", "quality") > 0.9
     field = quality.fit([b"a good line. and more of it\nanother line of words", b"BAD!! BAD!! BAD!!\nX%%% Y%%%"] * 20, [1, 0] * 20)
