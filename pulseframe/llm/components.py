@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, written
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _write(edges: DataFrame, name: str) -> tuple[DataFrame, str, tuple]:
+    """The edges as written, their path and their mark, taken as they are written."""
+    seen = Observation()
+    out, path = written(edges, name, seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("mark"))
+    return out, path, (seen.get["n"], seen.get["mark"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,14 +33,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root) for each node of a link; root is the least node of its component.
 
     Every round is written to the shared folder, so the plan stays short and a lost executor costs
-    one round at most. Self-links and repeated links do no harm; no links give no rows.
+    one round at most; the round before is deleted then. Self-links and repeated links do no harm; no links give no rows.
     """
+    spark = links.sparkSession
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = materialise(edges, "links")
-    mark = _mark(edges)
+    edges, path, mark = _write(edges, "links")
     while mark[0]:
-        edges = materialise(_small_star(_large_star(edges)), "stars")
-        now = _mark(edges)
+        fresh, at, now = _write(_small_star(_large_star(edges)), "stars")
+        discard(spark, path)
+        edges, path = fresh, at
         if now == mark:
             break
         mark = now

@@ -1,10 +1,10 @@
 """SentencePiece encoding by a streaming Viterbi search, and decoding.
 
-The encoder moves a window of the longest piece's length over a text, keeps the best score and
-backpointer of each boundary in it, and commits ids as soon as the backpointer paths of all surviving
-boundaries pass through one common boundary; only what lies after that is retained. Where no piece can cross
-a place (before a space that follows something else, around newlines), all paths converge anyway, so the text is cut there
-and the segments, mostly words that come again, are remembered with their ids.
+The encoder moves a window of the longest piece's length over a text and keeps the best score and
+backpointer of each boundary. Only boundaries inside the window survive: no piece can start before it. Their backpointer paths are
+followed until they meet; if they do at one boundary, the ids up to it are committed, and only what lies after it is retained. Where no piece can cross
+a place (before a space that follows something else, around newlines), all paths converge anyway, so the text is cut there;
+each segment goes through the window by itself, and those that come again, mostly words, are remembered with their ids.
 
 Scores: a unigram model's own log-probabilities. A BPE model's file has merge ranks instead of probabilities; they
 become log-probabilities by Zipf's law, -log(1 + rank). So ids are those of the best-scoring segmentation
@@ -35,6 +35,8 @@ from .common import columns, table, texts, with_fields
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers of each kind.
 MEMO = 300_000
+#: Characters of a segment up to which it is remembered.
+REMEMBERED = 64
 
 
 @dataclass
@@ -110,23 +112,6 @@ class StreamingViterbi:
         self.score: list[float] = [0.0]
         self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
 
-    def whole(self, text: str) -> tuple[int, ...]:
-        """The ids of a short text at once: the same search without a window."""
-        if not self.known.issuperset(text):
-            return tuple(self.feed(text) + self.close())
-        score, back = [0.0, *[-math.inf] * len(text)], [(0, ())] * (len(text) + 1)
-        for end, (n, own, ids) in self.automaton.iter(text):
-            start = end - n
-            s = score[start + 1] + own
-            end += 1
-            if s > score[end]:
-                score[end], back[end] = s, (start + 1, ids)
-        out, end = (), len(text)
-        while end:
-            end, ids = back[end]
-            out = ids + out
-        return out
-
     def feed(self, more: str) -> list[int]:
         if self.known.issuperset(more):
             return self._known(more)
@@ -141,7 +126,8 @@ class StreamingViterbi:
         return out
 
     def _known(self, more: str) -> list[int]:
-        out, step = [], 16 * self.v.longest
+        """Move on by the longest piece's length at a time and commit as soon as more than that is held."""
+        out, step = [], self.v.longest
         for i in range(0, len(more), step):
             part = more[i : i + step]
             self.text += part
@@ -175,19 +161,21 @@ class StreamingViterbi:
         return list(chain.from_iterable(reversed(parts)))
 
     def _commit(self) -> list[int]:
-        """Ids up to the last boundary that the paths of all boundaries share that a piece can still start from."""
-        shared = None
-        for end in range(max(0, self.at - self.v.longest + 1), self.at + 1):
-            own = {end}
-            while end:
-                end = self.back[end][0]
-                own.add(end)
-            shared = own if shared is None else shared & own
-        place = max(shared)
+        """Ids up to the last boundary that the paths of all surviving boundaries pass through."""
+        place, back = self.at, self.back
+        alive = set(range(max(0, self.at - self.v.longest + 1), self.at + 1))
+        while len(alive) > 1:  # the last of them steps back along its path, until all have met
+            if place in alive:
+                alive.discard(place)
+                alive.add(back[place][0])
+            place -= 1
+        place = alive.pop()
+        if not place:
+            return []
         ids = self._path(place)
         self.text, self.at = self.text[place:], self.at - place
         self.score = self.score[place:]
-        self.back = [(0, ()), *((i - place, x) if i >= place else (0, ()) for i, x in self.back[place + 1 :])]
+        self.back = [(0, ()), *((i - place, x) if i >= place else (0, ()) for i, x in back[place + 1 :])]
         return ids
 
 
@@ -206,8 +194,8 @@ class Encoder:
             def __missing__(self, segment: str) -> tuple[int, ...]:
                 ids = self.old.get(segment)
                 if ids is None:
-                    ids = search.whole(self.before + segment) if len(segment) <= 64 else tuple(search.feed(self.before + segment) + search.close())
-                if len(segment) <= 64:
+                    ids = tuple(search.feed(self.before + segment) + search.close())
+                if len(segment) <= REMEMBERED:
                     if len(self) >= limit // 2:
                         self.old = dict(self)
                         self.clear()

@@ -6,13 +6,15 @@ embeddings never exceeds the Hamming distance of the fingerprints. The grid rang
 within Manhattan distance 4: the 32 coordinates form 8 groups of 4, two such embeddings agree on at least 4
 of the groups, so both meet in a cell of one of the 70 grids that 4 of 8 groups span. In a cell the
 Manhattan bound is applied first, the fingerprints are compared exactly after it, and a cell passes on a
-spanning forest of its links, not the pairs.
+spanning forest of its links, not the pairs. What one comparison has linked isn't compared again, so a dense cell costs about
+its size, and only unrelated fingerprints of a cell cost its square.
 
 Counts are kept in unary (0: 00, 1: 01, 2: 11), where the distance is the number of differing bits.
 
-A cell of more than cell_limit distinct fingerprints goes another exact way: fingerprints within 4 bits of
-each other share a point within 2 bits of both, so each of its members is sent to the 2,081 points
-around it, and those that meet at a point are linked. That is linear in the cell and splits freely.
+A crowded cell is split by further segment counts. Take two of its members within 4 bits. If the counts of some further group agree,
+they meet again in the cell that this group spans with the agreed ones. If none agrees, each further group has a differing
+bit, which leaves fewer than two for the groups in the cell; their equal counts allow no single one, so their bits are equal,
+and the pair meets in the cell of those bits. Both kinds of cell are made, twice over where need be.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, columns, materialise, table, texts
+from .common import LOWER_ASCII, join_groups, materialise, own_columns, row_key, table, texts, unused
 from .components import connected_components
 
 WIDTH, SEED, MAX_BITS, GROUPS = 4, 42, 4, 8
-#: Largest number of distinct fingerprints of a cell that are compared with each other.
-CELL_LIMIT = 1024
+#: Members from which a cell is split by further counts, and how often it is split.
+CELL_SIZE, SPLITS = 2048, 2
 _LANES = 0x0101010101010101
 _ODD = 0x5555555555555555
 
@@ -88,22 +90,43 @@ def np_embedding(fp: np.ndarray) -> np.ndarray:
     return even | odd | ((even & odd) << np.uint64(1))
 
 
-def _grids() -> list[tuple[int, int]]:
-    """For each choice of half of the groups: the bits that stay, and the grid's number in a cleared byte."""
-    out = []
-    for number, chosen in enumerate(itertools.combinations(range(GROUPS), GROUPS - MAX_BITS)):
-        mask = sum(0xFF << (8 * g) for g in chosen)
-        free = next(g for g in range(GROUPS) if g not in chosen)
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        out.append((signed(mask), signed((number + 1) << (8 * free))))
-    return out
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _bits(groups: tuple[int, ...]) -> int:
+    return sum(0xFF << (8 * g) for g in groups)
+
+
+#: Bytes that no four counts make: 10 isn't a unary count.
+_TAGS = [x for x in range(256) if any(x >> s & 3 == 2 for s in (0, 2, 4, 6))]
+
+
+def _tag(groups: tuple[int, ...], number: int) -> int:
+    """The number of a kind of cell, in the first byte that no group of the cell uses, so that cells of counts never share a key."""
+    return _TAGS[number] << (8 * next(g for g in range(GROUPS) if g not in groups))
+
+
+#: The groups that span the grids, of each round of splitting.
+GRIDS = [list(itertools.combinations(range(GROUPS), GROUPS - MAX_BITS + i)) for i in range(SPLITS + 1)]
 
 
 def cells(fps: DataFrame) -> DataFrame:
-    """(cell, fp): each distinct fingerprint in its cell of each grid."""
+    """(cell, grid, fp): each distinct fingerprint in its cell of each grid; grid numbers the groups."""
     count = embedding(F.col("fp"))
-    keys = F.array(*(count.bitwiseAND(F.lit(mask)).bitwiseOR(F.lit(number)) for mask, number in _grids()))
-    return fps.select(F.explode(keys).alias("cell"), "fp")
+    keys = F.array(*(F.struct(count.bitwiseAND(F.lit(_signed(_bits(g)))).bitwiseOR(F.lit(_signed(_tag(g, i)))).alias("cell"), F.lit(i).alias("grid")) for i, g in enumerate(GRIDS[0])))
+    return fps.select(F.inline(keys), "fp")
+
+
+def _split(fp: np.ndarray, grid: int, round_: int) -> list[tuple[np.ndarray, int]]:
+    """Cells that members of a crowded cell go to: those of one more group each, and that of the bits of its groups (grid -1, not split again)."""
+    groups, finer = GRIDS[round_][grid], GRIDS[round_ + 1]
+    out = [((fp & np.uint64(_bits(groups))) | np.uint64(_tag(groups, len(finer) + grid)), -1)]
+    for g in (g for g in range(GROUPS) if g not in groups):
+        more = tuple(sorted((*groups, g)))
+        i = finer.index(more)
+        out.append(((np_embedding(fp) & np.uint64(_bits(more))) | np.uint64(_tag(more, i)), i))
+    return out
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +144,27 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _close(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of the same cell; rows are sorted by cell."""
+def _linked(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the members of a cell: each is compared with those that nothing has reached yet."""
+    counts, left, todo = np_embedding(fp), np.arange(len(fp)), []
+    a, b = [], []
+    while len(left):
+        if not todo:
+            todo, left = [left[0]], left[1:]
+        at = todo.pop()
+        near = np.flatnonzero(np.bitwise_count(counts[left] ^ counts[at]) <= MAX_BITS)
+        near = near[np.bitwise_count(fp[left[near]] ^ fp[at]) <= MAX_BITS]
+        if len(near):
+            found = left[near]
+            a.append(np.full(len(found), fp[at]))
+            b.append(fp[found])
+            todo += found.tolist()
+            left = np.delete(left, near)
+    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+
+
+def _small_cells(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of the same cell, of many cells at a time; rows are sorted by cell."""
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     last = np.repeat(np.r_[starts[1:], len(cell)], np.diff(np.r_[starts, len(cell)]))
     counts, left, right = np_embedding(fp), [], []
@@ -135,87 +177,96 @@ def _close(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         right.append(fp[near + lag])
         lag += 1
         at = at[at + lag < last[at]]
-    if not left:
-        return fp[:0], fp[:0]
-    return np.concatenate(left), np.concatenate(right)
+    return (np.concatenate(left), np.concatenate(right)) if left else (fp[:0], fp[:0])
+
+
+#: Members up to which cells are compared many at a time.
+FEW = 64
 
 
-def _cell_links(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over rows sorted by cell: links (a, b), and (a, null) for the members of cells beyond the limit."""
+def _cell_links(size: int, round_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows (cell, grid, fp) sorted by cell: links (a, b), and (cell, grid, a) for members of cells that are split."""
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        left = pa.array(a.view(np.int64))
-        return pa.RecordBatch.from_arrays([left, pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], names=["a", "b"])
+    def out(a: np.ndarray, b: np.ndarray | None, cell: np.ndarray | None = None, grid: int = 0) -> pa.RecordBatch:
+        long = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x.view(np.int64))
+        return pa.RecordBatch.from_arrays([long(a), long(b), long(cell), pa.array(np.full(len(a), grid, np.int32))], names=["a", "b", "cell", "grid"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.uint64)
-        cell, fp, crowded = none, none, None
-
-        def finish(cell, fp):
-            sizes = np.unique(cell, return_counts=True)
-            much = np.isin(cell, sizes[0][sizes[1] > limit])
-            if much.any():
-                yield out(fp[much], None)
-                cell, fp = cell[~much], fp[~much]
-            if len(cell) > 1:
-                a, b = _close(cell, fp)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        crowded = None  # the cell whose members are passed on as they come
+
+        def split(fp, grid):
+            for key, i in _split(fp, grid, round_):
+                yield out(fp, None, key, i)
+
+        def finish(cell, grid, fp):
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sizes = np.diff(np.r_[starts, len(cell)])
+            for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+                if n > size and round_ < SPLITS and grid[s] >= 0:
+                    yield from split(fp[s : s + n], int(grid[s]))
+                else:
+                    a, b = _linked(fp[s : s + n])
+                    if len(a):
+                        yield out(a, b)
+            few = np.repeat(sizes <= FEW, sizes)
+            if few.any():
+                a, b = _small_cells(cell[few], fp[few])
                 if len(a):
                     yield out(*forest(a, b))
 
         for batch in batches:
-            new_cell, new_fp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in (0, 1))
-            if crowded is not None and len(new_cell):
-                same = new_cell == crowded
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cell, grid, fp = rows[0].astype(np.int64).view(np.uint64), rows[1], rows[2].astype(np.int64).view(np.uint64)
+            if crowded is not None and len(cell):
+                same = cell == crowded
                 if same.any():
-                    yield out(new_fp[same], None)
-                    new_cell, new_fp = new_cell[~same], new_fp[~same]
-            cell, fp = np.concatenate([cell, new_cell]), np.concatenate([fp, new_fp])
+                    yield from split(fp[same], int(grid[0]))
+                    cell, grid, fp = cell[~same], grid[~same], fp[~same]
             if not len(cell):
                 continue
             tail = np.flatnonzero(cell != cell[-1])
             cut = tail[-1] + 1 if len(tail) else 0
-            yield from finish(cell[:cut], fp[:cut])
-            cell, fp = cell[cut:], fp[cut:]
-            if len(cell) > limit:  # the rest of this cell needs no memory
-                yield out(fp, None)
-                crowded, cell, fp = cell[-1], none, none
-        yield from finish(cell, fp)
+            if cut or (held and held[0][0][0] != cell[0]):
+                parts = [*held, (cell[:cut], grid[:cut], fp[:cut])]
+                yield from finish(*(np.concatenate(x) for x in zip(*parts)))
+                held = []
+            held.append((cell[cut:], grid[cut:], fp[cut:]))
+            if sum(len(x[0]) for x in held) > size and round_ < SPLITS and grid[-1] >= 0:  # the rest of this cell needs no memory
+                yield from split(np.concatenate([x[2] for x in held]), int(grid[-1]))
+                crowded, held = cell[-1], []
+        if held:
+            yield from finish(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def _points_around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one = [1 << i for i in range(64)]
-    flips = np.array([0, *one, *(x | y for x, y in itertools.combinations(one, 2))], np.uint64)
-    for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for part in np.array_split(fps, max(1, len(fps) // 256)):
-            points = (part[:, None] ^ flips[None, :]).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(points.view(np.int64)), pa.array(np.repeat(part, len(flips)).view(np.int64))], names=["point", "fp"])
+def links(fps: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
+    """Links (a, b) whose closure is that of all pairs of distinct fingerprints within 4 bits."""
+    here, out = cells(fps), None
+    for round_ in range(SPLITS + 1):
+        found = here.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(cell_size, round_), "a bigint, b bigint, cell bigint, grid int")
+        found = materialise(found, "cell-links")
+        own = found.where("cell is null").select("a", "b")
+        out = own if out is None else out.unionByName(own)
+        here = found.where("cell is not null").select("cell", "grid", F.col("a").alias("fp"))
+        if here.isEmpty():
+            break
+    return out
 
 
-def links(fps: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Links (a, b) whose closure is that of all pairs of distinct fingerprints within 4 bits."""
-    found = cells(fps).repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_links(cell_limit), "a bigint, b bigint")
-    found = materialise(found, "cell-links")
-    crowd = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-    met = crowd.mapInArrow(_points_around, "point bigint, fp bigint").groupBy("point").agg(F.collect_set("fp").alias("fps"))  # at most 2,081 lie around a point
-    star = met.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b"))
-    return found.where("b is not null").unionByName(star)
-
-
-def _with_components(rows: DataFrame, cell_limit: int) -> DataFrame:
-    """rows with _x_root, the fingerprint that stands for the component, and component_id."""
-    per_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(per_fp.select("fp"), cell_limit))
-    linked = roots.join(per_fp, roots["node"] == per_fp["fp"]).select("fp", "root", "least")
+def _components(per_fp: DataFrame, cell_size: int) -> DataFrame:
+    """per_fp (materialised; fp, least, more columns) with root, the fingerprint that stands for the component, and component_id."""
+    roots = connected_components(links(per_fp.select("fp"), cell_size))
+    linked = materialise(roots.join(per_fp.select(F.col("fp").alias("node"), "least"), "node"), "linked")
     whole = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = linked.join(whole, "root").select("fp", "root", "component_id")
-    component = per_fp.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("_x_root"), F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(component, "fp")
+    moved = linked.join(whole, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    out = per_fp.join(moved, "fp", "left").withColumn("root", F.coalesce("root", "fp")).withColumn("component_id", F.coalesce("component_id", "least"))
+    return materialise(out, "fingerprint-components")
 
 
-def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row.
 
     Null text counts as empty; texts without words have fingerprint zero and are linked like others;
@@ -223,18 +274,22 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     so a component; an empty table gives no rows; other columns are ignored. Copies meet once, as one fingerprint.
     """
     rows = materialise(fingerprints(docs, "doc_id"), "fingerprints")
-    return _with_components(rows, cell_limit).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """One document of each component, that with the least doc_id (null ids last); all columns stay."""
-    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")))
-    tagged = docs.withColumn("_x_row", row)
-    rows = materialise(fingerprints(tagged, "doc_id", "_x_row"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_x_row"))
-    keep = _with_components(rows, cell_limit).groupBy("_x_root").agg(first.alias("first")).select(F.col("first._x_row").alias("_x_row"))
-    one = Window.partitionBy("_x_row").orderBy("_x_row")  # a row has several copies only where rows are repeated
-    return tagged.join(keep, "_x_row", "left_semi").withColumn("_x_rank", F.row_number().over(one)).where("_x_rank = 1").select(*docs.columns)
+    per_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    found = _components(per_fp, cell_size).select("fp", "component_id", "n")
+    return join_groups(rows, found, "fp", "n", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
+    """One document of each component, that with the least doc_id (null ids last); all columns stay, whatever their names."""
+    key, rank = unused(docs, "row_key", "row_rank")
+    bare = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
+    rows = materialise(fingerprints(bare, "doc_id", "key"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
+    per_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first")), "distinct-fingerprints")
+    keep = _components(per_fp, cell_size).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    tagged = docs.withColumn(key, row_key("doc_id", "text"))
+    one = Window.partitionBy(key).orderBy(key)  # a key has several rows only where rows are repeated
+    return tagged.join(keep, key, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*own_columns(docs))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """WARC archives: a writer of one gzip member per record and a reader that splits files anywhere.
 
-Writing: every payload's SHA-1 decides in Spark which page is the response of its group; tasks then
+Writing: every payload's digest decides in Spark which page is the response of its group; tasks then
 write archives into the shared folder under names of their own attempt, and the manifest of finished files
 is written as a table. Files of failed or repeated attempts are in no manifest and so are never read.
 
@@ -9,6 +9,11 @@ only if the bytes decode and begin with a WARC version line, and owns the record
 range; it reads past the end as far as its last record goes. After a member it goes on where that ended.
 Payloads are UTF-8 text, in which the magic can't occur, so stored deflate blocks can't imitate a member.
 
+Sizes and digests of responses are taken from the bytes that were read, and a payload or block that doesn't have its header's SHA-1
+raises an error, as does a range with other than the number of records that the manifest tells. A manifest of other archives
+may lack offsets, then records aren't counted. Ids are any text; page_id is the number in ids that the writer made. Of HTTP messages
+the payload is the body as it stands, whose digest isn't compared, since writers differ in whether they undo transfer codings first.
+
 Defined cases: null html counts as empty (an empty payload is a payload like any other); null page_id is
 written as an empty id, comes back null and refers to its group's first page like others; groups refer to their least non-null page_id, and rows that
 share it are all responses; a null url has no target line; an empty table gives no rows; other columns are ignored.
@@ -37,8 +42,13 @@ SPLIT_BYTES = 4 << 20
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _LEVEL = 4
 
-FILES = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
-RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
+#: Ranges that a read task takes.
+RANGES = 8
+
+FILES = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("offsets", pa.list_(pa.int64()))])
+RECORDS = pa.schema(
+    [("record_id", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]
+)
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -68,18 +78,43 @@ def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 _URL = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
 
+def _sha1(value: str | None) -> str | None:
+    """The SHA-1 of a digest header in upper-case base32; None for other kinds."""
+    kind, _, text = (value or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return base64.b32encode(bytes.fromhex(text)).decode() if len(text) == 40 else text.upper()
+
+
+def _page(ident: str | None) -> int | None:
+    """The page's number in an id that member() made."""
+    number = (ident or "").removeprefix("urn:page:")
+    return int(number) if ident and number != ident and number.lstrip("-").isdecimal() else None
+
+
 def record(raw: bytes) -> tuple | None:
-    """The row of a decoded member; None if it isn't a whole record."""
+    """The row of a decoded member; None if it isn't a whole record. Content that differs from its digest raises an error."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
     if not gap or not raw.startswith(_VERSION):
         return None
-    fields = dict(line.split(": ", 1) for line in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in line)
-    size = int(fields.get("Content-Length", -1))
-    if size < 0 or len(rest) < size:
+    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
+    fields = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+    length = fields.get("content-length", "")
+    if not length.isdecimal() or len(rest) < int(length):
         return None
-    number = lambda key: int(x) if (x := fields.get(key, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    url = fields.get("WARC-Target-URI")
-    return (number("WARC-Record-ID"), int(fields.get("X-Payload-Length", size)), fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), fields.get("WARC-Type"), number("WARC-Refers-To"), None if url is None else urllib.parse.unquote(url), rest[:size])
+    block, ident = rest[: int(length)], lambda key: fields[key].removeprefix("<").removesuffix(">") if key in fields else None
+    kind, told, http = fields.get("warc-type"), _sha1(fields.get("warc-payload-digest")), fields.get("content-type", "").startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    if (whole := _sha1(fields.get("warc-block-digest"))) and whole != sha1_base32(block):
+        raise ValueError(f"the block of record {ident('warc-record-id')} doesn't have its digest")
+    if kind == "revisit":
+        size, digest = int(fields.get("x-payload-length", len(payload))), told
+    else:
+        size, digest = len(payload), sha1_base32(payload)
+        if not http and told and told != digest:
+            raise ValueError(f"the payload of record {ident('warc-record-id')} doesn't have its digest")
+    url, own, first = fields.get("warc-target-uri"), ident("warc-record-id"), ident("warc-refers-to")
+    return own, _page(own), size, digest, kind, first, _page(first), None if url is None else urllib.parse.unquote(url), payload
 
 
 def responses(pages: DataFrame) -> DataFrame:
@@ -88,44 +123,45 @@ def responses(pages: DataFrame) -> DataFrame:
     Ids and digests find the group's first page (ids only, so a hot group is light and adaptive skew handling
     may split it); the payloads themselves are dealt by page, evenly.
     """
-    ids = materialise(pages.select("page_id", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("sha")).distinct(), "payload-digests")
+    digest = F.unhex(F.sha2("payload", 256))
+    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    ids = materialise(pages.select("page_id", digest.alias("sha")).distinct(), "payload-digests")
     first = ids.groupBy("sha").agg(F.min("page_id").alias("_first"))
     decided = ids.join(first, "sha").select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "_first")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     key = lambda page, sha: F.unhex(F.md5(F.concat(sha, F.coalesce(page.cast("string"), F.lit("")).cast("binary"))))
-    rows = rows.withColumn("_key", key(F.col("page_id"), F.unhex(F.sha1("payload"))))
+    rows = pages.withColumn("_key", key(F.col("page_id"), digest))
     return rows.join(decided.select(key(F.col("_page"), F.col("_sha")).alias("_key"), "_first"), "_key").drop("_key")
 
 
 def write_warc(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write one record per page; returns the manifest (path, bytes, records) of the archives."""
+    """Write one record per page; returns the manifest (path, bytes, records, offsets of the records) of the archives."""
     folder = folder or shared_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
         fs.create_dir(base, recursive=True)
-        out, done, size, count, raw = None, [], 0, 0, 0
+        out, size, offsets, raw = None, 0, [], 0
 
-        def close():
+        def closed():
             out.close()
-            done.append((f"{folder}/{name}", size, count))
+            return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "bytes": size, "records": len(offsets), "offsets": offsets}], FILES)
 
         for batch in batches:
             for page_id, url, payload, first in zip(*columns(batch, "page_id", "url", "payload", "_first")):
                 if out is None:
-                    name, size, count, raw = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0, 0
+                    name, size, offsets, raw = f"pages-{uuid.uuid4().hex}.warc.gz", 0, [], 0
                     out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 data = member(page_id, url, payload, first, first is not None and first != page_id)
                 out.write(data)
-                size, count, raw = size + len(data), count + 1, raw + len(payload)
+                offsets.append(size)
+                size, raw = size + len(data), raw + len(payload)
                 if raw >= archive_bytes:
-                    close()
+                    yield closed()
                     out = None
         if out is not None:
-            close()
-        yield from batches_of(iter(done), FILES)
+            yield closed()
 
-    files = responses(pages).select("page_id", "url", "payload", "_first").mapInArrow(run, "path string, bytes bigint, records bigint")
+    files = responses(pages).select("page_id", "url", "payload", "_first").mapInArrow(run, "path string, bytes bigint, records bigint, offsets array<bigint>")
     return materialise(files, "warc-manifest")
 
 
@@ -185,22 +221,32 @@ def split_records(file: pa.NativeFile, size: int, start: int, end: int) -> Itera
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the archives in a manifest (path, bytes), a task to a byte range."""
+    """The records of the archives in a manifest (path, bytes, and offsets if they are known), a task to RANGES byte ranges."""
     starts = F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")
-    ranges = files.where("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
-    ranges = ranges.repartition(ranges.sparkSession.sparkContext.defaultParallelism * 4, "path", "start")
+    known = F.col("offsets") if "offsets" in files.columns else F.lit(None).cast("array<bigint>")
+    ranges = files.where("bytes > 0").select("path", "bytes", known.alias("offsets"), F.explode(starts).alias("start"))
+    expected = F.when(F.col("offsets").isNotNull(), F.size(F.filter("offsets", lambda x: (x >= F.col("start")) & (x < F.col("start") + split_bytes))))
+    ranges = ranges.select("path", "bytes", "start", expected.alias("expected"))
+    total = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    parts = max(-(-total // RANGES), min(total, files.sparkSession.sparkContext.defaultParallelism * 4))
+    ranges = ranges.repartition(parts, "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for path, size, start in zip(*columns(batch, "path", "bytes", "start")):
+                for path, size, start, expected in zip(*columns(batch, "path", "bytes", "start", "expected")):
                     fs, place = open_fs(path)
+                    found = 0
                     with fs.open_input_file(place) as file:
-                        yield from split_records(file, size, start, min(size, start + split_bytes))
+                        for row in split_records(file, size, start, min(size, start + split_bytes)):
+                            found += 1
+                            yield row
+                    if expected is not None and found != expected:
+                        raise ValueError(f"{path} holds {found} records from byte {start} on, not {expected}")
 
         yield from batches_of(rows(), RECORDS, 256)
 
-    kinds = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary"
+    kinds = "record_id string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to_id string, refers_to bigint, url string, payload binary"
     return ranges.mapInArrow(run, kinds)
 
 

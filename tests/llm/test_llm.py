@@ -408,11 +408,48 @@ def test_records_at_every_cut():
         got = []
         for start in range(0, len(data), step):
             got += warc.split_records(io.BytesIO(data), len(data), start, min(len(data), start + step))
-        assert [(r[0], r[5], r[6]) for r in got] == pages
+        assert [(r[1], r[7], r[8]) for r in got] == pages
     assert list(warc.split_records(io.BytesIO(b"\x1f\x8b\x08junk" * 50), 350, 0, 350)) == []
     assert zlib.decompressobj(31).decompress(data).startswith(b"WARC/1.1\r\n")
 
 
+def standard_record(kind, ident, block, content="text/html", more=()):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{ident}>", "WARC-Date: 2020-01-01T00:00:00Z", *more, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def test_archives_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    ids = [f"urn:uuid:0000000{i}-1111-2222-3333-444444444444" for i in range(4)]
+    data = standard_record("warcinfo", ids[0], b"software: x", "application/warc-fields")
+    data += standard_record("response", ids[1], http, "application/http; msgtype=response", ["warc-target-uri: http://a/b", "WARC-Block-Digest: sha1:" + hashlib.sha1(http).hexdigest()])
+    data += standard_record("resource", ids[2], b"abc", more=["WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"abc")])
+    data += standard_record("revisit", ids[3], b"", more=[f"WARC-Refers-To: <{ids[1]}>", "WARC-Payload-Digest: sha1:" + warc.sha1_base32(b"<p>x</p>")])
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(str(tmp_path / "x.warc.gz"), len(data))], "path string, bytes bigint")
+    rows = {r["record_id"]: r for r in warc.read_warc(files, 100).collect()}
+    assert sorted(rows) == ids and all(r["page_id"] is None for r in rows.values())
+    assert bytes(rows[ids[1]]["payload"]) == b"<p>x</p>" and rows[ids[1]]["url"] == "http://a/b" and rows[ids[1]]["payload_digest"] == warc.sha1_base32(b"<p>x</p>")
+    assert rows[ids[3]]["refers_to_id"] == ids[1] and rows[ids[3]]["payload_digest"] == warc.sha1_base32(b"<p>x</p>")
+
+
+def test_changed_and_lost_records_are_errors(spark, tmp_path):
+    good = warc.member(1, None, b"page one", None, False)
+    text = zlib.decompress(good, 31)
+    for bad in (text.replace(b"page one", b"page two"), text.replace(b"urn:page:1", b"urn:uuid:1").replace(b"page one", b"page 0ne")):
+        with pytest.raises(ValueError, match="digest"):
+            list(warc.split_records(io.BytesIO(gzip.compress(bad)), 10**6, 0, 10**6))
+    files = warc.write_warc(spark.createDataFrame([(i, "u", "text %d" % i) for i in range(20)], "page_id bigint, url string, html string"))
+    path, size, offsets = files.select("path", "bytes", "offsets").first()
+    fs, place = warc.open_fs(path)
+    data = bytearray(fs.open_input_file(place).read())
+    data[offsets[0] + 12] ^= 255
+    (tmp_path / "broken.warc.gz").write_bytes(data)
+    broken = spark.createDataFrame([(str(tmp_path / "broken.warc.gz"), size, offsets)], "path string, bytes bigint, offsets array<bigint>")
+    with pytest.raises(Exception, match="records from byte|digest"):
+        warc.read_warc(broken).collect()
+
+
 def test_warc_of_awkward_pages(spark):
     rows = [(1, None, "a"), (None, "u", "a"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 300_000), (6, "u", "a"), (6, "u", "a"), (1, None, "a")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("payload", F.lit(1))
