@@ -2,40 +2,55 @@
 
 Unit vectors are cut into pairs of coordinates, each coded in four bits. The quantiser's loss weighs the
 part of the residual that is parallel to the vector more than the rest, because that part alone shifts large
-inner products. Codebooks are fitted on a bounded sample; every vector is coded. A scan adds up table entries,
-two codes to a look-up, for a block of queries against a block of codes; the best of each query go on to exact
-cosines of the original vectors in double precision.
+inner products. A coarse partition deals the vectors to cells, each cell to blocks of bounded size. A block with its codes and
+vectors stays where it is, and the queries that look into its cell stream past: a scan adds up table entries, two codes to a
+look-up, and the best of each query are compared at once by exact cosines of the original vectors in double precision, so that a
+block passes on k rows a query.
 
-Copies: of equal vectors the k + 1 smallest distinct ids are candidates, each with at most k of its rows (and coded once), since others can't be among the k
+Codebooks and centroids are fitted on a bounded sample (SAMPLE_BYTES); every vector is coded. How many cells a query looks into
+is fitted, too: so many that PROBED of the pairs of near neighbours in the sample are found. Near neighbours in the sample are
+further apart than those among all vectors, so this errs to the safe side.
+
+Copies: of equal vectors the k + 1 smallest distinct ids are candidates, each with at most k of its rows, since others can't be among the k
 nearest of any query (equal score, larger id). That is a partial top-k before the shuffle, so a vector that
 a third of the rows share is harmless, and copies can't crowd other vectors out of a shortlist.
 
-Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, neither
-do those of another length than the most frequent one (ties: the longer); null ids take no part; fewer than k candidates: all
-of them; rows of one id: none is a candidate of the others; no vectors: no rows; other columns are ignored.
+Defined cases: vectors that are null, empty, zero or hold null, NaN or infinite components take no part; null ids take no part;
+vectors of each length are searched by themselves, one length after the other; lengths of components don't matter, large or small (vectors are
+scaled by powers of two); fewer than k candidates: all of them; rows of one id: none is a candidate of the others; repeated
+rows of a query give its rows once; no vectors: no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
 
-#: Vectors that the codebooks are fitted on, at most; chosen by the hash of their ids.
-SAMPLE = 20_000
-#: Candidates of a query that are compared exactly.
+#: Bytes of the vectors that codebooks and centroids are fitted on, at most; chosen by the hash of their ids.
+SAMPLE_BYTES = 10_240_000
+#: Candidates of a query in a block that are compared exactly.
 SHORTLIST = 256
-QUERY_BLOCK, CODE_BLOCK, CHUNK = 1024, 32_768, 2048
+#: Vectors of a cell, on average, and bytes of the vectors of a block.
+CELL, BLOCK_BYTES = 32_768, 64 << 20
+#: Sample vectors to a centroid, at least.
+TO_A_CENTROID = 16
+#: Share of the sample's pairs of near neighbours that the probed cells must hold.
+PROBED = 0.98
+#: Bytes of the tables, and number of codes, that are worked on at once.
+TABLE_BYTES, CHUNK = 16 << 20, 2048
 #: Cosine from which inner products matter; sets the weight of the parallel residual.
 THRESHOLD = 0.2
 CENTRES, ROUNDS, PASSES = 16, 8, 2
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
 @dataclass
@@ -73,6 +88,12 @@ class Quantiser:
                 total = other + along[:, m]
         return codes
 
+    def packed(self, unit: np.ndarray) -> np.ndarray:
+        """Codes of two subspaces to a byte."""
+        codes = self.encode(unit)
+        codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
+        return codes[:, 0::2] << 4 | codes[:, 1::2]
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """Integer inner products of queries with the centres of two subspaces each: queries x pairs x 256."""
         one = np.einsum("qmd,mkd->qmk", self.split(unit.astype(np.float32)), self.centres)
@@ -111,89 +132,171 @@ def fit(unit: np.ndarray, threshold: float = THRESHOLD, seed: int = 7) -> Quanti
     return q
 
 
+@dataclass
+class Coarse:
+    """Centroids of the cells, and the number of cells that a query looks into."""
+
+    centroids: np.ndarray
+    probes: int = 1
+
+    def closest(self, unit: np.ndarray, n: int = 1) -> np.ndarray:
+        """The n cells of each vector with the largest inner products, best first."""
+        return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, :n]
+
+
+def partition(unit: np.ndarray, cells: int, k: int = 5, seed: int = 11) -> Coarse:
+    """Spherical k-means, and as many probes as find PROBED of the pairs of near neighbours in the sample."""
+    cells = max(1, min(cells, len(unit) // TO_A_CENTROID))
+    rng = np.random.default_rng(seed)
+    coarse = Coarse(unit[rng.choice(len(unit), cells, replace=False)])
+    for _ in range(ROUNDS if cells > 1 else 0):
+        own = coarse.closest(unit)[:, 0]
+        sums = np.zeros_like(coarse.centroids)
+        np.add.at(sums, own, unit)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        coarse.centroids = np.where(size > 0, sums / np.maximum(size, 1e-300), coarse.centroids)
+    if cells > 1:
+        own, asked = coarse.closest(unit)[:, 0], rng.choice(len(unit), min(512, len(unit)), replace=False)
+        near = unit[asked] @ unit.T
+        near[np.arange(len(asked)), asked] = -2
+        near = np.argpartition(-near, min(k, len(unit) - 2), axis=1)[:, :k]
+        order = coarse.closest(unit[asked], cells)
+        place = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], own[near]]
+        coarse.probes = int(np.quantile(place, PROBED, method="higher")) + 1
+    return coarse
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, norm): vectors of the most frequent length that have a direction, as doubles."""
+    """(vec_id, v, norm): vectors that have a direction, as doubles, scaled by a power of two so that no square over- or underflows."""
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0))
-    rows = rows.where(~bad).withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    rows = materialise(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    return rows.where(F.size("v") == (sizes["dims"] if sizes else 0))
+    rows = rows.where(~bad).withColumn("top", F.array_max(F.transform("v", F.abs))).where("top > 0")
+    scale = F.pow(F.lit(2.0), -F.greatest(F.least(F.floor(F.log2("top")), F.lit(1000)), F.lit(-1000)).cast("double"))
+    rows = rows.withColumn("scale", scale).select("vec_id", F.transform("v", lambda x: x * F.col("scale")).alias("v"))
+    return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+
+
+def _matrix(v: pa.Array | pd.Series) -> np.ndarray:
+    if isinstance(v, pa.Array):
+        return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+    return np.stack([np.asarray(a, np.float64) for a in v])
 
 
-def _unit(v: pa.ChunkedArray | pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(a, np.float64) for a in v])
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, shortlist: int = SHORTLIST, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k candidates found nearest to each row that is_query (a Column) picks."""
-    spark = vectors.sparkSession
-    rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
-    if not len(picked):
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    quantiser = fit(_unit(picked))
-    # k + 1 distinct ids of equal vectors, each with at most k of its repeated rows (more can't be among the k nearest)
-    again = Window.partitionBy("v", "vec_id").orderBy("vec_id")
-    same = Window.partitionBy("v").orderBy("vec_id")
-    candidates = rows.withColumn("time", F.row_number().over(again)).where(F.col("time") <= k).withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1).drop("place")
-
-    def encode(batches):
-        for pdf in batches:
-            if len(pdf):
-                codes = quantiser.encode(_unit(pdf["v"]))
-                codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-                packed = codes[:, 0::2] << 4 | codes[:, 1::2]
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "code": [r.tobytes() for r in packed]})
-
-    codes = materialise(candidates.where("time = 1").select("vec_id", "v").mapInPandas(encode, "vec_id bigint, code binary"), "codes")
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v", "norm")
-    # hashed blocks: as many as give each the size named above
-    q_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    c_blocks = max(1, math.ceil(codes.count() / CODE_BLOCK))
-    block = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    left = queries.select(block("query_id", q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"), "query_id", "v")
-    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), block("vec_id", c_blocks).alias("cb"), "vec_id", "code")
-
-    def scan(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "close": []}).astype(np.int64)
-        c = c.sort_values("vec_id", kind="stable")  # so that of equal sums the smaller id goes first
-        ids = c["vec_id"].to_numpy()
-        code = np.frombuffer(b"".join(c["code"]), np.uint8).reshape(len(c), -1)
-        out = []
-        for q0 in range(0, len(q), CHUNK):
-            part = q.iloc[q0 : q0 + CHUNK]
-            tables = quantiser.tables(_unit(part["v"]))
-            own = part["query_id"].to_numpy()
-            best = np.empty((len(part), 0), np.int64)
-            for c0 in range(0, len(code), CHUNK):
-                at = code[c0 : c0 + CHUNK]
-                total = np.zeros((len(part), len(at)), np.int64)
+ROWS = "cell int, block int, asks boolean, id bigint, row bigint, v array<double>, norm double"
+FOUND = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+class Block:
+    """Vectors of one block, ready to be asked."""
+
+    def __init__(self, quantiser: Quantiser, ids: np.ndarray, v: np.ndarray, norm: np.ndarray):
+        order = np.argsort(ids, kind="stable")  # so that of equal sums the smaller id goes first
+        self.quantiser, self.ids, self.v, self.norm = quantiser, ids[order], v[order], norm[order]
+        self.code = np.concatenate([quantiser.packed(_unit(self.v[i : i + CHUNK])) for i in range(0, len(ids), CHUNK)])
+
+    def ask(self, own: np.ndarray, row: np.ndarray, v: np.ndarray, norm: np.ndarray, k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
+        """The k best of each query by exact cosines of a shortlist that the codes choose."""
+        step = max(16, min(1024, TABLE_BYTES // (self.code.shape[1] * 1024)))
+        for q in range(0, len(own), step):
+            part = slice(q, q + step)
+            tables = self.quantiser.tables(_unit(v[part]))
+            best = np.empty((len(tables), 0), np.int64)
+            for c in range(0, len(self.ids), CHUNK):
+                at = self.code[c : c + CHUNK]
+                total = np.zeros((len(tables), len(at)), np.int64)
                 for m in range(at.shape[1]):
                     total += np.take(tables[:, m], at[:, m], axis=1)
-                total = (total << 20) | (len(code) - 1 - (c0 + np.arange(len(at))))  # no ties
-                total[own[:, None] == ids[c0 : c0 + CHUNK][None, :]] = np.iinfo(np.int64).min
+                total = (total << 32) | (len(self.ids) - 1 - (c + np.arange(len(at))))  # no ties
+                total[own[part, None] == self.ids[None, c : c + CHUNK]] = np.iinfo(np.int64).min
                 best = np.concatenate([best, total], 1)
                 if best.shape[1] > shortlist:
                     best = np.partition(best, best.shape[1] - shortlist, axis=1)[:, -shortlist:]
-            who, where = np.nonzero(best != np.iinfo(np.int64).min)
-            key = best[who, where]
-            out.append(pd.DataFrame({"query_id": own[who], "vec_id": ids[len(code) - 1 - (key & ((1 << 20) - 1))], "close": key >> 20}))
-        return pd.concat(out)
-
-    scanned = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(scan, "query_id bigint, vec_id bigint, close bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("close"), "vec_id")
-    short = scanned.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).drop("place", "close")
-    exact = (
-        short.join(queries.distinct(), "query_id")
-        .join(candidates.select("vec_id", F.col("v").alias("w"), F.col("norm").alias("w_norm")), "vec_id")
-        .withColumn("score", F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) / (F.col("norm") * F.col("w_norm")))
-    )
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            place = len(self.ids) - 1 - (best & ((1 << 32) - 1))
+            known = best != np.iinfo(np.int64).min
+            place[~known] = 0
+            score = np.zeros(place.shape)
+            for d in range(v.shape[1]):  # component by component, so that equal vectors have equal sums
+                score += v[part, d, None] * self.v[place, d]
+            score = np.where(known, score / (norm[part, None] * self.norm[place]), -np.inf)
+            order = np.lexsort((self.ids[place], -score), axis=1)[:, :k]
+            who, at = np.nonzero(np.take_along_axis(known, order, 1))
+            at = order[who, at]
+            yield pa.RecordBatch.from_arrays([own[part][who], row[part][who], self.ids[place[who, at]], score[who, at]], schema=FOUND)
+
+
+def _scan(quantiser: Quantiser, k: int, shortlist: int):
+    """Over rows sorted by cell, block and asks: a block's vectors come first and stay, its queries stream past."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, block = None, [], None
+        for batch in batches:
+            where = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
+            cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if s == e:
+                    continue
+                if here != (place := tuple(where[:2, s].tolist())):
+                    here, held, block = place, [], None
+                part = batch.slice(s, e - s)
+                ids, row, norm = (part.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 6))
+                v = _matrix(part.column(5))
+                if not where[2, s]:
+                    held.append((ids, v, norm))
+                elif block or held:
+                    if held:
+                        block, held = Block(quantiser, *map(np.concatenate, zip(*held))), []
+                    yield from block.ask(ids, row, v, norm, k, shortlist)
+
+    return run
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, shortlist: int, cell: int) -> DataFrame:
+    """nearest() for vectors of one length."""
+    spark = rows.sparkSession
+    dims = len(rows.select("v").first()["v"])
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, SAMPLE_BYTES // (8 * dims))).select("v").toPandas()["v"]
+    unit = np.unique(_unit(_matrix(picked)), axis=0)  # copies would make neighbours look nearer than they are
+    # k + 1 distinct ids of equal vectors, each with at most k of its repeated rows (more can't be among the k nearest)
+    again = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    same = Window.partitionBy("v").orderBy("vec_id")
+    candidates = rows.withColumn("time", F.row_number().over(again)).where(F.col("time") <= k).withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1).drop("time", "place")
+    quantiser = fit(unit)
+    coarse = partition(unit, -(-rows.count() // cell), k)
+
+    def dealt(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = coarse.closest(_unit(_matrix(batch.column(1))), n).astype(np.int32)
+                who = pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([*batch.take(who).columns, pa.array(cells.ravel())], names=[*batch.schema.names, "cell"])
+
+        return run
+
+    schema = "vec_id bigint, v array<double>, norm double, cell int"
+    stays = materialise(candidates.select("vec_id", "v", "norm").mapInArrow(dealt(1), schema), "cells")
+    asks = rows.where(is_query).select("vec_id", "v", "norm").dropDuplicates(["vec_id", "v"]).mapInArrow(dealt(coarse.probes), schema)
+    # blocks of each cell: a row for each of the cells, whose number the sample bounds
+    sizes = {r["cell"]: -(-r["count"] * 8 * dims // BLOCK_BYTES) for r in stays.groupBy("cell").count().collect()}
+    blocks = F.broadcast(spark.createDataFrame(list(sizes.items()), "cell int, blocks int"))
+    mark = F.xxhash64("vec_id", "v")
+    stays = stays.join(blocks, "cell").select("cell", F.pmod(mark, F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), F.lit(0).cast("bigint").alias("row"), "v", "norm")
+    asks = asks.join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), F.col("vec_id").alias("id"), mark.alias("row"), "v", "norm")
+    together = stays.unionByName(asks).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    found = together.mapInArrow(_scan(quantiser, k, shortlist), "query_id bigint, query_row bigint, vec_id bigint, score double")
+    final = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = SHORTLIST, cell: int = CELL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k candidates found nearest to each row that is_query (a Column) picks."""
+    rows = materialise(usable(vectors), "vectors")
+    lengths = [r["dims"] for r in rows.groupBy(F.size("v").alias("dims")).count().orderBy("dims").collect()]
+    parts = [_nearest(rows.where(F.size("v") == n), is_query, k, shortlist, cell) for n in lengths]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], RESULT)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import io
 import itertools
 import json
+import math
 import random
 import re
 import zlib
@@ -363,23 +364,71 @@ def test_simhash_equals_brute_force(spark, awkward, empty):
 # 9
 
 
-def test_nearest_recall_and_order(spark):
-    rows = table(spark, DATA, "embeddings").collect()
+def recall(spark, data, **how):
+    """Share of the true five nearest that are found; their order and scores are checked."""
+    rows = table(spark, data, "embeddings").collect()
     ids = np.array([r["vec_id"] for r in rows])
     v = np.array([r["embedding"] for r in rows], float)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     found = {}
-    for r in nearest.nearest(table(spark, DATA, "embeddings"), F.col("vec_id") % 50 == 0, shortlist=64).collect():
+    for r in nearest.nearest(table(spark, data, "embeddings"), F.col("vec_id") % 50 == 0, **how).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    hits = 0
+    assert set(found) == {int(i) for i in ids if i % 50 == 0}
+    hits, at = 0, {int(d): i for i, d in enumerate(ids)}
     for q, got in found.items():
-        s = v @ v[ids == q][0]
+        s = v @ v[at[q]]
         s[ids == q] = -9
         best = ids[np.lexsort((ids, -s))][:5]
         hits += len(set(best) & {x for _, x, _ in got})
         got.sort()
         assert [x[0] for x in got] == [1, 2, 3, 4, 5] and all(a[2] >= b[2] for a, b in zip(got, got[1:]))
-    assert hits / (5 * len(found)) >= 0.9
+        assert all(x[2] == pytest.approx(s[at[x[1]]], abs=1e-12) for x in got)
+    return hits / (5 * len(found))
+
+
+def test_nearest_recall(spark):
+    assert recall(spark, DATA) >= 0.99  # the shortlist of the registered query
+    assert recall(spark, DATA, shortlist=64) >= 0.9
+    assert recall(spark, "/root/testdata/sf0.1", cell=100) >= 0.95  # many cells
+
+
+def test_probes_find_near_neighbours():
+    rng = np.random.default_rng(2)
+    unit = rng.normal(0, 1, (6000, 16)) + 3 * rng.normal(0, 1, (12, 16))[rng.integers(0, 12, 6000)]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    coarse = nearest.partition(unit[:3000], 24)
+    assert 1 <= coarse.probes < 24
+    own = coarse.closest(unit)[:, 0]
+    near = unit[:300] @ unit.T
+    near[np.arange(300), np.arange(300)] = -2
+    near = np.argsort(-near, axis=1)[:, :5]
+    looked = coarse.closest(unit[:300], coarse.probes)
+    assert np.mean([own[n] in looked[i] for i in range(300) for n in near[i]]) >= 0.95
+
+
+def test_nearest_of_many_lengths_and_sizes(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3 + i % 3)]) for i in range(300)]
+    rows += [(1000, [3e200, 4e200, 0.0]), (1001, [3e-200, 4e-200, 0.0]), (1002, [5e-324, 0.0, 0.0])]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    cut = lambda v: [x * 2.0 ** (-600 if max(map(abs, v)) > 1e100 else 600 if max(map(abs, v)) < 1e-100 else 0) for x in v]
+    vectors = {i: np.array(cut(v)) for i, v in rows}
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
+    for q, found in got.items():
+        cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+        want = sorted((-cos(vectors[q], w), i) for i, w in vectors.items() if i != q and len(w) == len(vectors[q]))[:5]
+        assert [x[1] for x in sorted(found)] == [i for _, i in want]
+    assert sorted(got[1000])[0][1:] == (1001, pytest.approx(1.0))
+
+
+def test_one_id_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK_BYTES", 8 * 2 * 50)
+    rows = [(7, [math.cos(i / 500), math.sin(i / 500)]) for i in range(600)] + [(0, [1.0, 0.001])]
+    got = nearest.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    scores = sorted((-(math.cos(i / 500) + 0.001 * math.sin(i / 500)) / math.hypot(1, 0.001) for i in range(600)))[:5]
+    assert [r["vec_id"] for r in got] == [7] * 5 and [-r["score"] for r in got] == pytest.approx(scores, abs=1e-12)
 
 
 def test_nearest_of_awkward_vectors(spark):
