@@ -293,6 +293,104 @@ def test_all_compressed_bytes_are_unpacked():
             assert found == [(2, len(text) - 2)] if whole else len(found) == 1, text
 
 
+def test_wrapped_base64_is_one_token():
+    secret = b"some filler before it, and then: password=hunter2222 and more text after it to fill lines"
+    for width, end in ((16, "\n"), (20, "\r\n"), (19, "\n    ")):
+        code = base64.b64encode(secret).decode()
+        text = "begin " + end.join(code[i : i + width] for i in range(0, len(code), width)) + " end"
+        (kind, s, e), *others = secrets.scan(text)[1]
+        assert kind == "assign@base64" and not others
+        assert base64.b64decode(re.sub(r"\s", "", text[s:e])[-4 * (len(text[s:e]) // 8) :][:4])  # inside the token
+        assert text.index(" ") < s < e < text.rindex(" ")
+    assert [k for k, *_ in secrets.scan("averylongfirstword\n" + base64.encodebytes(secret).decode())[1]] == ["assign@base64"]
+
+
+def test_bombs_are_scanned_in_windows():
+    import resource
+
+    bomb = gzip.compress(gzip.compress(b"\0" * (150 << 20) + b" password=hunter2222 " + b"\0" * (150 << 20)))
+    code = base64.b64encode(bomb).decode().rstrip("=")
+    text = f"x {code} y"
+    assert len(text) < 3000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert secrets.scan(text)[1] == [("assign@base64.zip.zip", 2, len(text) - 2)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+
+
+def test_what_unpacks_to_too_much_is_reported(monkeypatch):
+    monkeypatch.setattr(secrets, "BOMB", 1 << 20)
+    text = "x " + base64.b64encode(gzip.compress(b"a b" * (1 << 20))).decode() + " password=hunter2222"
+    base, more = secrets.scan(text)
+    assert [k for k, *_ in base] == ["assign"] and [k for k, *_ in more] == ["bomb@base64.zip"]
+
+
+def test_windows_cut_nothing(monkeypatch):
+    monkeypatch.setattr(secrets, "WINDOW", 300)
+    monkeypatch.setattr(secrets, "OVERLAP", 80)
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    rng = random.Random(4)
+    for n in range(60):
+        filler = "".join(rng.choice("abcde fgh") for _ in range(rng.randint(0, 900)))
+        inner = base64.b64encode(b"see password=hunter2222").decode() if n % 2 else "password=hunter2222"
+        data = gzip.compress((filler + " " + inner + " " + filler[::-1]).encode())
+        found = {k for k, *_ in secrets.scan(base64.b64encode(data).decode())[1]}
+        assert found == {"assign@base64.zip" + ".base64" * (n % 2)}
+    token = base64.b64encode(b"filler " * 200 + b"password=hunter2222" + b" filler" * 200).decode()
+    assert {k for k, *_ in secrets.scan(base64.b64encode(gzip.compress(token.encode())).decode())[1]} == {"assign@base64.zip.base64"}
+
+
+def test_long_runs_take_little_time():
+    import time
+
+    n = 1_000_000
+    for text in ("a" * n + "%41", "%41" + "漢" * n, "\\u0041" + "b" * n, "%25" + "25" * (n // 2) + "41", "\\u005c" + "u005c" * (n // 5), "%41" * (n // 3), "QUJD" * (n // 4), ("QUJD" * 19 + "\n") * (n // 80), "password" + " " * n):
+        start = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - start < 20, text[:20]
+
+
+WRAPS = {"url": lambda b: quote(b, safe="").encode(), "unicode": lambda b: "".join(f"\\x{c:02x}" for c in b).encode(), "base64": base64.b64encode, "lines": lambda b: base64.encodebytes(b).strip(), "gzip": gzip.compress, "zlib": zlib.compress}
+
+
+def slow_layers(data):
+    """Every layer of bytes that some unwrapping gives, without spans, by plain recursion."""
+    seen, todo = set(), [data]
+    while todo:
+        data = todo.pop()
+        if data in seen:
+            continue
+        seen.add(data)
+        todo.append(re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), data))
+        todo.append(re.sub(rb"\\x([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), data))
+        for m in re.finditer(rb"[A-Za-z0-9+/]{16,}(?:\n[A-Za-z0-9+/]+)*={0,2}", data):
+            whole = m[0].replace(b"\n", b"").rstrip(b"=")
+            todo += [base64.b64decode(x + b"=" * (-len(x) % 4)) for x in (whole, m[0].split(b"\n")[0].rstrip(b"=")) if len(x) % 4 != 1]
+        for m in re.finditer(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]", data):
+            try:
+                todo.append(zlib.decompressobj(47).decompress(data[m.start() :]))
+            except zlib.error:
+                pass
+    return seen
+
+
+def test_layers_equal_a_slow_search():
+    rng = random.Random(8)
+    pattern = re.compile(rb"password=[A-Za-z0-9]{6,}")
+    for n in range(300):
+        data = b" ".join(rng.choice((b"some words", b"100%", b"caf\xc3\xa9", b"a\\b", b"password=ab")) for _ in range(rng.randint(0, 4)))
+        data += b" password=hunter%d " % rng.randint(1000, 9999) if n % 4 else b" password = ***** "
+        chain = [rng.choice(list(WRAPS)) for _ in range(rng.randint(1, 4))]
+        for name in chain:
+            data = WRAPS[name](data)
+        if chain[-1] in ("gzip", "zlib"):
+            data = WRAPS[rng.choice(("url", "unicode", "base64", "lines"))](data)
+        text = "start " + data.decode() + " stop"
+        base, more = secrets.scan(text)
+        slow = any(pattern.search(x) for x in slow_layers(text.encode()))
+        assert slow == any(k.startswith("assign") for k, *_ in base + more), (chain, text)
+        assert all(6 <= s < e <= len(text) - 5 for _, s, e in more)
+
+
 def test_secrets_equal_brute_force(spark, awkward, empty):
     docs = {r["doc_id"]: r["text"] for r in table(spark, DATA, "documents").collect()}
     pattern = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
