@@ -8,13 +8,15 @@ epoch in an order of its own, and takes exactly its budget (whole tokens, rounde
 taken in part (take_tokens < n_tokens).
 
 Tokens are runs of characters other than [\\x20\\x09-\\x0D]. The texts are read once; budgets come from sums by
-leaf. Only a leaf's unfinished epoch needs an order; its running sums are taken in 4,096 buckets of the order's
-hash, so no leaf is ever gathered in a task, whatever it holds.
+leaf. Only a leaf's unfinished epoch needs an order, that of a hash of seed, epoch, id and text. Rows that agree in all of these stand
+next to each other, so they are counted first and placed together; running sums are taken in 4,096 buckets of the
+hash, so no leaf is ever gathered in a task, whatever it holds. Likewise the children of a node are summed up by their ratio of capacity to weight, and
+running sums over ratios are taken in steps of the ratio's logarithm.
 
 Defined cases: null text counts as empty; null language or source is a leaf named 'unknown'; weights that are not
 positive get nothing; a budget beyond the whole capacity takes everything; a document without tokens is taken where the stream
-hasn't reached the budget at its place (always in full epochs); rows of one doc_id are ordered by their tokens; an
-empty table gives no rows; other columns are ignored.
+hasn't reached the budget at its place (always in full epochs); an
+empty table gives no rows; other columns are ignored, unless domain_column names one.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, own_columns, row_key, table, unused
 
 LEAF = ("domain", "lang", "source")
 
@@ -33,7 +35,7 @@ LEAF = ("domain", "lang", "source")
 class Mix:
     """budget: share of the corpus's tokens; weights by name on each level, with a default for other names.
 
-    Domains are ranges of the first hex digit of the source's MD5, for tables without a column domain.
+    domain_column names the documents' domain (null: 'unknown'). Without one, domains are ranges of the first hex digit of the source's MD5.
     """
 
     budget: float = 0.75
@@ -44,9 +46,12 @@ class Mix:
     lang_weights: dict[str, float] = field(default_factory=lambda: {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1})
     source_weights: dict[str, float] = field(default_factory=lambda: {"src0": 2.0})
     default_weight: float = 1.0
+    domain_column: str | None = None
 
     def domain(self) -> Column:
-        digit, out = F.substring(F.md5(F.col("source").cast("binary")), 1, 1), F.lit(None)
+        if self.domain_column:
+            return F.coalesce(F.col(self.domain_column).cast("string"), F.lit("unknown"))
+        digit, out = F.substring(F.md5(F.coalesce(F.col("source"), F.lit("unknown")).cast("binary")), 1, 1), F.lit(None)
         for name, beyond in reversed(self.domains):
             out = F.when(digit < beyond, F.lit(name)).otherwise(out)
         return out
@@ -59,22 +64,37 @@ class Mix:
         return out
 
 
-def fill(children: DataFrame, parents: list[str], name: str) -> DataFrame:
+#: Steps to a doubling of the ratio of capacity to weight.
+STEPS = 64
+
+
+def fill(children: DataFrame, parents: list[str]) -> DataFrame:
     """Split each parent's budget among its children; adds share.
 
-    children: parents, name, capacity, weight (positive), budget (the parent's). Children are saturated in order of capacity
-    per weight; the others share what is left by weight.
+    children: parents, capacity, weight (positive), budget (the parent's). Children are saturated in order of capacity
+    per weight, equal ones together; the others share what is left by weight.
     """
-    family = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
+    rows = children if parents else children.withColumn("_all", F.lit(0))
+    keys = parents or ["_all"]
     ratio = F.col("capacity") / F.col("weight")
-    order = family.orderBy("_ratio", name)
-    before = F.coalesce(F.sum("capacity").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = children.withColumn("_ratio", ratio).withColumn("_full", (F.col("budget") - before) / ahead >= F.col("_ratio"))
-    left = F.col("budget") - F.sum(F.when(F.col("_full"), F.col("capacity")).otherwise(0)).over(family)
-    others = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("weight"))).over(family)
-    share = F.when(F.col("_full"), F.col("capacity").cast("double")).otherwise(left * F.col("weight") / others)
-    return rows.withColumn("share", share).drop("_ratio", "_full", "budget")
+    rows = rows.withColumn("_ratio", ratio).withColumn("_step", F.floor(F.log2("_ratio") * STEPS))
+    ratios = rows.groupBy(*keys, "_step", "_ratio").agg(F.sum("capacity").alias("_c"), F.sum("weight").alias("_w"), F.first("budget").alias("_b"))
+    line = Window.partitionBy(*keys).orderBy("_step")
+    inside = Window.partitionBy(*keys, "_step").orderBy("_ratio")
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = ratios.groupBy(*keys, "_step").agg(F.sum("_c").alias("_c"), F.sum("_w").alias("_w"))
+    steps = steps.select(*keys, "_step", before(line).alias("_below"), F.coalesce(F.sum("_w").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_above"))
+    placed = ratios.join(steps, [*keys, "_step"])
+    ahead = F.col("_above") + F.sum("_w").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    placed = placed.withColumn("_full", (F.col("_b") - F.col("_below") - before(inside)) / ahead >= F.col("_ratio"))
+    level = placed.groupBy(*keys).agg(
+        F.max(F.when(F.col("_full"), F.col("_ratio"))).alias("_top"),
+        (F.first("_b") - F.sum(F.when(F.col("_full"), F.col("_c")).otherwise(0))).alias("_left"),
+        F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("_w"))).alias("_others"),
+    )
+    full = F.coalesce(F.col("_ratio") <= F.col("_top"), F.lit(False))
+    share = F.when(full, F.col("capacity").cast("double")).otherwise(F.col("_left") * F.col("weight") / F.col("_others"))
+    return rows.join(level, keys).withColumn("share", share).select(*(c for c in children.columns if c != "budget"), "share")
 
 
 def leaf_budgets(supply: DataFrame, mix: Mix) -> DataFrame:
@@ -90,46 +110,52 @@ def leaf_budgets(supply: DataFrame, mix: Mix) -> DataFrame:
         keys, parents = list(LEAF[: depth + 1]), list(LEAF[:depth])
         nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.first(f"w_{level}").alias("weight"))
         nodes = nodes.join(above, parents) if parents else nodes.withColumn("budget", F.lit(float(min(tokens, room))))
-        above = fill(nodes, parents, level).select(*keys, F.col("share").alias("budget"))
+        above = fill(nodes, parents).select(*keys, F.col("share").alias("budget"))
     return above.select(*LEAF, F.floor(F.col("budget") + 1e-6).cast("bigint").alias("budget"))
 
 
 def counted(docs: DataFrame, mix: Mix, *keep: str) -> DataFrame:
-    """The kept columns, the leaf and n_tokens of every row, written once."""
+    """The kept columns, the leaf, n_tokens and mark (a hash of the text) of every row, written once."""
     name = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    rows = docs.select(*keep, name("lang").alias("lang"), name("source").alias("source"), tokens.alias("n_tokens"), *(["domain"] if "domain" in docs.columns else []))
-    own = F.coalesce(F.col("domain"), F.lit("unknown")) if "domain" in docs.columns else mix.domain()
-    return materialise(rows.withColumn("domain", own), "counted")
+    text = F.coalesce("text", F.lit(""))
+    tokens = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
+    return materialise(docs.select(*keep, mix.domain().alias("domain"), name("lang").alias("lang"), name("source").alias("source"), tokens.alias("n_tokens"), F.md5(text.cast("binary")).alias("mark")), "counted")
 
 
 def mix_sources(docs: DataFrame, mix: Mix | None = None, *keep: str) -> DataFrame:
     """doc_id (and kept columns), leaf, epoch, n_tokens, take_tokens: a row for each time a document is read."""
     mix = mix or Mix()
     rows = counted(docs, mix, "doc_id", *keep)
-    supply = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+    supply = materialise(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "supply")
     plan = supply.join(leaf_budgets(supply, mix), list(LEAF)).where("budget > 0")
     plan = materialise(plan.select(*LEAF, F.expr("cast(budget div tokens as int)").alias("full"), (F.col("budget") % F.col("tokens")).alias("rest")), "mix-plan")
     planned = rows.join(plan, list(LEAF))
     whole = planned.where("full > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("full") - 1))).withColumn("take_tokens", F.col("n_tokens"))
-    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "mark").cast("binary"))
     part = planned.where("rest > 0").withColumn("_key", key).withColumn("_bucket", F.substring("_key", 1, 3))
-    sums = part.groupBy(*LEAF, "_bucket").agg(F.sum("n_tokens").alias("_sum"))
+    part = part.groupBy("doc_id", *keep, *LEAF, "n_tokens", "full", "rest", "_key", "_bucket").agg(F.count(F.lit(1)).alias("_times"))
+    part = part.withColumn("_all_tokens", F.col("n_tokens") * F.col("_times"))
+    sums = part.groupBy(*LEAF, "_bucket").agg(F.sum("_all_tokens").alias("_sum"))
     up_to = Window.partitionBy(*LEAF).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows a leaf at most
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(up_to), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*LEAF, "_bucket").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = part.join(starts, [*LEAF, "_bucket"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    prefix = placed.where("_before < rest").withColumn("epoch", F.col("full")).withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("_before")))
+    placed = part.join(starts, [*LEAF, "_bucket"]).withColumn("_before", F.col("_start") + F.coalesce(F.sum("_all_tokens").over(inside), F.lit(0)))
+    placed = placed.where("_before < rest").withColumn("_time", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
+    placed = placed.withColumn("_before", F.col("_before") + F.col("_time") * F.col("n_tokens")).where("_before < rest")
+    prefix = placed.withColumn("epoch", F.col("full")).withColumn("take_tokens", F.least("n_tokens", F.col("rest") - F.col("_before")))
     out = ("doc_id", *LEAF, "epoch", "n_tokens", "take_tokens", *keep)
     return whole.select(*out).unionByName(prefix.select(*out))
 
 
 def keep_mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The documents that a mix of one epoch reads, whole (also the last of each leaf), with all their columns."""
-    row = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary")))
-    tagged = docs.withColumn("_x_row", row)
-    keep = mix_sources(tagged, mix, "_x_row").select("_x_row").distinct()
-    return tagged.join(keep, "_x_row", "left_semi").select(*docs.columns)
+    """The documents that a mix of one epoch reads, whole (also the last of each leaf), with all their columns, whatever their names.
+
+    Repeated rows of a document stay or go together.
+    """
+    (key,) = unused(docs, "row_key")
+    bare = docs.select("doc_id", "text", "lang", "source", *([mix.domain_column] if mix.domain_column else []), row_key("doc_id", "text").alias("key"))
+    keep = mix_sources(bare, mix, "key").select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key("doc_id", "text")).join(keep, key, "left_semi").select(*own_columns(docs))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +178,7 @@ def oracle(mix: Mix | None = None) -> str:
     domain = "CASE " + " ".join(f"WHEN substr(md5(source), 1, 1) < '{b}' THEN '{n}'" for n, b in mix.domains) + " END"
     return rf"""
 WITH c AS (SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens, md5(coalesce(text, '')) AS mark FROM documents),
 r AS (SELECT *, {domain} AS domain FROM c),
 s AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM r GROUP BY ALL),
 l AS (SELECT *, (tokens * {mix.max_epochs})::DOUBLE AS capacity FROM s WHERE tokens > 0),
@@ -165,7 +191,7 @@ x_n AS (SELECT l.domain, l.lang, l.source, l.tokens, l.capacity, {case("l.source
 {_FILL.format(name="x", parents="domain, lang", level="source")},
 p AS (SELECT domain, lang, source, floor(share + 1e-6)::BIGINT // tokens AS whole, floor(share + 1e-6)::BIGINT % tokens AS rest FROM x_s WHERE floor(share + 1e-6) > 0),
 q AS (SELECT r.*, p.whole, p.rest FROM r JOIN p USING (domain, lang, source)),
-b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), n_tokens
+b AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{mix.seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '') || ':' || mark), n_tokens
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM q WHERE rest > 0)
 SELECT doc_id, domain, lang, source, unnest(range(whole))::INT AS epoch, n_tokens, n_tokens AS take_tokens FROM q WHERE whole > 0
 UNION ALL SELECT doc_id, domain, lang, source, whole::INT, n_tokens, least(n_tokens, rest - before) FROM b WHERE before < rest

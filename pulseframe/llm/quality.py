@@ -7,7 +7,8 @@ two-parameter logistic turns into the score.
 
 Fitting: labels are of documents. Lines start with their document's label; between rounds, lines of bad documents
 that look good on their own evidence are relabelled. The field is fitted on a bounded sample (TRAIN_DOCS, by
-the hash of the id); scoring is one narrow pass over whole texts.
+the hash of the id, and only texts of up to TRAIN_LINES lines); tasks make the features, so no text reaches the driver. Scoring is one narrow
+pass over whole texts: the features of a line are made in parts of PART bytes, so that memory beyond the text and its lines is that of their evidence.
 
 Defined cases: null text counts as empty, which is one empty line; lines end at newlines; empty lines weigh as
 one character; repeated rows are scored each; null labels and null ids teach nothing; labels of one class only, or none,
@@ -16,12 +17,14 @@ give that class's share (none: 0.5) as every score; an empty table gives no rows
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +33,13 @@ from .toxicity import labelled
 
 #: Labelled rows that the field is fitted on, at most.
 TRAIN_DOCS = 4_000
+#: Lines of a text that the field is fitted on, at most; longer texts teach nothing.
+TRAIN_LINES = 512
 ROUNDS, STEPS, RATE, DECAY = 2, 60, 0.1, 1e-4
 THRESHOLD = 0.3
 MODULUS, HELD_OUT = 5, 0
-#: Bytes of text whose features are computed together; longer texts are whole.
-PART = 4 << 20
+#: Bytes of text whose features are computed together.
+PART = 1 << 20
 
 _KINDS = 8
 _KIND = np.zeros(256, np.int64)  # 0: letters in lower case and bytes beyond ASCII
@@ -45,26 +50,70 @@ OWN = 15
 WIDTH = 3 * OWN + 1
 
 
-def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line features (lines x WIDTH), line lengths and the number of lines of each text."""
-    lines = [r.split(b"\n") for r in raws]
-    counts = np.array([len(x) for x in lines])
-    data = np.frombuffer(b"\n".join(raws), np.uint8)
-    ends = data == 10
-    line = np.cumsum(ends) - ends
-    n = int(counts.sum())
-    kinds = np.bincount(line * _KINDS + _KIND[data], minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
-    size = np.array([len(x) for doc in lines for x in doc], np.float64)
-    kinds[:, 3] -= 1  # its newline
-    kinds[-1, 3] += 1
+def _distinct_share(line: bytes) -> float:
+    """1 - distinct words / words; a long line is read in parts."""
+    words, n, at = set(), 0, 0
+    while at < len(line):
+        end = at + PART
+        if end < len(line):  # a part ends where a word does
+            while end < len(line) and not line[end : end + 1].isspace():
+                end += 1
+        own = line[at:end].split()
+        words.update(own)
+        n, at = n + len(own), end
+    return 1 - len(words) / n if n else 0.0
+
+
+def _kind_counts(lines: list[bytes]) -> np.ndarray:
+    """Characters of each kind in lines that together hold about PART bytes, or in one long line."""
+    if len(lines) == 1:
+        data = np.frombuffer(lines[0], np.uint8)
+        counts = np.zeros(_KINDS, np.int64)
+        for i in range(0, len(data), PART):
+            counts += np.bincount(_KIND[data[i : i + PART]], minlength=_KINDS)
+        return counts[None, :]
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    line = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+    return np.bincount(line * _KINDS + _KIND[data], minlength=len(lines) * _KINDS).reshape(len(lines), _KINDS)
+
+
+def own_features(lines: list[bytes], again: Counter) -> np.ndarray:
+    """The features of lines by themselves (lines x OWN); again: how often a text has each line."""
+    kinds = _kind_counts(lines).astype(np.float64)
+    size = np.array([len(x) for x in lines], np.float64)
     share = kinds[:, 1:] / np.maximum(size, 1)[:, None]
-    again = np.array([c > 1 for doc in lines for c in map(Counter(doc).__getitem__, doc)], np.float64)
-    repeats = np.array([1 - len(set(w)) / len(w) if (w := x.split()) else 0.0 for doc in lines for x in doc])
-    own = np.column_stack([share, np.log1p(size) / 6, size / (kinds[:, 3] + 1) / 10, again, size < 20, kinds[:, 1] > kinds[:, 0], share[:, 6] > 0.1, share[:, 5] > 0.01, repeats])
+    repeats = np.array([_distinct_share(x) for x in lines])
+    twice = np.array([again[x] > 1 for x in lines], np.float64)
+    return np.column_stack([share, np.log1p(size) / 6, size / (kinds[:, 3] + 1) / 10, twice, size < 20, kinds[:, 1] > kinds[:, 0], share[:, 6] > 0.1, share[:, 5] > 0.01, repeats])
+
+
+def line_parts(lines: list[bytes]) -> Iterator[list[bytes]]:
+    """The lines in lists of about PART bytes; a longer line is alone."""
+    part, held = [], 0
+    for x in lines:
+        if part and held + len(x) > PART:
+            yield part
+            part, held = [], 0
+        part.append(x)
+        held += len(x) + 32
+    if part:
+        yield part
+
+
+def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Line features (lines x WIDTH) of texts with so many lines each: own, of the line before and after, and one."""
     first = np.r_[0, np.cumsum(counts)[:-1]]
     before, after = np.vstack([np.zeros((1, OWN)), own[:-1]]), np.vstack([own[1:], np.zeros((1, OWN))])
     before[first], after[first + counts - 1] = 0, 0
-    return np.column_stack([own, before, after, np.ones(n)]), np.maximum(size, 1), counts
+    return np.column_stack([own, before, after, np.ones(len(own))])
+
+
+def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line features (lines x WIDTH), line lengths and the number of lines of each text."""
+    lines = [r.split(b"\n") for r in raws]
+    counts = np.array([len(x) for x in lines])
+    own = np.concatenate([own_features(part, again) for doc in lines for again in [Counter(doc)] for part in line_parts(doc)])
+    return with_neighbours(own, counts), np.array([max(1, len(x)) for doc in lines for x in doc], np.float64), counts
 
 
 @dataclass
@@ -76,9 +125,23 @@ class Field:
     shift: float = 0.0
     constant: float | None = None
 
-    def marginals(self, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Log-odds of good: evidence, forward, backward and both. Texts advance together, a line at a time."""
-        e = x @ self.weights
+    def evidence(self, lines: list[bytes]) -> np.ndarray:
+        """Log-odds of good of each line of a text, from its features and its neighbours'."""
+        again, out = Counter(lines), np.full(len(lines), self.weights[-1])
+        own, before, after = self.weights[:OWN], self.weights[OWN : 2 * OWN], self.weights[2 * OWN : 3 * OWN]
+        at = 0
+        for part in line_parts(lines):
+            x = own_features(part, again)
+            end = at + len(part)
+            out[at:end] += x @ own
+            out[at + 1 : end + 1] += (x @ before)[: len(lines) - at - 1]
+            to = slice(max(0, at - 1), end - 1)
+            out[to] += (x @ after)[len(part) - (to.stop - to.start) :]
+            at = end
+        return out
+
+    def marginals(self, e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of good from the evidence: forward, backward and both. Texts advance together, a line at a time."""
         first = np.r_[0, np.cumsum(counts)[:-1]]
         order = np.argsort(-counts, kind="stable")
         first, counts = first[order], counts[order]
@@ -92,26 +155,28 @@ class Field:
             at = first[: active[t + 1]] + t
             z = e[at + 1] + b[at + 1]
             b[at] = np.logaddexp(z + self.good_stays, 0) - np.logaddexp(z, self.bad_stays)
-        return e, f, b, f + b
+        return f, b, f + b
 
-    def raw_quality(self, raws: list[bytes]) -> np.ndarray:
+    def raw_quality(self, e: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of good for each text."""
-        x, size, counts = features(raws)
-        p = 1 / (1 + np.exp(-np.clip(self.marginals(x, counts)[3], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.marginals(e, counts)[2], -30, 30)))
         first = np.r_[0, np.cumsum(counts)[:-1]]
         return np.add.reduceat(p * size, first) / np.add.reduceat(size, first)
 
     def scores(self, raws: list[bytes]) -> list[float]:
         if self.constant is not None:
             return [self.constant] * len(raws)
-        out, part, held = [], [], 0
-        for r in raws:
-            part.append(r)
+        out, e, size, counts, held = [], [], [], [], 0
+        for i, r in enumerate(raws):
+            lines = r.split(b"\n")
+            e.append(self.evidence(lines))
+            size.append(np.array([max(1, len(x)) for x in lines], np.float64))
+            counts.append(len(lines))
             held += len(r)
-            if held > PART:
-                out += self.calibrated(self.raw_quality(part))
-                part, held = [], 0
-        return out + (self.calibrated(self.raw_quality(part)) if part else [])
+            if held > PART or i + 1 == len(raws):
+                out += self.calibrated(self.raw_quality(np.concatenate(e), np.concatenate(size), np.array(counts)))
+                e, size, counts, held = [], [], [], 0
+        return out
 
     def calibrated(self, quality: np.ndarray) -> list[float]:
         return (1 / (1 + np.exp(-np.clip(self.slope * _odds(quality) + self.shift, -30, 30)))).tolist()
@@ -134,12 +199,16 @@ class _Adam:
 
 
 def fit(raws: list[bytes], labels: list[int]) -> Field:
-    """Gradient ascent on the conditional likelihood, with relabelling, then the two-parameter logistic."""
+    """A field for texts and their labels."""
+    return fit_lines(*features(raws), labels) if raws else fit_lines(np.empty((0, WIDTH)), np.empty(0), np.empty(0, np.int64), [])
+
+
+def fit_lines(x: np.ndarray, size: np.ndarray, counts: np.ndarray, labels: list[int]) -> Field:
+    """Gradient ascent on the conditional likelihood, with relabelling, then the two-parameter logistic. The lines are those of features()."""
     y = np.asarray(labels, np.float64)
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         return Field(np.zeros(WIDTH), constant=share)
-    x, size, counts = features(raws)
     doc = np.repeat(np.arange(len(counts)), counts)
     joined = doc[1:] == doc[:-1]  # line t and t + 1 are of one text
     truth = y[doc]
@@ -148,7 +217,8 @@ def fit(raws: list[bytes], labels: list[int]) -> Field:
     for round_ in range(ROUNDS):
         adam = _Adam(WIDTH + 2)
         for _ in range(STEPS):
-            e, f, b, both = field.marginals(x, counts)
+            e = x @ field.weights
+            f, b, both = field.marginals(e, counts)
             p = 1 / (1 + np.exp(-np.clip(both, -30, 30)))
             z = (e + b)[1:]
             terms = np.stack([f[:-1] + field.good_stays + z, f[:-1], z, np.full(len(z), field.bad_stays)])
@@ -160,10 +230,10 @@ def fit(raws: list[bytes], labels: list[int]) -> Field:
             field.weights = field.weights + step[:-2]
             field.good_stays, field.bad_stays = field.good_stays + float(step[-2]), field.bad_stays + float(step[-1])
         if round_ + 1 < ROUNDS:
-            e = field.marginals(x, counts)[0]
+            e = x @ field.weights
             worst = np.minimum.reduceat(e, np.r_[0, np.cumsum(counts)[:-1]])[doc]
             truth = np.where((y[doc] == 0) & (e > 0) & (e > worst), 1.0, y[doc])  # a bad text keeps a bad line
-    q = _odds(np.concatenate([field.raw_quality([r]) for r in raws]))
+    q = _odds(field.raw_quality(x @ field.weights, size, counts))
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton's method, slightly regularised
         p = 1 / (1 + np.exp(-np.clip(slope * q + shift, -30, 30)))
@@ -176,9 +246,24 @@ def fit(raws: list[bytes], labels: list[int]) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    rows = labelled(docs, labels, "quality", MODULUS, HELD_OUT, TRAIN_DOCS).toArrow().to_pydict()
-    order = sorted(range(len(rows["y"])), key=lambda i: (rows["text"][i], rows["y"][i]))  # whatever order tasks end in
-    return fit([rows["text"][i] for i in order], [rows["y"][i] for i in order])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for raw, y in zip(*columns(batch, "text", "y")):
+                lines = raw.split(b"\n")
+                if len(lines) <= TRAIN_LINES:
+                    own = np.concatenate([own_features(part, Counter(lines)) for part in line_parts(lines)])
+                    rows.append({"own": own.ravel(), "size": [max(1, len(x)) for x in lines], "y": y, "mark": zlib.crc32(raw)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("own", pa.list_(pa.float64())), ("size", pa.list_(pa.int64())), ("y", pa.int32()), ("mark", pa.int64())]))
+
+    rows = labelled(docs, labels, "quality", MODULUS, HELD_OUT, TRAIN_DOCS).mapInArrow(run, "own array<double>, size array<bigint>, y int, mark bigint").toArrow()
+    if not rows.num_rows:
+        return fit([], [])
+    rows = rows.take(np.lexsort([rows.column(c).to_numpy() for c in ("y", "mark")])).combine_chunks()  # whatever order tasks end in
+    flat = lambda c: rows.column(c).combine_chunks().flatten().to_numpy()
+    counts = pa.compute.list_value_length(rows.column("size")).to_numpy()
+    own = flat("own").reshape(-1, OWN)
+    return fit_lines(with_neighbours(own, counts), flat("size").astype(np.float64), counts, rows.column("y").to_pylist())
 
 
 def score_quality(docs: DataFrame, field: Field, *keep: str) -> DataFrame:

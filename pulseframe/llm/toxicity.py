@@ -57,7 +57,7 @@ class Machine:
         return at[self.buckets[at] == ids] if len(self.buckets) and len(ids) else np.empty(0, np.int64)
 
     def score(self, raw: bytes) -> float:
-        at = self.places(terms(raw))
+        at = np.sort(self.places(terms(raw)))  # sums then don't depend on the order of a set
         v = self.factors[at]
         z = self.bias + self.weights[at].sum() + 0.5 * float((v.sum(0) ** 2).sum() - (v**2).sum()) / max(1, len(at))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
@@ -144,15 +144,16 @@ def score_toxicity(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold, with all their columns; the text travels once, with its row."""
-    machine = train(docs, labels)
+    """The documents that score below the threshold, with all their columns, whatever their names; the text travels once, with its row."""
+    machine, at = train(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [machine.score((t.as_py() or "").encode()) for t in batch.column(batch.schema.get_field_index("text"))]
+            scores = [machine.score((t.as_py() or "").encode()) for t in batch.column(at)]
             yield batch.filter(pa.array([s < THRESHOLD for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

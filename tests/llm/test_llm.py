@@ -62,11 +62,57 @@ def test_mix_takes_each_budget_exactly(spark, awkward, empty):
     short = int(1.4 * sum(i % 7 for i in range(300))) - out.take_tokens.sum()
     assert 0 <= short <= 3  # a leaf's budget is rounded down
     assert (out.take_tokens <= out.n_tokens).all() and out.groupby(["doc_id", "epoch"]).size().max() == 1
-    assert mixing.mix_sources(awkward).count() >= 0 and mixing.mix_sources(empty).count() == 0
     kept = mixing.keep_mixed(docs, mixing.Mix(budget=0.5, max_epochs=1))
     assert kept.columns == docs.columns and 0 < kept.count() < 300
 
 
+def test_mix_of_awkward_rows(spark, awkward, empty):
+    rows = mixing.mix_sources(awkward, mixing.Mix(budget=10.0, max_epochs=2)).toPandas()  # more than there is: all, twice
+    tokens = {None: 2, 1: 0, 2: 0, 3: 0, 4: 180_000, 5: 3, 6: 3, 7: 3}
+    want = sorted([(d is None, d or 0, e, tokens[d]) for d, *_ in AWKWARD for e in (0, 1) if (d, tokens[d]) != (1, 0)])
+    assert sorted((d != d, 0 if d != d else int(d), e, n) for d, e, n in zip(rows.doc_id, rows.epoch, rows.n_tokens)) == want  # the leaf of row 1 has no tokens
+    assert set(rows[rows.doc_id == 7].source) == {"unknown"} and (rows.take_tokens == rows.n_tokens).all()
+    assert mixing.mix_sources(empty).count() == 0 and mixing.keep_mixed(empty, mixing.Mix()).count() == 0
+    assert mixing.keep_mixed(awkward, mixing.Mix(budget=10.0, max_epochs=1)).count() == len(AWKWARD) - 1
+
+
+def test_mix_of_repeated_rows_and_named_domains(spark):
+    rows = [(1, "a b c", "en", "s", "x")] * 400 + [(None, "a b", "en", "s", "x")] * 100 + [(i, "a b c d", "en", "s", "y") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, area string").withColumn("domain", F.lit("ignored"))
+    out = mixing.mix_sources(docs, mixing.Mix(budget=0.4)).toPandas()
+    assert out.take_tokens.sum() == int(0.4 * (1200 + 200 + 232)) and set(out.domain) < {"web", "books", "code"}
+    out = mixing.mix_sources(docs, mixing.Mix(budget=0.2, domain_column="area", domain_weights={"x": 1.0, "y": 0.0})).toPandas()
+    assert set(out.domain) == {"x"} and out.take_tokens.sum() == int(0.2 * 1632) and (out.take_tokens < out.n_tokens).sum() <= 1
+    kept = mixing.keep_mixed(docs.withColumn("row_key", F.lit(3)).withColumn("a.b", F.lit(4)), mixing.Mix(budget=0.9, max_epochs=1))
+    assert kept.columns[-2:] == ["row_key", "a.b"] and set(kept.select("row_key", F.col("`a.b`")).distinct().collect()) == {(3, 4)}
+
+
+def slow_fill(budget, children):
+    """Raise the level until the budget is spent."""
+    left, open_, share = budget, dict(children), {}
+    while open_:
+        level = left / sum(w for _, w in open_.values())
+        full = {k: c for k, (c, w) in open_.items() if c / w <= level}
+        if not full:
+            return share | {k: level * w for k, (_, w) in open_.items()}
+        share |= full
+        left -= sum(full.values())
+        open_ = {k: v for k, v in open_.items() if k not in full}
+    return share
+
+
+def test_fill_equals_a_rising_level(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for parent in range(8):
+        children = {f"{parent}-{i}": (rng.choice((1, 5, 5, 40, rng.randint(1, 10**6))), rng.choice((0.3, 1.0, 2.0))) for i in range(rng.randint(1, 60))}
+        budget = rng.random() ** 2 * sum(c for c, _ in children.values())
+        want |= slow_fill(budget, children)
+        rows += [(parent, k, c, w, budget) for k, (c, w) in children.items()]
+    got = mixing.fill(spark.createDataFrame(rows, "parent int, name string, capacity bigint, weight double, budget double"), ["parent"]).collect()
+    assert len(got) == len(rows) and all(r["share"] == pytest.approx(want[r["name"]], rel=1e-9) for r in got)
+
+
 # 2 and 5
 
 
@@ -102,6 +148,102 @@ def test_one_training_row_of_an_id(spark):
     assert len(toxicity.labelled(docs, labels, "toxic", 1, 1, 4).collect()) == 4
 
 
+def test_pairs_equal_a_double_loop():
+    rng = np.random.default_rng(4)
+    words = [f"term{i}" for i in range(30)]
+    buckets = np.unique(np.array([b for w in words for b in toxicity.terms(w.encode())], np.int32))
+    m = toxicity.Machine(buckets, rng.normal(0, 1, len(buckets)), rng.normal(0, 1, (len(buckets), toxicity.FACTORS)), -0.3)
+    at = {int(b): i for i, b in enumerate(buckets)}
+    for text in ["", "nothing known here", "term1", *(" ".join(rng.choice(words, n)) for n in (2, 5, 40))]:
+        low = set(text.lower().split())
+        own = [w.encode() for w in low] + list({b"<%d" % n + w.encode()[:n] for n in toxicity.STEMS for w in low if len(w) > n})
+        known = [at[b] for b in (zlib.crc32(w) & ((1 << 24) - 1) for w in own) if b in at]
+        z = -0.3 + sum(m.weights[i] for i in known)
+        for i in range(len(known)):
+            for j in range(i + 1, len(known)):
+                z += m.factors[known[i]] @ m.factors[known[j]] / len(known)
+        assert m.score(text.encode()) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_toxic_query_equals_its_machine(spark):
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    m, texts = toxicity.train(docs, labels), {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = queries.QUERIES["op2_toxicity"](spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["score"] == m.score((texts[r["doc_id"]] or "").encode()) and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_toxic_rows_of_awkward_tables(spark, awkward, empty):
+    labels = spark.createDataFrame([(4, 0), (5, 1), (6, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    extra = awkward.withColumn("terms", F.lit(1)).withColumn("y", F.lit("a")).withColumn("a.b", F.lit(2))
+    kept = toxicity.drop_toxic(extra, labels)
+    assert kept.columns == extra.columns and kept.count() <= len(AWKWARD)
+    assert toxicity.drop_toxic(extra, labels.limit(0)).count() == 0  # without labels every score is 0.5
+    assert toxicity.drop_toxic(empty, labels).count() == 0
+
+
+def slow_features(raw):
+    """Line by line and character by character."""
+    lines, out = raw.split(b"\n"), []
+    for x in lines:
+        n = max(1, len(x))
+        kind = lambda f: sum(f(chr(b)) for b in x)
+        upper, digit, space = kind(lambda c: c < "\x80" and c.isupper()), kind(lambda c: c < "\x80" and c.isdigit()), kind(lambda c: c < "\x80" and c.isspace())
+        lower = kind(lambda c: c >= "\x80" or c.islower())
+        mark, bang, bar = kind(lambda c: c in ".,;:?'\"-()"), x.count(b"!"), x.count(b"|")
+        rest = len(x) - upper - digit - space - lower - mark - bang - bar
+        words = x.split()
+        out.append([upper / n, digit / n, space / n, mark / n, bang / n, bar / n, rest / n, math.log1p(len(x)) / 6, len(x) / (space + 1) / 10, float(lines.count(x) > 1), float(len(x) < 20), float(upper > lower), float(rest / n > 0.1), float(bar / n > 0.01), 1 - len(set(words)) / len(words) if words else 0.0])
+    none = [0.0] * quality.OWN
+    return np.array([out[i] + (out[i - 1] if i else none) + (out[i + 1] if i + 1 < len(out) else none) + [1.0] for i in range(len(out))])
+
+
+def slow_quality(field, raw):
+    """The score by forward and backward sums over two states."""
+    x, lines = slow_features(raw), raw.split(b"\n")
+    e = x @ field.weights
+    step = np.exp(np.array([[field.bad_stays, 0.0], [0.0, field.good_stays]]))
+    own = np.stack([np.ones(len(e)), np.exp(e)], 1)
+    ahead, behind = [own[0] / own[0].sum()], [np.ones(2)]
+    for t in range(1, len(e)):
+        f = own[t] * (ahead[-1] @ step)
+        ahead.append(f / f.sum())
+        b = step @ (own[len(e) - t] * behind[-1])
+        behind.append(b / b.sum())
+    p = np.array([(f * b / (f * b).sum())[1] for f, b in zip(ahead, reversed(behind))])
+    size = np.array([max(1, len(x)) for x in lines])
+    q = np.clip((p * size).sum() / size.sum(), 1e-3, 1 - 1e-3)
+    return 1 / (1 + math.exp(-(field.slope * math.log(q / (1 - q)) + field.shift)))
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, DATA, "documents").collect()}
+    field = quality.train(table(spark, DATA, "documents"), table(spark, DATA, "labels"))
+    rows = queries.QUERIES["op5_quality"](spark, DATA).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["score"] == pytest.approx(slow_quality(field, docs[r["doc_id"]]), rel=1e-6) and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    some = sorted(docs.values(), key=len)[-20:] + [b"", b"\n\n", b"word again again " * 50]
+    whole = field.scores(some)
+    monkeypatch.setattr(quality, "PART", 64)  # texts and lines in many parts
+    assert field.scores(some) == pytest.approx(whole, rel=1e-9)
+
+
+def test_long_texts_take_little_memory():
+    import tracemalloc
+
+    field = quality.Field(np.random.default_rng(0).normal(0, 1, quality.WIDTH), 0.5, 0.5)
+    for raw in (b"word and word again " * 500_000, (b"a line of some words that is neither long nor short\n") * 60_000):
+        tracemalloc.start()
+        field.scores([raw])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16 * len(raw), peak / len(raw)
+
+
 def test_quality_learns(spark, awkward, empty):
     assert held_out(spark, "op5_quality", "quality") > 0.9
     field = quality.fit([b"a good line. and more of it\nanother line of words", b"BAD!! BAD!! BAD!!\nX%%% Y%%%"] * 20, [1, 0] * 20)
@@ -116,7 +258,7 @@ def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     field = quality.Field(rng.normal(0, 1, quality.WIDTH), 0.7, -0.4)
     x, counts = rng.normal(0, 1, (9, quality.WIDTH)), np.array([4, 1, 4])
-    got = 1 / (1 + np.exp(-field.marginals(x, counts)[3]))
+    got = 1 / (1 + np.exp(-field.marginals(x @ field.weights, counts)[2]))
     e, at = x @ field.weights, 0
     for n in counts:
         total, good = 0.0, np.zeros(n)
