@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseframe.llm.common import materialise, table
+from pulseframe.llm.common import discard, table, written
 from pulseframe.llm.exact_dedup import drop_copies
 from pulseframe.llm.mixing import Mix, keep_mixed
 from pulseframe.llm.pieces import MODEL, Vocabulary, encode_documents
@@ -47,10 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents, each written and read again; what a stage wrote is deleted when the next one is done."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs, f"stage-{name.replace(' ', '-')}")
+            docs, path = written(docs, f"stage-{name.replace(' ', '-')}")
+            if last:
+                discard(spark, last)
+            last = path
     return docs
