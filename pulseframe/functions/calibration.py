@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.asof import nearest
-from ..operators.stats import weighted_mean
+from ..operators.asof import asof, nearest
+from ..operators.stats import long_form, weighted_mean
 from ..schema import K
 
 
@@ -109,14 +109,13 @@ def composed_lines(channels: DataFrame, subchannels: DataFrame, transforms: Data
     return rows.select("recording_id", "channel_id", "subchannel_id", c.alias("c"), *(F.when(F.size(c) == 4, F.col(x)).alias(x) for x in ("y_channel_id", "y_subchannel_id")))
 
 
-def calibrate(samples_long: DataFrame, lines: DataFrame, mode: str = "mean") -> DataFrame:
-    """v calibrated by composed lines; y of a line with four terms is zero ('off') or the calibrated mean of its channel in that session.
+def line_effects(means: DataFrame, lines: DataFrame, mode: str = "mean") -> DataFrame:
+    """_gain and _offset of each series' subchannel (means: K, subchannel_id, _mean): its composed line with y fixed.
 
-    With y fixed a line has a gain and an offset, so samples meet one row of a dimension; means are one aggregate over
-    samples. A mean is calibrated by its own line, which must have two terms. Subchannels without a line stay.
+    y of a line with four terms is zero ('off') or the calibrated mean of its channel in that session, by that channel's own line, which must
+    have two terms. Subchannels without a line stay.
     """
     series = [*K, "subchannel_id"]
-    means = samples_long.groupBy(*series).agg(F.avg("v").alias("_mean"))
     own = means.join(lines, ["recording_id", "channel_id", "subchannel_id"], "left").withColumn("c", F.coalesce("c", F.array(*map(F.lit, IDENTITY))))
     two = F.size("c") == 2
     flat = F.element_at("c", 1) * F.col("_mean") + F.element_at("c", 2)
@@ -125,8 +124,52 @@ def calibrate(samples_long: DataFrame, lines: DataFrame, mode: str = "mean") ->
     at = lambda i: F.element_at("c", i)
     y = F.when(F.coalesce("_y_plain", F.lit(True)), F.coalesce("_y", F.lit(0.0))).otherwise(F.raise_error(F.lit("a compensating channel is compensated itself")).cast("double"))
     gain, offset = F.when(two, at(1)).otherwise(F.try_element_at("c", F.lit(1)) * y + F.try_element_at("c", F.lit(2))), F.when(two, at(2)).otherwise(F.try_element_at("c", F.lit(3)) * y + F.try_element_at("c", F.lit(4)))
-    effect = rows.select(*series, gain.alias("_gain"), offset.alias("_offset"))
-    return samples_long.join(effect, series).withColumn("v", F.col("v") * F.col("_gain") + F.col("_offset")).drop("_gain", "_offset")
+    return rows.select(*series, gain.alias("_gain"), offset.alias("_offset"))
+
+
+def series_means(samples_long: DataFrame) -> DataFrame:
+    return samples_long.groupBy(*K, "subchannel_id").agg(F.avg("v").alias("_mean"))
+
+
+def calibrate(samples_long: DataFrame, lines: DataFrame, mode: str = "mean", means: DataFrame | None = None) -> DataFrame:
+    """v calibrated by composed lines; y of a line with four terms is zero ('off'), the calibrated 'mean' of its channel in that session,
+    the calibrated value of its channel that is 'nearest' in time (the mean where there is none), or 'supplied' in a column y.
+
+    With y fixed a line has a gain and an offset, so samples meet one row of a dimension; means, if they aren't given, are one aggregate over
+    samples. Subchannels without a line stay, and rows whose key is null are left out.
+    """
+    series = [*K, "subchannel_id"]
+    means = series_means(samples_long) if means is None else means
+    if mode in ("mean", "off"):
+        rows = samples_long.join(line_effects(means, lines, mode), series)
+        return rows.withColumn("v", F.col("v") * F.col("_gain") + F.col("_offset")).drop("_gain", "_offset")
+    rows = samples_long.join(lines.withColumnsRenamed({c: f"_{c}" for c in lines.columns if c not in ("recording_id", "channel_id", "subchannel_id")}), ["recording_id", "channel_id", "subchannel_id"], "left")
+    two = F.coalesce(F.size("_c") == 2, F.lit(True))
+    term = lambda i: F.try_element_at("_c", F.lit(i))
+    plain = rows.where(two).withColumn("v", F.coalesce(term(1), F.lit(1.0)) * F.col("v") + F.coalesce(term(2), F.lit(0.0)))
+    four = rows.where(~two)
+    if mode == "nearest":
+        where = ["recording_id", "session_id", "_y_channel_id", "_y_subchannel_id"]
+        asked = four.select(*where).distinct()
+        others = plain.select("recording_id", "session_id", F.col("channel_id").alias("_y_channel_id"), F.col("subchannel_id").alias("_y_subchannel_id"), "t_us", F.struct("v").alias("row")).join(asked, where, "left_semi")
+        mean = others.groupBy(*where).agg(F.avg("row.v").alias("_y_mean"))
+        found = asof(four, others, where, "prev", "next")
+        later = F.col("prev").isNull() | (F.col("next.t") - F.col("t_us") < F.col("t_us") - F.col("prev.t"))
+        four = found.withColumn("_y", F.when(later & F.col("next").isNotNull(), F.col("next.row.v")).otherwise(F.col("prev.row.v"))).drop("prev", "next")
+        four = four.join(mean, where, "left").withColumn("_y", F.coalesce("_y", "_y_mean", F.lit(0.0)))
+    else:
+        four = four.withColumn("_y", F.col("y"))
+    four = four.withColumn("v", term(1) * F.col("v") * F.col("_y") + term(2) * F.col("v") + term(3) * F.col("_y") + term(4))
+    return plain.select(*samples_long.columns).unionByName(four.select(*samples_long.columns))
+
+
+def calibrate_samples(samples: DataFrame, lines: DataFrame, mode: str = "mean", means: DataFrame | None = None) -> DataFrame:
+    """raw calibrated by composed lines, all subchannels of a sample at once; mode: 'mean' or 'off', as in calibrate()."""
+    means = series_means(long_form(samples)) if means is None else means
+    effects = line_effects(means, lines, mode)
+    per = effects.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("subchannel_id", "_gain", "_offset"))).alias("_e"))  # as many as subchannels
+    rows = samples.join(per, K)
+    return rows.withColumn("raw", F.zip_with("raw", "_e", lambda v, e: v * e["_gain"] + e["_offset"])).drop("_e")
 
 
 def replace_transforms(transforms: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Samples and probes are unioned and dealt out by series and time bucket. Inside a bucket a window fills each probe from the
 rows before (after) it; a bucket without a sample there takes a carry, the last (first) sample of the buckets before (after),
-which is found on one row per bucket. No task ever holds a whole series.
+which is found on one row per bucket. Buckets are as wide as the samples of the series are dense, so no task holds a long series.
+
+Probes without a time, or with a null key, have no samples and are left out, and so are samples without a time.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import K
-from .timebase import DAY_US, bucket
+from .timebase import time_buckets
 
 
-def asof(probes: DataFrame, samples: DataFrame, keys: list[str], *sides: str, width_us: int = DAY_US) -> DataFrame:
+def asof(probes: DataFrame, samples: DataFrame, keys: list[str], *sides: str) -> DataFrame:
     """Add 'prev' (at or before the probe) and/or 'next' (after it), structs (t, row), null where there is none.
 
     samples: keys, t_us, row (any struct). Probes keep their columns.
@@ -25,23 +27,21 @@ def asof(probes: DataFrame, samples: DataFrame, keys: list[str], *sides: str, wi
     left = probes.select(*keys, F.col("t_us").cast("double").alias("t_us"), probe.alias("_p"))
     right = samples.select(*keys, F.col("t_us").cast("double").alias("t_us"), hit.alias("_hit"))
     rows = right.withColumns({"_is": F.lit(0), "_p": F.lit(None).cast(left.schema["_p"].dataType)}).unionByName(left.withColumns({"_is": F.lit(1), "_hit": F.lit(None).cast(right.schema["_hit"].dataType)}))
-    rows = rows.withColumn("_b", bucket("t_us", width_us))
+    rows = time_buckets(rows.where(F.col("t_us").isNotNull()), samples, keys)
     per = rows.groupBy(*keys, "_b").agg(F.max_by("_hit", F.when(F.col("_is") == 0, F.col("t_us"))).alias("_last"), F.min_by("_hit", F.when(F.col("_is") == 0, F.col("t_us"))).alias("_first"))
-    line = Window.partitionBy(*keys).orderBy("_b")
+    # what follows is what precedes in the opposite order: frames that end at the current row are filled in one pass
+    up, down = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys).orderBy(F.desc("_b"))
     carries = per.select(
         *keys, "_b",
-        F.last("_last", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
-        F.first("_first", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_out"),
+        F.last("_last", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)).alias("_in"),
+        F.last("_first", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)).alias("_out"),
     )
     rows = rows.join(carries, [*keys, "_b"])
-    inside = Window.partitionBy(*keys, "_b").orderBy("t_us", "_is")  # a sample at the probe's time is before it
-    out = []
-    if "prev" in sides:
-        rows = rows.withColumn("prev", F.coalesce(F.last("_hit", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "_in"))
-        out.append("prev")
-    if "next" in sides:
-        rows = rows.withColumn("next", F.coalesce(F.first("_hit", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "_out"))
-        out.append("next")
+    own = Window.partitionBy(*keys, "_b")
+    order = {"prev": own.orderBy("t_us", "_is"), "next": own.orderBy(F.desc("t_us"), F.desc("_is"))}  # a sample at the probe's time is before it
+    out = [c for c in ("prev", "next") if c in sides]
+    for c in out:
+        rows = rows.withColumn(c, F.coalesce(F.last("_hit", ignorenulls=True).over(order[c].rowsBetween(Window.unboundedPreceding, 0)), "_in" if c == "prev" else "_out"))
     return rows.where("_is = 1").select(*keys, "t_us", *(F.col("_p")[c].alias(c) for c in fields), *out)
 
 
@@ -51,14 +51,21 @@ def _rows(samples: DataFrame) -> DataFrame:
 
 def index_before(probes: DataFrame, samples: DataFrame) -> DataFrame:
     """idx of the sample at or before each probe: -1 before the first, the length at or after the last."""
-    ends = samples.groupBy(*K).agg(F.max("t_us").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    rows = asof(probes, _rows(samples), K, "prev").join(ends, K)
-    idx = F.when(F.col("t_us") >= F.col("_last"), F.col("_n")).otherwise(F.coalesce("prev.row.idx", F.lit(-1)))
-    return rows.withColumn("idx", idx).drop("prev", "_last", "_n")
+    rows = asof(probes, _rows(samples), K, "prev", "next")
+    idx = F.coalesce("prev.row.idx", F.lit(-1)) + F.when(F.col("next").isNull(), 1).otherwise(0)
+    return rows.withColumn("idx", idx).drop("prev", "next")
+
+
+def index_near(probes: DataFrame, samples: DataFrame) -> DataFrame:
+    """idx of the sample closest to each probe, of two as close the earlier; the length at or after the last."""
+    rows = asof(probes, _rows(samples), K, "prev", "next")
+    later = F.col("prev").isNull() | (F.col("next.t") - F.col("t_us") < F.col("t_us") - F.col("prev.t"))
+    idx = F.when(F.col("next").isNull(), F.col("prev.row.idx") + 1).when(later, F.col("next.row.idx")).otherwise(F.col("prev.row.idx"))
+    return rows.withColumn("idx", idx).drop("prev", "next")
 
 
 def nearest(probes: DataFrame, samples: DataFrame) -> DataFrame:
-    """near_t and near of the closest sample; of two as close, the earlier."""
+    """near_t, near_idx and near (the values) of the closest sample; of two as close, the earlier; at or after the last, that one."""
     rows = asof(probes, _rows(samples), K, "prev", "next")
     later = F.col("prev").isNull() | (F.col("next.t") - F.col("t_us") < F.col("t_us") - F.col("prev.t"))
     pick = F.when(later & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("prev"))

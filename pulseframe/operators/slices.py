@@ -55,7 +55,8 @@ def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bou
     """Samples of a time range.
 
     'closed' takes start <= t <= end. 'ref' leaves out a sample exactly at the start unless the series starts there or later,
-    and, where gap_us tells what a gap is, an end that lies in a gap takes the first sample after it, too.
+    and an end that lies between two blocks (or, where gap_us tells what a gap is, in a gap) takes the first sample after it, too. Without gap_us or
+    a column block_seq there are no gaps.
     """
     first = F.col("_first")
     rows = samples
@@ -63,18 +64,23 @@ def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bou
         if start_us is not None:
             rows = rows.where(F.col("t_us") >= start_us)
         return rows if end_us is None else rows.where(F.col("t_us") <= end_us)
-    if start_us is not None:
-        ends = samples.groupBy(*K).agg(F.min("t_us").alias("_first"))
-        rows = rows.join(ends, K).where((F.col("t_us") > start_us) | ((first >= start_us) & (F.col("t_us") >= start_us))).drop("_first")
-    if end_us is None:
+    after = F.col("t_us") > end_us if end_us is not None else F.lit(False)
+    begin = F.lit(True) if start_us is None else (F.col("t_us") > start_us) | ((first >= start_us) & (F.col("t_us") >= start_us))
+    if start_us is None and end_us is None:
         return rows
-    inside = rows.where(F.col("t_us") <= end_us)
-    if gap_us is None:
-        return inside
-    last = samples.where(F.col("t_us") <= end_us).groupBy(*K).agg(F.max("t_us").alias("_last"))
-    after = samples.where(F.col("t_us") > end_us).groupBy(*K).agg(F.min_by(F.struct(*samples.columns), "t_us").alias("_row"))
-    gap = after.join(last, K).where((F.col("_row.t_us") - F.col("_last") > gap_us) & (F.col("_last") < end_us)).select("_row.*")
-    return inside.unionByName(gap)
+    has_gaps = end_us is not None and (gap_us is not None or "block_seq" in samples.columns)
+    ends = [F.min("t_us").alias("_first")]
+    if has_gaps:
+        last, then = F.max_by(F.struct("t_us", "block_seq") if gap_us is None else F.struct("t_us"), F.when(~after, F.col("t_us"))), F.min_by(F.struct("t_us", "block_seq") if gap_us is None else F.struct("t_us"), F.when(after, F.col("t_us")))
+        ends += [last.alias("_last"), then.alias("_then")]
+    rows = rows.join(samples.groupBy(*K).agg(*ends), K)
+    if has_gaps:
+        gap = F.col("_then.block_seq") != F.col("_last.block_seq") if gap_us is None else F.col("_then.t_us") - F.col("_last.t_us") > gap_us
+        beyond = (F.col("_last.t_us") < end_us) & gap & (F.col("t_us") == F.col("_then.t_us"))
+        if gap_us is None:
+            beyond &= F.col("block_seq") == F.col("_then.block_seq")
+        return rows.where((begin & ~after) | F.coalesce(beyond, F.lit(False))).drop("_first", "_last", "_then")
+    return rows.where(begin & ~after).drop("_first")
 
 
 def block_range(blocks: DataFrame, start_us: int, end_us: int) -> DataFrame:
@@ -93,27 +99,37 @@ def resample(samples: DataFrame, max_points: int) -> DataFrame:
     return samples.join(span, K).where((F.col("idx") - F.col("_a")) % step == 0).drop("_a", "_n")
 
 
-def resampled_range(samples: DataFrame, start_us: int | None, end_us: int | None, max_points: int, padding: int = 0, bounds: str = "ref") -> DataFrame:
-    """At most max_points samples of a time range, evenly many apart; the range is widened by padding samples on either side, and by one at its end."""
+def resampled_range(samples: DataFrame, start_us: int | None, end_us: int | None, max_points: int, padding: int = 0, bounds: str = "ref", jitter: float = 0.0, seed: int = 0) -> DataFrame:
+    """At most max_points samples of a time range, evenly many apart; the range is widened by padding samples on either side, and by one at its end.
+
+    With jitter, all but the first and last are moved by up to jitter times the stride, as in jittered().
+    """
     span = time_range(samples, start_us, end_us, bounds).groupBy(*K).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
     span = span.join(sizes(samples), K).select(*K, F.greatest(F.col("_a") - padding, F.lit(0)).alias("_a"), F.least(F.col("_b") + padding + 2, F.col("_len")).alias("_b"))
-    step = F.greatest(F.ceil((F.col("_b") - F.col("_a")) / max_points), F.lit(1))
+    span = span.withColumn("_step", F.greatest(F.ceil((F.col("_b") - F.col("_a")) / max_points), F.lit(1)))
+    if jitter:
+        return _jittered(samples, span, jitter, seed)
     rows = samples.join(span, K).where((F.col("idx") >= F.col("_a")) & (F.col("idx") < F.col("_b")))
-    return rows.where((F.col("idx") - F.col("_a")) % step == 0).drop("_a", "_b")
+    return rows.where((F.col("idx") - F.col("_a")) % F.col("_step") == 0).drop("_a", "_b", "_step")
 
 
 def jittered(samples: DataFrame, step: int, jitter: float, seed: int = 0) -> DataFrame:
-    """Every step-th sample, moved by up to jitter * step / 2 either way; the first and last stay.
+    """Every step-th sample, moved by up to jitter * step either way; the first and last stay.
 
-    Offsets come from a hash of the seed and the slot, so runs repeat. A scaled jitter of 0.5 or less is the plain stride.
+    Offsets come from the MD5 of the seed, the series and the slot, so runs repeat. A jitter * step of 0.5 or less is the plain stride.
     """
-    reach = jitter * step / 2
-    n = sizes(samples)
-    slots = n.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_len") - 1, F.lit(step))))
-    draw = F.pmod(F.xxhash64(F.lit(seed), *K, "_i"), F.lit(1_000_003)) / 1_000_002.0 * 2 - 1
-    free = (F.col("_i") > 0) & (F.col("_i") + step < F.col("_len"))
-    at = F.when(free & F.lit(reach > 0.5), F.col("_i") + F.round(draw * reach).cast("bigint")).otherwise(F.col("_i"))
-    return slots.select(*K, at.alias("idx")).join(samples, [*K, "idx"])
+    return _jittered(samples, sizes(samples).select(*K, F.lit(0).alias("_a"), F.col("_len").alias("_b"), F.lit(step).alias("_step")), jitter, seed)
+
+
+def _jittered(samples: DataFrame, span: DataFrame, jitter: float, seed: int) -> DataFrame:
+    """Samples near the slots of each series' range [_a, _b) with its _step."""
+    slots = span.withColumn("_i", F.explode(F.sequence(*(c.cast("bigint") for c in (F.col("_a"), F.col("_b") - 1, F.col("_step"))))))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in K), F.col("_i").cast("string")).cast("binary"))
+    draw = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / float(1 << 31) - 1
+    reach = F.col("_step") * F.lit(float(jitter))
+    free = (F.col("_i") > F.col("_a")) & (F.col("_i") + F.col("_step") < F.col("_b")) & (reach > 0.5)
+    moved = F.least(F.greatest(F.col("_i") + F.round(draw * reach).cast("bigint"), F.col("_a")), F.col("_b") - 1)
+    return slots.select(*K, F.when(free, moved).otherwise(F.col("_i")).alias("idx")).join(samples, [*K, "idx"])
 
 
 def head(samples: DataFrame, n: int) -> DataFrame:

@@ -2,27 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import K
 
-DAY_US = 86_400_000_000
+#: Rows of a series that go to one task where time is cut into buckets, and the number of series that are cut.
+BUCKET_ROWS, CUT_SERIES = 100_000, 100_000
 #: Numbers of blocks or rows whose ticks are ordered in one task.
 TICK_BUCKET = 4096
 
 
-def bucket(t: str | Column, width_us: int = DAY_US) -> Column:
-    t = F.col(t) if isinstance(t, str) else t
-    return F.floor(t / F.lit(width_us)).cast("bigint")
+def time_buckets(rows: DataFrame, samples: DataFrame, keys: list[str] = K, name: str = "_b") -> DataFrame:
+    """rows with the number of their time bucket, as wide as BUCKET_ROWS of the series' samples are on average; a short series is one bucket.
+
+    Series are cut that have more samples, the CUT_SERIES longest at most, so their starts and widths can be broadcast; one that isn't
+    cut holds less than a CUT_SERIES-th of all samples.
+    """
+    n = F.col("_n") / F.lit(BUCKET_ROWS)
+    per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("t_us").alias("_from"), F.max("t_us").alias("_to"))
+    cut = per.where((n > 1) & (F.col("_to") > F.col("_from"))).orderBy(F.desc("_n")).limit(CUT_SERIES).select(*keys, "_from", ((F.col("_to") - F.col("_from")) / n).alias("_width"))
+    number = F.when(F.col("_width").isNotNull(), F.floor((F.col("t_us") - F.col("_from")) / F.col("_width"))).otherwise(F.lit(0)).cast("bigint")
+    return rows.join(F.broadcast(cut), keys, "left").withColumn(name, number).drop("_from", "_width")
 
 
-def add_index(samples: DataFrame, *tie: str, width_us: int = DAY_US) -> DataFrame:
+def add_index(samples: DataFrame, *tie: str) -> DataFrame:
     """Running sample number of each series, by time and the tie columns, without ordering a series in one task.
 
     Counts by time bucket are summed up on one row per bucket; a row number inside the bucket is added to that.
     """
-    rows = samples.withColumn("_bucket", bucket("t_us", width_us))
+    rows = time_buckets(samples, samples, K, "_bucket")
     before = Window.partitionBy(*K).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*K, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select(*K, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -128,6 +137,14 @@ def sample_rates(blocks: DataFrame, channels: DataFrame | None = None) -> DataFr
     return rows.withColumn("rate_hz", F.try_divide(F.lit(1e6), F.col("period_us")))
 
 
+def rate_at(probes: DataFrame, blocks: DataFrame, channels: DataFrame | None = None) -> DataFrame:
+    """period_us and rate_hz at each sample number: those of its block, or the declared ones. blocks: with idx0 and idx1."""
+    from .slices import locate_blocks
+
+    rates = sample_rates(blocks, channels).select(*K, "block_seq", "period_us", "rate_hz")
+    return locate_blocks(probes, blocks).join(rates, [*K, "block_seq"]).drop("block_seq")
+
+
 def intervals(blocks: DataFrame) -> DataFrame:
     """First and last time, samples, blocks, and whether the series has one sample to a block."""
     return blocks.groupBy(*K).agg(

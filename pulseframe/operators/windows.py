@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 from ..schema import K
 from .asof import interpolate
 from .stats import block_medians, long_form
-from .timebase import DAY_US, bucket
+from .timebase import time_buckets
 
 #: Channels whose mean may be removed, where the dimension table says nothing. Fixed values.
-MEAN_REMOVAL_CHANNELS = (0, 8, 32, 80)
+MEAN_REMOVAL_CHANNELS = ("0", "8", "32", "80")
+
+
+def mean_removal_allowed(declared: Column | None = None) -> Column:
+    """What the dimension table declares; where it doesn't, whether the channel is one of MEAN_REMOVAL_CHANNELS."""
+    known = F.col("channel_id").isin(*MEAN_REMOVAL_CHANNELS)
+    return known if declared is None else F.coalesce(declared, known)
 
 
 def remove_mean(samples: DataFrame, allowed: Column | None = None) -> DataFrame:
@@ -46,13 +52,13 @@ def range_label(name: Column, low: Column, high: Column, unit: Column) -> Column
     return one_sided.otherwise(F.format_string("%s outside range %s%s to %s%s", name, low, unit, high, unit))
 
 
-def bad_intervals(samples: DataFrame, bad: Column, width_us: int = DAY_US) -> DataFrame:
+def bad_intervals(samples: DataFrame, bad: Column) -> DataFrame:
     """[start_us, end_us) of runs where bad holds; the end is the first good sample's time, -1 for an open tail.
 
     Change points are found inside time buckets; each bucket gets the state it starts in and the next change after it
     from one row per bucket.
     """
-    rows = samples.select(*K, "idx", "t_us", F.coalesce(bad, F.lit(False)).alias("_bad")).withColumn("_b", bucket("t_us", width_us))
+    rows = time_buckets(samples.select(*K, "idx", "t_us", F.coalesce(bad, F.lit(False)).alias("_bad")), samples)
     line = Window.partitionBy(*K).orderBy("_b")
     states = rows.groupBy(*K, "_b").agg(F.max_by("_bad", "idx").alias("_last")).withColumn("_in", F.lag("_last").over(line)).drop("_last")
     inside = Window.partitionBy(*K, "_b").orderBy("idx")

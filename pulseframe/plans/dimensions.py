@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import calibration, names
-from ..operators import slices, stats, windows
+from ..functions import calibration, names, units
+from ..operators import slices, stats, timebase, windows
 from ..schema import K
 from ..sources import decode, metadata, recordings, sinks
 from ..streaming import live
 from . import model
-from .registry import DAY, ORACLES, _attributes, _packed, _probes, _range, _T, query, r
+from .registry import DAY, ORACLES, _attributes, _jitter, _NEAREST, _packed, _probes, _range, _T, query, r
 
 # Summaries and slices
 
@@ -39,7 +39,7 @@ def stored_block_stats(spark, d):
 
 @query(f"""SELECT channel_id, idx, t_us FROM s JOIN (SELECT channel_id, greatest(a - 5, 0) AS a, least(z + 7, n) AS z, greatest(ceil((least(z + 7, n) - greatest(a - 5, 0)) / 200), 1)::BIGINT AS step
 FROM (SELECT channel_id, min(idx) FILTER (inside) AS a, max(idx) FILTER (inside) AS z, count(*) AS n
-FROM (SELECT *, t_us > {_T} + {10 * DAY} AND t_us <= {_T} + {100 * DAY} AS inside FROM s) GROUP BY channel_id)) USING (channel_id) WHERE idx >= a AND idx < z AND (idx - a) % step = 0""")
+FROM (SELECT *, (t_us > {_T} + {10 * DAY} AND t_us <= {_T} + {100 * DAY}) OR (t_us > {_T} + {100 * DAY} AND lag(t_us) OVER (PARTITION BY channel_id ORDER BY idx) < {_T} + {100 * DAY} AND idx % 64 = 0) AS inside FROM s) GROUP BY channel_id)) USING (channel_id) WHERE idx >= a AND idx < z AND (idx - a) % step = 0""")
 def resampled_padded(spark, d):
     s = model.samples(spark, d)
     return slices.resampled_range(s, *_range(model.raw_samples(spark, d)), 200, 5).select("channel_id", "idx", "t_us")
@@ -185,7 +185,6 @@ WHEN channel_id = 'purchase' THEN 3 * (v - 5) + 1 WHEN channel_id = 'view' AND s
 FROM l, (SELECT 2 * (avg(v1) - 4) - 1 AS y FROM s WHERE channel_id = 'view')""")
 def calibrated_recording(spark, d):
     """Purchases by their channel's line, then compensated by views' calibrated k; clicks by a line whose other channel has no effect."""
-    rows = stats.long_form(model.samples(spark, d))
     channels = model.table(spark, d, "events").select(F.lit("demo").alias("recording_id"), F.col("event_type").alias("channel_id")).distinct()
     subs = channels.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("subchannel_id"))
     on = lambda c, i, n: F.when((F.col("channel_id") == c) & (F.col("subchannel_id") == i), F.lit(n))
@@ -193,10 +192,36 @@ def calibrated_recording(spark, d):
     channels = channels.withColumn("transform_id", F.when(F.col("channel_id") == "purchase", 1))
     table = [("demo", 1, [3.0, 1.0], 5.0, None, None, None), ("demo", 2, [0.001, 1.5, -0.25, 4.0], 10.0, 3.0, "view", 1), ("demo", 3, [2.0, -1.0], 4.0, None, None, None), ("demo", 4, [0.0, 0.5, 0.0, 9.0], 2.0, 7.0, "view", 0)]
     transforms = spark.createDataFrame(table, "recording_id string, transform_id int, c array<double>, x_ref double, y_ref double, y_channel_id string, y_subchannel_id int")
-    out = calibration.calibrate(rows, calibration.composed_lines(channels, subs, transforms))
+    means = calibration.series_means(stats.long_form(model.raw_samples(spark, d)))  # needs no index
+    out = stats.long_form(calibration.calibrate_samples(model.samples(spark, d), calibration.composed_lines(channels, subs, transforms), means=means))
     return out.select("channel_id", "idx", "subchannel_id", F.round(F.col("v") + 1e-7, 3).alias("v"))
 
 
+def _purchase_lines(spark) -> DataFrame:
+    """Purchases compensated by views' calibrated k."""
+    table = [("demo", "purchase", 0, [0.001, 1.5, -0.25, 4.0], "view", 1), ("demo", "view", 1, [2.0, -9.0], None, None)]
+    return spark.createDataFrame(table, "recording_id string, channel_id string, subchannel_id int, c array<double>, y_channel_id string, y_subchannel_id int")
+
+
+_LINE = "round(0.001::DOUBLE * v0 * y + 1.5::DOUBLE * v0 - 0.25::DOUBLE * y + 4 + 1e-7, 3) AS v"
+
+
+@query(f"{_NEAREST} SELECT idx, {_LINE} FROM (SELECT *, 2 * CASE WHEN pt IS NULL OR nt - t_us < t_us - pt THEN nv ELSE pv END - 9 AS y FROM n)")
+def calibrated_nearest(spark, d):
+    """Compensated by the value that is nearest in time."""
+    rows = stats.long_form(model.samples(spark, d, "purchase", "view"))
+    out = calibration.calibrate(rows, _purchase_lines(spark), "nearest").where("channel_id = 'purchase' and subchannel_id = 0")
+    return out.select("idx", F.round(F.col("v") + 1e-7, 3).alias("v"))
+
+
+@query(f"SELECT idx, {_LINE} FROM (SELECT *, idx % 7 AS y FROM s WHERE channel_id = 'purchase')")
+def calibrated_supplied(spark, d):
+    """Compensated by a column of the samples."""
+    rows = stats.long_form(model.samples(spark, d, "purchase")).withColumn("y", (F.col("idx") % 7).cast("double"))
+    out = calibration.calibrate(rows, _purchase_lines(spark), "supplied").where("subchannel_id = 0")
+    return out.select("idx", F.round(F.col("v") + 1e-7, 3).alias("v"))
+
+
 @query("SELECT s_suppkey AS transform_id, CASE WHEN s_suppkey % 5 = 0 THEN 'replaced' WHEN s_suppkey % 3 = 0 THEN 'bivariate' ELSE 'univariate' END AS kind FROM supplier", plain=True)
 def replaced_transforms(spark, d):
     lines = _lines(spark, d)
@@ -338,6 +363,143 @@ def loaded_range(spark, d):
     return recordings.load_blocks(spark, path, ["click", "view"], *_range(model.raw_samples(spark, d))).select("channel_id", "block_seq")
 
 
+# Rolling forms, rates and described dimensions
+
+_ROLLING = f"quantile_cont(av, 0.5) OVER (PARTITION BY channel_id, subchannel_id ORDER BY start_us RANGE BETWEEN {5 * DAY} PRECEDING AND {5 * DAY} FOLLOWING)"
+
+
+@query(f"SELECT channel_id, idx, subchannel_id, round(v - m + 1e-7, 4) AS v FROM l JOIN (SELECT channel_id, block_seq, subchannel_id, {_ROLLING} AS m FROM b) USING (channel_id, block_seq, subchannel_id)")
+def rolling_median_removed(spark, d):
+    out = windows.remove_block_median(model.samples(spark, d), model.stats(spark, d), 10 * DAY)
+    return out.select("channel_id", "idx", "subchannel_id", F.round(F.col("v") + 1e-7, 4).alias("v"))
+
+
+@query(f"SELECT channel_id, block_seq, subchannel_id, round(-2 * (mx - m) + 1e-7, 4) AS mn, round(-2 * (av - m) + 1e-7, 4) AS av, round(-2 * (mn - m) + 1e-7, 4) AS mx FROM (SELECT *, {_ROLLING} AS m FROM b)")
+def block_stats_rolling_removed(spark, d):
+    rows = stats.block_medians(model.stats(spark, d), 10 * DAY)
+    out = stats.calibrated_block_stats(rows, -2.0, 3.0, mean_of=F.col("median") * -2.0 + 3.0)
+    return out.select("channel_id", "block_seq", "subchannel_id", *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("mn", "av", "mx")))
+
+
+@query("""SELECT channel_id, idx, round(1e6 / CASE channel_id WHEN 'click' THEN 4000 ELSE p END, 9) AS rate_hz FROM s JOIN (SELECT channel_id, block_seq, CASE WHEN n > 1 THEN (end_us - start_us) / (n - 1)
+ELSE coalesce(nx, lag((end_us - start_us) / nullif(n - 1, 0)) OVER (PARTITION BY channel_id ORDER BY block_seq)) END AS p FROM (SELECT *, (lead(start_us) OVER (PARTITION BY channel_id ORDER BY block_seq) - start_us) / n AS nx FROM bb)) q
+ON s.channel_id = q.channel_id AND idx // 64 = block_seq""".replace("SELECT channel_id, idx, round", "SELECT s.channel_id, idx, round").replace("CASE channel_id WHEN", "CASE s.channel_id WHEN"))
+def rate_at_index(spark, d):
+    """Clicks declare their rate."""
+    blocks = timebase.index_ranges(model.blocks(spark, d))
+    declared = blocks.where("channel_id = 'click'").select(*K).distinct().withColumn("sample_rate", F.lit(250.0))
+    return timebase.rate_at(model.samples(spark, d).select(*K, "idx"), blocks, declared).select("channel_id", "idx", r("rate_hz", 9))
+
+
+@query(_jitter("a", "b", "step", "step * 0.8::DOUBLE", f"""SELECT channel_id, a, b, greatest(ceil((b - a) / 200), 1)::BIGINT AS step FROM (SELECT channel_id, min(idx) FILTER (inside) AS a, least(max(idx) FILTER (inside) + 2, count(*)) AS b
+FROM (SELECT *, t_us >= {_T} + {10 * DAY} AND t_us <= {_T} + {100 * DAY} AS inside FROM s) GROUP BY channel_id)"""))
+def resampled_jittered(spark, d):
+    rows = slices.resampled_range(model.samples(spark, d), *_range(model.raw_samples(spark, d)), 200, bounds="closed", jitter=0.8)
+    return rows.select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
+
+
+def _recordings(spark, d) -> DataFrame:
+    """Nations are recordings that describe their suppliers as sensors, warnings, calibrations and bandwidth limits."""
+    key = F.col("s_suppkey")
+    n = (key % 3).cast("int")
+    c = F.slice(F.array(F.lit(1.5), F.lit(2.5)), F.lit(1), n)
+    return model.table(spark, d, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("recording_id")).agg(
+        F.collect_list(F.struct(F.when(key % 7 != 0, key.cast("int")).alias("SensorID"), F.col("s_name").alias("SensorName"), (key % 4).cast("int").alias("SensorBwLimitIDRef"))).alias("sensors"),
+        F.collect_list(F.struct(key.cast("int").alias("WarningID"), F.lit("1").alias("WarningChannelRef"), F.lit(0).alias("WarningSubChannelRef"), F.when(key % 2 == 0, F.lit(-1.0)).alias("WarningRangeMin"), F.lit(5.0).alias("WarningRangeMax"))).alias("warnings"),
+        F.collect_list(F.struct(key.cast("int").alias("CalID"), c.alias("PolynomialCoef"), F.lit(3.0).alias("CalReferenceValue"))).alias("calibrations"),
+        F.collect_list(F.struct(F.when(key % 5 != 0, key.cast("int")).alias("BwLimitID"), F.lit(10.0).alias("BwLimitUpper"), F.lit(20.0).alias("BwLimitRolloffUpper"))).alias("bandwidths"),
+    )
+
+
+@query("SELECT s_nationkey::VARCHAR AS recording_id, s_suppkey AS sensor_id, s_name AS name, s_suppkey % 4 AS bw_limit_id FROM supplier WHERE s_suppkey % 7 <> 0", plain=True)
+def described_sensors(spark, d):
+    return metadata.described_sensors(_recordings(spark, d))
+
+
+@query("SELECT s_nationkey::VARCHAR AS recording_id, s_suppkey AS warning_id, '1' AS channel_id, 0 AS subchannel_id, CASE WHEN s_suppkey % 2 = 0 THEN -1.0 END AS low, 5.0 AS high FROM supplier", plain=True)
+def described_warnings(spark, d):
+    return metadata.described_warnings(_recordings(spark, d))
+
+
+@query("SELECT s_suppkey AS transform_id, CASE WHEN s_suppkey % 3 = 0 THEN 'no coefficients' ELSE 'ok' END AS reason, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '1.5' ELSE '1.5,2.5' END AS c FROM supplier", plain=True)
+def described_transforms(spark, d):
+    good, bad = metadata.described_transforms(_recordings(spark, d))
+    rows = good.withColumn("reason", F.lit("ok")).unionByName(bad)
+    return rows.select("transform_id", "reason", F.array_join(F.col("c").cast("array<string>"), ",").alias("c"))
+
+
+@query("SELECT s_suppkey AS bw_limit_id, 10.0 AS hi_cut, 20.0 AS hi_roll FROM supplier WHERE s_suppkey % 5 <> 0", plain=True)
+def described_bandwidths(spark, d):
+    return metadata.described_bandwidths(_recordings(spark, d)).select("bw_limit_id", "hi_cut", "hi_roll")
+
+
+@query("""SELECT s_suppkey AS recording_id, 'warning' AS what, -20.0 AS a, 60.0 AS b FROM supplier WHERE s_nationkey % 4 <> 0
+UNION ALL SELECT s_suppkey, 'transform', round(CASE s_suppkey % 8 + 15 WHEN 18 THEN 100 WHEN 19 THEN 200 WHEN 20 THEN 500 WHEN 21 THEN 2000 WHEN 22 THEN 6000 ELSE 25 END / 32767::DOUBLE, 9), 0 FROM supplier WHERE s_nationkey % 4 <> 0""", plain=True)
+def default_ranges(spark, d):
+    """The default warning range and transform of recordings that describe none."""
+    s = model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), (F.col("s_suppkey") % 8 + 15).alias("recorder_type"), "s_nationkey")
+    told = s.where("s_nationkey % 4 = 0").select("recording_id")
+    lines = metadata.default_transforms(s, told).select("recording_id", F.lit("transform").alias("what"), F.round(F.col("c")[0], 9).alias("a"), F.col("c")[1].alias("b"))
+    return metadata.default_warnings(s, told).select("recording_id", F.lit("warning").alias("what"), F.col("low").alias("a"), F.col("high").alias("b")).unionByName(lines)
+
+
+@query("SELECT o_custkey AS owner, string_agg(o_orderkey % 6 + 1, ',' ORDER BY o_orderkey) AS codes, string_agg('int', ',') AS kinds FROM orders GROUP BY ALL", plain=True)
+def typed_attributes(spark, d):
+    """Numbers stay numbers."""
+    x = metadata.typed_rollup(_attributes(spark, d)).select(F.col("recording_id").alias("owner"), F.col("attributes")["ExitCond"].alias("x"))
+    return x.select("owner", F.array_join(F.transform("x", lambda v: v["v_int"].cast("string")), ",").alias("codes"), F.array_join(F.transform("x", lambda v: v["kind"]), ",").alias("kinds"))
+
+
+@query("SELECT c_custkey AS recording_id, coalesce((SELECT count(*) FROM orders WHERE o_custkey = c_custkey), 0) AS n FROM customer", plain=True)
+def merged_attributes(spark, d):
+    rows = model.table(spark, d, "customer").select(F.col("c_custkey").alias("recording_id"), F.lit("rec").alias("owner"))
+    out = metadata.merge_attributes(rows, _attributes(spark, d), "status")
+    return out.select("recording_id", F.coalesce(F.size("status"), F.lit(0)).cast("bigint").alias("n")).withColumn("n", F.greatest("n", F.lit(0).cast("bigint")))
+
+
+@query("SELECT o_orderkey, 9007199254740993 + o_orderkey AS v FROM orders", plain=True)
+def decoded_long(spark, d):
+    """Numbers beyond 53 bits stay exact."""
+    h = _hex(F.col("o_orderkey") + 9007199254740993, 16)
+    payload = F.unhex(F.concat(*(F.substring(h, 15 - 2 * i, 2) for i in range(8))))
+    return decode.to_samples(decode.decode_payload(model.table(spark, d, "orders").select("o_orderkey", payload.alias("payload")), "<q")).select("o_orderkey", F.col("raw")[0].alias("v"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'ragged' ELSE 'ok' END AS reason FROM embeddings", plain=True)
+def rejected_blocks(spark, d):
+    """Every fifth block has a damaged tail and goes apart."""
+    p = _packed(spark, d).withColumns({"start_tick": F.lit(1), "end_tick": F.lit(2)})
+    cut = p.withColumn("payload", F.when(F.col("vec_id") % 5 == 0, F.substring("payload", 1, 254)).otherwise(F.col("payload")))
+    good, bad = decode.route_rejected(decode.validate_blocks(cut, F.lit(4)))
+    return good.select("vec_id", F.lit("ok").alias("reason")).unionByName(bad.select("vec_id", "reason"))
+
+
+@query("SELECT event_id, round((CASE WHEN 100000::DOUBLE / p < 4.47704808656731::DOUBLE THEN 293.15::DOUBLE * (pow(p / 100000::DOUBLE, 0.1902632365084836::DOUBLE) - 1) / -0.0065::DOUBLE END), 3) AS metres, round(h, 3) AS feet FROM (SELECT event_id, 60000 + value * 50 AS p, value * 10 AS h FROM events)", plain=True)
+def altitude_at_base(spark, d):
+    """At a temperature and pressure of one's own, and feet there and back."""
+    v = F.col("raw")[0]
+    feet = units.convert("pressure_to_feet", units.revert("pressure_to_feet", v * 10))
+    return model.raw_samples(spark, d).select("event_id", F.round(units.altitude_m(v * 50 + 60000, 20.0, 100000.0), 3).alias("metres"), F.round(feet, 3).alias("feet"))
+
+
+@query("SELECT n_regionkey AS region, 1 AS files FROM nation GROUP BY ALL", plain=True)
+def found_files(spark, d):
+    """Files by folder, two levels down."""
+    path = model.shared_path(spark, "found")
+    model.table(spark, d, "nation").coalesce(1).write.partitionBy("n_regionkey").parquet(path)
+    found = recordings.crawl(spark, path, "*.parquet", 2)
+    return found.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("bigint").alias("region")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT s_nationkey::VARCHAR AS recording_id, s_suppkey AS sensor_id, s_name AS name FROM supplier", plain=True)
+def opened_dimensions(spark, d):
+    """Only the sensors of a stored set of recordings are read."""
+    path = model.shared_path(spark, "dimensions")
+    s = model.table(spark, d, "supplier")
+    s.select(F.col("s_nationkey").cast("string").alias("recording_id"), F.col("s_suppkey").cast("int").alias("sensor_id"), F.col("s_name").alias("name"), F.lit("").alias("trace"), F.lit(0).alias("bw_limit_id")).write.parquet(f"{path}/sensors")
+    return recordings.open_dimensions(spark, path, "sensors")["sensors"].select("recording_id", "sensor_id", "name")
+
+
 # Exports and ingest
 
 
@@ -368,3 +530,28 @@ def stream_ingest(spark, d):
     rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("demo").alias("recording_id"), F.lit(0).alias("session_id"), F.col("event_type").alias("channel_id"), F.col("event_id").alias("block_seq"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     live.ingest(rows, f"{path}/data", f"{path}/state").awaitTermination()
     return spark.read.parquet(f"{path}/data").select("channel_id", F.col("block_seq").alias("event_id"))
+
+
+@query("""SELECT channel_id, idx, printf('%.6f', t_us * 1e-6) AS time, printf('%.3f', v1 - m1 + 1e-7) AS K_1, printf('%.3f', 3 * v0 - 14 - (3 * m0 - 14) + 1e-7) AS Value
+FROM s JOIN (SELECT channel_id, avg(v0) AS m0, avg(v1) AS m1, count(*) AS len FROM s GROUP BY channel_id) USING (channel_id) WHERE idx >= 5 AND idx < len - 5 AND (idx - 5) % 3 = 0""")
+def exported_slice(spark, d):
+    """Calibrated, less the mean, sliced, the subchannels the other way round."""
+    s = model.samples(spark, d)
+    channels = model.table(spark, d, "events").select(F.lit("demo").alias("recording_id"), F.col("event_type").alias("channel_id")).distinct()
+    lines = channels.select("*", F.lit(0).alias("subchannel_id"), F.array(F.lit(3.0), F.lit(-14.0)).alias("c"), F.lit(None).cast("string").alias("y_channel_id"), F.lit(None).cast("int").alias("y_subchannel_id"))
+    rows = sinks.export_samples(s, 5, -5, 3, [1, 0], lines, remove_mean=True).withColumn("raw", F.transform("raw", lambda v: v + 1e-7))
+    out = sinks.csv_columns(rows, ["K 1", "Value"], fmt="%.3f", keep=("channel_id", "idx", "t_us"))
+    return out.select("channel_id", "idx", F.format_string("%.6f", F.col("t_us") * 1e-6).alias("time"), "K_1", "Value")
+
+
+@query("""SELECT s_suppkey AS transform_id, 'calibration' || s_suppkey AS name, CASE s_suppkey % 3 WHEN 1 THEN '3.0,1.5' ELSE '3.0,1.5,2.5' END AS vals FROM supplier WHERE s_suppkey % 3 <> 0""", plain=True)
+def calibration_sidecars(spark, d):
+    good, _ = metadata.described_transforms(_recordings(spark, d))
+    rows = sinks.calibration_sidecar(good)
+    return rows.select(F.regexp_extract("name", r"(\d+)", 1).cast("int").alias("transform_id"), "name", F.array_join(F.col("values").cast("array<string>"), ",").alias("vals"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS recording_id, 'Samples generated from ' || s_suppkey || '.rec recorded ' || strftime(make_timestamp(s_suppkey * 86400000000), '%Y-%m-%d %H:%M:%S') || ' UTC' AS text FROM supplier", plain=True)
+def provenance(spark, d):
+    rows = model.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("recording_id"), F.concat(F.lit("/data/"), F.col("s_suppkey"), F.lit(".rec")).alias("path"), (F.col("s_suppkey") * 86_400).alias("utc_start_s"))
+    return sinks.provenance_sidecar(rows)

@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """A new path in the folder that all machines share, spark.checkpoint.dir; where that is unset, in the warehouse of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,8 +36,10 @@ def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_block(add_index(raw_samples(spark, sf_dir), "event_id"), BLOCK)
+def samples(spark: SparkSession, sf_dir: str, *channels: str) -> DataFrame:
+    """Indexed samples; of the named channels only, which are chosen before they are numbered."""
+    rows = raw_samples(spark, sf_dir)
+    return to_block(add_index(rows.where(F.col("channel_id").isin(*channels)) if channels else rows, "event_id"), BLOCK)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,7 +117,8 @@ def event_from_end(spark, d):
     return slices.event_at(model.samples(spark, d), -3).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
 
-@query(f"SELECT channel_id, idx, t_us, v0 FROM (SELECT *, min(t_us) OVER (PARTITION BY channel_id) AS a FROM s) WHERE (t_us > {_T} + {10 * DAY} OR (a >= {_T} + {10 * DAY} AND t_us >= {_T} + {10 * DAY})) AND t_us <= {_T} + {100 * DAY}")
+@query(f"""SELECT channel_id, idx, t_us, v0 FROM (SELECT *, min(t_us) OVER (PARTITION BY channel_id) AS a, lag(t_us) OVER (PARTITION BY channel_id ORDER BY idx) AS before, {_T} + {10 * DAY} AS s0, {_T} + {100 * DAY} AS e0 FROM s)
+WHERE ((t_us > s0 OR (a >= s0 AND t_us >= s0)) AND t_us <= e0) OR (t_us > e0 AND before < e0 AND idx % 64 = 0)""")
 def time_range(spark, d):
     s = model.samples(spark, d)
     return slices.time_range(s, *_range(model.raw_samples(spark, d))).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
@@ -139,7 +140,14 @@ def head_per_series(spark, d):
     return slices.head(model.samples(spark, d), 25).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
 
-@query()
+def _jitter(a: str, b: str, step: str, reach: str, spans: str) -> str:
+    """Slots of each channel's range and where the MD5 of seed, series and slot moves them."""
+    draw = f"(('0x' || substr(md5('0:demo:0:' || channel_id || ':' || i), 1, 8))::BIGINT / 2147483648::DOUBLE - 1)"
+    return f"""SELECT channel_id, idx, t_us, v0 FROM (SELECT channel_id, CASE WHEN i > {a} AND i + {step} < {b} AND {reach} > 0.5 THEN least(greatest(i + round({draw} * {reach})::BIGINT, {a}), {b} - 1) ELSE i END AS idx
+FROM (SELECT *, unnest(range({a}, {b}, {step})) AS i FROM ({spans}))) JOIN s USING (channel_id, idx)"""
+
+
+@query(_jitter("0", "len", "20", "16::DOUBLE", "SELECT channel_id, count(*) AS len FROM s GROUP BY channel_id"))
 def jittered_slice(spark, d):
     return slices.jittered(model.samples(spark, d), 20, 0.8).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
@@ -239,7 +247,7 @@ def applicable_converters(spark, d):
 
 def _probes(spark, d) -> tuple[DataFrame, DataFrame]:
     """Purchases look up views."""
-    s = model.samples(spark, d)
+    s = model.samples(spark, d, "purchase", "view")
     p = s.where("channel_id = 'purchase'").select("recording_id", "session_id", F.lit("view").alias("channel_id"), "t_us", F.col("idx").alias("probe"))
     return p, s.where("channel_id = 'view'")
 
@@ -249,9 +257,15 @@ def asof_before(spark, d):
     return asof.index_before(*_probes(spark, d)).select("probe", "idx")
 
 
-@query(f"{_NEAREST} SELECT idx AS probe, CASE WHEN pt IS NULL OR nt - t_us < t_us - pt THEN ni ELSE pi END AS idx FROM n")
+@query(f"{_NEAREST} SELECT idx AS probe, CASE WHEN nt IS NULL THEN pi + 1 WHEN pt IS NULL OR nt - t_us < t_us - pt THEN ni ELSE pi END AS idx FROM n")
 def asof_nearest(spark, d):
-    return asof.nearest(*_probes(spark, d)).select("probe", F.col("near_idx").alias("idx"))
+    """At or after the last view: their number."""
+    return asof.index_near(*_probes(spark, d)).select("probe", "idx")
+
+
+@query(f"{_NEAREST} SELECT idx AS probe, CASE WHEN pt IS NULL OR nt - t_us < t_us - pt THEN nt ELSE pt END AS t_us, CASE WHEN pt IS NULL OR nt - t_us < t_us - pt THEN nv0 ELSE pv0 END AS v0 FROM n")
+def nearest_values(spark, d):
+    return asof.nearest(*_probes(spark, d)).select("probe", F.col("near_t").alias("t_us"), F.col("near")[0].alias("v0"))
 
 
 @query(f"{_NEAREST} SELECT idx AS probe, round(CASE WHEN pt = t_us THEN pv0 ELSE pv0 + (t_us - pt) / (nt - pt) * (nv0 - pv0) END, 4) AS v0 FROM n WHERE pt = t_us OR (pt IS NOT NULL AND nt IS NOT NULL)")
@@ -278,25 +292,29 @@ def uniform_times(spark, d):
     return timebase.uniform_times(rows, model.blocks(spark, d)).select("channel_id", "idx", r("t_us", 1))
 
 
-@query("SELECT event_type AS channel_id, epoch_us(w) AS start_us, round(avg(value), 4) AS av FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL", plain=True)
+_R = "(user_id % 3)::VARCHAR AS recording_id"
+
+
+@query(f"SELECT {_R}, event_type AS channel_id, epoch_us(w) AS start_us, round(avg(value) + 1e-7, 4) AS av, round(quantile_disc(value, 0.5), 4) AS median FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL", plain=True)
 def stream_sliding(spark, d):
-    return _streamed(spark, d, lambda s: live.sliding(s, "1 day", "12 hours"), "complete").select("channel_id", F.unix_micros("w.start").alias("start_us"), r("av"))
+    return _streamed(spark, d, lambda s: live.sliding(s, "1 day", "12 hours"), "complete").select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), F.round(F.col("av") + 1e-7, 4).alias("av"), r("median"))
 
 
-@query("SELECT event_type AS channel_id, event_id AS seq, (epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts)) FROM events) // 1000) AS t_us FROM events", plain=True)
+@query(f"SELECT {_R}, event_type AS channel_id, event_id AS seq, (epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts)) FROM events) // 1000) AS t_us FROM events", plain=True)
 def stream_ticks(spark, d):
     first = model.raw_samples(spark, d).agg(F.min("t_us")).first()[0] or 0
 
     def ticks(s):
         ms = F.floor(F.col("t_us") / 1000).cast("bigint") - first // 1000
-        return s.select("channel_id", F.col("event_id").alias("seq"), (ms % MODULUS).alias("tick"))
+        return s.select(*K, F.col("event_id").alias("seq"), (ms % LONG_MODULUS).alias("tick"))
 
-    return _written(spark, lambda *to: live.live_ticks(ticks(_stream(spark, d)), MODULUS, 1.0, *to), "channel_id string, seq bigint, t_us bigint")
+    rows, _ = _written(spark, lambda *to: live.live_ticks(ticks(_stream(spark, d)), LONG_MODULUS, 1.0, *to), "recording_id string, channel_id string, seq bigint, t_us bigint")
+    return rows
 
 
-@query("SELECT channel_id, idx, idx // 64 AS block_seq FROM s WHERE idx % 97 = 0")
+@query("SELECT channel_id, idx, idx // 64 AS block_seq FROM s")
 def block_of_index(spark, d):
-    return slices.locate_blocks(model.samples(spark, d).where("idx % 97 = 0").select(*K, "idx"), timebase.index_ranges(model.blocks(spark, d))).select("channel_id", "idx", "block_seq")
+    return slices.locate_blocks(model.samples(spark, d).select(*K, "idx"), timebase.index_ranges(model.blocks(spark, d))).select("channel_id", "idx", "block_seq")
 
 
 # Windows
@@ -327,7 +345,8 @@ def block_median_removed(spark, d):
 # Times
 
 
-MODULUS = 1 << 27
+#: Of ticks in milliseconds; the second for series whose samples are days apart.
+MODULUS, LONG_MODULUS = 1 << 27, 1 << 31
 
 
 @query(f"SELECT channel_id, event_id, (t_us - {_T}) // 1000 AS t_ms FROM s")
@@ -457,31 +476,35 @@ def series_diff(spark, d):
 # Export, spectrum, streams
 
 
-@query("SELECT channel_id, idx, printf('%.6f', (t_us - t0) * 1e-6) AS time, printf('%.6f', v0) AS Value, printf('%.6f', v1) AS K_1 FROM s, (SELECT min(t_us) AS t0 FROM s) WHERE idx < 1000")
+@query("SELECT channel_id, idx, printf('%.6f', (t_us - t0) * 1e-6) AS time, printf('%.6f', v0) AS Value, printf('%.6f', v1) AS K_1 FROM s, (SELECT min(t_us) AS t0 FROM s)")
 def csv_rows(spark, d):
-    s = slices.index_slice(model.samples(spark, d), 0, 1000)
+    s = model.samples(spark, d)
     first = s.agg(F.min("t_us")).first()[0] or 0
     return sinks.csv_columns(s.withColumn("t_us", F.col("t_us") - first), ["Value", "K 1"], keep=("channel_id", "idx"))
 
 
-@query()
+@query("""SELECT channel_id, subchannel_id, segment, n, round(coalesce(sqrt(sum((re * re + im * im) / n * CASE WHEN 2 * k = n THEN 1 ELSE 2 END) / n), 0), 4) AS rms FROM (
+  SELECT channel_id, subchannel_id, segment, n, k, sum(v * cos(2 * pi() * (j * k % n) / n)) AS re, sum(v * sin(2 * pi() * (j * k % n) / n)) AS im
+  FROM (SELECT channel_id, subchannel_id, idx // 1024 AS segment, idx % 1024 AS j, v, count(*) OVER (PARTITION BY channel_id, subchannel_id, idx // 1024) AS n FROM l)
+  LEFT JOIN (SELECT unnest(range(1, 513)) AS k) ON k / n >= 0.01 AND k / n <= 0.2 GROUP BY ALL) GROUP BY channel_id, subchannel_id, segment, n""")
 def band_rms(spark, d):
     s = model.samples(spark, d)
     return spectrum.band_rms(s, 1e6, 0.01, 0.2, 1024).select("channel_id", "subchannel_id", "segment", "n", r("rms"))
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """The events as a stream."""
+    """The events of three recordings as a stream."""
     events = spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*")
-    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
+    key = [(F.col("user_id") % 3).cast("string").alias("recording_id"), F.lit(0).alias("session_id"), F.col("event_type").alias("channel_id")]
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), *key, "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
 
 
-def _written(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: str) -> DataFrame:
-    """What a stream writes by itself until its end."""
+def _written(spark: SparkSession, start: Callable[[str, str], StreamingQuery], schema: str) -> tuple[DataFrame, str]:
+    """What a stream writes by itself until its end, and where."""
     out = model.shared_path(spark, "stream")
     spark.createDataFrame([], schema).write.parquet(f"{out}/data/none")
     start(out, f"{out}/checkpoint").awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/data"), out
 
 
 def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -499,17 +522,36 @@ def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFram
     return spark.read.schema(result.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
-@query("SELECT event_type AS channel_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(min(value), 4) AS mn, round(avg(value), 4) AS av, round(max(value), 4) AS mx, count(*) AS n FROM events GROUP BY ALL", plain=True)
+@query(f"SELECT {_R}, event_type AS channel_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(min(value), 4) AS mn, round(avg(value) + 1e-7, 4) AS av, round(max(value), 4) AS mx, count(*) AS n FROM events GROUP BY ALL", plain=True)
 def stream_tumbling(spark, d):
-    return _streamed(spark, d, lambda s: live.tumbling(s, "1 day"), "complete").select("channel_id", F.unix_micros("w.start").alias("start_us"), r("mn"), r("av"), r("mx"), "n")
+    return _streamed(spark, d, lambda s: live.tumbling(s, "1 day"), "complete").select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), r("mn"), F.round(F.col("av") + 1e-7, 4).alias("av"), r("mx"), "n")
 
 
-@query(f"""SELECT channel_id, min(t_us) AS start_us, count(*) AS n, round(max(v0), 4) AS mx FROM (SELECT *, sum(cut) OVER (PARTITION BY channel_id ORDER BY idx) AS g FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY channel_id ORDER BY idx) < {DAY // 12} THEN 0 ELSE 1 END AS cut FROM s)) GROUP BY channel_id, g""")
+@query(f"""SELECT {_R}, channel_id, min(t_us) AS start_us, count(*) AS n, round(max(v0), 4) AS mx FROM (SELECT *, sum(cut) OVER (PARTITION BY user_id % 3, channel_id ORDER BY idx) AS g
+FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY user_id % 3, channel_id ORDER BY idx) < {DAY // 12} THEN 0 ELSE 1 END AS cut FROM s)) GROUP BY user_id % 3, channel_id, g""")
 def stream_sessions(spark, d):
-    return _streamed(spark, d, lambda s: live.gap_sessions(s, "2 hours"), "complete").select("channel_id", F.unix_micros("w.start").alias("start_us"), "n", r("mx"))
+    return _streamed(spark, d, lambda s: live.gap_sessions(s, "2 hours"), "complete").select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), "n", r("mx"))
 
 
-@query(ORACLES["warning_intervals"], plain=True)
+@query(f""", w AS (SELECT {_R}, channel_id, idx, t_us, NOT (v0 > 20 AND v0 < 200) AS bad FROM s)
+SELECT recording_id, channel_id, t_us AS start_us, coalesce((SELECT min(g.t_us) FROM w g WHERE g.recording_id = e.recording_id AND g.channel_id = e.channel_id AND g.idx > e.idx AND NOT g.bad), -1) AS end_us
+FROM (SELECT *, lag(bad) OVER (PARTITION BY recording_id, channel_id ORDER BY idx) AS before FROM w) e WHERE bad AND NOT coalesce(before, false)""")
 def stream_warnings(spark, d):
-    rows = _written(spark, lambda *to: live.live_intervals(_stream(spark, d), 20.0, 200.0, *to), "channel_id string, start_us bigint, end_us bigint")
-    return rows.groupBy("channel_id", "start_us").agg(F.max("end_us").alias("end_us"))  # closed in a later batch
+    """Intervals that closed, and those that the last batch left open."""
+    schema = "recording_id string, channel_id string, start_us bigint, end_us bigint"
+    rows, out = _written(spark, lambda *to: live.live_intervals(_stream(spark, d), 20.0, 200.0, *to), schema)
+    return rows.unionByName(live.open_intervals(spark, out).select(*rows.columns))
+
+
+@query(f"SELECT channel_id, event_id, t_us < (SELECT (min(t_us) + max(t_us)) // 2 FROM s) AS late FROM s")
+def late_rows(spark, d):
+    """The later half of the time arrives first, so all of the earlier half is late."""
+    path, events = model.shared_path(spark, "late"), model.table(spark, d, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    middle = sum(x or 0 for x in events.agg(F.min(t), F.max(t)).first()) // 2
+    rows = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("channel_id"), "event_id")
+    for half in (F.unix_micros("ts") >= middle, F.unix_micros("ts") < middle):  # the stream goes on where it ended
+        rows.where(half).write.mode("append").parquet(f"{path}/in")
+        live.route_late(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), path, f"{path}/checkpoint").awaitTermination()
+    read = lambda name: spark.read.schema("channel_id string, event_id bigint").option("recursiveFileLookup", True).parquet(f"{path}/{name}")
+    return read("data").withColumn("late", F.lit(False)).unionByName(read("late").withColumn("late", F.lit(True)))

@@ -26,14 +26,27 @@ def register_decoder(name: str, fn: Decoder) -> None:
     DECODERS[name] = fn
 
 
+def _codes(fmt: str) -> tuple[str, str]:
+    return (fmt[0], fmt[1:]) if fmt[0] in "<>=" else ("=", fmt)
+
+
+def value_type(fmt: str) -> T.DataType:
+    """Doubles; formats of whole numbers with 64-bit ones among them keep those exact."""
+    _, codes = _codes(fmt) if fmt not in DECODERS else ("=", "d")
+    if set(codes) <= set("cbB?hHiIlLqQ") and set(codes) & set("qQ"):
+        return T.DecimalType(20, 0) if "Q" in codes else T.LongType()
+    return T.DoubleType()
+
+
 def struct_decoder(fmt: str) -> Decoder:
     """For a format such as '<hHf': byte order, then a code per subchannel."""
-    order, codes = (fmt[0], fmt[1:]) if fmt[0] in "<>=" else ("=", fmt)
-    kind = np.dtype([(f"f{i}", order + {"c": "b", "l": "i", "L": "I"}.get(c, c)) for i, c in enumerate(codes)])
+    order, codes = _codes(fmt)
+    kind = np.dtype([(f"f{i}", order + {"c": "b", "l": "i", "L": "I", "q": "i8", "Q": "u8"}.get(c, c)) for i, c in enumerate(codes)])
+    to = {T.LongType(): np.int64, T.DecimalType(20, 0): object}.get(value_type(fmt), np.float64)
 
     def run(payload: bytes) -> np.ndarray:
         rows = np.frombuffer(payload, kind, len(payload) // kind.itemsize)
-        return np.column_stack([rows[n].astype(np.float64) for n in kind.names]) if len(rows) else np.empty((0, len(codes)))
+        return np.column_stack([rows[n].astype(to) for n in kind.names]) if len(rows) else np.empty((0, len(codes)), to)
 
     return run
 
@@ -54,16 +67,26 @@ def n_samples(payload: str, size: int) -> Column:
 
 
 def decode_payload(blocks: DataFrame, fmt: str) -> DataFrame:
-    """payload becomes samples ARRAY<ARRAY<DOUBLE>>: a narrow Arrow stage, vectorised inside each payload."""
-    run = DECODERS.get(fmt) or struct_decoder(fmt)
+    """payload becomes samples, an array of arrays of value_type(fmt): a narrow Arrow stage over flat buffers; a null payload gives null."""
+    run, kind = DECODERS.get(fmt) or struct_decoder(fmt), value_type(fmt)
+    values = {T.LongType(): pa.int64(), T.DecimalType(20, 0): pa.decimal128(20, 0)}.get(kind, pa.float64())
     keep = [c for c in blocks.columns if c != "payload"]
-    schema = T.StructType([*(blocks.schema[c] for c in keep), T.StructField("samples", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    schema = T.StructType([*(blocks.schema[c] for c in keep), T.StructField("samples", T.ArrayType(T.ArrayType(kind)))])
+
+    def lists(payloads: list[bytes | None]) -> pa.ListArray:
+        rows = [None if x is None else run(x) for x in payloads]
+        whole = [r for r in rows if r is not None and len(r)]
+        sizes = np.concatenate([np.full(len(r), r.shape[1]) for r in whole]) if whole else np.empty(0, np.int64)
+        flat = np.concatenate([r.ravel() for r in whole]) if whole else np.empty(0)
+        flat = pa.array(flat.tolist(), values) if flat.dtype == object else pa.array(flat).cast(values)
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
+        ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in rows), False])), inner)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("payload")
-            out = [None if (p := x.as_py()) is None else run(p).tolist() for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(out, pa.list_(pa.list_(pa.float64())))], names=[*keep, "samples"])
+            out = lists(batch.column(batch.schema.get_field_index("payload")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), out], names=[*keep, "samples"])
 
     return blocks.mapInArrow(decode, schema)
 
@@ -114,3 +137,10 @@ def validate_blocks(blocks: DataFrame, size: str | Column) -> DataFrame:
     n = F.coalesce(F.octet_length("payload"), F.lit(0))
     rules = {"empty": n == 0, "ragged": n % size != 0, "backwards": F.coalesce(F.col("end_tick") < F.col("start_tick"), F.lit(False))}
     return blocks.withColumns(rules).withColumn("rejected", F.col("empty") | F.col("ragged") | F.col("backwards"))
+
+
+def route_rejected(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable blocks without the rule columns, and rejected ones with the reason."""
+    rules = ("empty", "ragged", "backwards")
+    reason = F.concat_ws(",", *(F.when(F.col(c), c) for c in rules))
+    return validated.where(~F.col("rejected")).drop(*rules, "rejected"), validated.where("rejected").withColumn("reason", reason).drop(*rules, "rejected")

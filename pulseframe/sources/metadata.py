@@ -21,6 +21,9 @@ DEFAULT_SUBCHANNELS = (
     ("1", 1, "Temperature", "Temperature", "°C", -40.0, 80.0, 1),
 )
 
+#: Accelerometer transforms of recordings that describe none: each axis scales by the reach; and the one warning range. Fixed values.
+DEFAULT_WARNINGS = ((0, "1", 1, -20.0, 60.0),)
+
 
 def rollup(attributes: DataFrame, multiple: bool = True) -> DataFrame:
     """Attributes of each owner as a map: name to its values in order, or to the last one."""
@@ -33,6 +36,20 @@ def rollup(attributes: DataFrame, multiple: bool = True) -> DataFrame:
     return each.groupBy("recording_id", "owner").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "_v")))).alias("attributes"))
 
 
+def typed_rollup(attributes: DataFrame) -> DataFrame:
+    """Attributes of each owner as a map: name to its values in order, each with its kind and in its own type."""
+    value = F.struct("kind", "v_int", "v_double", "v_string", "v_binary", "v_ts")
+    each = attributes.groupBy("recording_id", "owner", "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", value.alias("_v"))), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)), lambda x: x["_v"]).alias("_v"))
+    return each.groupBy("recording_id", "owner").agg(F.map_from_entries(F.collect_list(F.struct("name", "_v"))).alias("attributes"))
+
+
+def merge_attributes(rows: DataFrame, attributes: DataFrame, *names: str) -> DataFrame:
+    """rows (recording_id, owner, ...) with the named attributes as columns, each the array of its values; those of rows' own columns stand before."""
+    wide = rollup(attributes.where(F.col("name").isin(*names)))
+    out = rows.join(wide, ["recording_id", "owner"], "left")
+    return out.select(*rows.columns, *(F.col("attributes")[n].alias(n) for n in names if n not in rows.columns))
+
+
 def encode_attributes(maps: DataFrame, kinds: Column | None = None) -> DataFrame:
     """Map entries (name to text) as typed rows; the kind is guessed from the text where it isn't given."""
     rows = maps.select("recording_id", "owner", F.posexplode("attributes").alias("ord", "name", "_v"))
@@ -86,6 +103,61 @@ def default_sensors(recordings: DataFrame, sensors: DataFrame) -> DataFrame:
     return bare.select("recording_id", F.lit(0).alias("sensor_id"), F.lit("Accelerometer").alias("name"), (-reach).alias("lo"), reach.alias("hi"))
 
 
+def default_warnings(recordings: DataFrame, described: DataFrame) -> DataFrame:
+    """The default warning range of recordings that describe none."""
+    rows = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, c, k in zip(x, ("warning_id", "channel_id", "subchannel_id", "low", "high"), ("int", "string", "int", "double", "double")))) for x in DEFAULT_WARNINGS))
+    return recordings.join(described, "recording_id", "left_anti").select("recording_id", F.inline(rows))
+
+
+def default_transforms(recordings: DataFrame, described: DataFrame) -> DataFrame:
+    """The accelerometer's transform of recordings that describe none: full scale of 16 bits is the reach. recordings: recording_id, recorder_type."""
+    bare = recordings.join(described, "recording_id", "left_anti")
+    c = F.array(accelerometer_range(F.col("recorder_type")) / 32767.0, F.lit(0.0))
+    return bare.select("recording_id", F.lit(0).alias("transform_id"), F.lit("univariate").alias("kind"), c.alias("c"), F.lit(0.0).alias("x_ref"))
+
+
+# Fixed names of the fields of described sensors, warnings, calibrations and bandwidth limits, and their columns.
+SENSOR_FIELDS = {"SensorID": "sensor_id", "SensorName": "name", "TraceabilityData": "trace", "SensorSerialNumber": "serial", "SensorBwLimitIDRef": "bw_limit_id"}
+WARNING_FIELDS = {"WarningID": "warning_id", "WarningChannelRef": "channel_id", "WarningSubChannelRef": "subchannel_id", "WarningRangeMin": "low", "WarningRangeMax": "high"}
+CALIBRATION_FIELDS = {"CalID": "transform_id", "PolynomialCoef": "c", "CalReferenceValue": "x_ref", "BivariateCalReferenceValue": "y_ref", "BivariateChannelIDRef": "y_channel_id", "BivariateSubChannelIDRef": "y_subchannel_id"}
+BANDWIDTH_FIELDS = {"BwLimitID": "bw_limit_id", "BwLimitLower": "lo_cut", "BwLimitUpper": "hi_cut", "BwLimitRolloffLower": "lo_roll", "BwLimitRolloffUpper": "hi_roll"}
+
+
+def described(recordings: DataFrame, lists: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each element of an array column of structs, with the fields of the table under its column names; fields that the structs lack are left out."""
+    have = set(recordings.schema[lists].dataType.elementType.names)
+    rows = recordings.select("recording_id", F.explode(lists).alias("_x"))
+    return rows.select("recording_id", *(F.col("_x")[f].alias(c) for f, c in fields.items() if f in have))
+
+
+def described_sensors(recordings: DataFrame, lists: str = "sensors") -> DataFrame:
+    """Sensors of recordings; those without an id are left out, of an id the first counts."""
+    rows = recordings.select("recording_id", F.posexplode(lists).alias("_n", "_x"))
+    have = set(recordings.schema[lists].dataType.elementType.names)
+    rows = rows.select("recording_id", "_n", *(F.col("_x")[f].alias(c) for f, c in SENSOR_FIELDS.items() if f in have)).where("sensor_id is not null")
+    first = rows.groupBy("recording_id", "sensor_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "_n")), "_n").alias("_r"))
+    return first.select("_r.*")
+
+
+def described_warnings(recordings: DataFrame, lists: str = "warnings") -> DataFrame:
+    return described(recordings, lists, WARNING_FIELDS)
+
+
+def described_transforms(recordings: DataFrame, lists: str = "calibrations") -> tuple[DataFrame, DataFrame]:
+    """Transforms of recordings, and rejected ones with the reason; four coefficients or a reference to a channel make one bivariate."""
+    rows = described(recordings, lists, CALIBRATION_FIELDS)
+    for c, kind in (("x_ref", "double"), ("y_ref", "double"), ("y_channel_id", "string"), ("y_subchannel_id", "int")):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast(kind))
+    two = (F.size("c") == 4) | F.col("y_channel_id").isNotNull()
+    return check_transforms(rows.withColumn("kind", F.when(two, "bivariate").otherwise("univariate")))
+
+
+def described_bandwidths(recordings: DataFrame, lists: str = "bandwidths") -> DataFrame:
+    """Bandwidth limits of recordings; those without an id are left out."""
+    return described(recordings, lists, BANDWIDTH_FIELDS).where("bw_limit_id is not null")
+
+
 def subchannel_dimension(described: DataFrame, channels: DataFrame) -> DataFrame:
     """One row per subchannel: the first description wins, undescribed ones get their channel and number for a name, a display range needs
     both ends, a missing label is the unit."""

@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..schema import K
 
+#: Dimension tables of a stored set of recordings.
+DIMENSIONS = ("recordings", "sessions", "sensors", "channels", "subchannels", "transforms", "warning_ranges", "attributes")
+#: Blocks of a channel that an extract puts into one file.
+FILE_BLOCKS = 4096
+
+
+def open_dimensions(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The dimension tables under a folder (all, or those named), with their schemas; blocks and samples aren't touched."""
+    return {n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path.rstrip('/')}/{n}") for n in names or DIMENSIONS}
+
 
 def crawl(spark: SparkSession, path: str, pattern: str = "*", max_depth: int | None = None, excluded: tuple[str, ...] = (".git", ".svn")) -> DataFrame:
     """path, length and modificationTime of files under a folder; hidden and excluded folders are left out. No content is read."""
@@ -44,10 +55,11 @@ def edge_safe(blocks: DataFrame, start_us: int | None, end_us: int | None) -> Da
     return blocks.join(cuts, K).where(keep).drop("_fin", "_first", "_first_start")
 
 
-def extract(blocks: DataFrame, out: str, start_us: int | None, end_us: int | None) -> DataFrame:
-    """Write the blocks of a range by recording and channel; returns their number and bytes."""
+def extract(blocks: DataFrame, out: str, start_us: int | None, end_us: int | None, file_blocks: int = FILE_BLOCKS) -> DataFrame:
+    """Write the blocks of a range by recording and channel, so many to a task and file; returns their number and bytes."""
     kept = edge_safe(blocks, start_us, end_us)
-    kept.repartition("recording_id", "channel_id").write.mode("overwrite").partitionBy("recording_id", "channel_id").parquet(out)
+    part = F.floor(F.col("block_seq") / file_blocks)
+    kept.repartition("recording_id", "channel_id", part).write.mode("overwrite").option("maxRecordsPerFile", file_blocks).partitionBy("recording_id", "channel_id").parquet(out)
     return blocks.sparkSession.read.parquet(out).agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"))
 
 

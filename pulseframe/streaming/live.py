@@ -1,20 +1,21 @@
-"""Live recordings: ingest, tumbling and sliding summaries, sessions, out-of-range intervals, tick unrolling."""
+"""Live recordings: ingest, tumbling and sliding summaries, sessions, out-of-range intervals, tick unrolling. Everything is by series, as at rest."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.timebase import unroll
-from ..operators.windows import bad_intervals
+from ..operators.windows import bad_intervals, in_range
+from ..schema import K
 
 
 def ingest(blocks: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
     """Append blocks to a table once each; repeats within the watermark are dropped. Needs ts, recording_id, channel_id, block_seq."""
-    once = blocks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["recording_id", "session_id", "channel_id", "block_seq"])
+    once = blocks.withWatermark("ts", late).dropDuplicatesWithinWatermark([*K, "block_seq"])
     return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("channel_id").outputMode("append").trigger(availableNow=True).start()
 
 
@@ -39,18 +40,18 @@ def route_late(samples: DataFrame, path: str, checkpoint: str, late: str = "1 ho
 
 
 def tumbling(samples: DataFrame, length: str, late: str = "1 hour") -> DataFrame:
-    """Minimum, mean and maximum by channel and window. Rows later than the watermark are dropped by Spark."""
-    return samples.withWatermark("ts", late).groupBy("channel_id", F.window("ts", length).alias("w")).agg(F.min("v").alias("mn"), F.avg("v").alias("av"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("n"))
+    """Minimum, mean and maximum by series and window. Rows later than the watermark are dropped by Spark."""
+    return samples.withWatermark("ts", late).groupBy(*K, F.window("ts", length).alias("w")).agg(F.min("v").alias("mn"), F.avg("v").alias("av"), F.max("v").alias("mx"), F.count(F.lit(1)).alias("n"))
 
 
 def sliding(samples: DataFrame, length: str, slide: str, late: str = "1 hour") -> DataFrame:
     """Mean and approximate median over a moving span."""
-    return samples.withWatermark("ts", late).groupBy("channel_id", F.window("ts", length, slide).alias("w")).agg(F.avg("v").alias("av"), F.percentile_approx("v", 0.5).alias("median"))
+    return samples.withWatermark("ts", late).groupBy(*K, F.window("ts", length, slide).alias("w")).agg(F.avg("v").alias("av"), F.percentile_approx("v", 0.5).alias("median"))
 
 
 def gap_sessions(samples: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """Runs of samples without a pause longer than the gap."""
-    return samples.withWatermark("ts", late).groupBy("channel_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
+    return samples.withWatermark("ts", late).groupBy(*K, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
 
 
 def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
@@ -70,34 +71,41 @@ def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Call
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_KEY = "recording_id string, session_id int, channel_id string"
+
+
 def live_intervals(samples: DataFrame, low: float, high: float, path: str, checkpoint: str) -> StreamingQuery:
-    """Write out-of-range intervals as they close, and the open one as (start, -1) after each batch that leaves it open.
+    """Write out-of-range intervals to path/data as they close, each once, whatever the batches; open_intervals() has those still open.
 
-    State: the start of each channel's open interval, which goes before the batch as a sample of its own; change points are found
-    inside time buckets. Batches must come in order of time; t_us is the samples' time.
+    State: the start of each series' open interval, which goes before the batch as a sample of its own; change points are found
+    inside time buckets. Values are in range as in windows.in_range (null: they are). Batches must come in order of time; t_us is the samples' time.
     """
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        fine = F.coalesce((F.col("v") > low) & (F.col("v") < high), F.lit(False))
-        rows = batch.select("channel_id", F.col("t_us").cast("bigint"), F.lit(1).alias("_new"), (~fine).alias("_wrong"))
-        rows = rows.unionByName(state.select("channel_id", F.col("opened").alias("t_us"), F.lit(0).alias("_new"), F.lit(True).alias("_wrong")))
-        # the key columns are never null: a null channel is one, too
-        key = [F.when(F.col("channel_id").isNull(), "none").otherwise("named").alias("recording_id"), F.lit(0).alias("session_id"), F.coalesce("channel_id", F.lit("")).alias("channel_id")]
-        rows = rows.select(*key, "t_us", F.struct("t_us", "_new").alias("idx"), "_wrong")
-        name = F.when(F.col("recording_id") == "named", F.col("channel_id")).alias("channel_id")
-        out = bad_intervals(rows, F.col("_wrong")).select(name, "start_us", "end_us")
-        return out, out.where("end_us = -1").select("channel_id", F.col("start_us").alias("opened"))
+        rows = batch.select(*K, F.col("t_us").cast("bigint"), F.lit(1).alias("_new"), (~in_range(F.col("v"), low, high)).alias("_wrong"))
+        rows = rows.unionByName(state.select(*K, F.col("opened").alias("t_us"), F.lit(0).alias("_new"), F.lit(True).alias("_wrong")))
+        out = bad_intervals(rows.select(*K, "t_us", F.struct("t_us", "_new").alias("idx"), "_wrong"), F.col("_wrong"))
+        return out.where("end_us <> -1"), out.where("end_us = -1").select(*K, F.col("start_us").alias("opened"))
+
+    return _carried(samples, path, checkpoint, f"{_KEY}, opened bigint", step)
+
 
-    return _carried(samples, path, checkpoint, "channel_id string, opened bigint", step)
+def open_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """(K, start_us, end_us) of the intervals that the last batch of live_intervals left open; end_us is -1."""
+    states = spark.read.schema(f"{_KEY}, opened bigint, batch bigint").parquet(f"{path}/state")
+    # a state without rows counts, too, so the folders' names decide
+    number = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{path}/state").select(F.regexp_extract("path", r"batch=(\d+)", 1).cast("bigint").alias("n")).agg(F.max("n").alias("_last"))
+    return states.join(F.broadcast(number), F.col("batch") == F.col("_last")).select(*K, F.col("opened").alias("start_us"), F.lit(-1).cast("bigint").alias("end_us"))
 
 
 def live_ticks(ticks: DataFrame, modulus: int, scale: float, path: str, checkpoint: str) -> StreamingQuery:
-    """Write times of wrapping ticks across micro-batches; state: each channel's last tick and base. Rows: channel_id, seq, tick."""
+    """Write times of wrapping ticks across micro-batches; state: each series' last tick and base. Rows: K, seq, tick."""
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select("channel_id", "seq", F.col("tick").alias("_t"))
-        rows, carry = unroll(rows, ["channel_id"], "seq", ["seq"], modulus, state)
-        kept = state.alias("_l").join(carry.alias("_r"), F.col("_l.channel_id").eqNullSafe(F.col("_r.channel_id")), "left_anti")
-        return rows.select("channel_id", "seq", (F.col("_full") * scale).cast("bigint").alias("t_us")), carry.unionByName(kept)
+        rows = batch.select(*K, "seq", F.col("tick").alias("_t"))
+        rows, carry = unroll(rows, list(K), "seq", ["seq"], modulus, state)
+        same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in K]
+        kept = state.alias("_l").join(carry.alias("_r"), same, "left_anti")
+        return rows.select(*K, "seq", (F.col("_full") * scale).cast("bigint").alias("t_us")), carry.unionByName(kept)
 
-    return _carried(ticks, path, checkpoint, "channel_id string, last bigint, base bigint", step)
+    return _carried(ticks, path, checkpoint, f"{_KEY}, last bigint, base bigint", step)

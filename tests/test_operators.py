@@ -54,12 +54,17 @@ def test_range_bounds(series):
 def test_range_that_ends_in_a_gap(series):
     gappy = series.where("idx < 300 or idx >= 600")
     assert idx(slices.time_range(gappy, 298_500, 400_000, gap_us=5000)) == [299, 600]
+    assert idx(slices.time_range(gappy, 298_500, 400_000)) == [299, 600]  # the end is between two blocks
+    assert idx(slices.time_range(gappy, 400_000, 500_000)) == [600]  # all in the gap
+    assert idx(slices.time_range(gappy, 298_500, 299_000)) == [299] and idx(slices.time_range(gappy, 298_500, 650_500)) == [299, *range(600, 651)]
+    assert idx(slices.time_range(gappy.drop("block_seq"), 298_500, 400_000)) == [299]
 
 
 def test_before_nearest_and_interpolated(spark, series):
     probes = spark.createDataFrame([(-1.0,), (0.0,), (9500.0,), (999_000.0,)], "t_us double").select(*key(), "t_us")
     assert [r["idx"] for r in asof.index_before(probes, series).orderBy("t_us").collect()] == [-1, 0, 9, 1000]
     assert [r["near_idx"] for r in asof.nearest(probes, series).orderBy("t_us").collect()] == [0, 0, 9, 999]
+    assert [r["idx"] for r in asof.index_near(probes, series).orderBy("t_us").collect()] == [0, 0, 9, 1000]
     value = [r["raw"] for r in asof.interpolate(probes, series, "clamp").orderBy("t_us").collect()]
     assert value[2][0] == 9.5 and value[0] == [0.0, 0.0, 0.0] and value[3][0] == 999.0
 
@@ -281,32 +286,91 @@ def test_ticks_are_unrolled_in_buckets(spark, monkeypatch):
 
 def test_live_ticks_and_intervals_carry_over_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(timebase, "TICK_BUCKET", 7)
-    rng, modulus, day = random.Random(9), 1 << 16, timebase.DAY_US
-    ticks = {c: list(random_ticks(rng, 90, modulus)) for c in ("a", "b")}
-    values = {c: [rng.choice([0.0, 1.0]) for _ in range(90)] for c in ("a", "b")}
-    shape = "channel_id string, seq bigint, tick bigint, t_us bigint, v double"
+    monkeypatch.setattr(timebase, "BUCKET_ROWS", 5)
+    rng, modulus = random.Random(9), 1 << 16
+    series = [(rec, ch) for rec in ("one", "two") for ch in ("8", "9")]  # two recorders with channels of the same name
+    ticks = {c: list(random_ticks(rng, 90, modulus)) for c in series}
+    values = {c: [rng.choice([0.0, 1.0, 1.0, None]) for _ in range(90)] for c in series}
+    shape = "recording_id string, session_id int, channel_id string, seq bigint, tick bigint, t_us bigint, v double"
     for n in range(3):
-        rows = [(c, i, ticks[c][i], i * day // 4, values[c][i]) for c in ticks for i in range(30 * n, 30 * n + 30) if (c, n) != ("b", 1)]
+        rows = [(c[0], 0, c[1], i, ticks[c][i], i * 1000, values[c][i]) for c in series for i in range(30 * n, 30 * n + 30) if (c, n) != (("one", "9"), 1)]
         spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
         live.live_ticks(stream, modulus, 1.0, str(tmp_path / "t"), str(tmp_path / "ct")).awaitTermination()
         live.live_intervals(stream, 0.5, 1.5, str(tmp_path / "i"), str(tmp_path / "ci")).awaitTermination()
-    got_t = {(r["channel_id"], r["seq"]): r["t_us"] for r in spark.read.parquet(str(tmp_path / "t" / "data")).collect()}
-    got_i = {}
-    for r in spark.read.parquet(str(tmp_path / "i" / "data")).collect():
-        got_i[r["channel_id"], r["start_us"]] = max(r["end_us"], got_i.get((r["channel_id"], r["start_us"]), -1))
-    want_t, want_i = {}, {}
-    for c in ticks:
-        at = [i for i in range(90) if c == "a" or not 30 <= i < 60]
-        want_t |= {(c, i): t for i, t in zip(at, ticks_by_loop([ticks[c][i] for i in at], modulus))}
-        opened = None
-        for i in at:
-            if values[c][i] == 0 and opened is None:
-                opened = i * day // 4
-                want_i[c, opened] = -1
-            elif values[c][i] == 1 and opened is not None:
-                want_i[c, opened], opened = i * day // 4, None
-    assert got_t == want_t and got_i == want_i
+    got_t = {(r["recording_id"], r["channel_id"], r["seq"]): r["t_us"] for r in spark.read.parquet(str(tmp_path / "t" / "data")).collect()}
+    want_t = {}
+    for c in series:
+        at = [i for i in range(90) if c != ("one", "9") or not 30 <= i < 60]
+        want_t |= {(*c, i): t for i, t in zip(at, ticks_by_loop([ticks[c][i] for i in at], modulus))}
+    assert got_t == want_t
+    closed = spark.read.parquet(str(tmp_path / "i" / "data")).drop("batch")
+    got_i = sorted(tuple(r) for r in closed.unionByName(live.open_intervals(spark, str(tmp_path / "i"))).collect())
+    rest = spark.read.schema(shape).parquet(str(tmp_path / "in")).withColumn("idx", F.col("seq"))
+    want_i = sorted(tuple(r) for r in windows.bad_intervals(rest, ~windows.in_range(F.col("v"), 0.5, 1.5)).collect())  # at rest
+    assert got_i == want_i and len(got_i) > 40
+
+
+def test_dense_series_spread_over_tasks(spark, monkeypatch):
+    """A million samples in a minute."""
+    n = 1_000_000
+    rows = spark.range(n).select(*key(), (F.col("id") * 60).cast("double").alias("t_us"), F.array((F.col("id") % 1000).cast("double")).alias("raw"))
+    rows = rows.unionByName(spark.range(100).select(F.lit("r").alias("recording_id"), F.lit(0).alias("session_id"), F.lit("9").alias("channel_id"), (F.col("id") * 1e9).alias("t_us"), F.array(F.lit(0.0)).alias("raw")))
+    monkeypatch.setattr(timebase, "BUCKET_ROWS", 20_000)
+    buckets = timebase.time_buckets(rows, rows).groupBy("channel_id", "_b").count().collect()
+    assert len([r for r in buckets if r["channel_id"] == "8"]) >= 50 and max(r["count"] for r in buckets) <= 21_000
+    assert [r["_b"] for r in buckets if r["channel_id"] == "9"] == [0]
+    indexed = timebase.add_index(rows)
+    assert indexed.where("channel_id = '8' and idx <> t_us / 60").count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # at this size all would go to one task again
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    spread = timebase.add_index(rows).where("channel_id = '8'").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(spread) > 8 and max(r["count"] for r in spread) < n / 5
+    probes = indexed.where("channel_id = '8' and idx % 1000 = 7").select(*K, (F.col("t_us") + 1).alias("t_us"), F.col("idx").alias("want"))
+    assert asof.index_before(probes, indexed).where("idx <> want").count() == 0
+    bad = windows.bad_intervals(indexed, F.col("raw")[0] >= 990).where("channel_id = '8'")
+    assert bad.count() == 1000 and bad.where("end_us <> start_us + 600 and end_us <> -1").count() == 0
+
+
+def test_whole_numbers_stay_exact(spark):
+    big = [2**63 - 1, -(2**63), 0, 2**53 + 1]
+    rows = spark.createDataFrame([(1, struct.pack("<4q", *big)), (2, None), (3, b""), (4, struct.pack("<q", 5) + b"xx")], "b int, payload binary")
+    got = {r["b"]: r["samples"] for r in decode.decode_payload(rows, "<q").collect()}
+    assert got == {1: [[x] for x in big], 2: None, 3: [], 4: [[5]]}
+    rows = spark.createDataFrame([(struct.pack(">Qb", 2**64 - 1, -3),)], "payload binary")
+    assert [[int(v) for v in s] for s in decode.decode_payload(rows, ">Qb").first()["samples"]] == [[2**64 - 1, -3]]
+    decode.register_decoder("pairs", lambda p: np.frombuffer(p, np.uint8).reshape(-1, 2).astype(float))
+    assert decode.decode_payload(spark.createDataFrame([(b"abcd",)], "payload binary"), "pairs").first()["samples"] == [[97.0, 98.0], [99.0, 100.0]]
+
+
+def test_jitter_keeps_the_ends_and_the_reach(series):
+    got = [r["idx"] for r in slices.jittered(series, 50, 0.5, 3).orderBy("idx").collect()]
+    assert len(got) == 20 and got[0] == 0 and got[-1] == 950
+    assert all(abs(g - 50 * i) <= 25 for i, g in enumerate(got)) and len({g - 50 * i for i, g in enumerate(got)}) > 8
+    assert idx(slices.jittered(series, 4, 0.1)) == list(range(0, 1000, 4))
+    many = idx(slices.resampled_range(series, 0, 500_000, 10, jitter=0.5))
+    plain = idx(slices.resampled_range(series, 0, 500_000, 10))
+    assert len(many) == len(plain) and many != plain and (many[0], many[-1]) == (plain[0], plain[-1])
+
+
+def test_wide_calibration_equals_the_long_one(spark, series):
+    lines = spark.createDataFrame([("r", "8", 0, [2.0, 1.0], None, None), ("r", "8", 1, [0.5, 1.0, 2.0, 3.0], "8", 0)], "recording_id string, channel_id string, subchannel_id int, c array<double>, y_channel_id string, y_subchannel_id int")
+    for mode in ("mean", "off"):
+        wide = {r["idx"]: r["raw"] for r in calibration.calibrate_samples(series, lines, mode).collect()}
+        long = calibration.calibrate(stats.long_form(series), lines, mode).collect()
+        assert len(long) == 3000 and all(wide[r["idx"]][r["subchannel_id"]] == pytest.approx(r["v"]) for r in long)
+    less = sinks.export_samples(series, remove_mean=True).collect()
+    assert abs(sum(r["raw"][2] for r in less)) < 1e-6
+    rolling = {r["idx"]: r["raw"][0] for r in sinks.export_samples(series, remove_mean=True, mean_span_us=0).collect()}
+    assert rolling[0] == -49.5 and rolling[999] == 49.5
+
+
+def test_extract_splits_channels(spark, tmp_path):
+    blocks = spark.range(50).select(*key(), F.col("id").alias("block_seq"), (F.col("id") * 10).alias("start_us"), (F.col("id") * 10 + 9).alias("end_us"), F.lit(b"abc").alias("payload"))
+    assert tuple(recordings.extract(blocks, str(tmp_path / "x"), 0, 10_000, 8).first()) == (50, 150)
+    assert len(list((tmp_path / "x").rglob("*.parquet"))) >= 7
 
 
 def test_calibrate_by_another_channel(spark):
