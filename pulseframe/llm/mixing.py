@@ -79,13 +79,13 @@ def fill(children: DataFrame, parents: list[str]) -> DataFrame:
     ratio = F.col("capacity") / F.col("weight")
     rows = rows.withColumn("_ratio", ratio).withColumn("_step", F.floor(F.log2("_ratio") * STEPS))
     ratios = rows.groupBy(*keys, "_step", "_ratio").agg(F.sum("capacity").alias("_c"), F.sum("weight").alias("_w"), F.first("budget").alias("_b"))
-    line = Window.partitionBy(*keys).orderBy("_step")
-    inside = Window.partitionBy(*keys, "_step").orderBy("_ratio")
+    line, back = (Window.partitionBy(*keys).orderBy(o) for o in ("_step", F.desc("_step")))
+    inside, from_top = (Window.partitionBy(*keys, "_step").orderBy(o) for o in ("_ratio", F.desc("_ratio")))
     before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     steps = ratios.groupBy(*keys, "_step").agg(F.sum("_c").alias("_c"), F.sum("_w").alias("_w"))
-    steps = steps.select(*keys, "_step", before(line).alias("_below"), F.coalesce(F.sum("_w").over(line.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)).alias("_above"))
+    steps = steps.select(*keys, "_step", before(line).alias("_below"), F.coalesce(F.sum("_w").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_above"))
     placed = ratios.join(steps, [*keys, "_step"])
-    ahead = F.col("_above") + F.sum("_w").over(inside.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.col("_above") + F.sum("_w").over(from_top.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("_full", (F.col("_b") - F.col("_below") - before(inside)) / ahead >= F.col("_ratio"))
     level = placed.groupBy(*keys).agg(
         F.max(F.when(F.col("_full"), F.col("_ratio"))).alias("_top"),
