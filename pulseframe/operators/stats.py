@@ -46,9 +46,14 @@ def calibrated_block_stats(stats: DataFrame, gain: Column | float, offset: Colum
     return rows.withColumns({"mn": F.least("_a", "_b"), "mx": F.greatest("_a", "_b")}).drop("_a", "_b")
 
 
-def range_stats(stats: DataFrame) -> DataFrame:
+def _median(accuracy: int | None) -> Column:
+    """The median of av: exact, which holds all of a series' values in one buffer, or to a part in accuracy, in a sketch of that size."""
+    return F.median("av") if accuracy is None else F.percentile_approx("av", 0.5, accuracy)
+
+
+def range_stats(stats: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Minimum, median of block means and maximum of each subchannel; channel rows (subchannel_id null) average the medians."""
-    per_sub = stats.groupBy(*K, "subchannel_id").agg(F.min("mn").alias("mn"), F.median("av").alias("av"), F.max("mx").alias("mx"))
+    per_sub = stats.groupBy(*K, "subchannel_id").agg(F.min("mn").alias("mn"), _median(accuracy).alias("av"), F.max("mx").alias("mx"))
     whole = per_sub.groupBy(*K).agg(F.min("mn").alias("mn"), F.avg("av").alias("av"), F.max("mx").alias("mx"))
     return per_sub.unionByName(whole.withColumn("subchannel_id", F.lit(None).cast("int")))
 
@@ -70,10 +75,10 @@ def extreme_event(samples: DataFrame, highest: bool = True) -> DataFrame:
     return samples.groupBy(*K).agg(by(F.struct("idx", "t_us", "raw"), order).alias("e")).select(*K, "e.idx", "e.t_us", "e.raw")
 
 
-def block_medians(stats: DataFrame, span_us: int | None = None) -> DataFrame:
-    """Median of block means, of the whole series or of the blocks that start within half a span of each block."""
+def block_medians(stats: DataFrame, span_us: int | None = None, accuracy: int | None = None) -> DataFrame:
+    """Median of block means, of the whole series (accuracy: as in _median) or of the blocks that start within half a span of each block."""
     if span_us is None:
-        whole = stats.groupBy(*K, "subchannel_id").agg(F.median("av").alias("median"))
+        whole = stats.groupBy(*K, "subchannel_id").agg(_median(accuracy).alias("median"))
         return stats.join(whole, [*K, "subchannel_id"])
     near = Window.partitionBy(*K, "subchannel_id").orderBy("start_us").rangeBetween(-(span_us // 2), span_us // 2)
     return stats.withColumn("median", F.percentile("av", F.lit(0.5)).over(near))

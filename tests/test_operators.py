@@ -74,6 +74,11 @@ def test_negative_gain_keeps_order(series):
     assert len(rows) == 30 and all(r["mn"] <= r["av"] <= r["mx"] for r in rows)
 
 
+def test_medians_by_sketch(series):
+    exact, near = ({r["subchannel_id"]: r["av"] for r in stats.range_stats(stats.block_stats(series), a).collect()} for a in (None, 1000))
+    assert exact[0] == 499.5 and near[0] == 449.5  # of ten blocks, the fifth
+
+
 def test_stored_statistics_stand_first(spark, series):
     computed = stats.block_stats(series)
     stored = computed.select(*K, "block_seq", "subchannel_id", F.lit(0.0).alias("mn"), F.lit(499.0).alias("av"), F.lit(999.0).alias("mx")).where("block_seq < 3")
