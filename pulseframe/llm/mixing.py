@@ -110,7 +110,8 @@ def leaf_budgets(supply: DataFrame, mix: Mix) -> DataFrame:
         keys, parents = list(LEAF[: depth + 1]), list(LEAF[:depth])
         nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity"), F.first(f"w_{level}").alias("weight"))
         nodes = nodes.join(above, parents) if parents else nodes.withColumn("budget", F.lit(float(min(tokens, room))))
-        above = fill(nodes, parents).select(*keys, F.col("share").alias("budget"))
+        # a level's shares are written, so that plans don't nest
+        above = materialise(fill(materialise(nodes, "nodes"), parents).select(*keys, F.col("share").alias("budget")), "shares")
     return above.select(*LEAF, F.floor(F.col("budget") + 1e-6).cast("bigint").alias("budget"))
 
 
