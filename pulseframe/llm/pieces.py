@@ -34,7 +34,7 @@ from .common import columns, table, texts, with_fields
 #: Vocabulary of the registered query; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers of each kind.
-MEMO = 300_000
+MEMO = 100_000
 #: Characters of a segment up to which it is remembered.
 REMEMBERED = 64
 
