@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     return left.join(right, [key, "_share"]).drop("_share")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df (written before) with rank, from 0, among the rows of its keys (not null) in the order (nulls first), and size, their number.
+
+    Rows are dealt out by ranges of keys, order and a number of their own, so neither a large key nor repeated rows stay in one task; each part is
+    sorted and written with its rows' numbers. What goes before a part is summed up on one row per part and key.
+    """
+    salt, at, part = unused(df, "_salt", "_at", "_part")
+    by = [*keys, *order, salt]
+    parts = df.withColumn(salt, F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = materialise(parts.drop(salt).withColumn(at, F.monotonically_increasing_id()), name).withColumn(part, F.shiftright(at, 33))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(part, *keys).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    starts = per.select(part, *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(whole).alias("size"))
+    # without keys there is one row per part
+    return rows.join(starts if keys else F.broadcast(starts), [part, *keys]).withColumn("rank", F.col("_start") + F.col(at) - F.col("_first")).drop(part, at, "_first", "_start")
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the text as UTF-8 bytes (null: empty); other columns never travel."""
     return docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
