@@ -1,9 +1,10 @@
 r"""Byte-level BPE encoding by merge ranks, and decoding.
 
-A text is cut at special tokens, then into words by the vocabulary's pattern. A short word is held as the list of its parts and a contiguous array
+A text is cut at special tokens, then into words by the vocabulary's pattern. A short word is held as its parts and a contiguous array
 with the rank of each neighbouring pair; the least rank is looked for in the whole array, the leftmost of equals, its boundary is deleted, and the ranks on
-both sides are looked up anew, until no pair has one. That is a scan per merge, so words of more than SHORT bytes take a heap of pairs over linked parts
-instead, with the same order of merges, in log time a merge. Words of up to REMEMBERED characters are remembered with their ids.
+both sides are looked up anew, until no pair has one. All new words of a few hundred texts go through this together, a row of a matrix each. It is a scan per
+merge, so words of more than SHORT bytes take a heap of pairs over linked parts instead, with the same order of merges, in log time a merge. Words of
+up to REMEMBERED characters are remembered with their ids.
 
 Letters and numbers are those of Unicode 16; characters that later versions added are told apart by LATER.
 Decoding joins the bytes of the ids and gives back every valid text. Defined cases: null text counts as empty, which has no
@@ -17,12 +18,13 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +34,12 @@ from .common import columns, table, texts, with_fields
 #: Vocabulary of the registered query; a parameter everywhere else.
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of a word up to which its ranks are scanned; characters of a word up to which it is remembered; words that a worker remembers.
-SHORT, REMEMBERED, MEMO = 128, 48, 250_000
-#: Rows of a record batch that are encoded at a time; bounds the ids in memory.
-STEP = 512
+SHORT, REMEMBERED, MEMO = 128, 48, 400_000
+#: Rows of a record batch that are encoded at a time, and rows of a matrix of words; they bound the memory.
+STEP, ROWS = 256, 8192
 
-# The pattern of the vocabulary, and characters that Unicode had not made letters or numbers by version 16.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pattern of the vocabulary (letters go first here; what may follow an apostrophe begins with it, so no word is cut otherwise), and characters that Unicode had not made letters or numbers by version 16.
+PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATER = (
     "՘֋-֌࢏౜೜₏₝-₟꟎-꟏꟒꟔꟝꟢꟱꭬-꭭\U000107bb-\U000107bf\U00010940-\U00010959"
     "\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686"
@@ -99,67 +101,109 @@ _NONE = 1 << 62
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
         self.v, self.limit = vocabulary, memo
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}  # words that come again survive when the younger half is full
+        self.memo: dict[str, bytes] = {}  # words to ids, 32 bits each
+        self.old: dict[str, bytes] = {}  # words that come again survive when the younger half is full
         self.words = regex.compile(PATTERN)
-        ascii_only = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+")
-        self.words_ascii = re.compile(ascii_only, re.ASCII)  # the same for such texts, but faster
+        kind = lambda k: "".join(re.escape(c) for c in map(chr, range(256)) if unicodedata.category(c)[0] == k)
+        space = "\\t-\\r \x85\xa0"
+        latin = PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{kind('L')}{kind('N')}]").replace(r"\p{L}", f"[{kind('L')}]").replace(r"\p{N}", f"[{kind('N')}]")
+        self.words_latin = re.compile(latin.replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))  # the same for texts of such characters, but faster
         later = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|[{LATER}])").replace(r"\p{L}+", rf"[\p{{L}}--[{LATER}]]+").replace(r"\p{N}+", rf"[\p{{N}}--[{LATER}]]+")
         self.later, self.words_later = re.compile(f"[{LATER}]"), regex.compile(later, regex.V1)
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-
-    def encode(self, text: str) -> list[int]:
-        if self.special is None:
-            return self._plain(text)
-        out: list[int] = []
-        for i, piece in enumerate(self.special.split(text)):
-            out += [self.v.special[piece]] if i % 2 else self._plain(piece)
-        return out
+        pairs = sorted(vocabulary.pairs.items())
+        self.pair_keys, self.pair_ranks = (np.array([*column, *more], np.int64) for column, more in zip(zip(*pairs) if pairs else ((), ()), ((_NONE,), (_NONE,))))
+        self.byte_ids, self.merged = np.array(vocabulary.byte_ids, np.int64), np.array([*vocabulary.merged, 0], np.int64)
 
     def cut(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if text.isascii():
-            return self.words_ascii.findall(text)
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return (self.words_later if self.later.search(text) else self.words).findall(text)
-        return self.words.findall(text)
-
-    def _plain(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for word in self.cut(text):
-            ids = memo.get(word)
-            if ids is None:
-                ids = self.old.get(word) or tuple(self.merge(word.encode()))
-                if len(word) <= REMEMBERED:
-                    if len(memo) >= self.limit // 2:
-                        self.old, memo = memo, {}
-                        self.memo = memo
-                    memo[word] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
+        return self.words_latin.findall(text)
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; new words of all of them are merged together."""
+        pieces = [self.special.split(text) if self.special else [text] for text in texts]
+        cut = [[piece if i % 2 else self.cut(piece) for i, piece in enumerate(parts)] for parts in pieces]  # special tokens stand at odd places
+        need = set().union(*(words for parts in cut for words in parts[::2]))
+        passing = self._learn(need)
+        known, own = self.memo, {token: np.int32(i).tobytes() for token, i in self.v.special.items()}
+        ids = [b"".join([own[words] if i % 2 else b"".join(map(known.__getitem__, words)) for i, words in enumerate(parts)]) for parts in cut]
+        for word in passing:
+            del known[word]
+        return [np.frombuffer(x, np.int32) for x in ids]
+
+    def _learn(self, need: set[str]) -> list[str]:
+        """Put the needed words' ids into the memo; those of them that are too long to stay there."""
+        new = need - self.memo.keys()
+        if len(self.memo) + len(new) > self.limit // 2:
+            self.old, self.memo, new = self.memo, {}, need
+        again = new & self.old.keys()
+        self.memo.update((word, self.old[word]) for word in again)
+        new = list(new - again)
+        self.memo.update(zip(new, self.merge_words([word.encode() for word in new])))
+        return [word for word in new if len(word) > REMEMBERED]
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word's bytes after all merges, 32 bits each."""
+        out = [b""] * len(words)
+        short = sorted((i for i, word in enumerate(words) if 0 < len(word) <= SHORT), key=lambda i: len(words[i]))
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                out[i] = np.array(self._merge_long(list(map(self.v.byte_ids.__getitem__, word))), np.int32).tobytes()
+        for a in range(0, len(short), ROWS):
+            group = short[a : a + ROWS]
+            for i, ids in zip(group, self._merge_rows([words[i] for i in group])):
+                out[i] = ids
+        return out
+
+    def _merge_rows(self, words: list[bytes]) -> list[bytes]:
+        """The same for short words, a row each: parts, and the rank of each with the next one."""
+        size = np.array(list(map(len, words)))
+        wide = int(size.max())
+        parts = self.byte_ids[np.frombuffer(b"".join([w.ljust(wide, b"\0") for w in words]), np.uint8).reshape(len(words), wide)]
+        ranks = np.full(parts.shape, _NONE)
+        ranks[:, :-1] = np.where(np.arange(1, wide) < size[:, None], self._ranks(parts[:, :-1], parts[:, 1:]), _NONE)
+        out: list[bytes] = [b""] * len(words)
+        number = np.arange(len(words))
+        while len(number):
+            rows = np.arange(len(number))
+            at = ranks.argmin(axis=1)  # the leftmost of equals
+            least = ranks[rows, at]
+            done = least == _NONE
+            if done.any():
+                for i, n, row in zip(number[done].tolist(), size[done].tolist(), parts[done].astype(np.int32)):
+                    out[i] = row[:n].tobytes()
+                keep = ~done
+                number, size, parts, ranks, at, least = (x[keep] for x in (number, size, parts, ranks, at, least))
+                rows = rows[: len(number)]
+                if not len(number):
+                    break
+            size = size - 1
+            wide = int(size.max())
+            parts[rows, at] = self.merged[least]
+            place = np.arange(wide)
+            place = place + (place > at[:, None])  # the boundary after the merged part goes
+            parts, ranks = np.take_along_axis(parts, place, 1), np.take_along_axis(ranks, place, 1)
+            after = np.minimum(at + 1, wide - 1)
+            ranks[rows, at] = np.where(at + 1 < size, self._ranks(parts[rows, at], parts[rows, after]), _NONE)
+            (left,) = np.nonzero(at)
+            ranks[left, at[left] - 1] = self._ranks(parts[left, at[left] - 1], parts[left, at[left]])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
-        """Ids of a word's bytes after all merges."""
-        parts = list(map(self.v.byte_ids.__getitem__, word))
-        if len(parts) > SHORT:
-            return self._merge_long(parts)
-        rank = self.v.pairs.get
-        ranks = [rank(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == _NONE:
-                break
-            i = ranks.index(least)
-            parts[i] = self.v.merged[least]
-            del parts[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = rank(parts[i - 1] << 32 | parts[i], _NONE)
-            if i < len(ranks):
-                ranks[i] = rank(parts[i] << 32 | parts[i + 1], _NONE)
-        return parts
+        return np.frombuffer(self.merge_words([word])[0], np.int32).tolist()
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same, by a heap of (rank, place) over linked parts; entries whose pair has changed are passed over."""
@@ -199,6 +243,27 @@ def decode(ids: list[int], raw: dict[int, bytes]) -> str:
     return b"".join([raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+class Decoder:
+    """Decodes lists of ids at once: the bytes of all their ids in a row are the bytes of all texts."""
+
+    def __init__(self, raw: dict[int, bytes]):
+        self.none = max(raw, default=-1) + 1  # stands for ids that the vocabulary lacks
+        self.raw = pa.array([raw.get(i, b"") for i in range(self.none + 1)], pa.binary())
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        flat = ids.flatten()
+        known = flat.to_numpy(zero_copy_only=False)
+        known = np.where((known >= 0) & (known < self.none), known, self.none)
+        joined = self.raw.take(pa.array(known.astype(np.int32)))
+        cuts = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1][np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])]
+        text = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(cuts.astype(np.int32).tobytes()), joined.buffers()[2]])
+        try:
+            text = text.cast(pa.string())
+        except pa.ArrowInvalid:  # a list that isn't the whole of a text
+            text = pa.array([t.decode("utf-8", "replace") for t in text.to_pylist()], pa.string())
+        return pc.if_else(ids.is_null(), None, text)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -223,7 +288,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, *keep: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in _steps(batches):
-            ids = [np.array(own.encode(t.decode("utf-8", "replace")), np.int32) for t in columns(batch, "text")[0]]
+            ids = own.encode_all([t.decode("utf-8", "replace") for t in columns(batch, "text")[0]])
             cuts = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), lists], names=schema.names)
@@ -238,9 +303,10 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, *keep: str) ->
     raw = encoded.sparkSession.sparkContext.broadcast(vocabulary.raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Decoder(raw.value)
         for batch in _steps(batches):
-            text = [None if x is None else decode(x, raw.value) for x in columns(batch, "ids")[0]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(text, pa.string())], names=schema.names)
+            text = own.decode_all(batch.column(batch.schema.get_field_index("ids")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), text], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
