@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, discard, join_groups, materialise, own_columns, row_key, shared_path, table, unused
@@ -151,13 +151,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns, whatever their names."""
-    key, rank = unused(docs, "row_key", "row_rank")
+    (key,) = unused(docs, "row_key")
     rows = hashed(docs)
     stays = rows.join(_kept(rows, index, batch).select(F.col("keep_row").alias("row")), "row", "left_semi")
     keep = stays.select(_row_key("digest", "doc_id", "n_points").alias(key))
     tagged = docs.withColumn(key, _row_key(digest("text"), "doc_id", points("text")))
-    one = Window.partitionBy(key).orderBy("text")  # a key has several rows only where rows are repeated
-    return tagged.join(keep, key, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*own_columns(docs))
+    # a key has several rows only where rows are repeated; one of them is left of each task's before any text travels
+    return tagged.dropDuplicates([key]).join(keep, key, "left_semi").select(*own_columns(docs))
 
 
 def _row_key(digest: str | Column, doc_id: str, n_points: str | Column) -> Column:

@@ -2,24 +2,26 @@
 
 The encoder moves a window of the longest piece's length over a text and keeps the best score and
 backpointer of each boundary. Only boundaries inside the window survive: no piece can start before it. Their backpointer paths are
-followed until they meet; if they do at one boundary, the ids up to it are committed, and only what lies after it is retained. Where no piece can cross
+followed until they meet; if they do at one boundary, the ids up to it are committed, and only what lies after it is retained. Where they never do (a long run of one
+character), only a backpointer per character is held. Where no piece can cross
 a place (before a space that follows something else, around newlines), all paths converge anyway, so the text is cut there;
 each segment goes through the window by itself, and those that come again, mostly words, are remembered with their ids.
 
 Scores: a unigram model's own log-probabilities. A BPE model's file has merge ranks instead of probabilities; they
 become log-probabilities by Zipf's law, -log(1 + rank). So ids are those of the best-scoring segmentation
-under the file's vocabulary, not those of replayed merges. Of equal scores the one with the longer last piece wins.
+under the file's vocabulary, not those of replayed merges. Scores are summed as whole numbers. Of equal scores the one with the longer last piece wins.
 Characters without a piece become byte pieces.
 
 Decoding gives back every text exactly, U+2581 included (it is written in bytes). Defined cases: null text counts
 as empty, which has no ids; repeated rows are encoded each; an empty table gives no rows; other columns are ignored. A text is
-handled whole; beyond it, memory is the memo (MEMO entries at most) and the uncommitted window.
+handled whole; beyond it, memory is the memo (MEMO entries at most), the window and four bytes a character that isn't committed yet.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, groupby
@@ -37,15 +39,18 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO = 100_000
 #: Characters of a segment up to which it is remembered.
 REMEMBERED = 64
+#: Scores are whole numbers of this part, so that sums are exact and equal scores are equal wherever a text is cut.
+UNIT = 1 << 24
+_WORST = -(1 << 200)
 
 
 @dataclass
 class Vocabulary:
     """Pieces with a plain space for the escape, as in the text."""
 
-    ids: dict[str, tuple[int, float]]
+    ids: dict[str, tuple[int, int]]  # id and score
     byte_ids: list[int]
-    byte_score: float
+    byte_score: int
     raw: list[bytes]  # what each id decodes to
     longest: int
     cuttable: bool  # no piece holds a newline, or a space after something else
@@ -60,15 +65,15 @@ class Vocabulary:
         for i, (text, score, kind) in enumerate(pieces):
             plain = text.replace("▁", " ")
             if kind == "normal":
-                ids[plain] = (i, -math.log1p(rank[i]) if bpe else score)
+                ids[plain] = (i, round(UNIT * (-math.log1p(rank[i]) if bpe else score)))
             if kind == "byte":
                 byte_ids[int(text[3:5], 16)] = i
             raw.append(plain.encode() if kind == "normal" else bytes([int(text[3:5], 16)]) if kind == "byte" else b"")
         if -1 in byte_ids:
             raise ValueError("the vocabulary needs byte pieces, else some texts can't be decoded")
-        least = min((s for _, s in ids.values()), default=0.0)
+        least = min((s for _, s in ids.values()), default=0)
         return cls(
-            ids, byte_ids, least - 10.0, raw, max(map(len, ids), default=1),
+            ids, byte_ids, least - 10 * UNIT, raw, max(map(len, ids), default=1),
             not any("\n" in p or " " in p.lstrip(" ") for p in ids),
             hashlib.sha256(repr((pieces, bpe)).encode()).hexdigest(),
         )
@@ -89,28 +94,35 @@ class Vocabulary:
 class StreamingViterbi:
     """Encodes characters as they come; feed returns the ids that are certain, close the rest.
 
-    An automaton of all pieces lists those that end at each place. score and back belong to the boundaries of the
-    retained text, the first of which is the last committed one.
+    An automaton of all pieces lists those that end at each place. It sees the new characters and the window before them only; scores are kept for the window's
+    boundaries. back has the last piece of each boundary since the last committed one: nothing else grows where paths don't meet. A commit is tried when what is
+    held has doubled since the last try, so all tries together take time linear in the text.
     """
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.v, self.window = vocabulary, vocabulary.longest
         self.automaton = ahocorasick.Automaton()
         self.known = frozenset(chain.from_iterable(vocabulary.ids))  # a character of no piece is a boundary on both sides
+        self.pieces: list[tuple[int, tuple[int, ...]]] = [(0, ())]  # length and ids
         for piece, (i, score) in vocabulary.ids.items():
-            self.automaton.add_word(piece, (len(piece), score, (i,)))
+            self._add(piece, score, (i,))
         for ch in self.known.difference(vocabulary.ids):
-            self.automaton.add_word(ch, (1, vocabulary.byte_score * len(ch.encode()), self._bytes(ch)))
+            self._add(ch, vocabulary.byte_score * len(ch.encode()), self._bytes(ch))
         self.automaton.make_automaton()
         self._reset()
 
+    def _add(self, piece: str, score: float, ids: tuple[int, ...]) -> None:
+        self.automaton.add_word(piece, (len(piece), score, len(self.pieces)))
+        self.pieces.append((len(piece), ids))
+
     def _bytes(self, ch: str) -> tuple[int, ...]:
         return tuple([self.v.byte_ids[b] for b in ch.encode()])
 
     def _reset(self) -> None:
-        self.text, self.at = "", 0  # boundaries up to at are settled
-        self.score: list[float] = [0.0]
-        self.back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
+        self.text = ""  # the window's characters
+        self.score = [0]  # of the boundaries before and after each of them
+        self.back = array("i", [0])  # by boundary, from the last committed one on
+        self.next_try = 2 * self.window
 
     def feed(self, more: str) -> list[int]:
         if self.known.issuperset(more):
@@ -126,56 +138,53 @@ class StreamingViterbi:
         return out
 
     def _known(self, more: str) -> list[int]:
-        """Move on by the longest piece's length at a time and commit as soon as more than that is held."""
-        out, step = [], self.v.longest
+        """Move on by the longest piece's length at a time."""
+        out, step = [], self.window
         for i in range(0, len(more), step):
-            part = more[i : i + step]
-            self.text += part
-            self.score += [-math.inf] * len(part)
-            self.back += [(0, ())] * len(part)
-            self._advance()
-            if len(self.text) > step:
+            self._advance(more[i : i + step])
+            if len(self.back) > self.next_try:
                 out += self._commit()
+                self.next_try = max(2 * self.window, 2 * len(self.back))
         return out
 
     def close(self) -> list[int]:
-        out = self._path(len(self.text))
+        out = self._path(len(self.back) - 1)
         self._reset()
         return out
 
-    def _advance(self) -> None:
-        """Settle the boundaries of the new text."""
-        score, back, at = self.score, self.back, self.at
-        if not len(self.text):
-            return
-        for end, (n, own, ids) in self.automaton.iter(self.text, max(0, at - self.v.longest + 1), len(self.text)):
-            if end >= at and (s := score[end + 1 - n] + own) > score[end + 1]:
-                score[end + 1], back[end + 1] = s, (end + 1 - n, ids)
-        self.at = len(self.text)
+    def _advance(self, part: str) -> None:
+        """Settle the boundaries after each of the new characters."""
+        before, text = len(self.text), self.text + part
+        score, back = self.score + [_WORST] * len(part), array("i", bytes(4 * len(part)))
+        for end, (n, own, piece) in self.automaton.iter(text):
+            if end >= before and (s := score[end + 1 - n] + own) > score[end + 1]:
+                score[end + 1], back[end - before] = s, piece
+        self.back += back
+        keep = min(self.window, len(text))
+        self.text, self.score = text[len(text) - keep :], score[len(text) - keep :]
 
     def _path(self, end: int) -> list[int]:
-        parts = []
+        parts, back, pieces = [], self.back, self.pieces
         while end:
-            end, ids = self.back[end]
+            n, ids = pieces[back[end]]
             parts.append(ids)
+            end -= n
         return list(chain.from_iterable(reversed(parts)))
 
     def _commit(self) -> list[int]:
         """Ids up to the last boundary that the paths of all surviving boundaries pass through."""
-        place, back = self.at, self.back
-        alive = set(range(max(0, self.at - self.v.longest + 1), self.at + 1))
+        back, pieces = self.back, self.pieces
+        place = len(back) - 1
+        alive = set(range(max(0, place - self.window + 1), place + 1))
         while len(alive) > 1:  # the last of them steps back along its path, until all have met
             if place in alive:
                 alive.discard(place)
-                alive.add(back[place][0])
+                alive.add(place - pieces[back[place]][0])
             place -= 1
         place = alive.pop()
-        if not place:
-            return []
         ids = self._path(place)
-        self.text, self.at = self.text[place:], self.at - place
-        self.score = self.score[place:]
-        self.back = [(0, ()), *((i - place, x) if i >= place else (0, ()) for i, x in back[place + 1 :])]
+        self.back = back[place:]
+        self.back[0] = 0
         return ids
 
 

@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, join_groups, materialise, own_columns, row_key, table, texts, unused
@@ -281,15 +281,15 @@ def near_duplicates(docs: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, cell_size: int = CELL_SIZE) -> DataFrame:
     """One document of each component, that with the least doc_id (null ids last); all columns stay, whatever their names."""
-    key, rank = unused(docs, "row_key", "row_rank")
+    (key,) = unused(docs, "row_key")
     bare = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     rows = materialise(fingerprints(bare, "doc_id", "key"), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     per_fp = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first")), "distinct-fingerprints")
     keep = _components(per_fp, cell_size).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
     tagged = docs.withColumn(key, row_key("doc_id", "text"))
-    one = Window.partitionBy(key).orderBy(key)  # a key has several rows only where rows are repeated
-    return tagged.join(keep, key, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*own_columns(docs))
+    # a key has several rows only where rows are repeated; one of them is left of each task's before any text travels
+    return tagged.dropDuplicates([key]).join(keep, key, "left_semi").select(*own_columns(docs))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

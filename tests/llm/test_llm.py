@@ -313,7 +313,27 @@ def test_streaming_search_equals_the_whole_search():
 def test_long_runs_commit_early():
     search = pieces.StreamingViterbi(toy())
     early = search.feed("abba" * 5000)
-    assert early and len(search.text) < 400
+    assert early and len(search.text) < 400 and len(search.back) < 400
+
+
+@pytest.mark.parametrize("ch", "aA=-_")
+def test_runs_whose_paths_never_meet(ch):
+    """A backpointer per character is all that grows, and tries to commit stay few."""
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    search = pieces.StreamingViterbi(v)
+    ids = search.feed(ch * 1_000_000)
+    assert len(search.text) <= v.longest and len(search.score) <= v.longest + 1
+    ids += search.close()
+    assert "".join(v.raw[i].decode() for i in ids) == ch * 1_000_000
+    assert ids[: len(ids) // 2] == (search.feed(ch * 600_000) + search.close())[: len(ids) // 2]
+    assert search.feed(ch * 999) + search.close() == best_segmentation(v, ch * 999)
+
+
+def test_registered_vocabulary_equals_the_whole_search(spark):
+    v = pieces.Vocabulary.load(pieces.MODEL)
+    encoder = pieces.Encoder(v)
+    for r in table(spark, DATA, "documents").collect():
+        assert encoder.encode(r["text"] or "") == (best_segmentation(v, " " + r["text"]) if r["text"] else []), r["doc_id"]
 
 
 def test_round_trip(spark, awkward, empty):
