@@ -19,7 +19,7 @@ from .timebase import time_buckets
 def asof(probes: DataFrame, samples: DataFrame, keys: list[str], *sides: str) -> DataFrame:
     """Add 'prev' (at or before the probe) and/or 'next' (after it), structs (t, row), null where there is none.
 
-    samples: keys, t_us, row (any struct). Probes keep their columns.
+    samples: keys, t_us, row (any struct). Probes keep their columns. Buckets hold equally many samples of a series.
     """
     fields = [c for c in probes.columns if c not in (*keys, "t_us")]
     probe = F.struct(*fields) if fields else F.struct(F.lit(1).alias("_"))

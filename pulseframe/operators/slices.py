@@ -51,8 +51,8 @@ def values_only(samples: DataFrame, subchannels: list[int]) -> DataFrame:
     return samples.withColumn("raw", F.array(*(F.col("raw")[i] for i in subchannels)))
 
 
-def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bounds: str = "ref", gap_us: int | None = None) -> DataFrame:
-    """Samples of a time range.
+def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bounds: str = "ref", gap_us: int | None = None, firsts: DataFrame | None = None) -> DataFrame:
+    """Samples of a time range. firsts: K and _first, the first time of each series, where samples are only a part of it.
 
     'closed' takes start <= t <= end. 'ref' leaves out a sample exactly at the start unless the series starts there or later,
     and an end that lies between two blocks (or, where gap_us tells what a gap is, in a gap) takes the first sample after it, too. Without gap_us or
@@ -69,11 +69,12 @@ def time_range(samples: DataFrame, start_us: int | None, end_us: int | None, bou
     if start_us is None and end_us is None:
         return rows
     has_gaps = end_us is not None and (gap_us is not None or "block_seq" in samples.columns)
-    ends = [F.min("t_us").alias("_first")]
+    ends = [F.min("t_us").alias("_first")] if firsts is None else []
     if has_gaps:
         last, then = F.max_by(F.struct("t_us", "block_seq") if gap_us is None else F.struct("t_us"), F.when(~after, F.col("t_us"))), F.min_by(F.struct("t_us", "block_seq") if gap_us is None else F.struct("t_us"), F.when(after, F.col("t_us")))
         ends += [last.alias("_last"), then.alias("_then")]
-    rows = rows.join(samples.groupBy(*K).agg(*ends), K)
+    rows = rows.join(samples.groupBy(*K).agg(*ends), K) if ends else rows
+    rows = rows if firsts is None else rows.join(firsts, K)
     if has_gaps:
         gap = F.col("_then.block_seq") != F.col("_last.block_seq") if gap_us is None else F.col("_then.t_us") - F.col("_last.t_us") > gap_us
         beyond = (F.col("_last.t_us") < end_us) & gap & (F.col("t_us") == F.col("_then.t_us"))
@@ -92,9 +93,9 @@ def block_range(blocks: DataFrame, start_us: int, end_us: int) -> DataFrame:
     return rows.where((F.col("start_us") <= F.col("_end")) & (F.col("_next").isNull() | (F.col("_next") > start_us))).drop("_end", "_next")
 
 
-def resample(samples: DataFrame, max_points: int) -> DataFrame:
-    """Every n-th sample, n = ceil(length / max_points)."""
-    span = samples.groupBy(*K).agg(F.min("idx").alias("_a"), F.count(F.lit(1)).alias("_n"))
+def resample(samples: DataFrame, max_points: int, lengths: DataFrame | None = None) -> DataFrame:
+    """Every n-th sample, n = ceil(length / max_points). lengths: K and _len of whole series, where they are known without numbering samples."""
+    span = samples.groupBy(*K).agg(F.min("idx").alias("_a"), F.count(F.lit(1)).alias("_n")) if lengths is None else lengths.select(*K, F.lit(0).alias("_a"), F.col("_len").alias("_n"))
     step = F.greatest(F.ceil(F.col("_n") / max_points), F.lit(1))
     return samples.join(span, K).where((F.col("idx") - F.col("_a")) % step == 0).drop("_a", "_n")
 

@@ -7,23 +7,39 @@ from pyspark.sql import functions as F
 
 from ..schema import K
 
-#: Rows of a series that go to one task where time is cut into buckets, and the number of series that are cut.
-BUCKET_ROWS, CUT_SERIES = 100_000, 100_000
+#: Rows of a series that go to one task where time is cut into buckets; buckets of all series together, whose bounds are broadcast.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1_000_000
+#: Quantiles of a series that the sketch gives; buckets lie between some of them. Its error is a tenth of the step between two.
+QUANTILES = 1024
 #: Numbers of blocks or rows whose ticks are ordered in one task.
 TICK_BUCKET = 4096
 
 
+def time_bounds(samples: DataFrame, keys: list[str] = K) -> DataFrame:
+    """keys and _bounds, the times at which buckets with equally many of the series' samples begin, all but the first; a row for each series of more than BUCKET_ROWS.
+
+    The bounds come from a mergeable quantile sketch, so bursts are cut as finely as they are dense. A bucket has BUCKET_ROWS samples, or
+    a MOST_BUCKETS-th of all where that is more, or a QUANTILES-th of its series: so there are MOST_BUCKETS bounds at most, which may be broadcast.
+    """
+    steps = [i / QUANTILES for i in range(1, QUANTILES)]
+    per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("t_us", steps, 10 * QUANTILES).alias("_q"))
+    per = per.withColumn("_rows", F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.sum("_n").over(Window.partitionBy(F.lit(0))) / MOST_BUCKETS)))  # a row per series
+    buckets = F.least(F.ceil(F.col("_n") / F.col("_rows")), F.lit(QUANTILES)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), buckets - 1), lambda i: F.get("_q", F.floor(i * QUANTILES / buckets).cast("int") - 1))
+    return per.where((F.col("_n") > F.col("_rows")) & F.col("_q").isNotNull()).select(*keys, F.array_distinct(picked).alias("_bounds"))
+
+
 def time_buckets(rows: DataFrame, samples: DataFrame, keys: list[str] = K, name: str = "_b") -> DataFrame:
-    """rows with the number of their time bucket, as wide as BUCKET_ROWS of the series' samples are on average; a short series is one bucket.
+    """rows with the number of their time bucket, which holds about as many of the series' samples as each other one; a short series is one bucket.
 
-    Series are cut that have more samples, the CUT_SERIES longest at most, so their starts and widths can be broadcast; one that isn't
-    cut holds less than a CUT_SERIES-th of all samples.
+    The number of bounds at or before a row's time is looked for in halves. Rows at one time stay together, before and after the ends too.
     """
-    n = F.col("_n") / F.lit(BUCKET_ROWS)
-    per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("t_us").alias("_from"), F.max("t_us").alias("_to"))
-    cut = per.where((n > 1) & (F.col("_to") > F.col("_from"))).orderBy(F.desc("_n")).limit(CUT_SERIES).select(*keys, "_from", ((F.col("_to") - F.col("_from")) / n).alias("_width"))
-    number = F.when(F.col("_width").isNotNull(), F.floor((F.col("t_us") - F.col("_from")) / F.col("_width"))).otherwise(F.lit(0)).cast("bigint")
-    return rows.join(F.broadcast(cut), keys, "left").withColumn(name, number).drop("_from", "_width")
+    cut = time_bounds(samples, keys)
+    t, bounds = F.col("t_us"), F.col("_bounds")
+    halves = F.array(*(F.lit(1 << i) for i in reversed(range(QUANTILES.bit_length()))))
+    # beyond the end there is no bound, which no time reaches
+    found = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= t, F.lit(False)), at + step).otherwise(at))
+    return rows.join(F.broadcast(cut), keys, "left").withColumn(name, F.when(bounds.isNull(), 0).otherwise(found).cast("bigint")).drop("_bounds")
 
 
 def add_index(samples: DataFrame, *tie: str) -> DataFrame:
@@ -50,43 +66,52 @@ def index_ranges(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("idx1", F.sum("n").over(order)).withColumn("idx0", F.col("idx1") - F.col("n"))
 
 
-def unroll(rows: DataFrame, keys: list[str], number: str, order: list[str], modulus: int, carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows with _full, the unwrapped tick of _t, and the carry after them: keys, last, base, as given for what came before.
+def unroll(rows: DataFrame, keys: list[str], number: str, order: list[str], ticks: list[str], modulus: int, carry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with the unwrapped tick of each of the tick columns, as _full_ and its name, and the carry after them: keys, last, base, as given for what came before.
 
-    Ticks are unwrapped inside buckets of the number, which goes first in the order; each bucket gets the base it starts with from one
-    row per bucket.
+    A row's ticks follow one another, then the next row's. Each is a step that turns the last tick and the base so far into new ones: it
+    adds a turn, or it sets the base. Turns are summed up, and the base less the turns until it was set goes on to the next that sets it; both inside buckets of the
+    number, which goes first in the order, and once more over one row per bucket.
     """
     same = lambda *cs: [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in cs]
     rows = rows.withColumn("_b", F.coalesce(F.floor(F.col(number) / TICK_BUCKET).cast("bigint"), F.lit(-(1 << 62))))
-    rows = rows.withColumn("_abs", F.coalesce(F.col("_t") > modulus, F.lit(False)))
-    rows = rows.withColumn("_m", F.when(F.col("_abs"), F.col("_t") % modulus).otherwise(F.col("_t")))
-    turned = lambda of, before: F.coalesce((F.col(of) < before).cast("int"), F.lit(0))
-    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
-    rows = rows.withColumn("_rolled", F.when(F.col("_abs"), 0).otherwise(turned("_m", F.lag("_m").over(inside))))
-    rows = rows.withColumn("_grp", F.sum(F.col("_abs").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    group = Window.partitionBy(*keys, "_b", "_grp").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_base", F.max(F.when(F.col("_abs"), F.col("_t") - F.col("_m"))).over(group)).withColumn("_rolls", F.sum("_rolled").over(group))
+    sets = {t: F.coalesce(F.col(t) > modulus, F.lit(False)) for t in ticks}  # absolute
+    low = {t: F.when(sets[t], F.col(t) % modulus).otherwise(F.col(t)) for t in ticks}
+    up_to = Window.partitionBy(*keys, "_b").orderBy(*order)
+    turn = lambda t, before: F.when(sets[t], 0).otherwise(F.coalesce((F.col(t) < before).cast("int"), F.lit(0)))
+    turns = [turn(ticks[0], F.lag(low[ticks[-1]]).over(up_to)), *(turn(t, low[before]) for before, t in zip(ticks, ticks[1:]))]
+    rows = rows.withColumns({f"_turn{i}": x for i, x in enumerate(turns)})
+    after = [sum((F.col(f"_turn{j}") for j in range(i + 1)), F.lit(0)) for i in range(len(ticks))]  # turns of the row up to each tick
+    running = up_to.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(after[-1]).over(running)).withColumn("_sum", F.col("_sum") - after[-1])  # before the row
+    own = [F.when(sets[t], F.col(t) - low[t] - modulus * (F.col("_sum") + after[i])) for i, t in enumerate(ticks)]
+    at_end = F.coalesce(*reversed(own))
+    rows = rows.withColumn("_set", F.last(at_end, ignorenulls=True).over(running))
+    rows = rows.withColumn("_set_before", F.lag("_set").over(up_to))
 
     at = F.struct(*order)
-    sums = rows.groupBy(*keys, "_b").agg(F.min_by(F.struct("_m", "_abs"), at).alias("_first"), F.max_by(F.struct("_m", "_grp", "_base", "_rolls"), at).alias("_last"))
-    sums = sums.select(*keys, "_b", F.col("_first._m").alias("_m0"), F.col("_first._abs").alias("_abs0"), "_last.*")
+    first, last = F.struct(F.col(ticks[0]).alias("t"), sets[ticks[0]].alias("sets")), F.struct(low[ticks[-1]].alias("m"), (F.col("_sum") + after[-1]).alias("turns"), F.col("_set").alias("base"))
+    sums = rows.groupBy(*keys, "_b").agg(F.min_by(first, at).alias("_first"), F.max_by(last, at).alias("_last"))
     if carry is None:
         sums = sums.withColumns({"_last0": F.lit(None).cast("bigint"), "_base0": F.lit(0).cast("bigint")})
     else:
         sums = sums.alias("_l").join(carry.alias("_r"), same(*keys), "left").select("_l.*", F.col("_r.last").alias("_last0"), F.coalesce("_r.base", F.lit(0)).alias("_base0"))
     line = Window.partitionBy(*keys).orderBy("_b")
-    first = F.row_number().over(line) == 1
-    sums = sums.withColumn("_turn", F.when(F.col("_abs0"), 0).otherwise(turned("_m0", F.when(first, F.col("_last0")).otherwise(F.lag("_m").over(line)))))
-    sums = sums.withColumn("_g", F.sum((F.col("_grp") > 0).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    since = Window.partitionBy(*keys, "_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    more = F.col("_rolls") + F.when(F.col("_grp") > 0, 0).otherwise(F.col("_turn"))
-    sums = sums.withColumn("_out", F.coalesce(F.max("_base").over(since), F.col("_base0")) + F.lit(modulus) * F.sum(more).over(since))
-    sums = sums.withColumn("_into", F.when(first, F.col("_base0")).otherwise(F.lag("_out").over(line)) + F.lit(modulus) * F.col("_turn"))
-
-    rows = rows.alias("_l").join(sums.alias("_r"), same(*keys, "_b")).select("_l.*", "_r._into")
-    full = F.col("_m") + F.when(F.col("_grp") > 0, F.col("_base")).otherwise(F.col("_into")) + F.lit(modulus) * F.col("_rolls")
-    rows = rows.withColumn("_full", full).drop("_b", "_abs", "_m", "_rolled", "_grp", "_base", "_rolls", "_into")
-    return rows, sums.groupBy(*keys).agg(F.max_by("_m", "_b").alias("last"), F.max_by("_out", "_b").alias("base"))
+    sums = sums.withColumn("_before", F.coalesce(F.lag("_last.m").over(line), F.when(F.row_number().over(line) == 1, F.col("_last0"))))
+    sums = sums.withColumn("_turn", F.when(F.col("_first.sets"), 0).otherwise(F.coalesce((F.col("_first.t") < F.col("_before")).cast("int"), F.lit(0))))
+    to_here = line.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.withColumn("_sum", F.sum(F.col("_turn") + F.col("_last.turns")).over(to_here) - F.col("_last.turns"))  # turns before the bucket's first row and those on entering it
+    sums = sums.withColumn("_set", F.last(F.col("_last.base") - modulus * F.col("_sum"), ignorenulls=True).over(to_here))
+    sums = sums.withColumn("_into", F.coalesce(F.lag("_set").over(line), F.col("_base0")) + modulus * F.col("_sum"))
+    sums = sums.withColumn("_out", F.coalesce(F.col("_set"), F.col("_base0")) + modulus * (F.col("_sum") + F.col("_last.turns")))
+
+    rows = rows.alias("_l").join(sums.select(*keys, "_b", "_into").alias("_r"), same(*keys, "_b")).select("_l.*", "_r._into")
+    full = {}
+    for i, t in enumerate(ticks):
+        base = F.coalesce(*reversed(own[: i + 1]), F.col("_set_before"), F.col("_into"))
+        full[f"_full_{t}"] = low[t] + base + modulus * (F.col("_sum") + after[i])
+    rows = rows.withColumns(full).drop("_b", "_sum", "_set", "_set_before", "_into", *(f"_turn{i}" for i in range(len(ticks))))
+    return rows, sums.groupBy(*keys).agg(F.max_by("_last.m", "_b").alias("last"), F.max_by("_out", "_b").alias("base"))
 
 
 def unroll_ticks(blocks: DataFrame, modulus: int, scale: float, offset_us: int = 0) -> DataFrame:
@@ -95,16 +120,10 @@ def unroll_ticks(blocks: DataFrame, modulus: int, scale: float, offset_us: int =
     In file order, a block's start before its end: a tick above the modulus is absolute and sets a new base; another that
     is below its predecessor has wrapped once more. A tick equal to the modulus isn't absolute.
     """
-    ends = F.array(F.struct(F.lit(0).alias("_end"), F.col("start_tick").alias("_t")), F.struct(F.lit(1).alias("_end"), F.coalesce("end_tick", "start_tick").alias("_t")))
-    rows = blocks.select("*", F.explode(ends).alias("_e")).select("*", "_e._end", "_e._t").drop("_e")
-    rows, _ = unroll(rows, list(K), "block_seq", ["block_seq", "_end"], modulus)
-    rows = rows.withColumn("_us", (F.col("_full") * scale).cast("bigint") + offset_us)
-    keep = [c for c in blocks.columns if c not in (*K, "block_seq", "start_us", "end_us")]
-    return rows.groupBy(*K, "block_seq").agg(
-        *(F.first(c).alias(c) for c in keep),
-        F.max(F.when(F.col("_end") == 0, F.col("_us"))).alias("start_us"),
-        F.max(F.when(F.col("_end") == 1, F.col("_us"))).alias("end_us"),
-    )
+    rows = blocks.drop("start_us", "end_us").withColumn("_end", F.coalesce("end_tick", "start_tick"))
+    rows, _ = unroll(rows, list(K), "block_seq", ["block_seq"], ["start_tick", "_end"], modulus)
+    us = lambda c: (F.col(c) * scale).cast("bigint") + offset_us
+    return rows.withColumns({"start_us": us("_full_start_tick"), "end_us": us("_full__end")}).drop("_end", "_full_start_tick", "_full__end")
 
 
 def sample_times(blocks: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..schema import K
+from . import timebase
 from .asof import interpolate
 from .stats import block_medians, long_form
-from .timebase import time_buckets
 
 #: Channels whose mean may be removed, where the dimension table says nothing. Fixed values.
 MEAN_REMOVAL_CHANNELS = ("0", "8", "32", "80")
@@ -55,10 +56,12 @@ def range_label(name: Column, low: Column, high: Column, unit: Column) -> Column
 def bad_intervals(samples: DataFrame, bad: Column) -> DataFrame:
     """[start_us, end_us) of runs where bad holds; the end is the first good sample's time, -1 for an open tail.
 
-    Change points are found inside time buckets; each bucket gets the state it starts in and the next change after it
-    from one row per bucket.
+    Change points are found inside buckets of sample numbers (of time, where idx isn't a number); each bucket gets the state it starts in and the next
+    change after it from one row per bucket.
     """
-    rows = time_buckets(samples.select(*K, "idx", "t_us", F.coalesce(bad, F.lit(False)).alias("_bad")), samples)
+    rows = samples.select(*K, "idx", "t_us", F.coalesce(bad, F.lit(False)).alias("_bad"))
+    numbered = isinstance(rows.schema["idx"].dataType, IntegralType)
+    rows = rows.withColumn("_b", F.floor(F.col("idx") / timebase.BUCKET_ROWS).cast("bigint")) if numbered else timebase.time_buckets(rows, samples)
     line = Window.partitionBy(*K).orderBy("_b")
     states = rows.groupBy(*K, "_b").agg(F.max_by("_bad", "idx").alias("_last")).withColumn("_in", F.lag("_last").over(line)).drop("_last")
     inside = Window.partitionBy(*K, "_b").orderBy("idx")
@@ -78,3 +81,34 @@ def series_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     wrong = F.array_compact(F.array(*(F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), F.lit(c)) for c in values)))
     side = F.when(F.col("_b").isNull(), "left").when(F.col("_a").isNull(), "right").otherwise("both")
     return rows.withColumns({"side": side, "columns": F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.array().cast("array<string>")).otherwise(wrong)}).where((F.col("side") != "both") | (F.size("columns") > 0)).drop("_a", "_b")
+
+
+#: Blocks that differ, up to which they are broadcast.
+FEW_BLOCKS = 1_000_000
+
+
+def digest_diff(a: DataFrame, b: DataFrame, keys: list[str], block: list[Column], scratch: str) -> DataFrame:
+    """As series_diff, by digests of blocks of rows first: rows are compared, and travel, only where those differ.
+
+    block: expressions of the keys that put rows into blocks. A digest is the number of rows and sums of both halves of their hashes, so it doesn't depend on
+    their order, and repeated rows don't cancel. The blocks that differ are written under scratch and counted, so the rest of the plan knows whether they may be broadcast.
+    """
+    names = [f"_block{i}" for i in range(len(block))]
+    tagged = lambda df: df.select("*", *(c.alias(n) for c, n in zip(block, names)))
+
+    def digests(df: DataFrame) -> DataFrame:
+        h = F.xxhash64(*sorted(c for c in df.columns if c not in names))
+        low, high = h.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(h, 32)
+        return df.groupBy(*names).agg(F.struct(F.count(F.lit(1)), F.sum(low), F.sum(high)).alias("_d"))
+
+    a_, b_ = tagged(a), tagged(b)
+    same = [F.col(f"_l.{n}").eqNullSafe(F.col(f"_r.{n}")) for n in names]
+    pairs = digests(a_).alias("_l").join(digests(b_).alias("_r"), same, "full_outer").where(~F.col("_l._d").eqNullSafe(F.col("_r._d")))
+    pairs.select(*(F.coalesce(f"_l.{n}", f"_r.{n}").alias(n) for n in names)).write.parquet(scratch)
+    differ = a.sparkSession.read.schema(a_.select(*names).schema).parquet(scratch)
+    number = differ.count()
+    if not number:
+        return series_diff(a.limit(0), b.limit(0), keys)
+    differ = F.broadcast(differ) if number <= FEW_BLOCKS else differ
+    opened = lambda df: df.alias("_l").join(differ.alias("_r"), same, "left_semi").drop(*names)
+    return series_diff(opened(a_), opened(b_), keys)

@@ -487,7 +487,7 @@ def found_files(spark, d):
     """Files by folder, two levels down."""
     path = model.shared_path(spark, "found")
     model.table(spark, d, "nation").coalesce(1).write.partitionBy("n_regionkey").parquet(path)
-    found = recordings.crawl(spark, path, "*.parquet", 2)
+    found = recordings.crawl(spark, path, model.shared_path(spark, "listed"), "*.parquet", 2)
     return found.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("bigint").alias("region")).agg(F.count(F.lit(1)).alias("files"))
 
 

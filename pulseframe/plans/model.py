@@ -42,6 +42,13 @@ def samples(spark: SparkSession, sf_dir: str, *channels: str) -> DataFrame:
     return to_block(add_index(rows.where(F.col("channel_id").isin(*channels)) if channels else rows, "event_id"), BLOCK)
 
 
+def indexed(spark: SparkSession, sf_dir: str, *channels: str) -> DataFrame:
+    """The same, written to the shared folder: for what reads them several times."""
+    rows, path = samples(spark, sf_dir, *channels), shared_path(spark, "indexed")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_stats(samples(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import calibration, names, units
 from ..operators import asof, slices, spectrum, stats, timebase, windows
 from ..schema import K
-from ..sources import decode, metadata, recordings, sinks
+from ..sources import decode, metadata, recordings, sinks, store
 from ..streaming import live
 from . import model
 
@@ -124,6 +124,29 @@ def time_range(spark, d):
     return slices.time_range(s, *_range(model.raw_samples(spark, d))).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
 
+def _store(spark, d) -> store.Store:
+    """All samples, written by series and run of blocks."""
+    rows, path = model.samples(spark, d), model.shared_path(spark, "store")
+    store.write_store(rows, path, 4)
+    return store.Store(spark, path, rows.schema)
+
+
+@query(ORACLES["time_range"], plain=True)
+def stored_time_range(spark, d):
+    """Only files whose blocks touch the range are read."""
+    return _store(spark, d).time_range(*_range(model.raw_samples(spark, d))).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
+
+
+@query("SELECT channel_id, idx, t_us, v0 FROM s WHERE idx >= 300 AND idx < 700 AND (idx - 300) % 7 = 0")
+def stored_index_slice(spark, d):
+    return _store(spark, d).index_slice(300, 700, 7).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
+
+
+@query(f"SELECT channel_id, block_seq, subchannel_id, n, mn, round(av, 4) AS av, mx FROM b WHERE end_us >= {_T} + {10 * DAY} AND start_us <= {_T} + {100 * DAY}")
+def stored_summaries(spark, d):
+    return _store(spark, d).summaries(*_range(model.raw_samples(spark, d))).select("channel_id", "block_seq", "subchannel_id", "n", "mn", r("av"), "mx")
+
+
 @query("SELECT channel_id, idx, v1, v0 FROM s WHERE idx >= 100 AND idx < 400 AND (idx - 100) % 3 = 0")
 def subchannel_values(spark, d):
     rows = slices.values_only(slices.index_slice(model.samples(spark, d), 100, 400, 3), [1, 0])
@@ -132,7 +155,8 @@ def subchannel_values(spark, d):
 
 @query("SELECT channel_id, idx, t_us, v0 FROM (SELECT *, count(*) OVER (PARTITION BY channel_id) AS n FROM s) WHERE idx % greatest(ceil(n / 100), 1)::BIGINT = 0")
 def resampled_range(spark, d):
-    return slices.resample(model.samples(spark, d), 100).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
+    lengths = model.raw_samples(spark, d).groupBy(*K).agg(F.count(F.lit(1)).alias("_len"))
+    return slices.resample(model.samples(spark, d), 100, lengths).select("channel_id", "idx", "t_us", F.col("raw")[0].alias("v0"))
 
 
 @query("SELECT channel_id, idx, t_us, v0 FROM s WHERE idx < 25")
@@ -247,7 +271,7 @@ def applicable_converters(spark, d):
 
 def _probes(spark, d) -> tuple[DataFrame, DataFrame]:
     """Purchases look up views."""
-    s = model.samples(spark, d, "purchase", "view")
+    s = model.indexed(spark, d, "purchase", "view")
     p = s.where("channel_id = 'purchase'").select("recording_id", "session_id", F.lit("view").alias("channel_id"), "t_us", F.col("idx").alias("probe"))
     return p, s.where("channel_id = 'view'")
 
@@ -324,7 +348,7 @@ def block_of_index(spark, d):
 FROM (SELECT *, lag(v0 > 20 AND v0 < 200) OVER (PARTITION BY channel_id ORDER BY idx) AS before FROM s) e WHERE NOT (v0 > 20 AND v0 < 200) AND coalesce(before, true)""")
 def warning_intervals(spark, d):
     bad = ~windows.in_range(F.col("raw")[0], 20.0, 200.0)
-    return windows.bad_intervals(model.samples(spark, d), bad).select("channel_id", "start_us", "end_us")
+    return windows.bad_intervals(model.indexed(spark, d), bad).select("channel_id", "start_us", "end_us")
 
 
 @query(f"SELECT channel_id, block_seq, end_us AS gap_start_us, nx AS gap_end_us FROM (SELECT *, lead(start_us) OVER (PARTITION BY channel_id ORDER BY block_seq) AS nx FROM bb) WHERE nx - end_us > {DAY // 24}")
@@ -351,14 +375,26 @@ MODULUS, LONG_MODULUS = 1 << 27, 1 << 31
 
 @query(f"SELECT channel_id, event_id, (t_us - {_T}) // 1000 AS t_ms FROM s")
 def tick_unroll(spark, d):
-    """Events in wrapping milliseconds, a block each; a channel's first event comes within one wrap of the start."""
-    s = model.samples(spark, d)
+    """Events in wrapping milliseconds, a block each in file order; a channel's first event comes within one wrap of the start."""
+    s = model.raw_samples(spark, d)
     first = s.agg(F.min("t_us")).first()[0] or 0
     ms = F.floor((F.col("t_us") - first) / 1000).cast("bigint")
-    raw = s.select(*K, F.col("idx").alias("block_seq"), "event_id", (ms % MODULUS).alias("start_tick"), F.lit(None).cast("bigint").alias("end_tick"))
+    raw = s.select(*K, F.col("event_id").alias("block_seq"), "event_id", (ms % MODULUS).alias("start_tick"), F.lit(None).cast("bigint").alias("end_tick"))
     return timebase.unroll_ticks(raw, MODULUS, 1.0).select("channel_id", "event_id", F.col("start_us").alias("t_ms"))
 
 
+@query(f"SELECT channel_id, event_id, t AS start_ms, t AS end_ms FROM (SELECT *, (t_us - {_T}) // 1000 AS t FROM s)")
+def tick_unroll_absolute(spark, d):
+    """As tick_unroll; every 50th tick is absolute, and each third block has an end, some of them absolute, too."""
+    s = model.raw_samples(spark, d)
+    first = s.agg(F.min("t_us")).first()[0] or 0
+    ms = F.floor((F.col("t_us") - first) / 1000).cast("bigint")
+    tick = lambda whole: F.when(whole & (ms > MODULUS), ms).otherwise(ms % MODULUS)
+    end = F.when(F.col("event_id") % 3 == 0, tick(F.col("event_id") % 36 == 0))
+    raw = s.select(*K, F.col("event_id").alias("block_seq"), "event_id", tick(F.col("event_id") % 50 == 0).alias("start_tick"), end.alias("end_tick"))
+    return timebase.unroll_ticks(raw, MODULUS, 1.0).select("channel_id", "event_id", F.col("start_us").alias("start_ms"), F.col("end_us").alias("end_ms"))
+
+
 @query(f"""SELECT channel_id, block_seq FROM (SELECT *, min(CASE WHEN done THEN block_seq END) OVER w AS fin, min(CASE WHEN inn THEN block_seq END) OVER w AS f, arg_min(start_us, CASE WHEN inn THEN block_seq END) OVER w AS fs
 FROM (SELECT *, end_us >= s0 AS inn, end_us >= s0 AND (CASE WHEN start_us <= s0 THEN end_us >= e0 ELSE end_us > e0 END) AS done FROM bb, (SELECT {_T} + {10 * DAY} AS s0, {_T} + {100 * DAY} AS e0))
 WINDOW w AS (PARTITION BY channel_id)) WHERE (inn AND (fin IS NULL OR block_seq <= fin)) OR (block_seq = f - 1 AND fs > s0)""")
@@ -377,6 +413,14 @@ def sample_rate(spark, d):
     return timebase.sample_rates(model.blocks(spark, d)).select("channel_id", "block_seq", r("rate_hz", 9))
 
 
+@query("""SELECT channel_id, block_seq, round(1e6 / coalesce(p, lag(p) OVER (PARTITION BY channel_id ORDER BY block_seq)), 9) AS rate_hz
+FROM (SELECT *, CASE WHEN block_seq % 3 = 0 OR n < 2 THEN (lead(start_us) OVER (PARTITION BY channel_id ORDER BY block_seq) - start_us) / n ELSE (end_us - start_us) / (n - 1) END AS p FROM bb)""")
+def sample_rate_open(spark, d):
+    """Every third block has no end."""
+    blocks = model.blocks(spark, d).withColumn("end_us", F.when(F.col("block_seq") % 3 != 0, F.col("end_us")))
+    return timebase.sample_rates(blocks).select("channel_id", "block_seq", r("rate_hz", 9))
+
+
 def _packed(spark, d) -> DataFrame:
     """Embeddings as payloads of little-endian 32-bit numbers: micro-units of each component."""
     e = model.table(spark, d, "embeddings")
@@ -473,6 +517,15 @@ def series_diff(spark, d):
     return windows.series_diff(a, b, ["event_id"]).select("event_id", "side", F.array_join("columns", ",").alias("columns"))
 
 
+@query(ORACLES["series_diff"], plain=True)
+def series_digest_diff(spark, d):
+    """The same by digests of blocks of events."""
+    a = model.raw_samples(spark, d).select("event_id", "t_us", F.col("raw")[0].alias("v"))
+    b = a.where("event_id % 11 <> 0").withColumn("v", F.when(F.col("event_id") % 13 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    out = windows.digest_diff(a, b, ["event_id"], [F.floor(F.col("event_id") / 8)], model.shared_path(spark, "differ"))
+    return out.select("event_id", "side", F.array_join("columns", ",").alias("columns"))
+
+
 # Export, spectrum, streams
 
 
@@ -494,7 +547,11 @@ def band_rms(spark, d):
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events of three recordings as a stream."""
-    events = spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*")
+    return _live(spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*"))
+
+
+def _live(events: DataFrame) -> DataFrame:
+    """Events as samples of three recordings."""
     key = [(F.col("user_id") % 3).cast("string").alias("recording_id"), F.lit(0).alias("session_id"), F.col("event_type").alias("channel_id")]
     return events.select(F.col("ts").cast("timestamp").alias("ts"), *key, "event_id", F.col("value").alias("v"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
 
@@ -522,6 +579,78 @@ def _streamed(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFram
     return spark.read.schema(result.schema).option("recursiveFileLookup", True).parquet(f"{out}/data")
 
 
+#: Batches in which events arrive, and how many days late some are.
+BATCHES, SPREAD = 3, 10
+
+
+def _in_batches(spark: SparkSession, d: str, build: Callable[[DataFrame], DataFrame], spread: int = 0) -> DataFrame:
+    """What a stream puts out in append mode while events arrive in batches, in order but for a spread of so many days.
+
+    Only what the watermark has passed is put out, and its state is given up.
+    """
+    out, events = model.shared_path(spark, "stream"), model.table(spark, d, "events")
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = (x or 0 for x in events.agg(F.min(t), F.max(t)).first())
+    at = t - first + F.pmod(F.xxhash64("event_id"), F.lit(1000)) * (spread * DAY // 1000)
+    number = F.floor(at * BATCHES / (last - first + spread * DAY + 1))
+    for i in range(BATCHES):  # the stream goes on where it ended
+        events.where(number == i).write.mode("append").parquet(f"{out}/in")
+        with live.keyed_state(spark):
+            result = build(_live(spark.readStream.schema(events.schema).parquet(f"{out}/in")))
+            writer = result.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+            writer.trigger(**live.ONCE).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{out}/data")
+
+
+def _passed(late_ms: int) -> str:
+    """The watermark in milliseconds."""
+    return f"(SELECT max(epoch_us(ts)) // 1000 - {late_ms} FROM events)"
+
+
+HOUR_MS, LATE_MS = 3_600_000, 20 * DAY // 1000
+
+
+def _closed(sql: str, end: str, late_ms: int) -> str:
+    return f"SELECT * FROM ({sql}) WHERE {end} <= {_passed(late_ms)}"
+
+
+@query(_closed(f"SELECT {_R}, event_type AS channel_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(min(value), 4) AS mn, round(avg(value) + 1e-7, 4) AS av, round(max(value), 4) AS mx, count(*) AS n FROM events GROUP BY ALL", f"(start_us + {DAY}) // 1000", HOUR_MS), plain=True)
+def stream_tumbling_closed(spark, d):
+    """Days that the watermark has passed, each put out once."""
+    rows = _in_batches(spark, d, lambda s: live.tumbling(s, "1 day"))
+    return rows.select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), r("mn"), F.round(F.col("av") + 1e-7, 4).alias("av"), r("mx"), "n")
+
+
+@query(_closed(f"SELECT {_R}, event_type AS channel_id, epoch_us(w) AS start_us, round(avg(value) + 1e-7, 4) AS av, round(quantile_disc(value, 0.5), 4) AS median FROM (SELECT *, unnest([time_bucket(INTERVAL 12 HOUR, ts), time_bucket(INTERVAL 12 HOUR, ts) - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY ALL", f"(start_us + {DAY}) // 1000", HOUR_MS), plain=True)
+def stream_sliding_closed(spark, d):
+    rows = _in_batches(spark, d, lambda s: live.sliding(s, "1 day", "12 hours"))
+    return rows.select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), F.round(F.col("av") + 1e-7, 4).alias("av"), r("median"))
+
+
+@query(f"""SELECT recording_id, channel_id, start_us, n, mx FROM (SELECT {_R}, channel_id, min(t_us) AS start_us, count(*) AS n, round(max(v0), 4) AS mx, max(t_us) AS z FROM (SELECT *, sum(cut) OVER (PARTITION BY user_id % 3, channel_id ORDER BY idx) AS g
+FROM (SELECT *, CASE WHEN t_us - lag(t_us) OVER (PARTITION BY user_id % 3, channel_id ORDER BY idx) < {DAY // 12} THEN 0 ELSE 1 END AS cut FROM s)) GROUP BY user_id % 3, channel_id, g) WHERE (z + {DAY // 12}) // 1000 <= {_passed(HOUR_MS)}""")
+def stream_sessions_closed(spark, d):
+    rows = _in_batches(spark, d, lambda s: live.gap_sessions(s, "2 hours"))
+    return rows.select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), "n", r("mx"))
+
+
+@query(f""", w AS (SELECT {_R}, channel_id, idx, t_us, NOT (v0 > 20 AND v0 < 200) AS bad FROM s),
+x AS (SELECT *, lag(bad) OVER (PARTITION BY recording_id, channel_id ORDER BY idx) AS before, min(CASE WHEN NOT bad THEN t_us END) OVER (PARTITION BY recording_id, channel_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS end_us FROM w)
+SELECT recording_id, channel_id, t_us AS start_us, end_us FROM x WHERE bad AND NOT coalesce(before, false) AND (end_us + 999) // 1000 <= {_passed(LATE_MS)}""")
+def stream_intervals_in_order(spark, d):
+    """Out-of-range intervals of events that come up to ten days late; those whose end the watermark has passed."""
+    rows = _in_batches(spark, d, lambda s: live.intervals_in_order(s, 20.0, 200.0, "20 days"), SPREAD)
+    return rows.select("recording_id", "channel_id", "start_us", "end_us")
+
+
+@query(f"SELECT {_R}, event_type AS channel_id, event_id AS seq, (epoch_us(ts) // 1000 - (SELECT min(epoch_us(ts)) FROM events) // 1000) AS t_us FROM events WHERE (epoch_us(ts) + 999) // 1000 <= {_passed(LATE_MS)}", plain=True)
+def stream_ticks_in_order(spark, d):
+    first = model.raw_samples(spark, d).agg(F.min("t_us")).first()[0] or 0
+    ms = F.floor(F.col("t_us") / 1000).cast("bigint") - first // 1000
+    rows = _in_batches(spark, d, lambda s: live.ticks_in_order(s.select(*K, "ts", F.col("event_id").alias("seq"), (ms % LONG_MODULUS).alias("tick")), LONG_MODULUS, 1.0, "20 days"), SPREAD)
+    return rows.select("recording_id", "channel_id", "seq", "t_us")
+
+
 @query(f"SELECT {_R}, event_type AS channel_id, epoch_us(time_bucket(INTERVAL 1 DAY, ts)) AS start_us, round(min(value), 4) AS mn, round(avg(value) + 1e-7, 4) AS av, round(max(value), 4) AS mx, count(*) AS n FROM events GROUP BY ALL", plain=True)
 def stream_tumbling(spark, d):
     return _streamed(spark, d, lambda s: live.tumbling(s, "1 day"), "complete").select("recording_id", "channel_id", F.unix_micros("w.start").alias("start_us"), r("mn"), F.round(F.col("av") + 1e-7, 4).alias("av"), r("mx"), "n")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +23,45 @@ def open_dimensions(spark: SparkSession, path: str, *names: str) -> dict[str, Da
     return {n: spark.read.schema(getattr(schema, n.upper())).parquet(f"{path.rstrip('/')}/{n}") for n in names or DIMENSIONS}
 
 
-def crawl(spark: SparkSession, path: str, pattern: str = "*", max_depth: int | None = None, excluded: tuple[str, ...] = (".git", ".svn")) -> DataFrame:
-    """path, length and modificationTime of files under a folder; hidden and excluded folders are left out. No content is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).drop("content")
-    root = path.split("://")[-1].rstrip("/")
-    rest = F.element_at(F.split("path", F.concat(F.lit(r"\Q"), F.lit(root + "/"), F.lit(r"\E"))), -1)
-    parts = F.split(rest, "/")
-    rows = found.where(~F.exists(parts, lambda p: p.startswith(".") | p.isin(*excluded)))
-    return rows if max_depth is None else rows.where(F.size(parts) <= max_depth)
+_ENTRY = "path string, name string, folder boolean, length bigint, modificationTime timestamp, depth int"
+
+
+def _entries(excluded: tuple[str, ...], depth: int):
+    """Lists folders in tasks; hidden and excluded names are left out where they are seen."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder in batch["path"]:
+                system, place = fs.FileSystem.from_uri(folder)
+                scheme = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
+                shown = lambda n: not (n.startswith(".") or (n.startswith("_") and "=" not in n) or n.endswith("._COPYING_") or n in excluded)
+                found = [(scheme + e.path, e.base_name, e.type == fs.FileType.Directory, e.size, pd.Timestamp((e.mtime_ns or 0) // 1000, unit="us"), depth) for e in system.get_file_info(fs.FileSelector(place)) if shown(e.base_name)]
+                yield pd.DataFrame(found, columns=["path", "name", "folder", "length", "modificationTime", "depth"])
+
+    return run
+
+
+def listed(spark: SparkSession, path: str, scratch: str, max_depth: int | None = None, excluded: tuple[str, ...] = (".git", ".svn")) -> DataFrame:
+    """Files and folders under a folder with their depth, level by level: the folders of a level are dealt out and listed in tasks.
+
+    Hidden and excluded folders, and those below max_depth, are never entered. Each level is written under scratch, a shared folder.
+    """
+    root = path if "://" in path or path.startswith("file:") else "file:" + path
+    level = spark.createDataFrame([(root.rstrip("/").replace("file:///", "file:/"),)], "path string")
+    depth = 0
+    while True:
+        depth += 1
+        level.repartition("path").mapInPandas(_entries(excluded, depth), _ENTRY).write.parquet(f"{scratch}/depth={depth}")
+        found = spark.read.schema(_ENTRY).parquet(f"{scratch}/depth={depth}")
+        level = found.where("folder").select("path")
+        if depth == max_depth or level.isEmpty():
+            return spark.read.schema(_ENTRY).parquet(scratch)
+
+
+def crawl(spark: SparkSession, path: str, scratch: str, pattern: str = "*", max_depth: int | None = None, excluded: tuple[str, ...] = (".git", ".svn")) -> DataFrame:
+    """path, length and modificationTime of files under a folder whose names match a glob pattern; found as by listed(). No content is read."""
+    like = spark._jvm.org.apache.hadoop.fs.GlobPattern(pattern).compiled().pattern()
+    return listed(spark, path, scratch, max_depth, excluded).where(~F.col("folder") & F.col("name").rlike(f"^(?:{like})$")).select("path", "modificationTime", "length")
 
 
 def load_blocks(spark: SparkSession, path: str, channels: list | None = None, start_us: int | None = None, end_us: int | None = None) -> DataFrame:

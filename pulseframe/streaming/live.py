@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.timebase import unroll
 from ..operators.windows import bad_intervals, in_range
 from ..schema import K
 
 
-def ingest(blocks: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+#: Takes what there is and ends. A live recorder takes {"processingTime": "10 seconds"} or the like.
+ONCE = {"availableNow": True}
+
+
+def _start(writer: DataStreamWriter, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE)).start()
+
+
+def ingest(blocks: DataFrame, path: str, checkpoint: str, late: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
     """Append blocks to a table once each; repeats within the watermark are dropped. Needs ts, recording_id, channel_id, block_seq."""
     once = blocks.withWatermark("ts", late).dropDuplicatesWithinWatermark([*K, "block_seq"])
-    return once.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("channel_id").outputMode("append").trigger(availableNow=True).start()
+    return _start(once.writeStream.format("parquet").option("path", path).partitionBy("channel_id").outputMode("append"), checkpoint, trigger)
 
 
-def route_late(samples: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
+def route_late(samples: DataFrame, path: str, checkpoint: str, late: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
     """Write rows to path/data, and those that come later than allowed behind the latest time of the batches before to path/late.
 
-    Each batch writes folders of its own number, so a repeated batch replaces itself; path/marks has the latest time of
-    each batch, one row a batch. Read data and late with partition column batch.
+    Each batch writes folders of its own number, so a repeated batch replaces itself; path/marks has the latest time up to
+    a batch, for the last two of them. Read data and late with partition column batch.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark, once = batch.sparkSession, batch.persist()
-        once.agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
-        limit = spark.read.parquet(f"{path}/marks").where(F.col("batch") < number).agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("_limit"))
+        own = once.agg(F.max("ts").alias("latest"))
+        before = spark.read.schema(own.schema).parquet(f"{path}/marks/batch={number - 1}") if number else own.limit(0)
+        before.unionByName(own).agg(F.max("latest").alias("latest")).write.mode("overwrite").parquet(f"{path}/marks/batch={number}")
+        limit = before.agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("_limit"))
         rows = once.join(F.broadcast(limit))  # one row
         is_late = F.coalesce(F.col("ts") < F.col("_limit"), F.lit(False))
         rows.where(~is_late).drop("_limit").write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         rows.where(is_late).drop("_limit").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
         once.unpersist()
+        _forget(spark, f"{path}/marks/batch={number - 2}")
 
-    return samples.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(samples.writeStream.foreachBatch(put), checkpoint, trigger)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    """Delete what no later batch reads, nor the last one if it is repeated."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def tumbling(samples: DataFrame, length: str, late: str = "1 hour") -> DataFrame:
@@ -54,10 +75,10 @@ def gap_sessions(samples: DataFrame, gap: str, late: str = "1 hour") -> DataFram
     return samples.withWatermark("ts", late).groupBy(*K, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"))
 
 
-def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> StreamingQuery:
+def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], trigger: dict | None) -> StreamingQuery:
     """Write the first result of step(batch, state) to path/data and keep the second as the state of the next batch, in path/state.
 
-    Each batch writes folders of its own number, so a repeated batch replaces itself. Read data with partition column batch.
+    Each batch writes folders of its own number, so a repeated batch replaces itself; of states the last two are kept. Read data with partition column batch.
     """
 
     def put(batch: DataFrame, number: int) -> None:
@@ -67,14 +88,15 @@ def _carried(rows: DataFrame, path: str, checkpoint: str, state: str, step: Call
         out.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
         after.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
         once.unpersist()
+        _forget(spark, f"{path}/state/batch={number - 2}")
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _start(rows.writeStream.foreachBatch(put), checkpoint, trigger)
 
 
 _KEY = "recording_id string, session_id int, channel_id string"
 
 
-def live_intervals(samples: DataFrame, low: float, high: float, path: str, checkpoint: str) -> StreamingQuery:
+def live_intervals(samples: DataFrame, low: float, high: float, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write out-of-range intervals to path/data as they close, each once, whatever the batches; open_intervals() has those still open.
 
     State: the start of each series' open interval, which goes before the batch as a sample of its own; change points are found
@@ -87,7 +109,7 @@ def live_intervals(samples: DataFrame, low: float, high: float, path: str, check
         out = bad_intervals(rows.select(*K, "t_us", F.struct("t_us", "_new").alias("idx"), "_wrong"), F.col("_wrong"))
         return out.where("end_us <> -1"), out.where("end_us = -1").select(*K, F.col("start_us").alias("opened"))
 
-    return _carried(samples, path, checkpoint, f"{_KEY}, opened bigint", step)
+    return _carried(samples, path, checkpoint, f"{_KEY}, opened bigint", step, trigger)
 
 
 def open_intervals(spark: SparkSession, path: str) -> DataFrame:
@@ -98,14 +120,125 @@ def open_intervals(spark: SparkSession, path: str) -> DataFrame:
     return states.join(F.broadcast(number), F.col("batch") == F.col("_last")).select(*K, F.col("opened").alias("start_us"), F.lit(-1).cast("bigint").alias("end_us"))
 
 
-def live_ticks(ticks: DataFrame, modulus: int, scale: float, path: str, checkpoint: str) -> StreamingQuery:
+def live_ticks(ticks: DataFrame, modulus: int, scale: float, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Write times of wrapping ticks across micro-batches; state: each series' last tick and base. Rows: K, seq, tick."""
 
     def step(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows = batch.select(*K, "seq", F.col("tick").alias("_t"))
-        rows, carry = unroll(rows, list(K), "seq", ["seq"], modulus, state)
+        rows, carry = unroll(batch.select(*K, "seq", "tick"), list(K), "seq", ["seq"], ["tick"], modulus, state)
         same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in K]
         kept = state.alias("_l").join(carry.alias("_r"), same, "left_anti")
-        return rows.select(*K, "seq", (F.col("_full") * scale).cast("bigint").alias("t_us")), carry.unionByName(kept)
+        return rows.select(*K, "seq", (F.col("_full_tick") * scale).cast("bigint").alias("t_us")), carry.unionByName(kept)
+
+    return _carried(ticks, path, checkpoint, f"{_KEY}, last bigint, base bigint", step, trigger)
+
+
+# Rows that come out of order: they are held in keyed state until the watermark passes them
+
+
+class _InOrder(StatefulProcessor):
+    """Holds a series' rows until the watermark is past their time, then hands them to step in order, with what step carried over.
+
+    step(carry, rows) gives the next carry and the rows to put out. A timer stands at the latest time held; what the watermark has not passed when one goes off
+    stays. State is the rows within the allowed lateness and one carry.
+    """
+
+    def __init__(self, order: list[str], held: StructType, carry: StructType, step: Callable[[tuple | None, pd.DataFrame], tuple[tuple, pd.DataFrame]]):
+        self.order, self.held_schema, self.carry_schema, self.step = order, held, carry, step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.carry = handle.getValueState("carry", self.carry_schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = []
+        for part in rows:
+            part = part[self.held_schema.names]
+            if len(part):
+                self.held.appendList([tuple(r) for r in part.astype(object).where(part.notna(), None).itertuples(index=False)])
+                ends += [int(part["ts_ms"].min()), int(part["ts_ms"].max())]
+        for at in set(ends[:1] + ends[-1:]):
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.held.get()), columns=self.held_schema.names, dtype=object)
+        ready = (held["ts_ms"].astype("int64") <= mark).to_numpy(bool) if len(held) else np.zeros(0, bool)
+        if not ready.any():
+            return
+        rest = held[~ready]
+        if len(rest):
+            self.held.put([tuple(r) for r in rest.itertuples(index=False)])
+            self.handle.registerTimer(int(rest["ts_ms"].min()))
+        else:
+            self.held.clear()
+        carry, out = self.step(self.carry.get() if self.carry.exists() else None, held[ready].sort_values(self.order, kind="stable"))
+        self.carry.update(carry)
+        if len(out):
+            names = ("recording_id", "session_id", "channel_id")
+            yield pd.concat([pd.DataFrame({n: [k] * len(out) for n, k in zip(names, key)}), out.reset_index(drop=True)], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries that are started inside keep their state in RocksDB, which keyed state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _in_order(rows: DataFrame, order: list[str], held: str, carry: str, output: str, late: str, step: Callable) -> DataFrame:
+    """rows: K, ts and the held columns. One series is one key: Spark sees to its order, the lateness bounds what it holds."""
+    schema = StructType.fromDDL(f"ts_ms bigint, {held}")
+    rows = rows.withWatermark("ts", late).withColumn("ts_ms", F.ceil(F.unix_micros("ts") / 1000))
+    processor = _InOrder(order, schema, StructType.fromDDL(carry), step)
+    return rows.groupBy(*K).transformWithStateInPandas(processor, StructType.fromDDL(f"{_KEY}, {output}"), "append", "eventTime")
+
+
+def intervals_in_order(samples: DataFrame, low: float, high: float, late: str = "1 hour") -> DataFrame:
+    """Closed out-of-range intervals (K, start_us, end_us) of samples (K, ts, t_us, v) that may come out of order within the lateness.
+
+    To be started inside keyed_state(), in append mode. An interval is put out when the watermark has passed its end. Of equal times the in-range
+    sample goes last; a null value is in range; rows later than the watermark are dropped by Spark, and so are times up to 1970, where it begins.
+    """
 
-    return _carried(ticks, path, checkpoint, f"{_KEY}, last bigint, base bigint", step)
+    def step(carry: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        opened = carry[0] if carry else None
+        out = []
+        for t, right in zip(rows["t_us"], rows["right"]):
+            if not right and opened is None:
+                opened = int(t)
+            elif right and opened is not None:
+                out.append((opened, int(t)))
+                opened = None
+        return (opened,), pd.DataFrame(out, columns=["start_us", "end_us"])
+
+    rows = samples.select(*K, "ts", F.col("t_us").cast("bigint").alias("t_us"), in_range(F.col("v"), low, high).alias("right"))
+    return _in_order(rows, ["t_us", "right"], "t_us bigint, right boolean", "opened bigint", "start_us bigint, end_us bigint", late, step)
+
+
+def ticks_in_order(ticks: DataFrame, modulus: int, scale: float, late: str = "1 hour") -> DataFrame:
+    """Times (K, seq, t_us) of wrapping ticks (K, ts, seq, tick) that may come out of order within the lateness; as intervals_in_order is."""
+
+    def step(carry: tuple | None, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        last, base = carry if carry else (None, 0)
+        tick = rows["tick"].to_numpy(np.int64)
+        sets = tick > modulus
+        low = np.where(sets, tick % modulus, tick)
+        before = np.concatenate([[low[0] if last is None else last], low[:-1]])
+        turns = np.cumsum(~sets & (low < before)) * modulus
+        given = np.where(sets, tick - low - turns, 0)
+        at = np.maximum.accumulate(np.where(sets, np.arange(len(tick)), -1))
+        full = low + turns + np.where(at < 0, base, given[np.maximum(at, 0)])
+        out = pd.DataFrame({"seq": rows["seq"].to_numpy(np.int64), "t_us": (full * scale).astype(np.int64)})
+        return (int(low[-1]), int(full[-1] - low[-1])), out
+
+    return _in_order(ticks.select(*K, "ts", "seq", "tick"), ["seq"], "seq bigint, tick bigint", "last bigint, base bigint", "seq bigint, t_us bigint", late, step)

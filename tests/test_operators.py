@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions import calibration, names, units
+from pulseframe.plans import model
 from pulseframe.operators import asof, slices, spectrum, stats, timebase, windows
 from pulseframe.schema import K
 from pulseframe.sources import decode, metadata, recordings, sinks
@@ -212,10 +213,14 @@ def test_user_data_and_attributes(spark):
 
 def test_crawl(spark, tmp_path):
     for p in ("a/x.rec", "a/b/y.rec", ".git/z.rec", "a/n.txt"):
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text("1")
-    found = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in recordings.crawl(spark, str(tmp_path), "*.rec", **k).collect())
+        (tmp_path / "in" / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / p).write_text("1")
+    found = lambda **k: sorted(r["path"].rsplit("/", 1)[1] for r in recordings.crawl(spark, str(tmp_path / "in"), model.shared_path(spark, "listed"), "*.rec", **k).collect())
     assert found() == ["x.rec", "y.rec"] and found(max_depth=2) == ["x.rec"]
+    # what is excluded, hidden or too deep isn't entered
+    seen = lambda **k: sorted(r["path"].split("/in/")[1] for r in recordings.listed(spark, str(tmp_path / "in"), model.shared_path(spark, "listed"), **k).collect())
+    assert seen() == ["a", "a/b", "a/b/y.rec", "a/n.txt", "a/x.rec"] and seen(max_depth=2) == ["a", "a/b", "a/n.txt", "a/x.rec"] and seen(excluded=("b",)) == ["a", "a/n.txt", "a/x.rec"]
+    assert found(excluded=("a",)) == []
 
 
 def test_block_range_starts_one_block_early(spark):
