@@ -1,8 +1,8 @@
 """Secret scans with a worklist of decoded layers.
 
 A text is scanned, then unwrapped: a copy of it with all URL escapes decoded in place, a copy with all Unicode escapes
-decoded in place, each of its base64 tokens (also those that are wrapped at line ends), and what compressed bytes among tokens or escapes unpack to become layers,
-which are scanned and unwrapped in turn until no layer yields another. Layers that were seen before are not entered again,
+decoded in place, each of its base64 tokens (also those that are wrapped at line ends; from each of the first four characters on, since what stands before a token may
+be of its characters, too), and what compressed bytes among tokens or escapes unpack to become layers, which are scanned and unwrapped in turn until no layer yields another. Layers that were seen before are not entered again,
 so cycles (as in archives that hold themselves) end. A text and its copies are a family: what has been found at some place of the family's
 text, or taken from it as a token, is not reported or decoded again for a copy, nor is what touches no decoded character. Each layer knows which span of the original text
 its characters came from; what is found in a layer is reported at that span, under kind@layer names such as assign@base64.
@@ -11,7 +11,8 @@ Escapes of escapes are decoded a level at a time up to LEVELS; a text with more
 all that is left is decoded at once, so a text of n characters costs a multiple of n, however its escapes are nested.
 
 Bytes that aren't UTF-8 become a character each (a lone surrogate), so they hide nothing around them; broken compressed data is
-unpacked up to the break, and all members of gzip data are unpacked. Unpacked data streams through windows of WINDOW bytes that overlap by
+unpacked up to the break, and all members of gzip data are unpacked. Gzip's and zlib's data are known wherever they begin; a gzip header whose names
+don't end is none. Unpacked data streams through windows of WINDOW bytes that overlap by
 OVERLAP, so its size doesn't count, not even that of archives nested in archives; a window that begins inside a base64 token begins
 at a whole number of its quanta. What a window can't show is compressed data that a token longer than the window holds beyond its end.
 From BOMB bytes on, unpacking ends and the place is reported as a span bomb@layer, so that it doesn't pass unseen.
@@ -35,6 +36,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,7 @@ BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 _B64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"
 _B64_MAP = bytes(49 if b in _B64_BYTES else 32 for b in range(256))
+_B64_PLAIN = str.maketrans("-_", "+/")
 MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
 LONE = re.compile("[\ud800-\udc7f\udd00-\udfff]")
 #: Packed bytes that are unpacked at once, and the most they unpack to at once.
@@ -280,7 +283,7 @@ def _pieces(data: bytes | memoryview) -> Iterator[bytes]:
 
 def unpack(data: bytes | memoryview) -> tuple[int, int] | None:
     """How many bytes the members of gzip or zlib data at the start of data take, and how many the whole ones do (1 at least); None if it is neither."""
-    data, at, end, sure, some = memoryview(data), 0, 0, 1, False
+    data, at, end, sure, some = memoryview(data), 0, 0, 1, 0
     while MAGIC.match(data[at : at + 3]):
         squeeze, left, begin, whole = zlib.decompressobj(47), b"", at, False
         while True:
@@ -290,12 +293,12 @@ def unpack(data: bytes | memoryview) -> tuple[int, int] | None:
                 break
             before = squeeze.copy()
             try:
-                some |= bool(squeeze.decompress(left, PIECE))
+                some += len(squeeze.decompress(left, PIECE))
             except zlib.error:
                 at -= len(left)
                 try:
                     for i in range(len(left)):
-                        some |= bool(before.decompress(left[i : i + 1], PIECE))
+                        some += len(before.decompress(left[i : i + 1], PIECE))
                         at += 1
                 except zlib.error:
                     pass
@@ -303,6 +306,8 @@ def unpack(data: bytes | memoryview) -> tuple[int, int] | None:
             if squeeze.eof:
                 at, whole = at - len(squeeze.unused_data), True
                 break
+            if some > BOMB:
+                return len(data), len(data)
             left = squeeze.unconsumed_tail
         end = max(at, begin + 1)
         if not whole:
@@ -357,16 +362,43 @@ def _zips(data: bytes | memoryview, whole: tuple[int, int], name: str, search: S
         depth, name = depth + 1, f"{name}.zip"
 
 
+class _Headers:
+    """Tells which gzip magics of some bytes begin a header that ends in them; its names end at zero bytes, whose places are found once for all of them."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+        self.zeros: np.ndarray | None = None
+
+    def whole(self, at: int) -> bool:
+        data = self.data
+        if data[at] != 0x1F:
+            return True  # zlib's are two bytes
+        if len(data) < at + 10 or data[at + 3] & 0xE0:
+            return False
+        end, flags = at + 10, data[at + 3]
+        if flags & 4:  # a field with its length before it
+            end += 2 + int.from_bytes(data[end : end + 2], "little")
+        for flag in (8, 16):  # name, comment
+            if flags & flag:
+                if self.zeros is None:
+                    self.zeros = np.flatnonzero(np.frombuffer(data, np.uint8) == 0)
+                k = int(np.searchsorted(self.zeros, end))
+                if k == len(self.zeros):
+                    return False
+                end = int(self.zeros[k]) + 1
+        return end + (2 if flags & 2 else 0) < len(data)
+
+
 def _packed(layer: Layer, search: Search) -> Iterator[Layer]:
     """Compressed bytes among decoded escapes: those of UTF-8, or characters below 256 as bytes."""
     if not layer.at:
         return
     text = LONE.sub("?", layer.text)
     for data, width in ((text.encode("utf-8", "surrogateescape"), _width), (text.encode("latin-1", "replace"), lambda c: 1)):
-        pos, view, offsets = 0, memoryview(data), []
+        pos, view, offsets, headers = 0, memoryview(data), [], _Headers(data)
         while m := MAGIC.search(data, pos):
             pos = m.start() + 1
-            if (got := unpack(view[m.start() :])) is None:
+            if not headers.whole(m.start()) or (got := unpack(view[m.start() :])) is None:
                 continue
             pos += got[1] - 1
             offsets = offsets or list(accumulate(map(width, text), initial=0))
@@ -378,14 +410,14 @@ def _packed(layer: Layer, search: Search) -> Iterator[Layer]:
             yield from _zips(view[m.start() : m.start() + got[0]], layer.outer(start, end), layer.named("zip"), search)
 
 
-def _base64_place(layer: Layer, runs: list[tuple[int, int]], size: int, text: str) -> Callable[[int, int], tuple[int, int]]:
-    """Maps spans of the text that a token of so many characters holds; runs: where its parts begin in the token and in the layer."""
+def _base64_place(layer: Layer, runs: list[tuple[int, int]], skipped: int, size: int, text: str) -> Callable[[int, int], tuple[int, int]]:
+    """Maps spans of the text that so many characters of a token hold, after those skipped; runs: where its parts begin in the token and in the layer."""
     offsets: list[int] = []
     begins = [r[0] for r in runs]
 
     def at(i: int) -> int:
-        begin, place = runs[bisect_right(begins, i) - 1]
-        return place + i - begin
+        begin, place = runs[bisect_right(begins, i + skipped) - 1]
+        return place + i + skipped - begin
 
     def up(s: int, e: int) -> tuple[int, int]:
         if not text.isascii():
@@ -421,21 +453,37 @@ def _base64(layer: Layer, raw: bytes | None, search: Search) -> Iterator[Layer]:
     if b"1" * 16 not in raw.translate(_B64_MAP):
         return
     for parts in _base64_tokens(layer.text):
-        body = "".join(x[1] for x in parts)
-        body = body[:-1] if len(body) % 4 == 1 else body
-        token = (body, layer.place(parts[0][0], parts[0][0] + 1)[0], layer.place(parts[-1][0], parts[-1][0] + len(parts[-1][1]))[1])
+        whole = "".join(x[1] for x in parts)
+        token = (whole, layer.place(parts[0][0], parts[0][0] + 1)[0], layer.place(parts[-1][0], parts[-1][0] + len(parts[-1][1]))[1])
         if token in layer.tokens:
             continue
         layer.tokens.add(token)
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
-            continue
         runs = list(zip(accumulate((len(x[1]) for x in parts), initial=0), (x[0] for x in parts)))
-        out = Layer(text := _text(data), layer.named("base64"), _base64_place(layer, runs, len(body), text))
-        yield out
-        if MAGIC.match(data):
-            yield from _zips(data, layer.outer(parts[0][0], parts[-1][0] + len(parts[-1][1])), out.named("zip"), search)
+        coded = whole.translate(_B64_PLAIN)
+        for skipped in range(4):  # what stands before may be of base64's characters, too
+            body = coded[skipped:]
+            body = body[:-1] if len(body) % 4 == 1 else body
+            if skipped and len(body) < 16:
+                break
+            try:
+                data = base64.b64decode(body + "=" * (-len(body) % 4))
+            except binascii.Error:
+                continue
+            place = _base64_place(layer, runs, skipped, len(body), text := _text(data))
+            out = Layer(text, layer.named("base64"), place)
+            yield out
+            span, view, headers, pos = layer.outer(_at(runs, skipped), parts[-1][0] + len(parts[-1][1])), memoryview(data), _Headers(data), 0
+            while m := MAGIC.search(data, pos):
+                pos = m.start() + 1
+                if headers.whole(m.start()) and (got := unpack(view[m.start() :])):
+                    pos += got[1] - 1
+                    yield from _zips(view[m.start() : m.start() + got[0]], span, out.named("zip"), search)
+
+
+def _at(runs: list[tuple[int, int]], i: int) -> int:
+    """Where a token's character stands in the layer."""
+    begin, place = runs[bisect_right([r[0] for r in runs], i) - 1]
+    return place + i - begin
 
 
 def _family(first: Layer, search: Search, raw: bytes | None) -> Iterator[Layer]:

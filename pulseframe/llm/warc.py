@@ -5,8 +5,9 @@ write archives into the shared folder under names of their own attempt, and the
 is written as a table. Files of failed or repeated attempts are in no manifest and so are never read.
 
 Reading: files are cut into byte ranges. A task looks for gzip magic in its range, takes a place for a member
-only if the bytes decode and begin with a WARC version line, and owns the records that start inside its
-range; it reads past the end as far as its last record goes. After a member it goes on where that ended.
+only if the bytes decode and begin with a WARC version line, and owns the records of members that start inside its
+range, whether a member has one or several; it reads past the end as far as its last member goes. After a member it goes on where that ended.
+An archive that isn't compressed and a member that breaks off after its first record raise an error.
 Payloads are UTF-8 text, in which the magic can't occur, so stored deflate blocks can't imitate a member.
 
 Sizes and digests of responses are taken from the bytes that were read, and a payload or block that doesn't have its header's SHA-1
@@ -92,17 +93,31 @@ def _page(ident: str | None) -> int | None:
     return int(number) if ident and number != ident and number.lstrip("-").isdecimal() else None
 
 
-def record(raw: bytes) -> tuple | None:
-    """The row of a decoded member; None if it isn't a whole record. Content that differs from its digest raises an error."""
-    head, gap, rest = raw.partition(b"\r\n\r\n")
-    if not gap or not raw.startswith(_VERSION):
-        return None
-    lines = (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])
-    fields = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
-    length = fields.get("content-length", "")
-    if not length.isdecimal() or len(rest) < int(length):
-        return None
-    block, ident = rest[: int(length)], lambda key: fields[key].removeprefix("<").removesuffix(">") if key in fields else None
+def records(raw: bytes) -> list[tuple]:
+    """The rows of a decoded member, one or more records; none if it doesn't begin with a whole record. One that breaks off after that raises an error."""
+    out, at = [], 0
+    while raw.startswith(_VERSION, at):
+        gap = raw.find(b"\r\n\r\n", at)
+        lines = (line.partition(":") for line in raw[at : max(gap, at)].decode("utf-8", "replace").split("\r\n")[1:])
+        fields = {name.strip().lower(): value.strip() for name, colon, value in lines if colon}
+        length = fields.get("content-length", "")
+        if gap < 0 or not length.isdecimal() or len(raw) < (end := gap + 4 + int(length)):
+            if out:
+                raise ValueError(f"a member breaks off inside its record {len(out) + 1}")
+            return []
+        out.append(record(fields, raw[gap + 4 : end]))
+        at = end
+        while raw.startswith(b"\r\n", at):
+            at += 2
+    return out
+
+
+def record(fields: dict[str, str], block: bytes) -> tuple:
+    """The row of a record. Content that differs from its digest raises an error."""
+
+    def ident(key: str) -> str | None:
+        return fields[key].removeprefix("<").removesuffix(">") if key in fields else None
+
     kind, told, http = fields.get("warc-type"), _sha1(fields.get("warc-payload-digest")), fields.get("content-type", "").startswith("application/http")
     payload = block.partition(b"\r\n\r\n")[2] if http else block
     if (whole := _sha1(fields.get("warc-block-digest"))) and whole != sha1_base32(block):
@@ -169,7 +184,7 @@ class FileView:
     """A moving view of a file from a given place on."""
 
     def __init__(self, file: pa.NativeFile, start: int, size: int, chunk: int = 1 << 20):
-        self.file, self.size, self.chunk, self.at, self.data = file, size, chunk, start, b""
+        self.file, self.size, self.chunk, self.at, self.data = file, size, chunk, start, bytearray()
 
     def need(self, end: int) -> bool:
         """Have the bytes up to end, if the file goes so far."""
@@ -181,7 +196,8 @@ class FileView:
         return end <= self.size
 
     def skip(self, to: int) -> None:
-        self.data, self.at = self.data[to - self.at :], to
+        del self.data[: to - self.at]
+        self.at = to
 
 
 def decode_member(view: FileView) -> tuple[bytes, int] | None:
@@ -204,13 +220,15 @@ def decode_member(view: FileView) -> tuple[bytes, int] | None:
 
 
 def split_records(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tuple]:
-    """The records whose first byte is in [start, end)."""
+    """The records of the members whose first byte is in [start, end). An archive that isn't compressed raises an error."""
     view = FileView(file, start, size)
+    if start == 0 and view.need(len(_VERSION)) and view.data.startswith(_VERSION):
+        raise ValueError("the archive isn't compressed by members")
     while view.at < end:
         found = decode_member(view)
-        row = found and record(found[0])
-        if row:
-            yield row
+        rows = found and records(found[0])
+        if rows:
+            yield from rows
             view.skip(view.at + found[1])
             continue
         view.need(view.at + view.chunk)

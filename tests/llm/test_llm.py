@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -570,7 +571,9 @@ def slow_layers(data):
         todo.append(re.sub(rb"\\x([0-9A-Fa-f]{2})", lambda m: bytes.fromhex(m[1].decode()), data))
         for m in re.finditer(rb"[A-Za-z0-9+/]{16,}(?:\n[A-Za-z0-9+/]+)*={0,2}", data):
             whole = m[0].replace(b"\n", b"").rstrip(b"=")
-            todo += [base64.b64decode(x + b"=" * (-len(x) % 4)) for x in (whole, m[0].split(b"\n")[0].rstrip(b"=")) if len(x) % 4 != 1]
+            for x in (whole, m[0].split(b"\n")[0].rstrip(b"=")):  # at every phase
+                for y in (x[k:] for k in range(4)):
+                    todo.append(base64.b64decode((y[:-1] if len(y) % 4 == 1 else y) + b"=" * (-len(y) % 4 if len(y) % 4 != 1 else 0)))
         for m in re.finditer(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]", data):
             try:
                 todo.append(zlib.decompressobj(47).decompress(data[m.start() :]))
@@ -579,6 +582,23 @@ def slow_layers(data):
     return seen
 
 
+def test_base64_after_characters_of_its_own():
+    for secret in ("password=hunter2222", "x password = hunter2222 y"):
+        coded = base64.b64encode(secret.encode()).decode()
+        for before in ("data/", "ab", "a", "abc", "-----\\n", "id_"):
+            text = f"start {before}{coded} stop"
+            _, more = secrets.scan(text)
+            (span,) = {x for x in more if x[0] == "assign@base64"}
+            assert 6 + len(before) <= span[1] < span[2] <= len(text) - 5, (before, span)
+
+
+def test_magics_without_an_end_take_linear_time():
+    begin = time.perf_counter()
+    assert secrets.scan("%1f%8b%08" * 110_000 + " password=%68unter2222")[1]
+    assert secrets.scan("%1f%8b%08%08" * 80_000 + " password=%68unter2222")[1]
+    assert time.perf_counter() - begin < 60
+
+
 def test_layers_equal_a_slow_search():
     rng = random.Random(8)
     pattern = re.compile(rb"password=[A-Za-z0-9]{6,}")
@@ -590,7 +610,8 @@ def test_layers_equal_a_slow_search():
             data = WRAPS[name](data)
         if chain[-1] in ("gzip", "zlib"):
             data = WRAPS[rng.choice(("url", "unicode", "base64", "lines"))](data)
-        text = "start " + data.decode() + " stop"
+        glued = rng.choice(("", "", "data/", "ab", "x+y", "\\\\n")) if chain[-1] == "base64" else ""
+        text = "start " + glued + data.decode() + " stop"
         base, more = secrets.scan(text)
         slow = any(pattern.search(x) for x in slow_layers(text.encode()))
         assert slow == any(k.startswith("assign") for k, *_ in base + more), (chain, text)
@@ -814,6 +835,21 @@ def test_warc_of_awkward_pages(spark):
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
+def test_members_of_several_records(spark, tmp_path):
+    plain = lambda i, block: gzip.decompress(standard_record("resource", f"urn:x:{i}", block))
+    data = gzip.compress(plain(0, b"abc") + plain(1, b"WARC/1.0\r\n\r\n") + plain(2, b"")) + gzip.compress(plain(3, b"z" * 100_000))
+    archive = tmp_path / "x.warc.gz"
+    archive.write_bytes(data)
+    files = spark.createDataFrame([(str(archive), len(data))], "path string, bytes bigint")
+    for split in (64, 1 << 20):
+        rows = {r["record_id"]: (r["payload_bytes"], bytes(r["payload"])) for r in warc.read_warc(files, split).collect()}
+        assert rows == {"urn:x:0": (3, b"abc"), "urn:x:1": (12, b"WARC/1.0\r\n\r\n"), "urn:x:2": (0, b""), "urn:x:3": (100_000, b"z" * 100_000)}
+    for broken in (gzip.compress(plain(0, b"abc") + plain(1, b"defgh")[:-12]), plain(0, b"abc")):  # breaks off; isn't compressed
+        archive.write_bytes(broken)
+        with pytest.raises(Exception, match="breaks off|isn't compressed"):
+            warc.read_warc(spark.createDataFrame([(str(archive), len(broken))], "path string, bytes bigint")).collect()
+
+
 # Helpers
 
 
