@@ -1,4 +1,10 @@
-"""Band-limited RMS. A Fourier transform is the one thing here that no column function expresses."""
+"""Spectra and band-limited RMS, of segments and of whole series. A Fourier transform is the one thing here that no column function expresses.
+
+A whole series of any length n is transformed as a convolution with a chirp, on a circle of m = rows x columns places, a power of two of at least 2 n - 1. Each of the two
+transforms that this takes goes over the columns of the circle, written as a matrix, and then over its rows; between the two, numbers are turned by their twiddle factors. The
+forward one's rows are the inverse one's columns, so series are shuffled by columns, to the chirp, by rows and by columns again. A task holds a few columns or rows, of about
+the square root of m numbers each; the chirp is made from its formula, once for all series of a length, and joined. Nothing of a series meets in one place.
+"""
 
 from __future__ import annotations
 
@@ -24,3 +30,123 @@ def band_rms(samples: DataFrame, period_us: float, low_hz: float, high_hz: float
         return pd.DataFrame([[*key, len(v), float(np.sqrt(power[(hz >= low_hz) & (hz <= high_hz)].sum() / len(v)))]])
 
     return rows.groupBy(*K, "subchannel_id", "segment").applyInPandas(one, schema)
+
+
+#: Numbers of a group of columns or rows that go to a task, at least one of them.
+GROUP = 1 << 16
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Rows and columns of the circle for n samples."""
+    bits = max(2 * n - 2, 1).bit_length()
+    return 1 << (bits + 1) // 2, 1 << bits // 2
+
+
+def _chirp(j: np.ndarray, n: int) -> np.ndarray:
+    """exp(-i pi j j / n); the square is reduced in whole numbers, so large places lose nothing."""
+    j = j % (2 * n)
+    return np.exp(-1j * np.pi * ((j * j) % (2 * n)) / n)
+
+
+def _turn(place: np.ndarray, by: np.ndarray, m: int, sign: int) -> np.ndarray:
+    return np.exp(sign * 2j * np.pi * ((place[:, None] * by[None, :]) % m) / m)
+
+
+def _columns(values: np.ndarray, which: np.ndarray, m: int, sign: int) -> np.ndarray:
+    """First half of a transform: values has a row per column of the circle; the result is turned."""
+    found = np.fft.fft(values, axis=1) if sign < 0 else np.fft.ifft(values, axis=1)
+    return found * _turn(which, np.arange(values.shape[1]), m, sign)
+
+
+def _wide(pdf: pd.DataFrame, group: str, at: str, first: int, size: tuple[int, int], names: tuple[str, str]) -> np.ndarray:
+    out = np.zeros(size, complex)
+    out[pdf[group].to_numpy(np.int64) - first, pdf[at].to_numpy(np.int64)] = pdf[names[0]].to_numpy(float) + 1j * pdf[names[1]].to_numpy(float)
+    return out
+
+
+def _long(keys: tuple, names: list[str], first: np.ndarray, second: np.ndarray, n: int, **values: np.ndarray) -> pd.DataFrame:
+    """first and second: the places of the rows and columns of the values."""
+    out = {name: np.full(len(first) * len(second), key) if isinstance(key, (int, np.integer)) else [key] * (len(first) * len(second)) for name, key in zip(names, keys)}
+    out |= {"n": np.full(len(first) * len(second), n), "p": np.repeat(first, len(second)), "q": np.tile(second, len(first))}
+    for name, v in values.items():
+        out |= {f"{name}_re": v.real.ravel(), f"{name}_im": v.imag.ravel()}
+    return pd.DataFrame(out)
+
+
+def spectrum(samples: DataFrame) -> DataFrame:
+    """K, subchannel_id, n (samples of the series), k and re, im of each frequency k / n per sample, k up to n / 2, of whole series of numbered samples.
+
+    Null values count as 0. A series whose idx has holes has zeros there.
+    """
+    keys = [*K, "subchannel_id"]
+    rows = long_form(samples).select(*keys, "idx", F.coalesce("v", F.lit(0.0)).alias("v"))
+    ends = samples.groupBy(*K).agg((F.max("idx") + 1).alias("n"))
+    bits = F.length(F.bin(F.greatest(2 * F.col("n") - 2, F.lit(1))))
+    ends = ends.withColumns({"_wide": F.pow(F.lit(2), F.floor(bits / 2)).cast("bigint"), "_high": F.pow(F.lit(2), F.floor((bits + 1) / 2)).cast("bigint")})
+    rows = rows.join(ends, K).withColumns({"q": F.col("idx") % F.col("_wide"), "p": F.floor(F.col("idx") / F.col("_wide"))})
+    rows = rows.withColumn("_g", F.floor(F.col("q") / F.greatest(F.floor(F.lit(GROUP) / F.col("_high")), F.lit(1))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    both = f"{kinds}, n bigint, p bigint, q bigint, a_re double, a_im double"
+
+    def columns_first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of the samples with their chirp: place wide * p + q, all p of some q; p becomes the row's number."""
+        n = int(pdf["n"].iloc[0])
+        high, wide = _shape(n)
+        step = max(GROUP // high, 1)
+        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
+        place = pdf["idx"].to_numpy(np.int64)
+        held = np.zeros((len(which), high), complex)
+        held[pdf["q"].to_numpy(np.int64) - which[0], pdf["p"].to_numpy(np.int64)] = pdf["v"].to_numpy(float) * _chirp(place, n)
+        return _long(key[:-1], keys, which, np.arange(high), n, a=_columns(held, which, high * wide, -1)).rename(columns={"p": "q", "q": "p"})[[*keys, "n", "p", "q", "a_re", "a_im"]]
+
+    def chirp_columns(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """The same of the chirp that the samples are convolved with, from its formula."""
+        n = int(key[0])
+        high, wide = _shape(n)
+        m, step = high * wide, max(GROUP // high, 1)
+        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
+        place = np.arange(high)[None, :] * wide + which[:, None]
+        held = np.where((place < n) | (place > m - n), np.conj(_chirp(np.minimum(place, m - place), n)), 0)
+        return _long((), [], which, np.arange(high), n, b=_columns(held, which, m, -1)).rename(columns={"p": "q", "q": "p"})[["n", "p", "q", "b_re", "b_im"]]
+
+    def rows_then_back(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Some rows p: the forward transform at p + high * k, times the chirp's, and the first half of the inverse one, whose columns these are."""
+        n = int(pdf["n"].iloc[0])
+        high, wide = _shape(n)
+        step = max(GROUP // wide, 1)
+        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, high))
+        a, b = (np.fft.fft(_wide(pdf, "p", "q", which[0], (len(which), wide), (f"{x}_re", f"{x}_im")), axis=1) for x in "ab")
+        held = a * b
+        return _long(key[:-1], keys, which, np.arange(wide), n, a=_columns(held, which, high * wide, 1))[[*keys, "n", "p", "q", "a_re", "a_im"]]
+
+    def columns_last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Some q: the convolution at q + wide * k, with its chirp the spectrum there."""
+        n = int(pdf["n"].iloc[0])
+        high, wide = _shape(n)
+        step = max(GROUP // high, 1)
+        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
+        found = np.fft.ifft(_wide(pdf, "q", "p", which[0], (len(which), high), ("a_re", "a_im")), axis=1)
+        place = which[:, None] + wide * np.arange(high)[None, :]
+        kept = place <= n // 2
+        x = found[kept] * _chirp(place[kept], n)
+        out = {name: [part] * len(x) for name, part in zip(keys, key[:-1])}
+        return pd.DataFrame(out | {"n": np.full(len(x), n), "k": place[kept], "re": x.real, "im": x.imag})
+
+    by = lambda c, other: F.floor(F.col(c) / F.greatest(F.floor(F.lit(GROUP) / other), F.lit(1)))
+    n_bits = F.length(F.bin(F.greatest(2 * F.col("n") - 2, F.lit(1))))
+    wide, high = F.pow(F.lit(2), F.floor(n_bits / 2)), F.pow(F.lit(2), F.floor((n_bits + 1) / 2))
+    turned = rows.select(*keys, "n", "idx", "p", "q", "v", "_g").groupBy(*keys, "_g").applyInPandas(columns_first, both)
+    count = F.ceil(F.col("_wide") / F.greatest(F.floor(F.lit(GROUP) / F.col("_high")), F.lit(1)))
+    sizes = ends.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("_g")).distinct()
+    chirps = sizes.groupBy("n", "_g").applyInPandas(chirp_columns, "n bigint, p bigint, q bigint, b_re double, b_im double")
+    turned = turned.join(chirps, ["n", "p", "q"])
+    back = turned.withColumn("_g", by("p", wide)).groupBy(*keys, "_g").applyInPandas(rows_then_back, both)
+    return back.withColumn("_g", by("q", high)).groupBy(*keys, "_g").applyInPandas(columns_last, f"{kinds}, n bigint, k bigint, re double, im double")
+
+
+def series_band_rms(samples: DataFrame, period_us: float, low_hz: float, high_hz: float) -> DataFrame:
+    """n and RMS of the frequencies in [low, high] of each subchannel of whole series."""
+    rows = spectrum(samples).withColumn("_hz", F.col("k") / (F.col("n") * F.lit(period_us / 1e6)))
+    twice = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("n")), 1).otherwise(2)
+    power = F.when((F.col("_hz") >= low_hz) & (F.col("_hz") <= high_hz), (F.col("re") ** 2 + F.col("im") ** 2) * twice).otherwise(0.0)
+    return rows.groupBy(*K, "subchannel_id", "n").agg((F.sqrt(F.sum(power)) / F.col("n")).alias("rms"))

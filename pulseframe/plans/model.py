@@ -44,9 +44,14 @@ def samples(spark: SparkSession, sf_dir: str, *channels: str) -> DataFrame:
 
 def indexed(spark: SparkSession, sf_dir: str, *channels: str) -> DataFrame:
     """The same, written to the shared folder: for what reads them several times."""
-    rows, path = samples(spark, sf_dir, *channels), shared_path(spark, "indexed")
+    return written(samples(spark, sf_dir, *channels), "indexed")
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as written to the shared folder, for plans that use them several times."""
+    path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:

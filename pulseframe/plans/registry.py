@@ -60,7 +60,7 @@ def block_min_mean_max(spark, d):
 @query("""SELECT channel_id, subchannel_id, round(min(mn), 4) AS mn, round(median(av), 4) AS av, round(max(mx), 4) AS mx FROM b GROUP BY ALL
 UNION ALL SELECT channel_id, -1, round(min(mn), 4), round(avg(av), 4), round(max(mx), 4) FROM (SELECT channel_id, subchannel_id, min(mn) AS mn, median(av) AS av, max(mx) AS mx FROM b GROUP BY ALL) GROUP BY channel_id""")
 def range_min_mean_max(spark, d):
-    return stats.range_stats(model.stats(spark, d)).select("channel_id", F.coalesce("subchannel_id", F.lit(-1)).alias("subchannel_id"), r("mn"), r("av"), r("mx"))
+    return stats.range_stats(model.written(model.stats(spark, d), "stats")).select("channel_id", F.coalesce("subchannel_id", F.lit(-1)).alias("subchannel_id"), r("mn"), r("av"), r("mx"))
 
 
 @query("SELECT channel_id, subchannel_id, round(sum(av * n) / sum(n), 4) AS mean, sum(n)::BIGINT AS n FROM b GROUP BY ALL")
@@ -307,7 +307,7 @@ def validity_at(spark, d):
 (SELECT subchannel_id, median(av) AS median FROM b WHERE channel_id = 'view' GROUP BY ALL) m""")
 def mean_near(spark, d):
     p, s = _probes(spark, d)
-    return stats.mean_near(p, stats.block_stats(s)).select("probe", "subchannel_id", F.round("mean", 4).alias("mean"))
+    return stats.mean_near(p, model.written(stats.block_stats(s), "stats")).select("probe", "subchannel_id", F.round("mean", 4).alias("mean"))
 
 
 @query("SELECT channel_id, idx, round(a + idx * ((z - a) / (n - 1)), 1) AS t_us FROM s JOIN (SELECT channel_id, min(t_us) AS a, max(t_us) AS z, count(*) AS n FROM s GROUP BY ALL) USING (channel_id)")
@@ -363,7 +363,7 @@ def mean_removed(spark, d):
 
 @query("SELECT channel_id, idx, subchannel_id, round(v - m, 4) AS v FROM l JOIN (SELECT channel_id, subchannel_id, median(av) AS m FROM b GROUP BY ALL) USING (channel_id, subchannel_id)")
 def block_median_removed(spark, d):
-    return windows.remove_block_median(model.samples(spark, d), model.stats(spark, d), None).select("channel_id", "idx", "subchannel_id", r("v"))
+    return windows.remove_block_median(model.samples(spark, d), model.written(model.stats(spark, d), "stats"), None).select("channel_id", "idx", "subchannel_id", r("v"))
 
 
 # Times
@@ -545,6 +545,14 @@ def band_rms(spark, d):
     return spectrum.band_rms(s, 1e6, 0.01, 0.2, 1024).select("channel_id", "subchannel_id", "segment", "n", r("rms"))
 
 
+@query("""SELECT channel_id, subchannel_id, n, round(coalesce(sqrt(sum((re * re + im * im) * CASE WHEN 2 * k = n THEN 1 ELSE 2 END)) / n, 0), 4) AS rms FROM (
+  SELECT channel_id, subchannel_id, n, k, sum(v * cos(2 * pi() * (idx * k % n) / n)) AS re, sum(v * sin(2 * pi() * (idx * k % n) / n)) AS im
+  FROM (SELECT *, count(*) OVER (PARTITION BY channel_id, subchannel_id) AS n FROM l) LEFT JOIN (SELECT unnest(range(1, (SELECT count(*) FROM s))) AS k) ON k / n >= 0.1 AND k / n <= 0.12 GROUP BY ALL) GROUP BY channel_id, subchannel_id, n""")
+def series_band_rms(spark, d):
+    """Of whole series."""
+    return spectrum.series_band_rms(model.samples(spark, d), 1e6, 0.1, 0.12).select("channel_id", "subchannel_id", "n", r("rms"))
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     """The events of three recordings as a stream."""
     return _live(spark.readStream.schema(model.table(spark, d, "events").schema).parquet(f"{d}/events*"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators import asof, slices, stats, timebase, windows
+from pulseframe.operators import asof, slices, spectrum, stats, timebase, windows
 from pulseframe.plans import model
 from pulseframe.schema import K
 from pulseframe.sources import store
@@ -145,6 +145,18 @@ def test_digests_open_only_blocks_that_differ(spark):
     assert windows.digest_diff(*twice, ["id"], [F.col("id")], model.shared_path(spark, "differ")).count() > 0  # equal rows don't cancel
 
 
+@pytest.mark.parametrize("n", (1, 2, 3, 7, 64, 997, 4096, 30_030))
+def test_spectrum_of_a_whole_series(spark, monkeypatch, n):
+    monkeypatch.setattr(spectrum, "GROUP", 1 << 10)
+    v = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([("r", 0, "8", i, [float(x), float(i % 5)]) for i, x in enumerate(v)], f"{SHAPE}, idx bigint, raw array<double>")
+    got = spectrum.spectrum(rows).toPandas()
+    for s, x in ((0, v), (1, np.arange(n) % 5.0)):
+        own = got[got.subchannel_id == s].sort_values("k")
+        assert list(own.k) == list(range(n // 2 + 1)) and set(own.n) == {n}
+        assert np.allclose(own.re + 1j * own.im, np.fft.fft(x)[: n // 2 + 1], rtol=1e-9, atol=1e-9 * max(np.abs(x).sum(), 1))
+
+
 # Streams
 
 
