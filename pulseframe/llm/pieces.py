@@ -36,11 +36,11 @@ from .common import columns, table, texts, with_fields
 #: Vocabulary of the registered query; a parameter everywhere else.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers of each kind.
-MEMO = 100_000
+MEMO = 160_000
 #: Characters of a segment up to which it is remembered.
 REMEMBERED = 64
 #: Scores are whole numbers of this part, so that sums are exact and equal scores are equal wherever a text is cut.
-UNIT = 1 << 24
+UNIT = 1 << 18
 _WORST = -(1 << 200)
 
 
@@ -137,6 +137,22 @@ class StreamingViterbi:
                     out += self._bytes(ch)
         return out
 
+    def segment(self, text: str) -> tuple[int, ...]:
+        """feed and close of a text by itself. One that the window holds is settled by one pass; nothing of it needs to be kept."""
+        size = len(text)
+        if size > self.window or not self.known.issuperset(text):
+            return tuple(self.feed(text) + self.close())
+        score, back = [0] + [_WORST] * size, [0] * (size + 1)
+        for end, (n, own, piece) in self.automaton.iter(text):
+            if (s := score[end + 1 - n] + own) > score[end + 1]:
+                score[end + 1], back[end + 1] = s, piece
+        ids, pieces = (), self.pieces
+        while size:
+            n, own = pieces[back[size]]
+            ids = own + ids
+            size -= n
+        return ids
+
     def _known(self, more: str) -> list[int]:
         """Move on by the longest piece's length at a time."""
         out, step = [], self.window
@@ -203,7 +219,7 @@ class Encoder:
             def __missing__(self, segment: str) -> tuple[int, ...]:
                 ids = self.old.get(segment)
                 if ids is None:
-                    ids = tuple(search.feed(self.before + segment) + search.close())
+                    ids = search.segment(self.before + segment)
                 if len(segment) <= REMEMBERED:
                     if len(self) >= limit // 2:
                         self.old = dict(self)
