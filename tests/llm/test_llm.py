@@ -672,8 +672,8 @@ def test_links_equal_all_pairs(spark, limit):
 
 
 def test_simhash_equals_brute_force(spark, awkward, empty):
-    docs = table(spark, DATA, "documents").limit(400).collect()
-    rows = simhash.near_duplicates(spark.createDataFrame(docs)).collect()
+    docs = table(spark, DATA, "documents").collect()
+    rows = simhash.op8_simhash(spark, DATA).collect()
     fp = {r["doc_id"]: slow_fingerprint(r["text"]) for r in docs}
     label = slow_components(list(fp.values()))
     least = {}
