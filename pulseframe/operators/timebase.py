@@ -23,7 +23,8 @@ def time_bounds(samples: DataFrame, keys: list[str] = K) -> DataFrame:
     """
     steps = [i / QUANTILES for i in range(1, QUANTILES)]
     per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("t_us", steps, 10 * QUANTILES).alias("_q"))
-    per = per.withColumn("_rows", F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.sum("_n").over(Window.partitionBy(F.lit(0))) / MOST_BUCKETS)))  # a row per series
+    cut = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BUCKET_ROWS).agg(F.sum("_n").alias("_all"))
+    per = per.where(F.col("_n") > BUCKET_ROWS).join(F.broadcast(cut)).withColumn("_rows", F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("_all") / MOST_BUCKETS)))  # cut is one row
     buckets = F.least(F.ceil(F.col("_n") / F.col("_rows")), F.lit(QUANTILES)).cast("int")
     picked = F.transform(F.sequence(F.lit(1), buckets - 1), lambda i: F.get("_q", F.floor(i * QUANTILES / buckets).cast("int") - 1))
     return per.where((F.col("_n") > F.col("_rows")) & F.col("_q").isNotNull()).select(*keys, F.array_distinct(picked).alias("_bounds"))
