@@ -42,7 +42,7 @@ def _entries(excluded: tuple[str, ...], depth: int):
 
 
 def listed(spark: SparkSession, path: str, scratch: str, max_depth: int | None = None, excluded: tuple[str, ...] = (".git", ".svn")) -> DataFrame:
-    """Files and folders under a folder with their depth, level by level: the folders of a level are dealt out and listed in tasks.
+    """Files and folders under a folder with their depth, level by level: the folders of a level are dealt out and listed in tasks, through Arrow's file systems.
 
     Hidden and excluded folders, and those below max_depth, are never entered. Each level is written under scratch, a shared folder.
     """
