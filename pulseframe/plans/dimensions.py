@@ -334,6 +334,12 @@ def last_sessions(spark, d):
     return recordings.last_session(_sessions(spark, d)).select("recording_id", "event_id")
 
 
+@query("SELECT channel_id AS recording_id, event_id FROM s WHERE user_id % 5 = 3")
+def chosen_sessions(spark, d):
+    """Session 3 of every recording, which all of them have."""
+    return recordings.session(_sessions(spark, d), 3).select("recording_id", "event_id")
+
+
 @query("SELECT s_suppkey, row_number() OVER w AS place, (u - min(u) OVER (PARTITION BY s_nationkey)) * 1000000 AS offset_us FROM (SELECT *, floor(s_acctbal)::BIGINT AS u FROM supplier) WINDOW w AS (PARTITION BY s_nationkey ORDER BY u, s_suppkey)", plain=True)
 def merge_places(spark, d):
     recs = model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("recording_id"), "s_nationkey", F.floor("s_acctbal").cast("bigint").alias("utc_start_s"))

@@ -128,3 +128,12 @@ def last_session(rows: DataFrame) -> DataFrame:
     """Rows of each recording's last session."""
     last = rows.groupBy("recording_id").agg(F.max("session_id").alias("session_id"))
     return rows.join(last, ["recording_id", "session_id"], "left_semi")
+
+
+def session(rows: DataFrame, number: int) -> DataFrame:
+    """Rows of one session; a recording that doesn't have it raises an error. No recordings give no rows."""
+    found = rows.groupBy("recording_id").agg(F.bool_or(F.col("session_id") == number).alias("_has"))
+    lacks = F.concat(F.lit(f"there is no session {number} in recording "), F.coalesce(F.col("recording_id").cast("string"), F.lit("null")))
+    checked = found.withColumn("_has", F.when(F.coalesce("_has", F.lit(False)), True).otherwise(F.raise_error(lacks).cast("boolean")))
+    both = rows.where(F.col("session_id") == number).alias("_l").join(checked.alias("_r"), F.col("_l.recording_id").eqNullSafe(F.col("_r.recording_id")), "right")
+    return both.where("_has").select("_l.*")

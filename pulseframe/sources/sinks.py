@@ -50,9 +50,18 @@ def export_csv(rows: DataFrame, path: str, delimiter: str = ", ", headers: bool
     return seen.get["n"]
 
 
-def export_arrays(samples: DataFrame, sidecars: dict[str, DataFrame], path: str, rows_per_file: int = 5_000_000) -> None:
-    """Samples in files of bounded length, and each metadata table (names, calibration, recorder, ...) beside them."""
-    samples.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{path}/samples")
+#: Bytes that an array file's values may take. Fixed value: what a MAT file of version 5 holds, less a twentieth.
+ARRAY_BYTES = (2**31 - 9) * 95 // 100
+
+
+def export_arrays(samples: DataFrame, sidecars: dict[str, DataFrame], path: str, rows_per_file: int = 5_000_000, bytes_per_file: int = ARRAY_BYTES) -> None:
+    """Samples in files of bounded length, and each metadata table (names, calibration, recorder, ...) beside them.
+
+    A file has so many rows at most, and no more than fit as arrays of doubles: a time and the values of the widest sample in each row.
+    """
+    widest = samples.agg(F.max(F.size("raw"))).first()[0] or 0
+    rows = max(min(rows_per_file, bytes_per_file // (8 * (1 + max(widest, 0)))), 1)
+    samples.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(f"{path}/samples")
     for name, table in sidecars.items():
         table.write.mode("overwrite").parquet(f"{path}/{sanitise(name)}")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.operators import asof, slices, spectrum, stats, timebase, windows
 from pulseframe.plans import model
 from pulseframe.schema import K
-from pulseframe.sources import store
+from pulseframe.sources import recordings, sinks, store
 from pulseframe.streaming import live
 
 from .test_operators import key, ticks_by_loop
@@ -157,6 +157,21 @@ def test_spectrum_of_a_whole_series(spark, monkeypatch, n):
         assert np.allclose(own.re + 1j * own.im, np.fft.fft(x)[: n // 2 + 1], rtol=1e-9, atol=1e-9 * max(np.abs(x).sum(), 1))
 
 
+def test_a_session_that_is_missing_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("b", 1, 3), (None, 1, 4)], "recording_id string, session_id int, v int")
+    assert sorted(r["v"] for r in recordings.session(rows, 1).collect()) == [2, 3, 4]
+    assert recordings.session(rows.limit(0), 1).count() == 0
+    with pytest.raises(Exception, match="no session 0 in recording"):
+        recordings.session(rows, 0).collect()
+
+
+def test_array_files_are_bounded_by_bytes(spark, tmp_path):
+    samples = spark.range(1000).coalesce(1).select(*key(), F.col("id").alias("idx"), F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("raw"))
+    sinks.export_arrays(samples, {}, str(tmp_path), bytes_per_file=32 * 300)
+    sizes = sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "samples")).groupBy(F.input_file_name()).count().collect())
+    assert sizes == [100, 300, 300, 300]
+
+
 # Streams
 
 
