@@ -5,10 +5,12 @@ part of the residual that is parallel to the vector more than the rest, because
 inner products. A coarse partition deals the vectors to cells, each cell to blocks of bounded size. A block with its codes and
 vectors stays where it is, and the queries that look into its cell stream past: a scan adds up table entries, two codes to a
 look-up, and the best of each query are compared at once by exact cosines of the original vectors in double precision, so that a
-block passes on k rows a query.
+block passes on k rows a query. Where codes can't tell vectors apart (tight clusters, a common offset), the shortlist may lack near ones: an exact check
+follows, of all vectors whose sum of table entries and own coding error, which bounds the cosine, reach the k-th best of the shortlist. So a
+query misses none in the cells that it looks into.
 
 Codebooks and centroids are fitted on a bounded sample (SAMPLE_BYTES); every vector is coded. How many cells a query looks into
-is fitted, too: so many that PROBED of the pairs of near neighbours in the sample are found. Near neighbours in the sample are
+is fitted, too: so many that PROBED of the pairs of near neighbours in the sample, and of those of a sample of the queries with it, are found. Near neighbours in the sample are
 further apart than those among all vectors, so this errs to the safe side.
 
 Copies: of equal vectors the k + 1 smallest distinct ids are candidates, each with at most k of its rows, since others can't be among the k
@@ -37,6 +39,8 @@ from .common import materialise, table
 
 #: Bytes of the vectors that codebooks and centroids are fitted on, at most; chosen by the hash of their ids.
 SAMPLE_BYTES = 10_240_000
+#: Queries whose near neighbours in the sample are looked for, to fit the number of cells.
+QUERY_SAMPLE = 512
 #: Candidates of a query in a block that are compared exactly.
 SHORTLIST = 256
 #: Vectors of a cell, on average, and bytes of the vectors of a block.
@@ -47,9 +51,13 @@ TO_A_CENTROID = 16
 PROBED = 0.98
 #: Bytes of the tables, and number of codes, that are worked on at once.
 TABLE_BYTES, CHUNK = 16 << 20, 2048
+#: Bytes of the sums of a block that are kept for the exact check.
+SUM_BYTES = 64 << 20
 #: Cosine from which inner products matter; sets the weight of the parallel residual.
 THRESHOLD = 0.2
 CENTRES, ROUNDS, PASSES = 16, 8, 2
+#: Table entries are whole numbers of this part of one.
+SCALE = 1 << 14
 RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -94,13 +102,18 @@ class Quantiser:
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
         return codes[:, 0::2] << 4 | codes[:, 1::2]
 
+    def errors(self, unit: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Distance of each unit vector from what its codes stand for."""
+        codes = np.stack([packed >> 4, packed & 15], 2).reshape(len(packed), -1)[:, : len(self.centres)]
+        return np.sqrt(sum(((x - c[codes[:, m]]) ** 2).sum(1) for m, (x, c) in enumerate(zip(self.split(unit).swapaxes(0, 1), self.centres.astype(np.float64)))))
+
     def tables(self, unit: np.ndarray) -> np.ndarray:
         """Integer inner products of queries with the centres of two subspaces each: queries x pairs x 256."""
         one = np.einsum("qmd,mkd->qmk", self.split(unit.astype(np.float32)), self.centres)
         if one.shape[1] % 2:
             one = np.pad(one, ((0, 0), (0, 1), (0, 0)))
         two = one[:, 0::2, :, None] + one[:, 1::2, None, :]
-        return np.rint(two.reshape(len(unit), two.shape[1], -1) * (1 << 14)).astype(np.int32)
+        return np.rint(two.reshape(len(unit), two.shape[1], -1) * SCALE).astype(np.int32)
 
 
 def fit(unit: np.ndarray, threshold: float = THRESHOLD, seed: int = 7) -> Quantiser:
@@ -144,8 +157,8 @@ class Coarse:
         return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, :n]
 
 
-def partition(unit: np.ndarray, cells: int, k: int = 5, seed: int = 11) -> Coarse:
-    """Spherical k-means, and as many probes as find PROBED of the pairs of near neighbours in the sample."""
+def partition(unit: np.ndarray, cells: int, k: int = 5, seed: int = 11, queries: np.ndarray | None = None) -> Coarse:
+    """Spherical k-means, and as many probes as find PROBED of the pairs of near neighbours in the sample, and of those of queries (unit vectors) with it."""
     cells = max(1, min(cells, len(unit) // TO_A_CENTROID))
     rng = np.random.default_rng(seed)
     coarse = Coarse(unit[rng.choice(len(unit), cells, replace=False)])
@@ -156,13 +169,15 @@ def partition(unit: np.ndarray, cells: int, k: int = 5, seed: int = 11) -> Coars
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         coarse.centroids = np.where(size > 0, sums / np.maximum(size, 1e-300), coarse.centroids)
     if cells > 1:
-        own, asked = coarse.closest(unit)[:, 0], rng.choice(len(unit), min(512, len(unit)), replace=False)
-        near = unit[asked] @ unit.T
-        near[np.arange(len(asked)), asked] = -2
-        near = np.argpartition(-near, min(k, len(unit) - 2), axis=1)[:, :k]
-        order = coarse.closest(unit[asked], cells)
-        place = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], own[near]]
-        coarse.probes = int(np.quantile(place, PROBED, method="higher")) + 1
+        own = coarse.closest(unit)[:, 0]
+        for asked in (unit[rng.choice(len(unit), min(512, len(unit)), replace=False)], queries):
+            if asked is None or not len(asked):
+                continue
+            near = asked @ unit.T
+            near[near > 1 - 1e-12] = -2  # the vector itself
+            near = np.argpartition(-near, min(k, len(unit) - 2), axis=1)[:, :k]
+            place = np.argsort(coarse.closest(asked, cells), axis=1)[np.arange(len(asked))[:, None], own[near]]
+            coarse.probes = max(coarse.probes, int(np.quantile(place, PROBED, method="higher")) + 1)
     return coarse
 
 
@@ -196,36 +211,70 @@ class Block:
     def __init__(self, quantiser: Quantiser, ids: np.ndarray, v: np.ndarray, norm: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that of equal sums the smaller id goes first
         self.quantiser, self.ids, self.v, self.norm = quantiser, ids[order], v[order], norm[order]
-        self.code = np.concatenate([quantiser.packed(_unit(self.v[i : i + CHUNK])) for i in range(0, len(ids), CHUNK)])
+        parts = [slice(i, i + CHUNK) for i in range(0, len(ids), CHUNK)]
+        self.code = np.concatenate([quantiser.packed(_unit(self.v[i])) for i in parts])
+        self.error = np.concatenate([quantiser.errors(_unit(self.v[i]), self.code[i]) for i in parts])
 
     def ask(self, own: np.ndarray, row: np.ndarray, v: np.ndarray, norm: np.ndarray, k: int, shortlist: int) -> Iterator[pa.RecordBatch]:
-        """The k best of each query by exact cosines of a shortlist that the codes choose."""
-        step = max(16, min(1024, TABLE_BYTES // (self.code.shape[1] * 1024)))
+        """The k best of each query by exact cosines: of a shortlist that the codes choose, then of all whose bound reaches the shortlist's k-th."""
+        step = max(16, min(1024, TABLE_BYTES // (self.code.shape[1] * 1024), SUM_BYTES // (4 * len(self.ids))))
         for q in range(0, len(own), step):
             part = slice(q, q + step)
-            tables = self.quantiser.tables(_unit(v[part]))
-            best = np.empty((len(tables), 0), np.int64)
+            unit = _unit(v[part])
+            tables = self.quantiser.tables(unit)
+            best, sums = np.empty((len(tables), 0), np.int64), np.empty((len(tables), len(self.ids)), np.int32)
             for c in range(0, len(self.ids), CHUNK):
                 at = self.code[c : c + CHUNK]
                 total = np.zeros((len(tables), len(at)), np.int64)
                 for m in range(at.shape[1]):
                     total += np.take(tables[:, m], at[:, m], axis=1)
+                sums[:, c : c + CHUNK] = total
                 total = (total << 32) | (len(self.ids) - 1 - (c + np.arange(len(at))))  # no ties
                 total[own[part, None] == self.ids[None, c : c + CHUNK]] = np.iinfo(np.int64).min
                 best = np.concatenate([best, total], 1)
                 if best.shape[1] > shortlist:
                     best = np.partition(best, best.shape[1] - shortlist, axis=1)[:, -shortlist:]
-            place = len(self.ids) - 1 - (best & ((1 << 32) - 1))
-            known = best != np.iinfo(np.int64).min
-            place[~known] = 0
-            score = np.zeros(place.shape)
-            for d in range(v.shape[1]):  # component by component, so that equal vectors have equal sums
-                score += v[part, d, None] * self.v[place, d]
-            score = np.where(known, score / (norm[part, None] * self.norm[place]), -np.inf)
-            order = np.lexsort((self.ids[place], -score), axis=1)[:, :k]
-            who, at = np.nonzero(np.take_along_axis(known, order, 1))
-            at = order[who, at]
-            yield pa.RecordBatch.from_arrays([own[part][who], row[part][who], self.ids[place[who, at]], score[who, at]], schema=FOUND)
+            who, at = np.nonzero(best != np.iinfo(np.int64).min)
+            who, at, score = self.top(who, len(self.ids) - 1 - (best[who, at] & ((1 << 32) - 1)), v[part], norm[part], k)
+            if len(self.ids) > shortlist:
+                who, at, score = self.check(who, at, score, unit, sums, own[part], v[part], norm[part], k)
+            yield pa.RecordBatch.from_arrays([own[part][who], row[part][who], self.ids[at], score], schema=FOUND)
+
+    def top(self, who: np.ndarray, at: np.ndarray, v: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query among pairs of a query and a place, with their cosines."""
+        score = np.zeros(len(at))
+        for d in range(v.shape[1]):  # component by component, so that equal vectors have equal sums
+            score += v[who, d] * self.v[at, d]
+        return self.first(who, at, score / (norm[who] * self.norm[at]), k)
+
+    def first(self, who: np.ndarray, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((self.ids[at], -score, who))
+        who, at, score = who[order], at[order], score[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[kept], at[kept], score[kept]
+
+    def check(self, who: np.ndarray, at: np.ndarray, score: np.ndarray, unit: np.ndarray, sums: np.ndarray, own: np.ndarray, v: np.ndarray, norm: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query in the block, of those that the codes can't rule out; who, at and score are the shortlist's."""
+        slack = (self.code.shape[1] / 2 + 1) / SCALE + 1e-5  # of whole numbers and single precision in the tables
+        found = who[:0], at[:0], score[:0]
+        reach = np.full(len(unit), -np.inf)
+        last = np.bincount(who, minlength=len(unit)).cumsum() - 1
+        full = np.bincount(who, minlength=len(unit)) == k
+        reach[full] = score[last[full]]
+        for c in range(0, len(self.ids), CHUNK):
+            part = slice(c, c + CHUNK)
+            open_ = (sums[:, part] / SCALE + self.error[part] + slack >= reach[:, None]) & (own[:, None] != self.ids[None, part])
+            rows, cols = open_.any(1).nonzero()[0], open_.any(0).nonzero()[0]
+            if not len(rows):
+                continue
+            near = unit[rows] @ _unit(self.v[c + cols]).T
+            i, j = np.nonzero(open_[np.ix_(rows, cols)] & (near >= reach[rows, None] - 1e-9))
+            new = self.top(rows[i], c + cols[j], v, norm, k)
+            found = self.first(*map(np.concatenate, zip(found, new)), k)
+            full = np.bincount(found[0], minlength=len(unit)) == k
+            last = np.bincount(found[0], minlength=len(unit)).cumsum() - 1
+            reach[full] = np.maximum(reach[full], found[2][last[full]])
+        return found
 
 
 def _scan(quantiser: Quantiser, k: int, shortlist: int):
@@ -265,7 +314,8 @@ def _nearest(rows: DataFrame, is_query: Column, k: int, shortlist: int, cell: in
     same = Window.partitionBy("v").orderBy("vec_id")
     candidates = rows.withColumn("time", F.row_number().over(again)).where(F.col("time") <= k).withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1).drop("time", "place")
     quantiser = fit(unit)
-    coarse = partition(unit, -(-rows.count() // cell), k)
+    asked = rows.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(QUERY_SAMPLE).select("v").toPandas()["v"]
+    coarse = partition(unit, -(-rows.count() // cell), k, queries=_unit(_matrix(asked)) if len(asked) else None)
 
     def dealt(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -865,3 +865,22 @@ def test_components_of_a_path(spark):
 def test_materialise_keeps_schema_of_nothing(spark):
     df = spark.range(0).select(F.col("id"), F.lit("x").alias("s"))
     assert materialise(df, "none").count() == 0 and json.loads(materialise(df, "none").schema.json())["fields"][1]["name"] == "s"
+
+
+@pytest.mark.parametrize("kind", ("tight", "offset", "near copies"))
+def test_nearest_where_codes_cannot_tell(spark, kind):
+    """Tight clusters, a common offset and near copies of one vector: all share their codes, and none of the five nearest may be missed."""
+    rng = np.random.default_rng(4)
+    n, d = 3000, 16
+    x = {"tight": rng.normal(size=(3, d))[rng.integers(0, 3, n)] + 0.01 * rng.normal(size=(n, d)), "offset": rng.normal(size=(n, d)) + 30,
+         "near copies": np.r_[rng.normal(size=(1000, d)), rng.normal(size=(1, d)) + 1e-3 * rng.normal(size=(n - 1000, d))]}[kind]
+    x = rng.permutation(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(rows, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    for q in range(0, n, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        assert set(got[q]) == set(np.argsort(-near, kind="stable")[:5].tolist()), q
