@@ -20,6 +20,9 @@ def time_bounds(samples: DataFrame, keys: list[str] = K) -> DataFrame:
 
     The bounds come from a mergeable quantile sketch, so bursts are cut as finely as they are dense. A bucket has BUCKET_ROWS samples, or
     a MOST_BUCKETS-th of all where that is more, or a QUANTILES-th of its series: so there are MOST_BUCKETS bounds at most, which may be broadcast.
+
+    What a sketch gives depends on the order in which its parts meet, so another evaluation may give other bounds. They are taken once, when this is called: all
+    uses of the buckets in a plan, which it may well evaluate by themselves, have the same ones.
     """
     steps = [i / QUANTILES for i in range(1, QUANTILES)]
     per = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("t_us", steps, 10 * QUANTILES).alias("_q"))
@@ -27,7 +30,8 @@ def time_bounds(samples: DataFrame, keys: list[str] = K) -> DataFrame:
     per = per.where(F.col("_n") > BUCKET_ROWS).join(F.broadcast(cut)).withColumn("_rows", F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("_all") / MOST_BUCKETS)))  # cut is one row
     buckets = F.least(F.ceil(F.col("_n") / F.col("_rows")), F.lit(QUANTILES)).cast("int")
     picked = F.transform(F.sequence(F.lit(1), buckets - 1), lambda i: F.get("_q", F.floor(i * QUANTILES / buckets).cast("int") - 1))
-    return per.where((F.col("_n") > F.col("_rows")) & F.col("_q").isNotNull()).select(*keys, F.array_distinct(picked).alias("_bounds"))
+    bounds = per.where((F.col("_n") > F.col("_rows")) & F.col("_q").isNotNull()).select(*keys, F.array_distinct(picked).alias("_bounds"))
+    return samples.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
 
 
 def time_buckets(rows: DataFrame, samples: DataFrame, keys: list[str] = K, name: str = "_b") -> DataFrame:

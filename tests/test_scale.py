@@ -45,6 +45,15 @@ def test_burst_is_cut_into_even_buckets(spark, burst, monkeypatch):
         assert r["idx"] == (at + 1 if at == len(times) - 1 else at)
 
 
+def test_buckets_are_cut_once(spark, burst, monkeypatch):
+    """A sketch may give other bounds each time, and a plan may evaluate it once for each use: sample numbers are right even so."""
+    monkeypatch.setattr(timebase, "BUCKET_ROWS", 10_000)
+    indexed = timebase.add_index(burst, "id")
+    assert "percentile_approx" not in indexed._jdf.queryExecution().optimizedPlan().toString()
+    got = indexed.where("channel_id = '8'").agg(F.min("idx"), F.max("idx"), F.countDistinct("idx")).first()
+    assert tuple(got) == (0, 199_999, 200_000)
+
+
 def test_times_outside_the_bounds(spark, burst, monkeypatch):
     monkeypatch.setattr(timebase, "BUCKET_ROWS", 10_000)
     ends = spark.createDataFrame([("r", 0, "8", -1e18), ("r", 0, "8", 1e18), ("r", 0, "8", None), ("r", 0, "none", 1.0)], f"{SHAPE}, t_us double")
