@@ -127,7 +127,7 @@ def time_range(spark, d):
 def _store(spark, d) -> store.Store:
     """All samples, written by series and run of blocks."""
     rows, path = model.samples(spark, d), model.shared_path(spark, "store")
-    store.write_store(rows, path, 4)
+    store.write_store(rows, path)
     return store.Store(spark, path, rows.schema)
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseframe.operators import asof, slices, spectrum, stats, timebase, windows
-from pulseframe.plans import model
+from pulseframe.plans import model, registry
 from pulseframe.schema import K
 from pulseframe.sources import recordings, sinks, store
 from pulseframe.streaming import live
 
+from .conftest import DATA
 from .test_operators import key, ticks_by_loop
 
 SHAPE = "recording_id string, session_id int, channel_id string"
@@ -109,6 +110,12 @@ def test_store_reads_only_the_files_of_its_blocks(spark):
     assert max(files(kept.of_blocks(kept.blocks.where("start_us < 12000000 and end_us > 10000000")))) <= 2
 
 
+def test_registered_store_has_no_tiny_files(spark):
+    """A file a series, as none has more blocks than one file takes."""
+    kept = registry._store(spark, DATA)
+    assert len(kept.samples.inputFiles()) == kept.samples.select(*K).distinct().count() == 5
+
+
 def test_sliding_medians_equal_a_window(spark, monkeypatch):
     monkeypatch.setattr(stats, "SLIDING_ROWS", 40)
     rng = random.Random(3)
