@@ -3,13 +3,15 @@
 A whole series of any length n is transformed as a convolution with a chirp, on a circle of m = rows x columns places, a power of two of at least 2 n - 1. Each of the two
 transforms that this takes goes over the columns of the circle, written as a matrix, and then over its rows; between the two, numbers are turned by their twiddle factors. The
 forward one's rows are the inverse one's columns, so series are shuffled by columns, to the chirp, by rows and by columns again. A task holds a few columns or rows, of about
-the square root of m numbers each; the chirp is made from its formula, once for all series of a length, and joined. Nothing of a series meets in one place.
+the square root of m numbers each; what a group of columns hands to a group of rows, or back, is one row of a table, a tile. The chirp is made from its formula, once for all
+series of a length, and joined tile by tile. Nothing of a series meets in one place.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def band_rms(samples: DataFrame, period_us: float, low_hz: float, high_hz: float
     return rows.groupBy(*K, "subchannel_id", "segment").applyInPandas(one, schema)
 
 
-#: Numbers of a group of columns or rows that go to a task, at least one of them.
+#: Numbers of a group of columns or rows that go to a task, at least one of them; a power of two.
 GROUP = 1 << 16
 
 
@@ -42,6 +44,12 @@ def _shape(n: int) -> tuple[int, int]:
     return 1 << (bits + 1) // 2, 1 << bits // 2
 
 
+def _steps(n: int, group: int) -> tuple[int, int]:
+    """Rows and columns of a tile: how many of either are a group."""
+    high, wide = _shape(n)
+    return min(max(group // wide, 1), high), min(max(group // high, 1), wide)
+
+
 def _chirp(j: np.ndarray, n: int) -> np.ndarray:
     """exp(-i pi j j / n); the square is reduced in whole numbers, so large places lose nothing."""
     j = j % (2 * n)
@@ -58,19 +66,28 @@ def _columns(values: np.ndarray, which: np.ndarray, m: int, sign: int) -> np.nda
     return found * _turn(which, np.arange(values.shape[1]), m, sign)
 
 
-def _wide(pdf: pd.DataFrame, group: str, at: str, first: int, size: tuple[int, int], names: tuple[str, str]) -> np.ndarray:
-    out = np.zeros(size, complex)
-    out[pdf[group].to_numpy(np.int64) - first, pdf[at].to_numpy(np.int64)] = pdf[names[0]].to_numpy(float) + 1j * pdf[names[1]].to_numpy(float)
-    return out
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+
+
+def _table(names: list[str], key: tuple, count: int, **columns: pa.Array) -> pa.Table:
+    """count rows with the same key."""
+    return pa.table({name: pa.array([x.as_py()] * count, x.type) for name, x in zip(names, key)} | columns)
 
 
-def _long(keys: tuple, names: list[str], first: np.ndarray, second: np.ndarray, n: int, **values: np.ndarray) -> pd.DataFrame:
-    """first and second: the places of the rows and columns of the values."""
-    out = {name: np.full(len(first) * len(second), key) if isinstance(key, (int, np.integer)) else [key] * (len(first) * len(second)) for name, key in zip(names, keys)}
-    out |= {"n": np.full(len(first) * len(second), n), "p": np.repeat(first, len(second)), "q": np.tile(second, len(first))}
-    for name, v in values.items():
-        out |= {f"{name}_re": v.real.ravel(), f"{name}_im": v.imag.ravel()}
-    return pd.DataFrame(out)
+def _cut(names: list[str], key: tuple, values: np.ndarray, step: int, across: str, kind: str) -> pa.Table:
+    """Tiles of a group: values has a row for each of its columns or rows, which is cut into runs of step; across is the number of the run."""
+    count = values.shape[1] // step
+    tiles = values.reshape(len(values), count, step).transpose(1, 0, 2).reshape(count, -1)
+    return _table(names, key, count, **{across: pa.array(np.arange(count)), f"{kind}_re": _lists(tiles.real), f"{kind}_im": _lists(tiles.imag)})
+
+
+def _laid(table: pa.Table, step: int, across: str, kind: str) -> np.ndarray:
+    """The tiles that meet in a group, all there are, as a row for each of its step columns or rows."""
+    order = np.argsort(table[across].to_numpy())
+    re, im = (table[f"{kind}_{part}"].combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order] for part in ("re", "im"))
+    return (re + 1j * im).reshape(len(order), -1, step).transpose(2, 0, 1).reshape(step, -1)
 
 
 def spectrum(samples: DataFrame) -> DataFrame:
@@ -78,70 +95,68 @@ def spectrum(samples: DataFrame) -> DataFrame:
 
     Null values count as 0. A series whose idx has holes has zeros there.
     """
-    keys = [*K, "subchannel_id"]
-    rows = long_form(samples).select(*keys, "idx", F.coalesce("v", F.lit(0.0)).alias("v"))
-    ends = samples.groupBy(*K).agg((F.max("idx") + 1).alias("n"))
+    keys, group = [*K, "subchannel_id"], GROUP
+    ends = samples.groupBy(*K).agg((F.max("idx") + 1).cast("bigint").alias("n"), F.max(F.size("raw")).alias("_subs")).where("_subs > 0")
     bits = F.length(F.bin(F.greatest(2 * F.col("n") - 2, F.lit(1))))
-    ends = ends.withColumns({"_wide": F.pow(F.lit(2), F.floor(bits / 2)).cast("bigint"), "_high": F.pow(F.lit(2), F.floor((bits + 1) / 2)).cast("bigint")})
-    rows = rows.join(ends, K).withColumns({"q": F.col("idx") % F.col("_wide"), "p": F.floor(F.col("idx") / F.col("_wide"))})
-    rows = rows.withColumn("_g", F.floor(F.col("q") / F.greatest(F.floor(F.lit(GROUP) / F.col("_high")), F.lit(1))))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    both = f"{kinds}, n bigint, p bigint, q bigint, a_re double, a_im double"
-
-    def columns_first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of the samples with their chirp: place wide * p + q, all p of some q; p becomes the row's number."""
-        n = int(pdf["n"].iloc[0])
-        high, wide = _shape(n)
-        step = max(GROUP // high, 1)
-        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
-        place = pdf["idx"].to_numpy(np.int64)
-        held = np.zeros((len(which), high), complex)
-        held[pdf["q"].to_numpy(np.int64) - which[0], pdf["p"].to_numpy(np.int64)] = pdf["v"].to_numpy(float) * _chirp(place, n)
-        return _long(key[:-1], keys, which, np.arange(high), n, a=_columns(held, which, high * wide, -1)).rename(columns={"p": "q", "q": "p"})[[*keys, "n", "p", "q", "a_re", "a_im"]]
-
-    def chirp_columns(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    wide, high = F.pow(F.lit(2), F.floor(bits / 2)).cast("bigint"), F.pow(F.lit(2), F.floor((bits + 1) / 2)).cast("bigint")
+    step = F.least(F.greatest(F.floor(F.lit(group) / high), F.lit(1)), wide)
+    ends = ends.withColumns({"_wide": wide, "_step": step, "_groups": F.sequence(F.lit(0).cast("bigint"), F.floor(wide / step) - 1)})
+    rows = samples.select(*K, "idx", "raw").join(ends, K)
+    # the last sample goes to all groups of columns, so that none is without a row where idx has holes
+    at = F.when(F.col("idx") == F.col("n") - 1, F.col("_groups")).otherwise(F.array(F.floor(F.col("idx") % F.col("_wide") / F.col("_step"))))
+    full = F.transform(F.array_repeat(F.lit(0), F.col("_subs")), lambda _, i: F.get("raw", i).cast("double"))
+    rows = long_form(rows.select(*K, "n", F.col("idx").cast("bigint").alias("idx"), F.explode(at).alias("c"), full.alias("raw")))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", n bigint"
+
+    def columns_first(key: tuple, table: pa.Table) -> pa.Table:
+        """Of the samples with their chirp: place wide * p + q, all p of some q."""
+        n, c = (x.as_py() for x in key[-2:])
+        (high, wide), (rows, columns) = _shape(n), _steps(n, group)
+        place, v = table["idx"].to_numpy(), table["v"].fill_null(0.0).to_numpy()
+        own = place % wide // columns == c
+        place, v = place[own], v[own]
+        held = np.zeros((columns, high), complex)
+        held[place % wide - c * columns, place // wide] = v * _chirp(place, n)
+        which = np.arange(c * columns, (c + 1) * columns)
+        return _cut([*keys, "n", "c"], key, _columns(held, which, high * wide, -1), rows, "r", "a")
+
+    def chirp_columns(key: tuple, table: pa.Table) -> pa.Table:
         """The same of the chirp that the samples are convolved with, from its formula."""
-        n = int(key[0])
-        high, wide = _shape(n)
-        m, step = high * wide, max(GROUP // high, 1)
-        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
+        n, c = (x.as_py() for x in key)
+        (high, wide), (rows, columns) = _shape(n), _steps(n, group)
+        m, which = high * wide, np.arange(c * columns, (c + 1) * columns)
         place = np.arange(high)[None, :] * wide + which[:, None]
         held = np.where((place < n) | (place > m - n), np.conj(_chirp(np.minimum(place, m - place), n)), 0)
-        return _long((), [], which, np.arange(high), n, b=_columns(held, which, m, -1)).rename(columns={"p": "q", "q": "p"})[["n", "p", "q", "b_re", "b_im"]]
+        return _cut(["n", "c"], key, _columns(held, which, m, -1), rows, "r", "b")
 
-    def rows_then_back(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows_then_back(key: tuple, table: pa.Table) -> pa.Table:
         """Some rows p: the forward transform at p + high * k, times the chirp's, and the first half of the inverse one, whose columns these are."""
-        n = int(pdf["n"].iloc[0])
-        high, wide = _shape(n)
-        step = max(GROUP // wide, 1)
-        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, high))
-        a, b = (np.fft.fft(_wide(pdf, "p", "q", which[0], (len(which), wide), (f"{x}_re", f"{x}_im")), axis=1) for x in "ab")
-        held = a * b
-        return _long(key[:-1], keys, which, np.arange(wide), n, a=_columns(held, which, high * wide, 1))[[*keys, "n", "p", "q", "a_re", "a_im"]]
-
-    def columns_last(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, r = (x.as_py() for x in key[-2:])
+        (high, wide), (rows, columns) = _shape(n), _steps(n, group)
+        a, b = (np.fft.fft(_laid(table, rows, "c", x), axis=1) for x in "ab")
+        which = np.arange(r * rows, (r + 1) * rows)
+        return _cut([*keys, "n", "r"], key, _columns(a * b, which, high * wide, 1), columns, "c", "a")
+
+    def columns_last(key: tuple, table: pa.Table) -> pa.Table:
         """Some q: the convolution at q + wide * k, with its chirp the spectrum there."""
-        n = int(pdf["n"].iloc[0])
-        high, wide = _shape(n)
-        step = max(GROUP // high, 1)
-        which = np.arange(key[-1] * step, min((key[-1] + 1) * step, wide))
-        found = np.fft.ifft(_wide(pdf, "q", "p", which[0], (len(which), high), ("a_re", "a_im")), axis=1)
-        place = which[:, None] + wide * np.arange(high)[None, :]
+        n, c = (x.as_py() for x in key[-2:])
+        (high, wide), (_, columns) = _shape(n), _steps(n, group)
+        found = np.fft.ifft(_laid(table, columns, "r", "a"), axis=1)
+        place = np.arange(c * columns, (c + 1) * columns)[:, None] + wide * np.arange(high)[None, :]
         kept = place <= n // 2
-        x = found[kept] * _chirp(place[kept], n)
-        out = {name: [part] * len(x) for name, part in zip(keys, key[:-1])}
-        return pd.DataFrame(out | {"n": np.full(len(x), n), "k": place[kept], "re": x.real, "im": x.imag})
-
-    by = lambda c, other: F.floor(F.col(c) / F.greatest(F.floor(F.lit(GROUP) / other), F.lit(1)))
-    n_bits = F.length(F.bin(F.greatest(2 * F.col("n") - 2, F.lit(1))))
-    wide, high = F.pow(F.lit(2), F.floor(n_bits / 2)), F.pow(F.lit(2), F.floor((n_bits + 1) / 2))
-    turned = rows.select(*keys, "n", "idx", "p", "q", "v", "_g").groupBy(*keys, "_g").applyInPandas(columns_first, both)
-    count = F.ceil(F.col("_wide") / F.greatest(F.floor(F.lit(GROUP) / F.col("_high")), F.lit(1)))
-    sizes = ends.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("_g")).distinct()
-    chirps = sizes.groupBy("n", "_g").applyInPandas(chirp_columns, "n bigint, p bigint, q bigint, b_re double, b_im double")
-    turned = turned.join(chirps, ["n", "p", "q"])
-    back = turned.withColumn("_g", by("p", wide)).groupBy(*keys, "_g").applyInPandas(rows_then_back, both)
-    return back.withColumn("_g", by("q", high)).groupBy(*keys, "_g").applyInPandas(columns_last, f"{kinds}, n bigint, k bigint, re double, im double")
+        place = place[kept]
+        x = found[kept] * _chirp(place, n)
+        return _table([*keys, "n"], key[:-1], 1, k=_lists(place[None, :]), re=_lists(x.real[None, :]), im=_lists(x.imag[None, :]))
+
+    tile = "c bigint, r bigint, {0}_re array<double>, {0}_im array<double>"
+    turned = rows.select(*keys, "n", "c", "idx", "v").groupBy(*keys, "n", "c").applyInArrow(columns_first, f"{kinds}, {tile.format('a')}")
+    sizes = ends.select("n", F.explode("_groups").alias("c")).distinct()
+    chirps = sizes.groupBy("n", "c").applyInArrow(chirp_columns, f"n bigint, {tile.format('b')}")
+    # Spark takes the chirp for as small as what it is made from and would broadcast it
+    met = turned.join(chirps.hint("merge"), ["n", "c", "r"])
+    back = met.groupBy(*keys, "n", "r").applyInArrow(rows_then_back, f"{kinds}, r bigint, c bigint, a_re array<double>, a_im array<double>")
+    found = back.groupBy(*keys, "n", "c").applyInArrow(columns_last, f"{kinds}, k array<bigint>, re array<double>, im array<double>")
+    return found.select(*keys, "n", F.inline(F.arrays_zip("k", "re", "im")))
 
 
 def series_band_rms(samples: DataFrame, period_us: float, low_hz: float, high_hz: float) -> DataFrame:

@@ -173,6 +173,35 @@ def test_spectrum_of_a_whole_series(spark, monkeypatch, n):
         assert np.allclose(own.re + 1j * own.im, np.fft.fft(x)[: n // 2 + 1], rtol=1e-9, atol=1e-9 * max(np.abs(x).sum(), 1))
 
 
+def test_the_chirp_of_a_series_is_not_broadcast(spark, monkeypatch):
+    """It is as large as the series, whatever Spark takes it for."""
+    monkeypatch.setattr(spectrum, "GROUP", 1 << 10)
+    rows = spark.range(5_000).select(*key(), F.col("id").alias("idx"), F.array(F.col("id") % 7).alias("raw"))
+    found = spectrum.spectrum(rows)
+    assert len(found.collect()) == 2_501
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*|")) for line in plan]
+    assert any("FlatMapGroups" in line for line in plan)
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert not any("FlatMapGroups" in x for x in plan[i:below])
+
+
+def test_spectrum_of_a_series_with_holes(spark, monkeypatch):
+    """Most groups of columns are without a sample, one sample has no second value and the last has none at all."""
+    monkeypatch.setattr(spectrum, "GROUP", 1 << 10)
+    rows = [(0, [2.0, 1.0]), (256, [-1.0]), (640, [0.5, 4.0]), (4_103, [None, 3.0]), (5_000, None)]
+    got = spectrum.spectrum(spark.createDataFrame([("r", 0, "8", i, v) for i, v in rows], f"{SHAPE}, idx int, raw array<double>")).toPandas()
+    for s in (0, 1):
+        x = np.zeros(5_001)
+        for i, v in rows:
+            x[i] = (v[s] if v and len(v) > s else None) or 0
+        own = got[got.subchannel_id == s].sort_values("k")
+        assert list(own.k) == list(range(2_501)) and set(own.n) == {5_001}
+        assert np.allclose(own.re + 1j * own.im, np.fft.fft(x)[:2_501], rtol=1e-9, atol=1e-9)
+
+
 def test_a_session_that_is_missing_is_an_error(spark):
     rows = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("b", 1, 3), (None, 1, 4)], "recording_id string, session_id int, v int")
     assert sorted(r["v"] for r in recordings.session(rows, 1).collect()) == [2, 3, 4]
